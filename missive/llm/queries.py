@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.llm import op01_simhash, op03_tokens, op05_exact, op06_packing, op07_sharding, op08_decontaminate
+from missive.llm import op01_simhash, op03_tokens, op04_language, op05_exact, op06_packing, op07_sharding, op08_decontaminate, op09_pii
 from missive.llm import op10_warc as op10_warc_module
 from missive.llm.common import bounded_batches, table
 
@@ -24,6 +24,11 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_tokens.token_digests(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op04_language.identify(docs, op04_language.fit(docs))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op10_warc_module.archive(spark, table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "history_rank")
@@ -48,10 +57,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_token_output": op3_token_output,
+    "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_kd_sharding": op7_kd_sharding,
     "op8_decontamination": op8_decontamination,
+    "op9_pii": op9_pii,
     "op10_warc": op10_warc,
 }
 
