@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.llm import op01_simhash, op03_tokens, op04_language, op05_exact, op06_packing, op07_sharding, op08_decontaminate, op09_pii
+from missive.llm import op01_simhash, op02_license, op03_tokens, op04_language, op05_exact, op06_packing, op07_sharding, op08_decontaminate, op09_pii
 from missive.llm import op10_warc as op10_warc_module
 from missive.llm.common import bounded_batches, table
 
@@ -20,6 +20,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", op01_simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id", "group_size")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02_license.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_tokens.token_digests(spark, table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_token_output": op3_token_output,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
