@@ -63,20 +63,23 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, sketch: int = 0) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, sketch: int = 0, compared: int = 5) -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a long).  If ``sketch`` is not 0, repeated shingles count
-    once, and ``n_distinct`` and ``sketch`` (the smallest hashes) of the set are added."""
+    once, and ``n_distinct`` and ``sketch`` (the smallest hashes) of the set of shingles of
+    ``compared`` words are added."""
     schema = "doc_id long, fp long" + ", n_distinct long, sketch array<long>" * bool(sketch)
 
     def run(batches):
         for batch in slices(batches):
-            hashes = [shingle_hashes(x.as_py(), shingle) for x in batch.column(1)]
+            texts = batch.column(1).to_pylist()
+            hashes = [shingle_hashes(x, shingle) for x in texts]
             if sketch:
-                hashes = [np.unique(h.view(np.int64)).view(np.uint64) for h in hashes]  # smallest as longs, as Spark sorts them
+                hashes = list(map(np.unique, hashes))
             out = [batch.column(0), pa.array(np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64))]
             if sketch:
-                out.append(pa.array([len(h) for h in hashes], pa.int64()))
-                out.append(pa.array([h[:sketch].view(np.int64) for h in hashes], pa.list_(pa.int64())))
+                sets = [np.unique(shingle_hashes(x, compared).view(np.int64)) for x in texts]
+                out.append(pa.array(list(map(len, sets)), pa.int64()))
+                out.append(pa.array([x[:sketch] for x in sets], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "fp", "n_distinct", "sketch"][: len(out)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -178,13 +181,14 @@ def near_duplicates(
     cell_rows: int = 4096,
     similarity: float | None = None,
     sketch: int = 128,
+    compared: int = 5,
 ) -> DataFrame:
     """``doc_id, fp, component_id, group_size``: a row for each row of ``docs``.
 
     ``similarity``: fingerprints are of the sets of shingles, and links must also have at least
-    this Jaccard similarity of those sets, measured on the ``sketch`` smallest hashes of the two sets together (exact when
-    both have no more shingles than that)."""
-    prints = materialize(fingerprints(docs, shingle, sketch if similarity else 0), "fingerprints")
+    this Jaccard similarity of their sets of shingles of ``compared`` words, measured on the
+    ``sketch`` smallest hashes of the two sets together (exact when they have no more)."""
+    prints = materialize(fingerprints(docs, shingle, sketch if similarity else 0, compared), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     nodes = materialize(nodes, "nodes")
     pairs = links(nodes, max_bits, blocks, cell_rows)
@@ -215,6 +219,20 @@ def alike(prints: DataFrame, pairs: DataFrame, similarity: float, size: int) ->
     return both.where((F.least(la, lb) >= similarity * F.greatest(la, lb)) & near).select("a", "b")
 
 
+def keep_one(docs: DataFrame, shingle: int = 1, max_bits: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document, that with the smallest id, of each group of near duplicates:
+    texts whose sets of five-word shingles have at least the Jaccard ``similarity`` and whose
+    fingerprints, here of sets of words, differ in at most ``max_bits`` bits.  Rows with a null
+    id stay; rows that repeat an id stay or go together."""
+    columns = docs.columns
+    found = near_duplicates(docs, shingle, max_bits, similarity=similarity)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_mx_id")).distinct()
+    gone = materialize(gone, "near_copies")
+    if gone.count() <= 500_000:  # 8 bytes each
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_mx_id"), "left_anti").select(*(f"`{c}`" for c in columns))
+
+
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
