@@ -37,17 +37,32 @@ Q = 8
 _OTHER = re.compile(r"[\W_]+")
 _BASE = 0x9E3779B97F4A7C15
 #: Bits of the hash that index the first filter.
-FILTER_BITS = 22
+FILTER_BITS = 20
 SCHEMA = "doc_id long, item_id long, start long, end long, edits int"
 
 
+#: What ``normalise`` makes of each Latin-1 character.
+_LATIN = bytes(ord(chr(b).lower()) if not _OTHER.match(chr(b)) and ord(chr(b).lower()) < 256 else 32 for b in range(256))
+
+
 def normalise(text: str | None) -> str:
-    return _OTHER.sub(" ", (text or "").lower()).strip()
+    try:
+        # Only blanks are left of what bytes.split cuts at: the table maps the others to them.
+        return b" ".join((text or "").encode("latin-1").translate(_LATIN).split()).decode("latin-1")
+    except UnicodeEncodeError:
+        return _OTHER.sub(" ", text.lower()).strip()
+
+
+def codes_of(text: str) -> np.ndarray:
+    try:
+        return np.frombuffer(text.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
 def grams(text: str) -> np.ndarray:
     """A hash of the q-gram at each place, by doubling its width three times."""
-    h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    h = codes_of(text).astype(np.uint64)
     if len(h) < Q:
         return h[:0]
     width, base = 1, _BASE
@@ -96,7 +111,7 @@ class Index:
     rate: float
 
     def __post_init__(self):
-        self.codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in self.texts]
+        self.codes = list(map(codes_of, self.texts))
         self.k = np.array([budget(len(t), self.rate) for t in self.texts], dtype=np.int64)
         self.need = np.array([len(t) - Q + 1 for t in self.texts], dtype=np.int64) - self.k * Q
         self.short = [i for i, t in enumerate(self.texts) if 0 < len(t) < Q]
@@ -107,34 +122,55 @@ class Index:
         order = np.argsort(hashes, kind="stable")
         self.item, self.place = item[order], place[order]
         self.keys, self.first, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
-        self.seen = np.zeros(1 << FILTER_BITS, dtype=bool)
-        self.seen[self.keys >> np.uint64(64 - FILTER_BITS)] = True
+        # A slot holds the first of its keys; the few keys after the first are looked up by search.
+        slots = (self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        self.slot = np.full(1 << FILTER_BITS, -1, dtype=np.int32)
+        self.slot[slots[::-1]] = np.arange(len(slots) - 1, -1, -1)
+        self.shared = np.zeros(1 << FILTER_BITS, dtype=bool)
+        self.shared[slots[1:][slots[1:] == slots[:-1]]] = True
+        self.longest = max(map(len, self.texts), default=0)
+        self.least = int(self.need[self.need > 0].min()) if (self.need > 0).any() else 1
+
+    def hits(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the text whose q-gram is an item's, and the q-gram's number."""
+        h = grams(text)
+        slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        key = self.slot[slot]
+        at = np.flatnonzero(key >= 0)
+        h, slot, key = h[at], slot[at], key[at].astype(np.int64)
+        more = np.flatnonzero((self.keys[key] != h) & self.shared[slot])
+        if len(more):
+            key[more] = np.minimum(np.searchsorted(self.keys, h[more]), len(self.keys) - 1)
+        right = self.keys[key] == h
+        return at[right], key[right]
 
     def candidates(self, text: str) -> Iterator[tuple[int, int, int]]:
         """Item, and the lowest and highest diagonal of a band with enough hits."""
-        h = grams(text)
-        at = np.flatnonzero(self.seen[h >> np.uint64(64 - FILTER_BITS)])
-        if not len(at) or not len(self.keys):
+        if not len(self.keys):
+            return
+        at, key = self.hits(text)
+        if len(at) < self.least:
             return
-        key = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        hit = self.keys[key] == h[at]
-        at, key = at[hit], key[hit]
         n = self.count[key]
-        total = int(n.sum())
-        posting = np.repeat(self.first[key] - (np.cumsum(n) - n), n) + np.arange(total)
-        item = self.item[posting]
-        diagonal = np.repeat(at, n) - self.place[posting]
-        step = self.k[item] + 1
-        band = diagonal // step
-        longest = max(map(len, self.texts))
-        span = len(text) + 2 * longest + 4
-        code = item * span + band + longest + 2
-        codes, hits = np.unique(np.concatenate([code, code - 1]), return_counts=True)
-        items = codes // span
-        enough = hits >= self.need[items]
-        for i, b in zip(items[enough], codes[enough] % span - longest - 2, strict=True):
-            wide = int(self.k[i]) + 1
-            yield int(i), int(b) * wide, (int(b) + 2) * wide - 1
+        posting = np.repeat(self.first[key] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        item, place = self.item[posting], self.place[posting]
+        band = (np.repeat(at, n) - place) // (self.k[item] + 1)
+        shift, span = self.longest + 2, len(text) + 2 * self.longest + 4
+        code = item * span + band + shift
+        code, place = np.concatenate([code, code - 1]), np.concatenate([place, place])
+        # Most bands have few hits: those in a bucket with too few for their item go first.
+        size = max(1024, 1 << (4 * len(code)).bit_length())
+        bucket = code & (size - 1)
+        code, place = (x[np.bincount(bucket, minlength=size)[bucket] >= self.need[code // span]] for x in (code, place))
+        # What counts is how many of the item's q-grams are there, however often each is.
+        wide = self.longest + 1
+        each = np.unique(code * wide + place) // wide
+        codes, counts = np.unique(each, return_counts=True)
+        enough = counts >= self.need[codes // span]
+        for c in codes[enough]:
+            i, b = int(c // span), int(c % span) - shift
+            reach = int(self.k[i]) + 1
+            yield i, b * reach, (b + 2) * reach - 1
 
     def matches(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """``item, start, end, edits`` in the normalised text, the best for each item."""
@@ -149,7 +185,7 @@ class Index:
                 best[i] = (0, exact, exact + m)
                 continue
             if codes is None:
-                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+                codes = codes_of(text)
             found = align(self.codes[i], codes, low - k, high + k, k)
             if found and (i not in best or found[0] < best[i][0]):
                 end = found[1]
