@@ -23,7 +23,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Units kept by a worker; beyond that the table starts anew.
-TABLE = 200_000
+TABLE = 500_000
 #: Longer units are encoded but not kept.
 LONGEST = 64
 
@@ -52,35 +52,66 @@ class _Table(dict):
 
     def __init__(self, tokenizer: Tokenizer, before: str, lower: bool, even: bool):
         self.tokenizer, self.model, self.before, self.lower, self.even = tokenizer, tokenizer.model, before, lower, even
+        self.mark = before.translate(_LETTERS)
         self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def library(self, unit: str) -> bytes:
         return _packed(self.tokenizer.encode(unit, add_special_tokens=False).ids)
 
     def word(self, unit: str) -> bytes | None:
         """The ids of a unit that is one pre-token of Latin letters; None for any other."""
-        if not unit.isalpha() or not unit.isascii() and max(unit) > "\u00ff":
+        if not unit.isalpha():
             return None
-        raw = (self.before + (unit.lower() if self.lower else unit)).encode()
-        return _packed([t.id for t in self.model.tokenize(raw.decode("latin-1").translate(_LETTERS))])
+        if self.lower:
+            unit = unit.lower()
+        if unit.isascii():
+            letters = self.mark + unit
+        elif max(unit) > "\u00ff":
+            return None
+        else:
+            letters = (self.before + unit).encode().decode("latin-1").translate(_LETTERS)
+        return _packed([t.id for t in self.model.tokenize(letters)])
 
-    def __missing__(self, unit: str) -> bytes:
-        out = self.old.get(unit)
+    def known(self, unit: str) -> bytes | None:
+        """The ids of a unit of letters, from the table if they are there."""
+        out = self.get(unit)
+        if out is None:
+            out = self.old.get(unit)
         if out is None:
-            if self.even and (not unit or unit[0].isspace() or unit[-1].isspace()):
-                raise _Uneven
             out = self.word(unit)
-            if out is None:
-                core = unit.rstrip(_MARKS)
-                out = self.word(core) if core else None
-                out = self.library(self.before + unit) if out is None else out + self.library(unit[len(core) :])
+            if out is not None:
+                self.keep(unit, out)
+        return out
+
+    def keep(self, unit: str, ids: bytes) -> None:
         if len(unit) <= LONGEST:
             if len(self) >= TABLE:
                 self.old = dict(self)
                 self.clear()
-            self[unit] = out
+            self[unit] = ids
+
+    def __missing__(self, unit: str) -> bytes:
+        out = self.old.get(unit)
+        if out is None:
+            if self.even and (not unit or unit[0].isspace() or unit[-1].isspace()):
+                raise _Uneven
+            core = unit.rstrip(_MARKS)
+            out = self.known(core.lower() if self.lower else core) if core.isalpha() else None
+            if out is None:
+                out = self.library(self.before + unit)
+            elif len(core) < len(unit):
+                out += self.ends(unit[len(core) :])
+        self.keep(unit, out)
         return out
 
+    def ends(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(marks) > 3:
+                return self.library(marks)
+            self.marks[marks] = self.library(marks)
+        return self.marks[marks]
+
 
 class _Uneven(Exception):
     """White space beyond single blanks and line feeds: the text takes the other way."""
