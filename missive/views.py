@@ -39,7 +39,8 @@ def views(spark: SparkSession, sf_dir: str) -> Views:
         folder_id.alias("id"), account.alias("account_id"), F.col("source").alias("raw_name"), F.upper("source").alias("display_name"),
         F.lit(1).cast("long").alias("uidvalidity"), (folder_id % 4 != 0).alias("is_sync_target"),
     )
-    accounts = folders.groupBy(F.col("account_id").alias("id")).agg(F.lit("imap").alias("provider_type"), (F.col("id") != "account-c").alias("is_enabled"))
+    accounts = folders.select(F.col("account_id").alias("id")).distinct()
+    accounts = accounts.select("id", F.lit("imap").alias("provider_type"), (F.col("id") != "account-c").alias("is_enabled"))
     doc = F.col("doc_id")
     state = F.element_at(F.array(*map(F.lit, ("present", "moved", "deleted", "unknown"))), (doc % 4 + 1).cast("int"))
     flags = F.element_at(F.array(*map(F.lit, ("", "\\Seen", "\\Flagged", "\\Seen \\Flagged"))), (doc % 5 % 4 + 1).cast("int"))
