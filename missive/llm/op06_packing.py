@@ -17,6 +17,8 @@ documents of their own; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import zlib
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -144,8 +146,8 @@ def sequences(docs: DataFrame, capacity: int = CAPACITY, **more) -> DataFrame:
     placed = pack(found.drop("ids"), capacity, **more)
     keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
     # Rows that repeat an id and text have pieces with equal ids: any of them fills the place.
-    one = found.dropDuplicates(keys)
-    placed = placed.join(one, placed["doc_id"].eqNullSafe(one["doc_id"]) & (placed["piece"] == one["piece"]) & (placed["ids_crc32"] == one["ids_crc32"]) & (placed["length"] == one["length"]))
-    item = F.struct(placed["offset"].alias("offset"), one["ids"].alias("ids"), placed["doc_id"].alias("doc_id"))
-    whole = placed.select("sequence_id", item.alias("item")).groupBy("sequence_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    one = found.dropDuplicates(keys).select(*(F.col(k).alias(f"o_{k}") for k in keys), "ids")
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"o_{k}")) for k in keys))
+    placed = placed.join(one, same).select("sequence_id", F.struct("offset", "ids", "doc_id").alias("item"))
+    whole = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
     return whole.select("sequence_id", F.flatten("items.ids").alias("ids"), F.col("items.doc_id").alias("doc_ids"))
