@@ -13,7 +13,7 @@ import re
 import unicodedata
 from datetime import UTC, datetime, timedelta
 from email import message_from_bytes
-from email.header import decode_header
+from email.header import Header, decode_header
 from email.message import Message
 from email.utils import collapse_rfc2231_value, parsedate_to_datetime
 
@@ -79,12 +79,14 @@ def decode_text(raw: bytes, declared: str | None = None) -> tuple[str, str]:
     return raw.decode("utf-8", "replace"), "utf-8"
 
 
-def header_text(value: str | None) -> str | None:
-    """A header with its encoded words read; the header itself where that fails."""
+def header_text(value: str | Header | None) -> str | None:
+    """A header with its encoded words, and bytes that it should not have, read; the header
+    itself where that fails."""
     if value is None:
         return None
     try:
-        parts = [decode_text(p, c)[0] if isinstance(p, bytes) else p for p, c in decode_header(str(value))]
+        found = decode_header(value)
+        parts = [decode_text(p, None if c == "unknown-8bit" else c)[0] if isinstance(p, bytes) else p for p, c in found]
     except (ValueError, binascii.Error):
         return str(value)
     return re.sub(r"\r?\n[ \t]+", " ", "".join(parts)) or str(value)

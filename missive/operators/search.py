@@ -32,8 +32,12 @@ def sort_key() -> Column:
 
 
 def has_term(term: str) -> Column:
-    """Whether one of the text columns holds ``term``."""
-    return reduce(or_, (F.coalesce(F.contains(F.col(c), F.lit(term)), F.lit(False)) for c in TEXT_COLUMNS))
+    """Whether one of the text columns holds ``term``; bare columns, so that readers can use it."""
+    return reduce(or_, (F.contains(F.col(c), F.lit(term)) for c in TEXT_COLUMNS))
+
+
+def lacks_term(term: str) -> Column:
+    return reduce(and_, (F.col(c).isNull() | ~F.contains(F.col(c), F.lit(term)) for c in TEXT_COLUMNS))
 
 
 def matches(plan: SearchPlan, compat: bool = False) -> Column:
@@ -43,9 +47,9 @@ def matches(plan: SearchPlan, compat: bool = False) -> Column:
     after the first adds its rows."""
     found = reduce(or_ if plan.mode == "or" else and_, map(has_term, plan.include))
     if not compat:
-        return reduce(and_, (~has_term(t) for t in plan.exclude), found)
+        return reduce(and_, map(lacks_term, plan.exclude), found)
     for i, term in enumerate(plan.exclude):
-        found = found | has_term(term) if i else found & ~has_term(term)
+        found = found | has_term(term) if i else found & lacks_term(term)
     return found
 
 

@@ -30,7 +30,8 @@ def verified(files: DataFrame, wanted: DataFrame) -> DataFrame:
     named = files.select(F.col("path").alias("full"), "content")
     key = F.element_at(F.split("full", "/"), -1)
     rows = wanted.withColumn("name", F.element_at(F.split("relative_path", "/"), -1))
-    rows = rows.join(named.withColumn("name", key), "name", "left").where(F.col("full").isNull() | F.expr("endswith(full, relative_path)"))
+    named = named.withColumn("file_name", key)
+    rows = rows.join(named, (F.col("name") == F.col("file_name")) & F.endswith("full", "relative_path"), "left")
     ok = F.sha2("content", 256) == F.lower("file_hash")
     state = F.when(~inside, "outside").when(F.col("content").isNull(), "missing").when(ok, "ok").otherwise("mismatch")
     return rows.select("relative_path", "file_hash", F.when(state == "ok", F.col("content")).alias("content"), state.alias("state"))
