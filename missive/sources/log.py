@@ -55,14 +55,16 @@ def read_lines(lines: DataFrame) -> DataFrame:
     ends = lines.groupBy("file").agg(F.max("place").alias("end"))
     rows = lines.join(ends, "file")
     intact = F.coalesce((checksum(text) == told) & event.isNotNull() & event["event"].isNotNull(), F.lit(False))
-    return rows.select("file", "place", intact.alias("intact"), (F.col("place") == F.col("end")).alias("last"), event.alias("e")).select("file", "place", "intact", "last", "e.*")
+    last = F.col("place") == F.col("end")
+    rows = rows.select("file", "place", F.octet_length("value").alias("bytes"), intact.alias("intact"), last.alias("last"), event.alias("e"))
+    return rows.select("file", "place", "bytes", "intact", "last", "e.*")
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of all files with their order.  A file is read by one task, line after line."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    rows = files.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("place", "value"))
-    return rows.where("value <> ''")
+    """The lines of all files; ``place`` orders a file's: where its split starts, then the row."""
+    rows = spark.read.text(path, recursiveFileLookup=True)
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return rows.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value").where("value <> ''")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -70,16 +72,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     is an error anywhere else; a first pass looks for such, as Spark may drop a row before an
     expression on it can fail."""
     rows = read_lines(lines_of(spark, path))
-    broken = rows.where("NOT intact AND NOT last").select("file", "place").limit(1).collect()
+    broken = rows.where("NOT intact AND NOT last").select("file").limit(1).collect()
     if broken:
-        raise ValueError(f"a broken event within {broken[0]['file']}, line {broken[0]['place'] + 1}")
-    return rows.where("intact").drop("intact", "last")
+        raise ValueError(f"a broken event within {broken[0]['file']}")
+    return rows.where("intact").drop("bytes", "intact", "last")
 
 
 def bytes_cut(lines: DataFrame) -> DataFrame:
     """``file, bytes``: what a repair of the ends removes."""
-    rows = read_lines(lines).where("last AND NOT intact").select("file", "place")
-    return rows.join(lines, ["file", "place"]).select("file", F.octet_length("value").alias("bytes"))
+    return read_lines(lines).where("last AND NOT intact").select("file", "bytes")
 
 
 def replay(events: DataFrame) -> DataFrame:
