@@ -185,12 +185,13 @@ def test_gradients_are_those_of_the_loss():
     net = op04_language.Network.fresh(["a", "b", "c"], rng)
     for k in ("table", "loop", "top", "bias"):
         setattr(net, k, getattr(net, k).astype(np.float64))
-    windows, lengths, target = rng.integers(0, 256, (4, 9)).astype(np.uint8), np.array([9, 5, 7, 1]), np.array([0, 1, 2, 1])
+    windows, lengths, target = rng.integers(1, 256, (4, 9)).astype(np.uint8), np.array([9, 5, 7, 1]), np.array([0, 1, 2, 1])
+    windows[np.arange(9) >= lengths[:, None]] = 0
 
     def loss() -> float:
-        p = op04_language.positions(net, op04_language.forward(net, op04_language.both_ways(windows, lengths)), lengths)
-        real = np.arange(9) < lengths[:, None]
-        return -np.log(p[np.arange(4), :, target][real]).sum() / real.sum()
+        p = op04_language.positions(net, op04_language.forward(net, op04_language.both_ways(windows)), lengths)
+        real = np.arange(9)[:, None] < lengths
+        return -np.log(p[:, target, np.arange(4)][real]).sum() / real.sum()
 
     for w, g in zip(net.weights, op04_language.gradients(net, windows, lengths, target), strict=True):
         at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
