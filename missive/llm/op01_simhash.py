@@ -38,6 +38,8 @@ from missive.llm.common import materialize, slices
 SEED = 42
 #: Bits in the low place of each two-bit segment.
 LOW = 0x5555555555555555
+#: Tables of up to this many rows of 16 bytes are sent to all executors.
+SMALL = 500_000
 #: Shingles whose bits are unpacked at a time.
 CHUNK = 1 << 15
 
@@ -63,27 +65,30 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, sketch: int = 0, compared: int = 5) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a long).  If ``sketch`` is not 0, repeated shingles count
-    once, and ``n_distinct`` and ``sketch`` (the smallest hashes) of the set of shingles of
-    ``compared`` words are added."""
-    schema = "doc_id long, fp long" + ", n_distinct long, sketch array<long>" * bool(sketch)
+def fingerprints(docs: DataFrame, shingle: int = 3, once: bool = False) -> DataFrame:
+    """``doc_id, fp`` (the 64 bits as a long); with ``once``, repeated shingles count once."""
 
     def run(batches):
         for batch in slices(batches):
-            texts = batch.column(1).to_pylist()
-            hashes = [shingle_hashes(x, shingle) for x in texts]
-            if sketch:
-                hashes = list(map(np.unique, hashes))
-            out = [batch.column(0), pa.array(np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64))]
-            if sketch:
-                sets = [np.unique(shingle_hashes(x, compared).view(np.int64)) for x in texts]
-                out.append(pa.array(list(map(len, sets)), pa.int64()))
-                out.append(pa.array([x[:sketch] for x in sets], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "fp", "n_distinct", "sketch"][: len(out)])
+            hashes = (shingle_hashes(x.as_py(), shingle) for x in batch.column(1))
+            prints = [majority(np.unique(h) if once else h) for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "doc_id long, fp long")
+
+
+def sketches(texts: DataFrame, shingle: int, size: int) -> DataFrame:
+    """``fp, n_distinct, sketch`` of ``texts(fp, text)``: how many shingles a text has, and the
+    ``size`` smallest 32-bit hashes of them."""
+
+    def run(batches):
+        for batch in slices(batches):
+            sets = [np.unique((shingle_hashes(x.as_py(), shingle) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for x in batch.column(1)]
+            out = [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([x[:size] for x in sets], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(out, names=["fp", "n_distinct", "sketch"])
+
+    return texts.select("fp", F.col("text").cast("binary").alias("text")).mapInArrow(run, "fp long, n_distinct long, sketch array<int>")
 
 
 def embed(fp: Column) -> Column:
@@ -114,7 +119,7 @@ def pick_blocks(n: int, max_bits: int) -> int:
         grids = comb(blocks, agree)
         return n * grids * 40 + n * n / 2 * grids * 0.375 ** (32 * agree / blocks)
 
-    return min(range(max_bits + 1, min(32, max_bits + 8) + 1), key=work)
+    return min(range(max_bits + 2, max_bits + 9), key=work)
 
 
 def links(nodes: DataFrame, max_bits: int = 2, blocks: int | None = None, cell_rows: int = 4096) -> DataFrame:
@@ -188,12 +193,12 @@ def near_duplicates(
     ``similarity``: fingerprints are of the sets of shingles, and links must also have at least
     this Jaccard similarity of their sets of shingles of ``compared`` words, measured on the
     ``sketch`` smallest hashes of the two sets together (exact when they have no more)."""
-    prints = materialize(fingerprints(docs, shingle, sketch if similarity else 0, compared), "fingerprints")
+    prints = materialize(fingerprints(docs, shingle, similarity is not None), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     nodes = materialize(nodes, "nodes")
     pairs = links(nodes, max_bits, blocks, cell_rows)
-    if similarity:
-        pairs = alike(prints, materialize(pairs, "links"), similarity, sketch)
+    if similarity is not None:
+        pairs = alike(docs, nodes, materialize(pairs, "links"), similarity, sketch, compared)
     roots = components(pairs.select("a", "b"))
     # A node's root is its component's smallest fingerprint; the id is the smallest document's.
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
@@ -204,12 +209,18 @@ def near_duplicates(
     return prints.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id", "group_size")
 
 
-def alike(prints: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
+def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, size: int, compared: int) -> DataFrame:
     """The pairs of fingerprints whose documents are as similar as asked.
 
-    One document stands for a fingerprint: the one with the smallest id."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    one = prints.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min_by(F.struct("n_distinct", "sketch"), "doc_id").alias("s"))
+    One document stands for a fingerprint, that with the smallest id; only those of linked
+    fingerprints are read again."""
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    stand = materialize(nodes.join(ends, "fp", "left_semi").where("rep IS NOT NULL"), "linked")
+    if stand.count() <= SMALL:
+        stand = F.broadcast(stand)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(stand, F.col("doc_id") == F.col("rep"))
+    one = sketches(texts, compared, size).groupBy("fp").agg(F.min(F.struct("n_distinct", "sketch")).alias("s"))
+    one = materialize(one, "sketches")
     a, b = (one.select(F.col("fp").alias(k), F.col("s").alias("s" + k)) for k in "ab")
     both = pairs.join(a, "a").join(b, "b")
     la, lb = F.col("sa.n_distinct"), F.col("sb.n_distinct")
@@ -219,7 +230,7 @@ def alike(prints: DataFrame, pairs: DataFrame, similarity: float, size: int) ->
     return both.where((F.least(la, lb) >= similarity * F.greatest(la, lb)) & near).select("a", "b")
 
 
-def keep_one(docs: DataFrame, shingle: int = 1, max_bits: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 1, max_bits: int = 4, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document, that with the smallest id, of each group of near duplicates:
     texts whose sets of five-word shingles have at least the Jaccard ``similarity`` and whose
     fingerprints, here of sets of words, differ in at most ``max_bits`` bits.  Rows with a null
@@ -228,7 +239,7 @@ def keep_one(docs: DataFrame, shingle: int = 1, max_bits: int = 5, similarity: f
     found = near_duplicates(docs, shingle, max_bits, similarity=similarity)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_mx_id")).distinct()
     gone = materialize(gone, "near_copies")
-    if gone.count() <= 500_000:  # 8 bytes each
+    if gone.count() <= SMALL:
         gone = F.broadcast(gone)
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_mx_id"), "left_anti").select(*(f"`{c}`" for c in columns))
 

@@ -29,14 +29,18 @@ from missive.llm.common import bounded_batches
 HIDDEN = 8
 #: Bytes of a window in prediction, and windows that run side by side.
 SPAN, LANES = 256, 1024
+#: The update gate of padding.
+HOLD = 30.0
 UNKNOWN = "und"
 
 
 @dataclass
 class Network:
-    """Weights for both directions (first axis).  ``table``: what a byte adds to the gates
-    (reset, update, candidate), which is an embedding times the input weights; ``loop``: what
-    the state adds; ``top``: the state's part of the labels' logits."""
+    """Weights for both directions (first axis).  ``table``: what a byte (last axis) adds to the
+    gates (reset, update, candidate), an embedding times the input weights; ``loop``: what the
+    state adds; ``top``: the state's part of the labels' logits.
+
+    Byte 0 pads windows: it holds the update gate open, so the state passes it unchanged."""
 
     labels: list[str]
     table: np.ndarray
@@ -47,97 +51,95 @@ class Network:
     @classmethod
     def fresh(cls, labels: list[str], rng: np.random.Generator) -> Network:
         draw = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
-        return cls(labels, draw(2, 256, 3 * HIDDEN), draw(2, HIDDEN, 3 * HIDDEN), draw(2, HIDDEN, len(labels)), np.zeros(len(labels), np.float32))
+        net = cls(labels, draw(2, 3 * HIDDEN, 256), draw(2, 3 * HIDDEN, HIDDEN), draw(2, len(labels), HIDDEN), np.zeros(len(labels), np.float32))
+        net.hold()
+        return net
+
+    def hold(self) -> None:
+        self.table[:, HIDDEN : 2 * HIDDEN, 0] = HOLD
 
     @property
     def weights(self) -> list[np.ndarray]:
         return [self.table, self.loop, self.top, self.bias]
 
 
-def _half(x: np.ndarray) -> np.ndarray:
-    """The logistic function, in place."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x += 1
-    x *= 0.5
-    return x
-
-
-def both_ways(windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def both_ways(windows: np.ndarray) -> np.ndarray:
     """Step by step, the bytes that each direction reads: (steps, 2, lanes)."""
-    steps = windows.shape[1]
-    back = np.take_along_axis(windows, np.maximum(lengths[:, None] - 1 - np.arange(steps), 0), axis=1)
-    return np.ascontiguousarray(np.stack([windows.T, back.T], axis=1))
+    return np.ascontiguousarray(np.stack([windows.T, windows[:, ::-1].T], axis=1))
 
 
 def forward(net: Network, bytes_in: np.ndarray, keep: bool = False):
-    """Logits of the two directions at each step, (steps, 2, lanes, labels); with ``keep`` also
-    what training needs."""
+    """Logits of the two directions at each step, (steps, 2, labels, lanes); with ``keep`` also
+    what training needs.  Lanes are the last axis, so every operation runs over long rows."""
     steps, _, lanes = bytes_in.shape
-    h = np.zeros((2, lanes, HIDDEN), np.float32)
-    out = np.empty((steps, 2, lanes, len(net.labels)), np.float32)
+    kind, two = net.table.dtype, 2 * HIDDEN
+    h = np.zeros((2, HIDDEN, lanes), kind)
+    given, again = np.empty((2, 3 * HIDDEN, lanes), kind), np.empty((2, 3 * HIDDEN, lanes), kind)
+    gates, new = np.empty((2, two, lanes), kind), np.empty((2, HIDDEN, lanes), kind)
+    reset, update = gates[:, :HIDDEN], gates[:, HIDDEN:]
+    out = np.empty((steps, 2, len(net.labels), lanes), kind)
     kept = []
-    ways = np.arange(2)[:, None]
     for t in range(steps):
-        given = net.table[ways, bytes_in[t]]
-        again = h @ net.loop
-        gates = _half(given[..., : 2 * HIDDEN] + again[..., : 2 * HIDDEN])
-        reset, update = gates[..., :HIDDEN], gates[..., HIDDEN:]
-        new = again[..., 2 * HIDDEN :] * reset
-        new += given[..., 2 * HIDDEN :]
+        for way in (0, 1):
+            np.take(net.table[way], bytes_in[t, way], axis=1, out=given[way], mode="clip")
+        np.matmul(net.loop, h, out=again)
+        np.add(given[:, :two], again[:, :two], out=gates)
+        gates *= 0.5  # the logistic function by way of tanh
+        np.tanh(gates, out=gates)
+        gates += 1
+        gates *= 0.5
+        np.multiply(again[:, two:], reset, out=new)
+        new += given[:, two:]
         np.tanh(new, out=new)
         if keep:
-            kept.append((h, reset, update, new, again[..., 2 * HIDDEN :]))
-        h = new + update * (h - new)
-        np.matmul(h, net.top, out=out[t])
+            kept.append((h.copy(), reset.copy(), update.copy(), new.copy(), again[:, two:].copy()))
+        h -= new
+        h *= update
+        h += new
+        np.matmul(net.top, h, out=out[t])
         if keep:
-            kept[-1] += (h,)
+            kept[-1] += (h.copy(),)
     return (out, kept) if keep else out
 
 
 def positions(net: Network, out: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The distribution at each position of each window, (lanes, steps, labels); 0 past its end."""
-    steps = out.shape[0]
-    ahead = out[:, 0].transpose(1, 0, 2)
-    place = lengths[:, None] - 1 - np.arange(steps)
-    back = np.take_along_axis(out[:, 1].transpose(1, 0, 2), np.maximum(place, 0)[..., None], axis=1)
-    logits = ahead + back
-    logits += net.bias
-    logits -= logits.max(axis=-1, keepdims=True)
+    """The distribution at each position of each window, (steps, labels, lanes); 0 past its end."""
+    logits = out[:, 0] + out[::-1, 1]
+    logits += net.bias[:, None]
+    np.clip(logits, -60, 60, out=logits)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=-1, keepdims=True)
-    logits *= (place >= 0)[..., None]
+    real = np.arange(out.shape[0])[:, None] < lengths
+    logits *= (real / logits.sum(axis=1))[:, None].astype(logits.dtype)
     return logits
 
 
 def gradients(net: Network, windows: np.ndarray, lengths: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
     """Of the mean cross entropy over all positions, through time."""
-    bytes_in = both_ways(windows, lengths)
+    bytes_in = both_ways(windows)
     steps, _, lanes = bytes_in.shape
     out, kept = forward(net, bytes_in, keep=True)
     wrong = positions(net, out, lengths)
-    real = np.arange(steps) < lengths[:, None]
-    wrong[np.arange(lanes), :, target] -= real
+    real = np.arange(steps)[:, None] < lengths
+    wrong[:, target, np.arange(lanes)] -= real
     wrong /= real.sum()
-    place = np.maximum(lengths[:, None] - 1 - np.arange(steps), 0)
-    back = np.take_along_axis(wrong, place[..., None], axis=1) * real[..., None]
-    by_way = np.stack([wrong, back]).transpose(2, 0, 1, 3)  # steps, 2, lanes, labels
+    by_way = np.stack([wrong, wrong[::-1]], axis=1)  # steps, 2, labels, lanes
     d_table, d_loop, d_top = (np.zeros_like(w) for w in (net.table, net.loop, net.top))
-    d_bias = wrong.sum(axis=(0, 1))
-    dh = np.zeros((2, lanes, HIDDEN), np.float32)
-    ways = np.repeat(np.arange(2), lanes)
+    d_bias = wrong.sum(axis=(0, 2))
+    flip = lambda x: x.transpose(0, 2, 1)
+    dh = np.zeros((2, HIDDEN, lanes), net.table.dtype)
     for t in reversed(range(steps)):
         before, reset, update, new, again, h = kept[t]
-        d_top += h.transpose(0, 2, 1) @ by_way[t]
-        dh = dh + by_way[t] @ net.top.transpose(0, 2, 1)
+        d_top += by_way[t] @ flip(h)
+        dh = dh + flip(net.top) @ by_way[t]
         d_new = dh * (1 - update) * (1 - new * new)
         d_update = dh * (before - new) * update * (1 - update)
         d_reset = d_new * again * reset * (1 - reset)
-        gates = np.concatenate([d_reset, d_update, d_new], axis=2)
-        np.add.at(d_table, (ways, bytes_in[t].ravel()), gates.reshape(2 * lanes, -1))
-        gates[..., 2 * HIDDEN :] *= reset
-        d_loop += before.transpose(0, 2, 1) @ gates
-        dh = dh * update + gates @ net.loop.transpose(0, 2, 1)
+        gates = np.concatenate([d_reset, d_update, d_new], axis=1)
+        for way in (0, 1):
+            np.add.at(d_table[way].T, bytes_in[t, way], gates[way].T)
+        gates[:, 2 * HIDDEN :] *= reset
+        d_loop += gates @ flip(before)
+        dh = dh * update + flip(net.loop) @ gates
     return [d_table, d_loop, d_top, d_bias]
 
 
@@ -163,6 +165,7 @@ def train(samples: list[tuple[bytes, str]], steps: int = 160, batch: int = 96, r
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             w -= slow * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        net.hold()
     return net
 
 
@@ -181,11 +184,12 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     full = sizes > 0
     lengths[ends[full] - 1] = (sizes[full] - 1) % SPAN + 1
     total = np.zeros((len(texts), len(net.labels)))
+    order = np.argsort(-lengths, kind="stable")  # short windows run together, in fewer steps
     for a in range(0, len(owner), LANES):
-        part = slice(a, a + LANES)
+        part = order[a : a + LANES]
         steps = int(lengths[part].max())
-        out = forward(net, both_ways(windows[part, :steps], lengths[part]))
-        np.add.at(total, owner[part], positions(net, out, lengths[part]).sum(axis=1))
+        out = forward(net, both_ways(windows[part, :steps]))
+        np.add.at(total, owner[part], positions(net, out, lengths[part]).sum(axis=0).T)
     return total / np.maximum(sizes, 1)[:, None]
 
 

@@ -40,9 +40,12 @@ def _keyed(rows: DataFrame) -> DataFrame:
 def surviving(docs: DataFrame) -> DataFrame:
     """``_len, _head`` of the groups that hold several rows after stages 1 and 2."""
     rows = _keyed(_normal(docs)).select("_len", "_head")
-    lengths = rows.groupBy("_len").count().where("count > 1").select("_len")
-    rows = rows.join(lengths, "_len", "left_semi")
-    return rows.groupBy("_len", "_head").count().where("count > 1").select("_len", "_head")
+    lengths = materialize(rows.groupBy("_len").count().where("count > 1").select("_len"), "lengths")
+    if lengths.count() <= SMALL:
+        several = rows.join(F.broadcast(lengths), "_len", "left_semi").groupBy("_len", "_head").count()
+    else:  # summed before the shuffle here too, so that a length of many rows is not one task's
+        several = rows.groupBy("_len", "_head").count().join(lengths, "_len", "left_semi")
+    return several.where("count > 1").select("_len", "_head")
 
 
 def exact_groups(docs: DataFrame, digest_all: bool = False) -> DataFrame:

@@ -9,9 +9,9 @@ must go through their group.
 
 The quantiles are found without sorting: all nodes of a level at once sum their bytes in 4,096
 buckets of the key, the bucket that holds the quantile is divided again, and so on until it
-is light enough or the key's 60 bits are used.  Only summed buckets are shuffled, and a row for
-each node reaches the driver.  The tree then is an expression for each level: no row moves to
-be placed.  Slots are numbered in groups of bounded size, each shifted by the rows before it.
+is light enough, holds one row, or the key's 60 bits are used.  Only summed buckets are
+shuffled, and a row for each node reaches the driver.  No row moves to be placed: a level is an
+expression.  Slots are numbered in groups of bounded size, each shifted by the rows before it.
 
 Edge cases: a null text has no bytes and weighs 16; an empty table gives an empty result;
 repeated rows and ids are rows of their own, with slots of their own; more shards than rows
@@ -96,13 +96,10 @@ def _key(level: Level, dims: int) -> Column:
     return F.shiftleft(coords[_of(level.dims).cast("int")], TIE_BITS).bitwiseOR(F.col("tie"))
 
 
-def place(rows: DataFrame, tree: list[Level], dims: int) -> DataFrame:
-    """``rows`` with ``node``, their box in the level below the last of ``tree``."""
-    rows = rows.withColumn("node", F.lit(0).cast("long"))
-    for level in tree:
-        right = (_key(level, dims) >= _of(level.cuts)).cast("long")
-        rows = rows.withColumn("node", _of(level.kids) + right)
-    return rows
+def below(rows: DataFrame, level: Level, dims: int) -> DataFrame:
+    """``rows`` with ``node`` moved from the boxes of ``level`` to their kids."""
+    right = (_key(level, dims) >= _of(level.cuts)).cast("long")
+    return rows.withColumn("node", _of(level.kids) + right)
 
 
 def _quantiles(rows: DataFrame, level: Level, weights: list[int], dims: int, tolerance: float) -> None:
@@ -117,7 +114,7 @@ def _quantiles(rows: DataFrame, level: Level, weights: list[int], dims: int, tol
         shift -= STEP
         inside = F.shiftright("key", shift + STEP) == _of(prefix)
         part = keyed.where(_of([int(i in todo) for i in boxes]) == 1).where(inside)
-        sums = part.groupBy("node", F.shiftright("key", shift).alias("bucket")).agg(F.sum("size").alias("w"))
+        sums = part.groupBy("node", F.shiftright("key", shift).alias("bucket")).agg(F.sum("size").alias("w"), F.count("*").alias("n"))
         upto = F.sum("w").over(Window.partitionBy("node").orderBy("bucket"))  # at most 4,096 rows a box
         sums = sums.withColumn("upto", upto + _of(before))
         goal = F.array(*(F.lit(float(t)) for t in target))[F.col("node").cast("int")]
@@ -127,32 +124,33 @@ def _quantiles(rows: DataFrame, level: Level, weights: list[int], dims: int, tol
             i = r["node"]
             low, high, t = r["upto"] - r["w"], r["upto"], target[i]
             level.cuts[i] = (r["bucket"] + (high - t < t - low)) << shift
-            if min(t - low, high - t) > tolerance * weights[i] / level.shards[i]:
+            if r["n"] > 1 and min(t - low, high - t) > tolerance * weights[i] / level.shards[i]:
                 before[i], prefix[i] = low, r["bucket"]
                 todo.append(i)
 
 
-def kd_tree(rows: DataFrame, shards: int, dims: int, tolerance: float = 0.0005) -> list[Level]:
-    """``tolerance``: bytes by which a cut may miss, as a share of a shard's."""
-    tree: list[Level] = []
+def placed(rows: DataFrame, shards: int, dims: int, tolerance: float = 0.0005) -> DataFrame:
+    """``rows`` with ``node``, their shard.  The boxes of each level are written with the rows'
+    metadata, so that no plan holds more than one level.
+
+    ``tolerance``: bytes by which a cut may miss, as a share of a shard's."""
+    rows = rows.withColumn("node", F.lit(0).cast("long"))
     now = [shards]
     while max(now) > 1:
-        here = place(rows, tree, dims)
         width = [(F.max(f"c{i}") - F.min(f"c{i}")).alias(f"x{i}") for i in range(dims)]
-        found = {r["node"]: r for r in here.groupBy("node").agg(F.sum("size").alias("w"), *width).collect()}
+        found = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("w"), *width).collect()}
         widest = [max(range(dims), key=lambda i, r=found.get(n): r[f"x{i}"]) if n in found else 0 for n in range(len(now))]
         level = Level(now, widest, [END] * len(now))
-        _quantiles(here, level, [found[n]["w"] if n in found else 0 for n in range(len(now))], dims, tolerance)
-        tree.append(level)
+        _quantiles(rows, level, [found[n]["w"] if n in found else 0 for n in range(len(now))], dims, tolerance)
         now = [k for n in now for k in ((n // 2, n - n // 2) if n > 1 else (n,))]
-    return tree
+        rows = materialize(below(rows, level, dims), "boxes")
+    return rows
 
 
 def shard(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("source", "lang", "size"), slot_rows: int = 2000) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard``: a row for each row of ``docs``."""
     rows = points(docs, dims)
-    tree = kd_tree(rows, shards, len(dims))
-    rows = place(rows, tree, len(dims)).withColumn("shard", F.col("node").cast("int"))
+    rows = placed(rows, shards, len(dims)).withColumn("shard", F.col("node").cast("int"))
     groups = max(1, -(-rows.count() // (shards * slot_rows)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(groups)).cast("int"))
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))

@@ -71,4 +71,4 @@ QUERIES: dict[str, Query] = {
     "op10_warc": op10_warc,
 }
 
-SQL: dict[str, str] = {"op5_exact_dedup": op05_exact.SQL, "op10_warc": op10_warc_module.SQL}
+SQL: dict[str, str] = {"op2_license_scan": op02_license.sql(), "op5_exact_dedup": op05_exact.SQL, "op10_warc": op10_warc_module.SQL}

@@ -117,6 +117,14 @@ class _Uneven(Exception):
     """White space beyond single blanks and line feeds: the text takes the other way."""
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """``encode(text)``: the ids as little-endian unsigned 32-bit integers.  Null is empty."""
 
@@ -134,6 +142,8 @@ class Encoder:
         if not text:
             return b""
         if self.kind == "word_bpe":
+            if "<|" not in text and _latin(text):  # lower-casing first makes fewer units; special tokens keep their case
+                text = text.lower()
             return b"".join(map(self.head.__getitem__, text.replace("\n", " ").split(" ")))
         try:
             out = []

@@ -422,7 +422,7 @@ def n11_paths(v):
     return v.messages.select("id", display.message_path(F.col("account_id"), F.col("internal_date"), F.col("file_hash")).alias("path"))
 
 
-@over_tables("u7_trigrams", "SELECT item_id, g, count(*) AS n FROM (SELECT item_id, unnest(list_distinct(list_transform(range(1, length(text) - 1), i -> substr(text, i, 3)))) AS g FROM benchmark) GROUP BY ALL")
+@over_tables("u7_trigrams", "SELECT item_id, g, count(*) AS n FROM (SELECT item_id, unnest(list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)))) AS g FROM benchmark) GROUP BY ALL")
 def u7_trigrams(t):
     return t("benchmark").select("item_id", F.explode(display.trigrams(F.col("text"))).alias("g")).groupBy("item_id", "g").agg(F.count("*").alias("n"))
 
