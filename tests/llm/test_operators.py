@@ -112,13 +112,13 @@ def test_near_copies_leave_one_and_others_stay(docs):
 def test_licenses_equal_brute_force(spark, docs, empty):
     rows = [(1, "Some text.\nReleased under the MIT License.\nMore"), (2, "licensed under CC  by-nc 4.0!"), (3, None), (4, ""), (5, "license"), (6, "\n\n"),
             (7, op02_license.TEMPLATES["MIT"].replace(", ", ",\n", 3)), (8, op02_license.TEMPLATES["GPL-3.0"].replace("free", "open")), (9, LONG + "\nReleased under the MIT License."),
-            (10, "Released under\nthe MIT\n\nLicense.")]
+            (10, "Released under\nthe MIT\n\nLicense."), (12, "Licensed under CC BY-SA")]
     got: dict = {}
     for r in op02_license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got.setdefault(r.doc_id, {})[r.license] = (r.dice, r.first_line, r.n_lines)
     want = {d: op02_license.brute(t) for d, t in rows}
     assert got == {d: w for d, w in want.items() if w}
-    assert {"MIT-notice"} == set(got[9]) == set(got[10]) and "MIT" in got[7]
+    assert "CC-BY-SA-4.0" in got[12] and {"MIT-notice"} == set(got[9]) == set(got[10]) and "MIT" in got[7]
     assert op02_license.scan(docs).count() == 0 and op02_license.scan(empty).count() == 0
 
 
