@@ -230,13 +230,15 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float
     return both.where((F.least(la, lb) >= similarity * F.greatest(la, lb)) & near).select("a", "b")
 
 
-def keep_one(docs: DataFrame, shingle: int = 1, max_bits: int = 4, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, compared: int = 5) -> DataFrame:
     """``docs`` with one document, that with the smallest id, of each group of near duplicates:
-    texts whose sets of five-word shingles have at least the Jaccard ``similarity`` and whose
-    fingerprints, here of sets of words, differ in at most ``max_bits`` bits.  Rows with a null
-    id stay; rows that repeat an id stay or go together."""
+    texts whose sets of shingles of ``compared`` words have at least the Jaccard ``similarity``, all
+    of them found and decided exactly.  Rows with a null id stay; rows that repeat an id stay or
+    go together."""
+    from missive.llm.op01_shingles import near_copies
+
     columns = docs.columns
-    found = near_duplicates(docs, shingle, max_bits, similarity=similarity)
+    found = near_copies(docs, similarity, compared)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_mx_id")).distinct()
     gone = materialize(gone, "near_copies")
     if gone.count() <= SMALL:
