@@ -78,19 +78,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3, once: bool = False) -> DataF
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def sketches(texts: DataFrame, shingle: int, size: int) -> DataFrame:
-    """``fp, n_distinct, sketch`` of ``texts(fp, text)``: how many shingles a text has, and the
-    ``size`` smallest 32-bit hashes of them."""
-
-    def run(batches):
-        for batch in slices(batches):
-            sets = [np.unique((shingle_hashes(x.as_py(), shingle) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for x in batch.column(1)]
-            out = [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([x[:size] for x in sets], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(out, names=["fp", "n_distinct", "sketch"])
-
-    return texts.select("fp", F.col("text").cast("binary").alias("text")).mapInArrow(run, "fp long, n_distinct long, sketch array<int>")
-
-
 def embed(fp: Column) -> Column:
     """Per-segment bit counts in unary, packed into a long."""
     one = fp.bitwiseOR(F.shiftright(fp, 1)).bitwiseAND(F.lit(LOW))
@@ -184,21 +171,12 @@ def near_duplicates(
     max_bits: int = 2,
     blocks: int | None = None,
     cell_rows: int = 4096,
-    similarity: float | None = None,
-    sketch: int = 128,
-    compared: int = 5,
 ) -> DataFrame:
-    """``doc_id, fp, component_id, group_size``: a row for each row of ``docs``.
-
-    ``similarity``: fingerprints are of the sets of shingles, and links must also have at least
-    this Jaccard similarity of their sets of shingles of ``compared`` words, measured on the
-    ``sketch`` smallest hashes of the two sets together (exact when they have no more)."""
-    prints = materialize(fingerprints(docs, shingle, similarity is not None), "fingerprints")
+    """``doc_id, fp, component_id, group_size``: a row for each row of ``docs``."""
+    prints = materialize(fingerprints(docs, shingle), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     nodes = materialize(nodes, "nodes")
     pairs = links(nodes, max_bits, blocks, cell_rows)
-    if similarity is not None:
-        pairs = alike(docs, nodes, materialize(pairs, "links"), similarity, sketch, compared)
     roots = components(pairs.select("a", "b"))
     # A node's root is its component's smallest fingerprint; the id is the smallest document's.
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
@@ -209,27 +187,6 @@ def near_duplicates(
     return prints.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id", "group_size")
 
 
-def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, size: int, compared: int) -> DataFrame:
-    """The pairs of fingerprints whose documents are as similar as asked.
-
-    One document stands for a fingerprint, that with the smallest id; only those of linked
-    fingerprints are read again."""
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    stand = materialize(nodes.join(ends, "fp", "left_semi").where("rep IS NOT NULL"), "linked")
-    if stand.count() <= SMALL:
-        stand = F.broadcast(stand)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(stand, F.col("doc_id") == F.col("rep"))
-    one = sketches(texts, compared, size).groupBy("fp").agg(F.min(F.struct("n_distinct", "sketch")).alias("s"))
-    one = materialize(one, "sketches")
-    a, b = (one.select(F.col("fp").alias(k), F.col("s").alias("s" + k)) for k in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    la, lb = F.col("sa.n_distinct"), F.col("sb.n_distinct")
-    union = F.slice(F.array_sort(F.array_union("sa.sketch", "sb.sketch")), 1, size)
-    shared = F.size(F.array_intersect(union, F.array_intersect("sa.sketch", "sb.sketch")))
-    near = shared >= similarity * F.greatest(F.size(union), F.lit(1))
-    return both.where((F.least(la, lb) >= similarity * F.greatest(la, lb)) & near).select("a", "b")
-
-
 def keep_one(docs: DataFrame, similarity: float = 0.8, compared: int = 5) -> DataFrame:
     """``docs`` with one document, that with the smallest id, of each group of near duplicates:
     texts whose sets of shingles of ``compared`` words have at least the Jaccard ``similarity``, all

@@ -44,3 +44,14 @@ def test_every_pair_at_the_threshold_is_found(spark):
     kept = {r.doc_id for r in op01_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = groups(rows)
     assert kept == set(want.values()) and not {205, 9728} & kept
+
+
+def test_long_texts_are_decided_on_whole_sets(spark):
+    # n shingles, of which a change of the last k words leaves n - k: Jaccard (n - k) / (n + k), just around 0.8
+    rows = []
+    for i in range(40):
+        n, k = 900, 100 + (i % 2)
+        words = [f"w{i}x{j}" for j in range(n + 4)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-k] + [f"y{i}x{j}" for j in range(k)]))]
+    kept = {r.doc_id for r in op01_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {2 * i for i in range(40)} | {2 * i + 1 for i in range(1, 40, 2)}
