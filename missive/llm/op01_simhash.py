@@ -65,13 +65,13 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, once: bool = False) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a long); with ``once``, repeated shingles count once."""
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """``doc_id, fp`` (the 64 bits as a long)."""
 
     def run(batches):
         for batch in slices(batches):
             hashes = (shingle_hashes(x.as_py(), shingle) for x in batch.column(1))
-            prints = [majority(np.unique(h) if once else h) for h in hashes]
+            prints = [majority(h) for h in hashes]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from missive.llm import op01_simhash
+from missive.llm import op01_shingles, op01_simhash
 
 SF = "/root/testdata/sf0.1/documents.parquet"
 
@@ -55,3 +56,21 @@ def test_long_texts_are_decided_on_whole_sets(spark):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-k] + [f"y{i}x{j}" for j in range(k)]))]
     kept = {r.doc_id for r in op01_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {2 * i for i in range(40)} | {2 * i + 1 for i in range(1, 40, 2)}
+
+
+def test_order_and_repeats_count(spark):
+    rng = random.Random(3)
+    table = [f"cell{i}" for i in range(120)]
+    rows = [(1, "a b"), (2, "b a"), (3, "no no no"), (4, "no"), (5, " ".join(table)), (6, " ".join(rng.sample(table, 120)))]
+    source = [f"s{i}" for i in range(200)]
+    for i in range(30):  # copies of one source, most of them not similar to each other
+        words = list(source)
+        for at in rng.sample(range(200), 1 + i % 6):
+            words[at] = f"e{i}x{at}"
+        rows.append((10 + i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = groups(rows)
+    assert all(want[i] == i for i in range(1, 7)) and len(set(want.values())) > 7
+    got = {r.doc_id: r.component_id for r in op01_shingles.near_copies(frame, cell_rows=2).collect()}
+    assert got == want
+    assert {r.doc_id for r in op01_simhash.keep_one(frame.where("doc_id < 7")).collect()} == set(range(1, 7))
