@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -109,19 +110,45 @@ def test_near_copies_leave_one_and_others_stay(docs):
 # 2
 
 
+def wrapped(text: str, width: int, gap: str = "\n") -> str:
+    return gap.join(textwrap.wrap(text, width))
+
+
 def test_licenses_equal_brute_force(spark, docs, empty):
+    full = op02_license.TEMPLATES
     rows = [(1, "Some text.\nReleased under the MIT License.\nMore"), (2, "licensed under CC  by-nc 4.0!"), (3, None), (4, ""), (5, "license"), (6, "\n\n"),
-            (7, op02_license.TEMPLATES["MIT"].replace(", ", ",\n", 3)), (8, op02_license.TEMPLATES["GPL-3.0"].replace("free", "open")), (9, LONG + "\nReleased under the MIT License."),
-            (10, "Released under\nthe MIT\n\nLicense."), (12, "Licensed under CC BY-SA")]
+            (7, full["MIT"].replace(", ", ",\n", 3)), (8, full["GPL-3.0"].replace("free", "open")), (9, LONG + "\nReleased under the MIT License."),
+            (10, "Released under\nthe MIT\n\nLicense."), (12, "Licensed under CC BY-SA"), (13, "Copyright 2021 Jane Doe. Released under the MIT License. All of it, " + BASE),
+            (14, "of the " * 600 + full["ISC"] + " the software" * 300), (15, "license " * 700), (16, (full["ISC"] + " x y z ") * 30), (16, "Released under the MIT License."), (None, full["MPL-2.0"])]
+    rows += [(100 + i, wrapped(full[k], width, gap)) for i, (k, width, gap) in enumerate((k, w, g) for k in ("MIT", "Apache-2.0", "BSD-2-Clause", "GPL-3.0") for w in (30, 40, 72, 120) for g in ("\n", "\n\n", "\n# "))]
+    rng = random.Random(6)
+    for i in range(60):  # edited templates inside prose, around the threshold
+        words = full[rng.choice(sorted(full))].split()
+        for _ in range(rng.randint(0, 1 + len(words) // 4)):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+        rows.append((200 + i, " ".join([prose(rng.choice((0, 40, 600))), *words, prose(rng.randint(0, 40))])))
     got: dict = {}
-    for r in op02_license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        got.setdefault(r.doc_id, {})[r.license] = (r.dice, r.first_line, r.n_lines)
-    want = {d: op02_license.brute(t) for d, t in rows}
-    assert got == {d: w for d, w in want.items() if w}
-    assert "CC-BY-SA-4.0" in got[12] and {"MIT-notice"} == set(got[9]) == set(got[10]) and "MIT" in got[7]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "words": F.lit(2)})
+    for r in op02_license.scan(frame).collect():
+        got.setdefault(r.doc_id, []).append((r.license, (r.dice, r.first_word, r.n_words)))
+    want: dict = {}
+    for d, t in rows:
+        want.setdefault(d, []).extend(op02_license.brute(t).items())
+    assert {d: bag(x) for d, x in got.items()} == {d: bag(x) for d, x in want.items() if x}
+    has = lambda d: {k for k, _ in got[d]}
+    assert "CC-BY-SA-4.0" in has(12) and {"MIT-notice"} == has(9) == has(10) == has(13) and "MIT" in has(7) and "ISC" in has(14) and "MPL-2.0" in has(None)
+    assert all(k in has(100 + 12 * i + j) for i, k in enumerate(("MIT", "Apache-2.0", "BSD-2-Clause", "GPL-3.0")) for j in range(12))
     assert op02_license.scan(docs).count() == 0 and op02_license.scan(empty).count() == 0
 
 
+def test_cue_words_lose_no_window():
+    for least in (0.5, 0.8, 0.95):
+        cues = set(op02_license.cue_words(op02_license.TEMPLATES, least))
+        for t in op02_license.TEMPLATES.values():
+            pairs = op02_license.bigrams_of(t)
+            assert sum(not cues & set(p.split()) for p in pairs) < op02_license.needed(len(pairs), least)
+
+
 # 3
 
 
