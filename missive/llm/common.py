@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,17 +22,25 @@ def ascii_lower(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in tests, is a folder of this machine made and set.
-    """
+    Where that is unset a session of this machine alone, as in tests, gets a folder of its own; on
+    a cluster it is an error, as executors would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="missive-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: Folders made here that may still be read, by session.
+_MADE: dict[str, set[str]] = {}
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/missive/{uuid.uuid4().hex}/{tag}"
+    path = f"{shared_folder(spark)}/missive/{uuid.uuid4().hex}/{tag}"
+    _MADE.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -39,7 +48,70 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     that survives lost executors, and a result that is never computed twice."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._missive_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _MADE.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` gave and that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._missive_path)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete all that the operators wrote to the shared folder in this session.  For the caller,
+    when their results have been read: these are DataFrames over such tables."""
+    for path in sorted(_MADE.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
+
+
+#: Rows of a table that ``join_groups`` sends to all executors at most.
+SMALL_GROUPS = 200_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str = "n", how: str = "left") -> DataFrame:
+    """``rows`` and the columns of ``groups``, which has one row for each ``key`` and in ``size`` (dropped) how
+    many of ``rows`` have it.  ``groups`` is read twice, so it should be a written table.
+
+    Up to ``SMALL_GROUPS`` groups are sent to all executors.  Of more, those are that hold more than
+    one row in ``SMALL_GROUPS``, of which there are fewer than that; no key of the others is large."""
+    total = groups.agg(F.count("*").alias("k"), F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()
+    if total["k"] <= SMALL_GROUPS:
+        return rows.join(F.broadcast(groups.drop(size)), key, how)
+    least = total["n"] // SMALL_GROUPS
+    hot, rest = groups.where(F.col(size) > least).drop(size), groups.where(F.col(size) <= least).drop(size)
+    many = rows.join(F.broadcast(hot), key)
+    few = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how)
+    return many.unionByName(few)
+
+
+#: Bits of a bitmap, and of the place in a word.
+MAP_BITS, WORD_BITS = 26, 6
+
+
+def bitmap(keys: DataFrame, key: Column, tag: str) -> DataFrame:
+    """A set of keys as ``word, bits``: bit ``b`` of word ``w`` is on if some key's hash is ``64 w + b``.  However
+    many keys there are, it has a million rows at most, so it can be sent to all executors."""
+    at = keys.select(F.pmod(F.xxhash64(key), F.lit(1 << MAP_BITS)).alias("at"))
+    bit = F.expr(f"shiftleft(1L, cast(at % {1 << WORD_BITS} as int))")
+    return materialize(at.groupBy(F.shiftright("at", WORD_BITS).alias("word")).agg(F.bit_or(bit).alias("bits")), tag)
+
+
+def with_marks(rows: DataFrame, words: DataFrame, key: Column, name: str) -> DataFrame:
+    """``rows`` and the boolean ``name``: false where the key is not in the set that ``bitmap`` took; true
+    where it is, and for a share of the others that grows with the set."""
+    w = words.select(F.col("word").alias("_mx_word"), F.col("bits").alias("_mx_bits"))
+    rows = rows.withColumn("_mx_at", F.pmod(F.xxhash64(key), F.lit(1 << MAP_BITS)))
+    rows = rows.join(F.broadcast(w), F.shiftright("_mx_at", WORD_BITS) == F.col("_mx_word"), "left")
+    on = F.getbit("_mx_bits", F.pmod("_mx_at", F.lit(1 << WORD_BITS)).cast("int")) == 1
+    return rows.withColumn(name, F.coalesce(on, F.lit(False))).drop("_mx_at", "_mx_word", "_mx_bits")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
