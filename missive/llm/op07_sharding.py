@@ -1,11 +1,12 @@
 """K-d tree sharding: shards of near equal bytes, cut along document metadata.
 
-The documents are points whose coordinates are metadata, scaled to 24 bits (numbers between
-their extremes, text by hash, null as 0).  A node that stands for ``k`` shards is split along
-its widest coordinate at the weighted quantile ``(k // 2) / k`` of the bytes, until every leaf
-is one shard.  Ties are ordered by the hash of the text and then of the id, so that a hot
-source can be cut anywhere, and equal texts with equal metadata stay together unless a cut
-must go through their group.
+A group of equal texts is one point, as heavy as all its documents; it lies where the metadata of
+its smallest id are and goes to one shard.  Only a group that outweighs a shard, of which there are
+fewer than shards, is cut: its documents are points of their own, in the same place.  Coordinates are
+metadata, scaled to 24 bits (numbers between their extremes, text by hash, null as 0).  A node
+that stands for ``k`` shards is split along its widest coordinate at the weighted quantile
+``(k // 2) / k`` of the bytes, until every leaf is one shard.  Ties are ordered by the hash of the
+text, and in a group that is cut by that of the row, so that a hot source can be cut anywhere.
 
 The quantiles are found without sorting: all nodes of a level at once sum their bytes in 4,096
 buckets of the key, the bucket that holds the quantile is divided again, and so on until it
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from missive.llm.common import materialize
+from missive.llm.common import discard, join_groups, materialize
 
 COORD_BITS, TIE_BITS, STEP = 24, 36, 12
 TOP = (1 << COORD_BITS) - 1
@@ -52,12 +53,11 @@ class Level:
         return [sum(sizes[:i]) for i in range(len(sizes))]
 
 
-def points(docs: DataFrame, dims: tuple[str, ...]) -> DataFrame:
-    """``doc_id, size, text_crc32, tie, row`` and a coordinate ``c<i>`` for each of ``dims``."""
+def metadata(docs: DataFrame, dims: tuple[str, ...]) -> DataFrame:
+    """``doc_id, size, text_crc32, grp`` (equal for equal texts), ``row`` and a raw coordinate ``r<i>`` for each of ``dims``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + 16
     kinds = {f.name: f.dataType for f in docs.schema.fields}
-    ties = F.shiftleft(F.pmod(F.xxhash64(text), F.lit(1 << 18)), 18).bitwiseOR(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 18)))
     raw = []
     for i, d in enumerate(dims):
         if d == "size":
@@ -71,19 +71,37 @@ def points(docs: DataFrame, dims: tuple[str, ...]) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         size.alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        ties.alias("tie"),
+        F.unhex(F.md5(text.cast("binary"))).alias("grp"),
         F.monotonically_increasing_id().alias("row"),
         *raw,
     )
-    rows = materialize(rows, "metadata")
-    ends = rows.agg(*(f(f"r{i}").alias(f"{k}{i}") for i in range(len(dims)) for k, f in (("a", F.min), ("b", F.max)))).first()
+    return materialize(rows, "metadata")
+
+
+def points(rows: DataFrame, shards: int, dims: int) -> DataFrame:
+    """``size`` (the weight), ``tie``, ``c<i>``, and either ``grp, n`` of a group with its number of rows, or ``row`` of
+    a row whose group outweighs a shard; ``grp`` is null for these."""
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("k"), "row", *(f"r{i}" for i in range(dims)))
+    groups = rows.groupBy("grp").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min(place).alias("at"))
+    groups = materialize(groups.select("grp", "size", "n", *(F.col(f"at.r{i}").alias(f"r{i}") for i in range(dims))), "groups")
+    ends = groups.agg(F.sum("size").alias("w"), *(f(f"r{i}").alias(f"{k}{i}") for i in range(dims) for k, f in (("a", F.min), ("b", F.max)))).first()
     scaled = []
-    for i in range(len(dims)):
+    for i in range(dims):
         low, high = ends[f"a{i}"] or 0.0, ends[f"b{i}"] or 0.0
-        span = high - low or 1.0
-        unit = (F.col(f"r{i}") - F.lit(low)) / F.lit(span) * TOP
+        unit = (F.col(f"r{i}") - F.lit(low)) / F.lit(high - low or 1.0) * TOP
         scaled.append(F.coalesce(F.nanvl(unit, F.lit(0.0)), F.lit(0.0)).cast("long").alias(f"c{i}"))
-    return rows.select("doc_id", "size", "text_crc32", "tie", "row", *scaled)
+    half = TIE_BITS // 2
+    tie = lambda *of: F.pmod(F.xxhash64(*of), F.lit(1 << half))
+    whole = F.shiftleft(tie("grp"), half)
+    heavy = F.col("size") * shards > F.lit(ends["w"] or 0)
+    light = groups.where(~heavy).select("size", whole.bitwiseOR(tie("grp", F.lit(1))).alias("tie"), *scaled, "grp", "n", F.lit(None).cast("long").alias("row"))
+    cut = groups.where(heavy).select("grp", whole.alias("whole"), *scaled)  # fewer than shards
+    single = rows.select("grp", "size", "doc_id", "row").join(F.broadcast(cut), "grp")
+    single = single.select(
+        "size", F.col("whole").bitwiseOR(tie("doc_id", "row")).alias("tie"), *(f"c{i}" for i in range(dims)),
+        F.lit(None).cast("binary").alias("grp"), F.lit(1).cast("long").alias("n"), "row",
+    )
+    return light.unionByName(single)
 
 
 def _of(values: list[int]) -> Column:
@@ -134,7 +152,7 @@ def placed(rows: DataFrame, shards: int, dims: int, tolerance: float = 0.0005) -
     metadata, so that no plan holds more than one level.
 
     ``tolerance``: bytes by which a cut may miss, as a share of a shard's."""
-    rows = rows.withColumn("node", F.lit(0).cast("long"))
+    rows = materialize(rows.withColumn("node", F.lit(0).cast("long")), "points")
     now = [shards]
     while max(now) > 1:
         width = [(F.max(f"c{i}") - F.min(f"c{i}")).alias(f"x{i}") for i in range(dims)]
@@ -143,14 +161,25 @@ def placed(rows: DataFrame, shards: int, dims: int, tolerance: float = 0.0005) -
         level = Level(now, widest, [END] * len(now))
         _quantiles(rows, level, [found[n]["w"] if n in found else 0 for n in range(len(now))], dims, tolerance)
         now = [k for n in now for k in ((n // 2, n - n // 2) if n > 1 else (n,))]
-        rows = materialize(below(rows, level, dims), "boxes")
+        before, rows = rows, materialize(below(rows, level, dims), "boxes")
+        discard(before)
     return rows
 
 
-def shard(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("source", "lang", "size"), slot_rows: int = 2000) -> DataFrame:
+def shard(
+    docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("source", "lang", "size"), slot_rows: int = 2000, tolerance: float = 0.0005
+) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard``: a row for each row of ``docs``."""
-    rows = points(docs, dims)
-    rows = placed(rows, shards, len(dims)).withColumn("shard", F.col("node").cast("int"))
+    rows = metadata(docs, dims)
+    found = placed(points(rows, shards, len(dims)), shards, len(dims), tolerance)
+    found = materialize(found.select("grp", "row", "n", F.col("node").cast("int").alias("shard")), "placed")
+    names = ["doc_id", "size", "text_crc32", "row", "shard"]
+    whole = materialize(found.where("grp IS NOT NULL").select("grp", "n", "shard"), "whole")
+    single = found.where("grp IS NULL").select("row", F.col("shard").alias("own"))
+    # A row's shard is its group's, or, where the group was cut, its own.
+    rows = join_groups(rows, whole, "grp")
+    several = rows.where("shard IS NULL").drop("shard").join(single, "row").withColumnRenamed("own", "shard")
+    rows = materialize(rows.where("shard IS NOT NULL").select(*names).unionByName(several.select(*names)), "sharded")
     groups = max(1, -(-rows.count() // (shards * slot_rows)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(groups)).cast("int"))
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
