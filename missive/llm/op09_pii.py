@@ -13,7 +13,12 @@ candidates and features come from the same expressions; the fitted trees are ``C
 expressions.  Places are code points.
 
 Patterns are written so that they need no backtracking over long runs.  A match is found by
-marking matches in the text and summing lengths, so ``\\x01`` in a text is read as ``\\x02``.
+marking matches in the text and summing lengths, so ``\\x01`` in a text is read as ``\\x02``.  Every
+step over a text's matches goes through them once, in order of place, in blocks (``walk``), so
+that a text with very many of them costs in proportion to their number.
+
+Secrets (quoted values after words such as ``token`` or ``api key``) are listed apart, as they are none of
+the four kinds.
 
 Edge cases: a null text is empty and has no spans; repeated rows and ids are rows of their
 own; an empty table gives an empty result; other columns are ignored.
@@ -48,7 +53,12 @@ MORE = (
     ("phone", r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{2,5}\)[\x20-]?)?[0-9]{2,5}(?:[\x20./-][0-9]{2,4}){1,4}(?![0-9A-Za-z])", r"[0-9][\x20./-][0-9]"),
     ("phone", r"(?<![0-9A-Za-z+.-])00[1-9][0-9\x20-]{7,14}[0-9](?![0-9A-Za-z])", r"00[1-9]"),
 )
-SPAN = "array<struct<start:int,end:int,s:string>>"
+#: A value after the name of a secret and a sign, without the quotes around it.
+SECRET = r"(?i)(?<=(?:token|secret|password|passwd|apikey|api_key|api-key|api key|access key|access_key|private key)[\x20]{0,2}[=:][\x20]{0,2}['\"]?)[A-Za-z0-9+/=_.~-]{16,256}+"
+SECRET_HINT = r"(?i)(?:token|secret|password|passwd|key)[\x20]{0,2}[=:]"
+SPAN = "array<struct<start:int,end:int,s:string,left:string,right:string>>"
+#: Characters kept of what stands before and after a match, and items and characters that ``walk`` and ``redact`` take at a time.
+LEFT, RIGHT, BLOCK, SEGMENT = 32, 3, 256, 4096
 #: Made-up sentences for fitting, and how the trees are grown.
 EXAMPLES, ROUNDS, DEPTH, RATE, PRECISION = 1600, 24, 3, 0.3, 0.97
 WORDS = {
@@ -60,18 +70,49 @@ WORDS = {
 NUMBER = r"(order|invoice|isbn|\bref|version|serial|part no|article|page|pages|\bid\b|score|year|lot|vol|from|between|date|on the)[^a-z]{0,4}$"
 
 
+def walk(items: Column, state: Column, out_type: str, step) -> Column:
+    """Go through an array once: ``step(state, item)`` gives the next state and an array of what is put
+    out.  Gives ``state``, the last one, and ``out``, all that was put out.
+
+    An array that grows by one costs its length each time, so items are taken in blocks, each
+    with an array of its own, and these are laid end to end at the last."""
+    none = F.array().cast(f"array<{out_type}>")
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / F.lit(BLOCK)).cast("int")),
+        lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)),
+    )
+
+    def item(acc: Column, x: Column) -> Column:
+        new, put = step(acc["state"], x)
+        return F.struct(new.alias("state"), F.when(F.size(put) > 0, F.concat(acc["out"], put)).otherwise(acc["out"]).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        got = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), item)
+        return F.aggregate(F.array(got), acc, lambda a, g: F.struct(g["state"].alias("state"), F.concat(a["out"], F.array(g["out"])).alias("out")))
+
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{out_type}>>").alias("out"))
+    return F.aggregate(blocks, start, block, lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["out"]).alias("out")))
+
+
 def spans(text: Column, pattern: str, hint: str) -> Column:
-    """The leftmost non-overlapping matches as ``SPAN``."""
+    """The leftmost non-overlapping matches as ``SPAN``, with what stands before (up to ``LEFT``
+    characters) and after (up to ``RIGHT``, none if another match follows at once)."""
     parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(SPAN).alias("out"))
+    none = F.array().cast(SPAN)
+    open_span = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("s"), F.lit("").alias("left"), F.lit("").alias("right"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.lit("").alias("before"), F.lit(False).alias("any"), open_span.alias("open"))
 
-    def step(acc: Column, part: Column) -> Column:
+    def step(acc: Column, part: Column) -> tuple[Column, Column]:
         end = acc["at"] + F.length(part)
-        found = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("s"))
-        out = F.when(acc["hit"], F.concat(acc["out"], F.array(found))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), out.alias("out"))
+        found = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("s"), acc["before"].alias("left"), F.lit("").alias("right"))
+        before = F.right(F.concat(acc["before"], part), F.lit(LEFT))
+        last = acc["open"]
+        whole = F.struct(*(last[c].alias(c) for c in ("start", "end", "s", "left")), F.left(part, F.lit(RIGHT)).alias("right"))
+        put = F.when(acc["any"] & ~acc["hit"], F.array(whole)).otherwise(none)
+        new = F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), before.alias("before"), acc["hit"].alias("any"), F.when(acc["hit"], found).otherwise(last).alias("open"))
+        return new, put
 
-    return F.when(text.rlike(hint), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(hint), walk(parts, start, SPAN[6:-1], step)["out"]).otherwise(none)
 
 
 def digits(s: Column) -> Column:
@@ -116,11 +157,10 @@ def with_base(rows: DataFrame) -> DataFrame:
 FEATURES = ("kind", "digits", "letters", "marks", "luhn", "varied", "named", "numbered", "glued_left", "glued_right", "brackets", "groups", "mixed", "year")
 
 
-def described(kind: int, text: Column, x: Column) -> Column:
+def described(kind: int, x: Column) -> Column:
     """A candidate with its features."""
     s, number = x["s"], digits(x["s"])
-    left = F.lower(F.substr(text, F.greatest(x["start"] - 31, F.lit(1)), F.least(x["start"], F.lit(32))))
-    right = F.substr(text, x["end"] + 1, F.lit(3))
+    left, right = F.lower(x["left"]), x["right"]
     n_digits, n_letters = F.length(number), F.length(F.regexp_replace(s, "[^A-Za-z]", ""))
     flag = lambda c: c.cast("double")
     values = {
@@ -147,16 +187,71 @@ def described(kind: int, text: Column, x: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     def proposed(kind: int, pattern: str, hint: str) -> Column:
-        return F.transform(spans(text, pattern, hint), lambda x: described(kind, text, x))
+        return F.transform(spans(text, pattern, hint), lambda x: described(kind, x))
 
     return F.concat(*(proposed(KINDS.index(k), p, h) for k, p, h in MORE))
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+PROPOSED = "struct<start:int,end:int,kind:int,p:double>"
+
+
+def free_of(base: Column, proposed: Column) -> Column:
+    """``proposed`` (``PROPOSED``) that overlap none of ``base`` (``start, end``), in order of their ends.
+
+    Both go by in one order: ends of proposals, and starts of base spans after ends at the same
+    place.  The largest end of the base spans that started before a proposal ended tells."""
+    blank = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("kind"), F.lit(0.0).alias("p"))
+    ends = F.transform(proposed, lambda c: F.struct(c["end"].alias("at"), F.lit(0).alias("what"), F.lit(0).alias("reach"), c.cast(PROPOSED).alias("c")))
+    starts = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("what"), b["end"].alias("reach"), blank.cast(PROPOSED).alias("c")))
+
+    def step(reach: Column, x: Column) -> tuple[Column, Column]:
+        free = (x["what"] == 0) & (reach <= x["c"]["start"])
+        return F.greatest(reach, x["reach"]), F.when(free, F.array(x["c"])).otherwise(F.array().cast(f"array<{PROPOSED}>"))
 
+    found = walk(F.array_sort(F.concat(ends, starts)), F.lit(0), PROPOSED, step)["out"]
+    return F.when(F.size(proposed) > 0, found).otherwise(F.array().cast(f"array<{PROPOSED}>"))
 
-def examples(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, int, int, int]]:
+
+def best_of(proposed: Column) -> Column:
+    """Of each run of proposals that overlap one after the other the most probable, of equals the longest,
+    then the first.  Sorted by place, a run ends where a proposal begins past all ends before it."""
+    none = F.array().cast(f"array<{PROPOSED}>")
+    blank = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(0).alias("kind"), F.lit(-1.0).alias("p")).cast(PROPOSED)
+    rank = lambda c: F.struct(c["p"], c["end"] - c["start"], -c["start"], -c["kind"])
+
+    def step(acc: Column, c: Column) -> tuple[Column, Column]:
+        new = c["start"] >= acc["reach"]
+        better = new | (rank(c) > rank(acc["best"]))
+        state = F.struct(F.greatest(acc["reach"], c["end"]).alias("reach"), F.when(better, c).otherwise(acc["best"]).cast(PROPOSED).alias("best"))
+        return state, F.when(new & (acc["best"]["end"] >= 0), F.array(acc["best"])).otherwise(none)
+
+    # Nothing overlaps the last item, which closes the last run.
+    last = F.struct(F.lit(2**31 - 2).alias("start"), F.lit(2**31 - 1).alias("end"), F.lit(0).alias("kind"), F.lit(0.0).alias("p")).cast(PROPOSED)
+    items = F.concat(F.array_sort(proposed), F.array(last))
+    start = F.struct(F.lit(0).alias("reach"), blank.alias("best"))
+    return F.when(F.size(proposed) > 0, walk(items, start, PROPOSED, step)["out"]).otherwise(none)
+
+
+#: What candidates look like: ``~`` a word, ``#`` a digit, ``N`` one but 0, ``x`` a hexadecimal digit.
+GOOD = [
+    ("email", "~.~ (at) ~.com"), ("email", "~ [at] ~ [dot] org"), ("email", "~## at ~ dot com"), ("email", "~{at}~.net"),
+    ("ip", "2001:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx"), ("ip", "N#[.]N#[.]N[.]N#"), ("ip", "1##(.)N#(.)N(.)N"),
+    ("card", "4###.####.####.####"), ("card", "5###/####/####/####"), ("card", "4### - #### - #### - ####"), ("card", "3### ###### #####"),
+    ("phone", "(N##) ###-####"), ("phone", "N##-###-####"), ("phone", "N##.###.####"), ("phone", "0N# ### ####"), ("phone", "00N# ## ### ####"), ("phone", "0N##/######"),
+]
+BAD = [
+    "~ at ~.~", "~ at ~ dot ~", "N#:##:##:##:##:##", "N###.####.####.####", "N### #### #### ####", "20## - 20##", "19##-20##", "N## ### ###", "N#.##.20##",
+    "20##-##-##", "N##-N##", "N#/##", "N## ###", "N.##.###", "##-##-##-##-##", "N# ## ## ##", "978-N##-######-#", "N###-####", "3### ###### #####",
+]
+#: Of these no example is fitted: precision and recall are measured on them.
+HELD_GOOD = [
+    ("email", "~_~ [at] ~.io"), ("email", "~-~(at)~.co"), ("ip", "fe80:xxx:xxxx:xxx:xxxx:xxx:xxxx:xxxx"), ("ip", "N#(.)1##(.)N#(.)N#"), ("card", "6###_####_####_####"), ("card", "4###.####.####.####"),
+    ("phone", "(0N#) ####-###"), ("phone", "N##/###/####"), ("phone", "00N# ### ### ###"),
+]
+HELD_BAD = ["N#.N#.20## N#:##", "20##/##/##", "N### N### N###", "N##.N##", "1##/20##", "##-####-##", "N#-N#-N#", "~ at ~ ##.##", "20## 20## 20##"]
+
+
+def examples(n: int = EXAMPLES, seed: int = 11, good=GOOD, bad=BAD) -> list[tuple[str, int, int, int]]:
     """Sentences with one candidate each: text, the place of what was put in, and whether it
     is personal data."""
     rng = random.Random(seed)
@@ -171,16 +266,6 @@ def examples(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, int, int, int
                 return trial
         return out
 
-    good = [
-        ("email", "~.~ (at) ~.com"), ("email", "~ [at] ~ [dot] org"), ("email", "~## at ~ dot com"), ("email", "~{at}~.net"),
-        ("ip", "2001:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx"), ("ip", "N#[.]N#[.]N[.]N#"), ("ip", "1##(.)N#(.)N(.)N"),
-        ("card", "4###.####.####.####"), ("card", "5###/####/####/####"), ("card", "4### - #### - #### - ####"), ("card", "3### ###### #####"),
-        ("phone", "(N##) ###-####"), ("phone", "N##-###-####"), ("phone", "N##.###.####"), ("phone", "0N# ### ####"), ("phone", "00N# ## ### ####"), ("phone", "0N## / ######".replace(" / ", "/")),
-    ]
-    bad = [
-        "~ at ~.~", "~ at ~ dot ~", "N#:##:##:##:##:##", "N###.####.####.####", "N### #### #### ####", "20## - 20##", "19##-20##", "N## ### ###", "N#.##.20##",
-        "20##-##-##", "N##-N##", "N#/##", "N## ###", "N.##.###", "##-##-##-##-##", "N# ## ## ##", "978-N-##-######-#", "N###-####", "3### ###### #####",
-    ]
     cue = {"email": ("mail me at", "contact:", "write to", ""), "ip": ("server", "host address", "ip:", ""), "card": ("my card", "pay with visa", "credit card no", ""), "phone": ("call", "phone:", "tel.", "my mobile is", "")}
     plain = ("order", "invoice", "isbn", "version", "pages", "score", "", "", "part no", "between", "on the")
     out = []
@@ -290,32 +375,45 @@ def find(docs: DataFrame) -> DataFrame:
         return F.transform(KINDS[i], lambda x: as_span(F.lit(i), x, True))
 
     base = F.concat(*map(of_kind, range(len(KINDS))))
-    rows = rows.select("doc_id", "text", base.alias("base"))
-    rows = rows.withColumn("proposed", candidates(F.col("text")))
-    free = F.filter("proposed", lambda c: ~F.exists("base", lambda b: overlaps(b, c)))
-    rows = rows.withColumn("proposed", F.transform(free, lambda c: F.struct(c["kind"], c["start"], c["end"], scored(trees, curve, c["f"]).alias("p"))))
+    rows = rows.select("doc_id", "text", base.alias("base"), candidates(F.col("text")).alias("proposed"))
     limit = F.array(*map(F.lit, least))
-    rows = rows.withColumn("proposed", F.filter("proposed", lambda c: c["p"] >= limit[c["kind"]]))
-    rank = lambda c: F.struct(-c["p"], c["start"] - c["end"], c["start"], c["kind"])
-    best = F.filter("proposed", lambda c: ~F.exists("proposed", lambda o: overlaps(o, c) & (rank(o) < rank(c))))
-    added = F.transform(best, lambda c: as_span(c["kind"], c, False))
-    return rows.select("doc_id", "text", F.array_sort(F.array_distinct(F.concat("base", added))).alias("spans"))
+    scores = F.transform("proposed", lambda c: F.struct(c["start"], c["end"], c["kind"], scored(trees, curve, c["f"]).alias("p")).cast(PROPOSED))
+    rows = rows.withColumn("proposed", F.filter(scores, lambda c: c["p"] >= F.get(limit, c["kind"])))
+    rows = rows.withColumn("proposed", free_of(F.col("base"), F.col("proposed")))
+    added = F.transform(best_of(F.col("proposed")), lambda c: as_span(c["kind"], c, False))
+    return rows.select("doc_id", "text", F.array_sort(F.concat("base", added)).alias("spans"), secrets(F.col("text")).alias("secrets"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """``doc_id, text``, each span replaced by its kind in angle brackets."""
-    names = F.array(*map(F.lit, KINDS))
+def secrets(text: Column) -> Column:
+    """Quoted values of at least 16 characters after a word that names a secret."""
+    return F.filter(spans(text, SECRET, SECRET_HINT), lambda x: x["s"].rlike("[0-9]"))
 
-    def step(acc: Column, x: Column) -> Column:
+
+def redact(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, each span replaced by its kind in angle brackets, and secrets by ``<secret>``.
+    Of spans that overlap the first is replaced."""
+    names = F.array(*map(F.lit, (*KINDS, "secret")))
+    hidden = F.transform("secrets", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(len(KINDS)).alias("kind")))
+    by_place = F.array_sort(F.concat(F.transform("spans", lambda x: F.struct(x["start"], x["end"], x["kind"])), hidden))
+
+    def between(parts: Column, start: Column, n: Column) -> Column:
+        """``n`` characters of the text from ``start``, read from its segments."""
+        first = F.floor(start / F.lit(SEGMENT)).cast("int")
+        some = F.slice(parts, first + 1, F.floor((start + n) / F.lit(SEGMENT)).cast("int") - first + 1)
+        return F.substr(F.array_join(some, ""), start - first * SEGMENT + 1, n)
+
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
         skip = x["start"] < acc["at"]
-        kept = F.substr(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
-        out = F.concat(acc["out"], kept, F.lit("<"), names[x["kind"]], F.lit(">"))
-        return F.when(skip, acc).otherwise(F.struct(x["end"].alias("at"), out.alias("out")))
+        put = F.array(between(acc["parts"], acc["at"], x["start"] - acc["at"]), F.concat(F.lit("<"), F.get(names, x["kind"]), F.lit(">")))
+        state = F.struct(F.greatest(acc["at"], F.when(skip, acc["at"]).otherwise(x["end"])).alias("at"), acc["parts"].alias("parts"))
+        return state, F.when(skip, F.array().cast("array<string>")).otherwise(put)
 
-    by_place = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"], x["end"], x["kind"])))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text")))
-    return find(docs).select("doc_id", F.aggregate(by_place, start, step, rest).alias("text"))
+    last = F.floor(F.length("text") / F.lit(SEGMENT)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.substr(F.col("text"), k * SEGMENT + 1, F.lit(SEGMENT)))
+    rows = find(docs).withColumn("done", walk(by_place, F.struct(F.lit(0).alias("at"), parts.alias("parts")), "string", step))
+    at = F.col("done.state.at")
+    whole = F.concat(F.array_join("done.out", ""), between(F.col("done.state.parts"), at, F.length("text") - at))
+    return rows.select("doc_id", F.when(F.size("spans") + F.size("secrets") > 0, whole).otherwise(F.col("text")).alias("text"))
 
 
 def listed(spans_of: Column) -> Column:
@@ -324,11 +422,13 @@ def listed(spans_of: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """``doc_id``, base spans counted by kind and hashed, and all spans."""
-    rows = find(docs).select("doc_id", "spans", F.filter("spans", lambda x: x["base"]).alias("base"))
+    """``doc_id``, base spans counted by kind and hashed, all spans, and how many these and secrets are."""
+    rows = find(docs).select("doc_id", "spans", "secrets", F.filter("spans", lambda x: x["base"]).alias("base"))
 
     def counted(i: int) -> Column:
         return F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
 
     counts = list(map(counted, range(len(KINDS))))
-    return rows.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    hidden = F.array_join(F.transform("secrets", lambda x: F.concat_ws(":", F.lit("secret"), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    total = (F.size("spans") + F.size("secrets")).cast("long")
+    return rows.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), hidden.alias("secrets"), total.alias("n_found"))
