@@ -9,7 +9,8 @@ one count by one.  The vector is kept as a long in unary (count 0, 1, 2 as ``00
 the Manhattan distance is one ``bit_count`` of an XOR.  The grid: the vector's coordinates
 are cut into ``blocks`` runs; vectors within distance ``max_bits`` must agree exactly in all
 but ``max_bits`` of them, so every point is put into one unit cell for each choice of
-``blocks - max_bits`` runs and cells are equi-joined.  Pairs in a cell pass the Manhattan
+``blocks - max_bits`` runs and cells are equi-joined: in the chosen coordinates a cell is a
+range of width 0, in the others it is the whole axis.  Pairs in a cell pass the Manhattan
 bound, then the exact Hamming distance.  A link is reported by the first cell that both
 share, so once.
 
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import materialize, slices
+from missive.llm.common import discard, join_groups, materialize, slices
 
 SEED = 42
 #: Bits in the low place of each two-bit segment.
@@ -157,7 +158,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(now)
     while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = star(star(both, "large"), "small")
+        large = star(both, "large")
+        small = star(large, "small")
+        discard(now, large)
+        now = small
         after = mark(now)
         if after == before:
             break
@@ -174,17 +178,15 @@ def near_duplicates(
 ) -> DataFrame:
     """``doc_id, fp, component_id, group_size``: a row for each row of ``docs``."""
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     nodes = materialize(nodes, "nodes")
     pairs = links(nodes, max_bits, blocks, cell_rows)
     roots = components(pairs.select("a", "b"))
     # A node's root is its component's smallest fingerprint; the id is the smallest document's.
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    sizes = prints.groupBy("fp").agg(F.count("*").alias("n"))
-    named = named.join(sizes, "fp")
+    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
     whole = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("n").alias("group_size"))
-    named = named.join(whole, "root").select("fp", "component_id", "group_size")
-    return prints.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id", "group_size")
+    named = materialize(named.join(whole, "root").select("fp", "component_id", "group_size", "n"), "named")
+    return join_groups(prints.select("doc_id", "fp"), named, "fp").select("doc_id", "fp", "component_id", "group_size")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, compared: int = 5) -> DataFrame:

@@ -22,8 +22,8 @@ from array import array
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Units kept by a worker; beyond that the table starts anew.
-TABLE = 500_000
+#: Units kept by a table of a worker, of which ``byte_bpe`` fills two; beyond that a table starts anew.
+TABLE = {"word_bpe": 500_000, "byte_bpe": 250_000}
 #: Longer units are encoded but not kept.
 LONGEST = 64
 
@@ -51,6 +51,7 @@ class _Table(dict):
     """Unit to packed ids.  Two generations: what was used lately outlives a full table."""
 
     def __init__(self, tokenizer: Tokenizer, before: str, lower: bool, even: bool):
+        self.most = TABLE["word_bpe" if lower else "byte_bpe"]
         self.tokenizer, self.model, self.before, self.lower, self.even = tokenizer, tokenizer.model, before, lower, even
         self.mark = before.translate(_LETTERS)
         self.old: dict[str, bytes] = {}
@@ -86,7 +87,7 @@ class _Table(dict):
 
     def keep(self, unit: str, ids: bytes) -> None:
         if len(unit) <= LONGEST:
-            if len(self) >= TABLE:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[unit] = ids
