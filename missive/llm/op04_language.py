@@ -4,7 +4,8 @@ The network reads a window of bytes forwards and backwards, labels every positio
 distribution over languages, and a document's probabilities are the mean over all positions
 of all its windows, which cover its whole text.  It is trained in numpy by backpropagation
 through time, on windows of a bounded sample: about ``docs_per_lang`` labelled documents of
-each language, ``windows`` windows of ``span`` bytes each.  Everything else reads all rows.
+each language, ``windows`` windows of ``span`` bytes each, and of the ``languages`` languages with the most
+documents.  Everything else reads all rows.
 
 Documents whose ``crc32(doc_id as text) mod 5`` is 0 are held out of training.  Prediction uses
 the text alone.
@@ -197,25 +198,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, docs_per_lang: int, windows: int, span: int) -> list[tuple[bytes, str]]:
+def sample(docs: DataFrame, docs_per_lang: int, windows: int, span: int, languages: int) -> list[tuple[bytes, str]]:
     """Windows of about ``docs_per_lang`` training documents of each language, chosen by hash."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    share = most.select("lang", (F.least(F.lit(1.0), F.lit(float(docs_per_lang)) / F.col("count")) * (1 << 30)).cast("long").alias("share"))
+    rows = rows.join(F.broadcast(share), "lang")  # as many rows as languages
     mix = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, docs_per_lang / n) * (1 << 30))).otherwise(share)
     raw = F.col("text").cast("binary")
     size = F.octet_length("text")
     cut = [F.substr(raw, 1 + F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(size - span, F.lit(1))).cast("int"), F.lit(span)) for i in range(windows)]
-    found = rows.where(F.col("text").isNotNull() & (mix < share)).select("doc_id", "lang", F.array(*cut).alias("cut")).collect()
+    found = rows.where(F.col("text").isNotNull() & (mix < F.col("share"))).select("doc_id", "lang", F.array(*cut).alias("cut")).collect()
     found.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["cut"]))
     return [(bytes(w), r["lang"]) for r in found for w in r["cut"] if w]
 
 
-def fit(docs: DataFrame, docs_per_lang: int = 150, windows: int = 4, span: int = 128) -> Network | None:
-    return train(sample(docs, docs_per_lang, windows, span))
+def fit(docs: DataFrame, docs_per_lang: int = 150, windows: int = 4, span: int = 128, languages: int = 200) -> Network | None:
+    return train(sample(docs, docs_per_lang, windows, span, languages))
 
 
 def predictor(net: Network | None):
