@@ -2,8 +2,8 @@
 
 A document's ids with the end id are one piece, or, if longer than a sequence, full pieces
 after a first one that may be shorter.  Pieces are dealt at random into tasks of a set size;
-a task takes them in windows, each window's longest first, and puts a piece into the open bin
-with the least room that holds it.  Open bins are kept in a bitset over free room (a bit is on
+a task takes them as they come, with a lookahead of ``window`` pieces of which the longest goes
+first (1: strictly online), and puts a piece into the open bin with the least room that holds it.  Open bins are kept in a bitset over free room (a bit is on
 if some bin has exactly that room), so the best fit is the lowest bit at or above the length.
 When the set number of bins is open and another is needed, the fullest closes.
 
@@ -105,10 +105,12 @@ def pack(
 
     ``found`` is read twice, so it should be a written table."""
     tasks = max(1, -(-found.count() // task_pieces))
-    mix = F.xxhash64("doc_id", "piece", "ids_crc32")
-    # Sorted, so that a task that runs again packs the same way.
-    dealt = found.repartition(tasks, mix).sortWithinPartitions(mix, "doc_id", "piece", "start")
     names = found.columns
+    # Rows may be equal in all columns, so they are dealt by their place in the table too.  Sorted, so
+    # that a task that runs again packs the same way.
+    mix = F.xxhash64("doc_id", "piece", "ids_crc32", "_mx_tag")
+    dealt = found.withColumn("_mx_tag", F.monotonically_increasing_id())
+    dealt = dealt.repartition(tasks, mix).sortWithinPartitions(mix, "doc_id", "piece", "start").select(*names)
 
     def run(batches):
         bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
