@@ -7,15 +7,15 @@ least ``t = m - q + 1 - k q`` of the item's q-grams with it, and since each edit
 rest by at most one place, their diagonals (place in the document minus place in the item)
 span at most ``k``.  So hits are counted in bands of ``2 (k + 1)`` diagonals that overlap by
 half, each diagonal range of ``k`` lying whole in one; bands with fewer than ``t`` hits are
-dropped, and the others are verified by an alignment confined to the band.  ``k`` is lowered
-for short items until ``t`` is at least 1.
+dropped, and the others are verified by an alignment confined to the band.  Items too short
+for ``t`` to be 1 with ``q`` of 8 have a ``q`` of 4, with which it always is.
 
 Documents stay in their partitions: nothing of them is shuffled.  The benchmark is the stated
 query set; it goes to the executors in blocks of at most ``block_bytes``, one pass over the
 documents for each block, so its size has no limit and a broadcast has one.
 
 Edge cases: null and empty texts match nothing; items without letters and digits match
-nothing; items shorter than a q-gram match where they occur as whole words; repeated rows are
+nothing; items of fewer than 8 characters match where they occur as whole words; repeated rows are
 rows of their own; an empty table on either side gives an empty result.
 """
 
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from missive.llm.common import bounded_batches, materialize, slices
 
-Q = 8
+#: Widths of q-grams, and the length from which an item is searched by them.
+WIDE, NARROW, SHORT = 8, 4, 8
 _OTHER = re.compile(r"[\W_]+")
 _BASE = 0x9E3779B97F4A7C15
 #: Bits of the hash that index the first filter.
@@ -60,13 +61,13 @@ def codes_of(text: str) -> np.ndarray:
         return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def grams(text: str) -> np.ndarray:
-    """A hash of the q-gram at each place, by doubling its width three times."""
+def grams(text: str, q: int) -> np.ndarray:
+    """A hash of the q-gram at each place, by doubling its width; ``q`` is a power of two."""
     h = codes_of(text).astype(np.uint64)
-    if len(h) < Q:
+    if len(h) < q:
         return h[:0]
     width, base = 1, _BASE
-    while width < Q:
+    while width < q:
         h = h[:-width] * np.uint64(base) + h[width:]
         base = base * base % (1 << 64)
         base ^= base >> 31
@@ -74,8 +75,9 @@ def grams(text: str) -> np.ndarray:
     return h
 
 
-def budget(m: int, rate: float) -> int:
-    return min(int(rate * m), max(0, (m - Q) // Q))
+def width_of(m: int, rate: float) -> int:
+    """The width with which a match of an item of ``m`` characters shares at least one q-gram."""
+    return WIDE if m - WIDE + 1 - int(rate * m) * WIDE >= 1 else NARROW
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int] | None:
@@ -104,18 +106,19 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
 
 @dataclass
 class Index:
-    """The q-grams of a block of items, for a worker."""
+    """The q-grams of items of a block, for a worker."""
 
     ids: list[int]
     texts: list[str]
     rate: float
+    q: int
 
     def __post_init__(self):
         self.codes = list(map(codes_of, self.texts))
-        self.k = np.array([budget(len(t), self.rate) for t in self.texts], dtype=np.int64)
-        self.need = np.array([len(t) - Q + 1 for t in self.texts], dtype=np.int64) - self.k * Q
-        self.short = [i for i, t in enumerate(self.texts) if 0 < len(t) < Q]
-        each = [grams(t) for t in self.texts]
+        self.k = np.array([int(self.rate * len(t)) for t in self.texts], dtype=np.int64)
+        self.need = np.array([len(t) - self.q + 1 for t in self.texts], dtype=np.int64) - self.k * self.q
+        self.short = [i for i, t in enumerate(self.texts) if 0 < len(t) < SHORT]
+        each = [grams(t, self.q) if len(t) >= SHORT else grams("", self.q) for t in self.texts]
         hashes = np.concatenate(each) if each else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(each)), [len(e) for e in each])
         place = np.concatenate([np.arange(len(e)) for e in each]) if each else item
@@ -129,11 +132,11 @@ class Index:
         self.shared = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.shared[slots[1:][slots[1:] == slots[:-1]]] = True
         self.longest = max(map(len, self.texts), default=0)
-        self.least = int(self.need[self.need > 0].min()) if (self.need > 0).any() else 1
+        self.least = max(1, int(self.need.min())) if len(self.need) else 1
 
     def hits(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Places in the text whose q-gram is an item's, and the q-gram's number."""
-        h = grams(text)
+        h = grams(text, self.q)
         slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
         key = self.slot[slot]
         at = np.flatnonzero(key >= 0)
@@ -217,51 +220,68 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[int],
         yield ids, texts
 
 
-#: The worker's index, by the name of its block.
-_INDEXES: dict[str, Index] = {}
+#: The worker's indexes, by the name of its block.
+_INDEXES: dict[str, list[Index]] = {}
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_bytes: int = 4 << 20) -> DataFrame:
     """A row of ``SCHEMA`` for each document and item that occurs in it; ``start`` and ``end`` are
-    places in the normalised text."""
+    places in the normalised text.  ``rate`` is at most 0.125."""
+    return _found(docs, benchmark, rate, block_bytes)[0].drop("row")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, rate: float, block_bytes: int) -> tuple[DataFrame, list]:
+    """The matches with a hash of the text as ``row``, and what was broadcast for them."""
+    if not 0 <= rate <= 1 / WIDE:
+        raise ValueError(f"rate is from 0 to {1 / WIDE}")
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = spark.createDataFrame([], SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
+    found, sent = spark.createDataFrame([], SCHEMA + ", row long"), []
     for ids, texts in blocks(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast((ids, texts, rate))
-        part = rows.mapInArrow(_searcher(uuid.uuid4().hex, sent), SCHEMA)
-        found = found.unionByName(part)
-    return found
+        sent.append(spark.sparkContext.broadcast((ids, texts, rate)))
+        found = found.unionByName(rows.mapInArrow(_searcher(uuid.uuid4().hex, sent[-1]), SCHEMA + ", row long"))
+    return found, sent
+
+
+def indexes(ids: list[int], texts: list[str], rate: float) -> list[Index]:
+    """An index for the items of each width."""
+    width = [width_of(len(t), rate) for t in texts]
+    split = {q: [i for i, w in enumerate(width) if w == q] for q in (WIDE, NARROW)}
+    return [Index([ids[i] for i in at], [texts[i] for i in at], rate, q) for q, at in split.items() if at]
 
 
 def _searcher(name, sent):
     def run(batches):
         if name not in _INDEXES:
             _INDEXES.clear()
-            _INDEXES[name] = Index(*sent.value)
-        index = _INDEXES[name]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            _INDEXES[name] = indexes(*sent.value)
+        found_by = _INDEXES[name]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
         for batch in slices(batches):
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if text.is_valid:
-                    out += [(doc, index.ids[i], a, b, e) for i, a, b, e in index.matches(normalise(text.as_py()))]
-            columns = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "start", "end", "edits"])
+                    plain = normalise(text.as_py())
+                    out += [(doc, index.ids[i], a, b, e, row) for index in found_by for i, a, b, e in index.matches(plain)]
+            columns = zip(*out, strict=True) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "start", "end", "edits", "row"])
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **more) -> DataFrame:
-    """``docs`` without those in which an item occurs.  A row goes if its id and text match."""
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_bytes: int = 4 << 20) -> DataFrame:
+    """``docs`` without those in which an item occurs.  A row goes if its id and a hash of its text match."""
     columns = docs.columns
-    rows = docs.withColumn("_mx_row", F.xxhash64("doc_id", "text"))
-    hits = matches(rows.select(F.col("_mx_row").alias("doc_id"), "text"), benchmark, **more)
-    hits = materialize(hits.select(F.col("doc_id").alias("_mx_row")).distinct(), "contaminated")
-    if hits.count() <= 500_000:  # 8 bytes each
+    found, sent = _found(docs, benchmark, rate, block_bytes)
+    hits = materialize(found.select(F.col("doc_id").alias("_mx_id"), F.col("row").alias("_mx_hit")).distinct(), "contaminated")
+    for x in sent:
+        x.destroy()
+    if hits.count() <= 500_000:  # 16 bytes each
         hits = F.broadcast(hits)
-    return rows.join(hits, "_mx_row", "left_anti").select(*(f"`{c}`" for c in columns))
+    rows = docs.withColumns({"_mx_doc": F.col("doc_id").cast("long"), "_mx_row": F.xxhash64("text")})
+    same = rows["_mx_doc"].eqNullSafe(hits["_mx_id"]) & (rows["_mx_row"] == hits["_mx_hit"])
+    return rows.join(hits, same, "left_anti").select(*(f"`{c}`" for c in columns))
 
 
 def brute(text: str | None, item: str | None, rate: float = 0.1) -> int | None:
@@ -270,7 +290,7 @@ def brute(text: str | None, item: str | None, rate: float = 0.1) -> int | None:
     t, p = normalise(text), normalise(item)
     if not t or not p:
         return None
-    if len(p) < Q:
+    if len(p) < SHORT:
         return 0 if f" {p} " in f" {t} " else None
     row = [0] * (len(t) + 1)
     for j, letter in enumerate(p):
@@ -279,4 +299,4 @@ def brute(text: str | None, item: str | None, rate: float = 0.1) -> int | None:
             new.append(min(row[i] + (letter != other), row[i + 1] + 1, new[i] + 1))
         row = new
     best = min(row)
-    return best if best <= budget(len(p), rate) else None
+    return best if best <= int(rate * len(p)) else None

@@ -233,6 +233,31 @@ def test_gradients_are_those_of_the_loss():
         assert (up - down) / (2 * step) == pytest.approx(g[at], rel=1e-2)
 
 
+def test_network_equals_plain_loops():
+    net = op04_language.Network.fresh(["a", "b", "c"], np.random.default_rng(4))
+    text, n = "zwei Wörter, und mehr".encode(), op04_language.HIDDEN
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(way: int, raw: bytes) -> list:
+        h, out = [0.0] * n, []
+        for byte in raw:
+            again = [sum(float(net.loop[way][i][j]) * h[j] for j in range(n)) for i in range(3 * n)]
+            given = [float(net.table[way][i][byte]) for i in range(3 * n)]
+            reset = [logistic(given[i] + again[i]) for i in range(n)]
+            update = [logistic(given[n + i] + again[n + i]) for i in range(n)]
+            new = [np.tanh(given[2 * n + i] + reset[i] * again[2 * n + i]) for i in range(n)]
+            h = [update[i] * h[i] + (1 - update[i]) * new[i] for i in range(n)]
+            out.append(h)
+        return out
+
+    there, back = states(0, text), states(1, text[::-1])[::-1]
+    total = np.zeros(3)
+    for a, b in zip(there, back, strict=True):
+        logits = np.array([float(net.top[0][k] @ np.array(a)) + float(net.top[1][k] @ np.array(b)) + float(net.bias[k]) for k in range(3)])
+        total += np.exp(logits) / np.exp(logits).sum()
+    assert op04_language.pooled(net, [text])[0] == pytest.approx(total / len(text), abs=1e-5)
+
+
 @pytest.fixture(scope="module")
 def languages(spark):
     sounds = {"aa": "kamotaneru ", "bb": "zwischtreng "}
@@ -331,6 +356,51 @@ def test_cuts_and_bins():
     assert [bins.place(n)[0] for n in (6, 7, 3)] == [0, 1, 1]  # the fuller one was open last, the fullest closed first
 
 
+def test_equal_rows_are_packed_in_all_tasks(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    found = op06_packing.materialize(op06_packing.pieces(rows), "equal-pieces")
+    got = op06_packing.pack(found, task_pieces=1000).groupBy(F.shiftright("sequence_id", 40).alias("task")).count().collect()
+    assert len(got) == 3 and min(r["count"] for r in got) > 500
+
+
+def test_lookahead_needs_no_more_sequences_than_online(spark):
+    rng = random.Random(2)
+    rows = [(i, 0, 0, min(2048, int(rng.paretovariate(0.9) * 60)), i) for i in range(4000)]
+    found = op06_packing.materialize(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), "lengths-pieces")
+    used = {}
+    for window in (1, 4096):
+        got = op06_packing.pack(found, window=window).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+        assert sum(r.n for r in got) == sum(r[3] for r in rows) and max(r.n for r in got) <= 2048
+        used[window] = len(got)
+    assert used[4096] <= used[1] <= 1.02 * sum(r[3] for r in rows) / 2048 + 1, used
+
+
+def plain_best_fit(lengths: list[int], capacity: int, most: int) -> list[int]:
+    """The bin of each piece, by looking at all open bins."""
+    bins, made, out = [], 0, []
+    for n in lengths:
+        fits = [b for b in bins if b[0] >= n]
+        if fits:
+            best = min(fits, key=lambda b: (b[0], -b[2]))
+            bins.remove(best)
+        else:
+            best, made = (capacity, made, 0), made + 1
+        if best[0] > n:
+            if len(bins) >= most:
+                bins.remove(min(bins, key=lambda b: (b[0], -b[2])))
+            bins.append((best[0] - n, best[1], len(out) + 1))
+        out.append(best[1])
+    return out
+
+
+def test_bins_equal_a_plain_best_fit():
+    rng = random.Random(7)
+    for most in (1, 3, 50):
+        lengths = [rng.randint(1, 40) for _ in range(500)]
+        bins = op06_packing.OpenBins(40, most)
+        assert [bins.place(n)[0] for n in lengths] == plain_best_fit(lengths, 40, most)
+
+
 def test_sequences_are_the_token_ids(docs):
     some = docs.where("doc_id IN (1, 2, 5, 11, 15)")
     got = op06_packing.sequences(some).collect()
@@ -410,11 +480,11 @@ def test_shards_have_near_equal_bytes_with_a_hot_source(spark):
 def test_matches_equal_brute_force(spark, empty):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdehinorst") for _ in range(rng.randint(1, 9))) for _ in range(300)]
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 40)))) for i in range(12)] + [(50, None), (51, ""), (52, "?!"), (53, "Qx"), (54, "日本語 テキスト です ね 長い 文章")]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 40)))) for i in range(12)] + [(20 + m, "".join(rng.choice("abcdehin ") for _ in range(m)).strip() or "x") for m in (8, 9, 10, 12, 15, 20, 22, 23, 30, 31)] + [(50, None), (51, ""), (52, "?!"), (53, "Qx"), (54, "日本語 テキスト です ね 長い 文章")]
     texts = [(1, None), (2, ""), (3, "the qx."), (4, "日本語 テキスト です ね 長い 文章!"), (5, "of of of " * 300)]
     for d in range(10, 50):
         doc = [rng.choice(words) for _ in range(rng.randint(0, 90))]
-        p = list(rng.choice(items[:12])[1])
+        p = list(rng.choice(items[:22])[1])
         for _ in range(rng.randint(0, max(1, len(p) // 7))):
             at = rng.randrange(len(p))
             p[at : at + 1] = rng.choice([["x"], [], [p[at], "y"]])
