@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from missive.functions.normalise import without_surrogates
+
 #: Elements that go with what they hold, elements that never close, and the policy.
 REMOVED = {"script", "iframe", "frame", "object", "embed", "form", "link", "base"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "frame"}
@@ -51,7 +53,7 @@ def html_to_text(html: str) -> str:
     reader.feed(html)
     reader.close()
     lines = [re.sub(r"[^\S\n]+", " ", x).strip() for x in "\n".join(reader.nodes).split("\n")]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
+    return without_surrogates(re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n"))
 
 
 def _unsafe(name: str, value: str | None) -> bool:

@@ -11,11 +11,15 @@ import binascii
 import hashlib
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime, timedelta
 from email import message_from_bytes
+from email.errors import HeaderParseError
 from email.header import Header, decode_header
 from email.message import Message
-from email.utils import collapse_rfc2231_value, parsedate_to_datetime
+from email.utils import parsedate_to_datetime
+from itertools import count, takewhile
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from charset_normalizer import from_bytes
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from missive.functions.html import html_to_text
+from missive.functions.normalise import without_surrogates
 from missive.plans.filters import utc_text
 
 #: Names that senders use for character sets, and the order of guesses.
@@ -37,7 +42,7 @@ LENIENT = "iso2022_jp_ext"
 REPLACED = 0.05
 #: Names that Windows keeps for devices, and endings of programs.
 RESERVED = {"con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10))}
-PROGRAMS = {"exe", "com", "bat", "cmd", "js", "jse", "vbs", "vbe", "wsf", "wsh", "ps1", "msi", "scr", "pif", "lnk", "hta", "jar", "reg", "cpl"}
+PROGRAMS = {"exe", "scr", "js", "vbs", "lnk", "bat", "cmd", "ps1"}
 NAME_BYTES = 255
 
 ATTACHMENT = T.StructType([T.StructField("filename", T.StringType()), T.StructField("content_type", T.StringType()), T.StructField("size_bytes", T.LongType()), T.StructField("is_inline", T.BooleanType())])
@@ -55,8 +60,8 @@ def charset_label(label: str) -> str:
 
 def _strict(raw: bytes, charset: str) -> str | None:
     try:
-        return raw.decode(charset)
-    except (UnicodeDecodeError, LookupError):
+        return without_surrogates(raw.decode(charset))
+    except (ValueError, LookupError):  # bytes that it has not, and names that are none
         return None
 
 
@@ -87,23 +92,54 @@ def header_text(value: str | Header | None) -> str | None:
     try:
         found = decode_header(value)
         parts = [decode_text(p, None if c == "unknown-8bit" else c)[0] if isinstance(p, bytes) else p for p, c in found]
-    except (ValueError, binascii.Error):
-        return str(value)
-    return re.sub(r"\r?\n[ \t]+", " ", "".join(parts)) or str(value)
+    except (ValueError, LookupError, HeaderParseError):
+        return without_surrogates(str(value))
+    return without_surrogates(re.sub(r"\r?\n[ \t]+", " ", "".join(parts)) or str(value))
+
+
+_PARAMETER = re.compile(r';\s*([^\s=;]+)\s*=\s*("(?:\\.|[^"\\])*"|[^;]*)', re.S)
+
+
+def parameters(part: Message, header: str) -> dict[str, str]:
+    """The parameters of a header as they stand, without quotes; of one given twice the last."""
+    raw = next((str(v) for k, v in part.raw_items() if k.lower() == header), "")
+    if not raw.isascii():
+        raw = decode_text(raw.encode("utf-8", "surrogateescape"))[0]
+    found = _PARAMETER.findall(re.sub(r"\r?\n[ \t]*", " ", raw))
+    return {k.lower(): re.sub(r"\\(.)", r"\1", v.strip()[1:-1]) if v.startswith('"') else v.strip() for k, v in found}
+
+
+def _extended(value: str) -> str:
+    """``charset'language'percent-encoded``; UTF-8 where that is not said or not right."""
+    parts = value.split("'", 2)
+    charset = parts[0] if len(parts) > 1 else ""
+    raw = unquote_to_bytes(parts[2] if len(parts) == 3 else value)
+    text = _strict(raw, charset or "utf-8")
+    return raw.decode("utf-8", "replace") if text is None else text
+
+
+def _named(given: dict[str, str], base: str) -> str | None:
+    """A parameter's value: extended, or in pieces numbered from 0 up to the first gap, or plain."""
+    if f"{base}*" in given:
+        return _extended(given[f"{base}*"])
+    pieces: dict[int, str] = {}
+    for key, value in given.items():
+        if m := re.fullmatch(rf"{re.escape(base)}\*([0-9]+)(\*?)", key):
+            pieces.setdefault(int(m[1]), _extended(value) if m[2] else value)
+    if not pieces:
+        return header_text(given.get(base))
+    known = takewhile(pieces.__contains__, count())
+    return "".join(pieces[i] for i in known) or None
 
 
 def file_name(part: Message) -> str | None:
-    """The name of a part: its disposition's, in pieces or not, else its type's."""
-    found = part.get_param("filename", None, "content-disposition")
-    if found is None:
-        found = part.get_param("name", None)
-    if found is None:
-        return None
-    if isinstance(found, tuple):
-        charset, _, value = found
-        raw = value.encode("latin-1", "replace") if charset else value
-        return decode_text(raw, charset)[0] if isinstance(raw, bytes) else raw
-    return header_text(collapse_rfc2231_value(found))
+    """The name of a part: of its disposition, else of its type; ``filename`` before ``name``."""
+    for header in ("content-disposition", "content-type"):
+        given = parameters(part, header)
+        for base in ("filename", "name"):
+            if (found := _named(given, base)) is not None:
+                return without_surrogates(found)
+    return None
 
 
 def date_text(value: str | None, internal: datetime | None, now: datetime) -> str | None:
@@ -121,6 +157,15 @@ def date_text(value: str | None, internal: datetime | None, now: datetime) -> st
     return utc_text(sent) if sent else None
 
 
+def instant(text: str | None) -> datetime | None:
+    """A time as text; null if it cannot be read, and UTC without a zone."""
+    try:
+        at = datetime.fromisoformat(text) if text else None
+    except ValueError:
+        return None
+    return at.replace(tzinfo=UTC) if at and at.tzinfo is None else at
+
+
 def first_id(value: str | None) -> str | None:
     if not value or not value.strip():
         return None
@@ -137,7 +182,8 @@ def content_key(message_id: str | None, sha256: str) -> str:
 
 
 def _payload(part: Message) -> bytes:
-    return part.get_payload(decode=True) or b""
+    found = part.get_payload(decode=True)
+    return found.encode("utf-8", "replace") if isinstance(found, str) else found or b""
 
 
 def _broken(part: Message) -> bool:
@@ -166,16 +212,20 @@ def leaves(message: Message) -> list[dict]:
     return out
 
 
-def bodies(found: list[dict]) -> dict[str, str | None]:
-    """The first body of each text type that is not blank."""
-    out: dict[str, str | None] = {}
+def texts(found: list[dict], kind: str) -> Iterator[str]:
+    """The bodies of a text type in order."""
     for leaf in found:
-        kind = leaf["part"].get_content_type()
-        if leaf["body"] and kind not in out:
-            text = decode_text(_payload(leaf["part"]), leaf["part"].get_content_charset())[0]
-            if text.strip():
-                out[kind] = text
-    return out
+        if leaf["body"] and leaf["part"].get_content_type() == kind:
+            yield decode_text(_payload(leaf["part"]), leaf["part"].get_content_charset())[0]
+
+
+def first_shown(bodies: Iterable[str]) -> str | None:
+    return next((x for x in bodies if x.strip()), None)
+
+
+def body_text(found: list[dict]) -> str:
+    """The first plain body that is not blank, else the first HTML body whose text is not."""
+    return first_shown(texts(found, "text/plain")) or first_shown(map(html_to_text, texts(found, "text/html"))) or ""
 
 
 def parse_message(raw: bytes, internal: datetime | None, now: datetime) -> dict:
@@ -183,19 +233,18 @@ def parse_message(raw: bytes, internal: datetime | None, now: datetime) -> dict:
     read is there all the same."""
     row: dict = dict.fromkeys(PARSED.names)
     errors: list[str] = []
-    row |= {"attachments": [], "has_attachment": False, "body_text": ""}
+    row |= {"attachments": [], "has_attachment": False, "body_text": "", "subject": "", "sender": "", "recipient": "", "cc": ""}
     digest = hashlib.sha256(raw).hexdigest()
     try:
         message = message_from_bytes(raw)
-        row |= {k: header_text(message.get(h)) for k, h in (("subject", "subject"), ("sender", "from"), ("recipient", "to"), ("cc", "cc"))}
+        row |= {k: header_text(message.get(h)) or "" for k, h in (("subject", "subject"), ("sender", "from"), ("recipient", "to"), ("cc", "cc"))}
         row["date_sent"] = date_text(message.get("date"), internal, now)
-        row |= {k: str(message[h]) if message.get(h) is not None else None for k, h in (("message_id", "message-id"), ("in_reply_to", "in-reply-to"), ("references_ids", "references"))}
+        row |= {k: without_surrogates(str(message[h])) if message.get(h) is not None else None for k, h in (("message_id", "message-id"), ("in_reply_to", "in-reply-to"), ("references_ids", "references"))}
         row["thread_key"] = thread_key(row["message_id"], row["in_reply_to"], row["references_ids"])
         found = leaves(message)
-        text = bodies(found)
-        row["body_text"] = text["text/plain"].strip() if "text/plain" in text else html_to_text(text.get("text/html") or "")
+        row["body_text"] = without_surrogates(body_text(found))
         row["attachments"] = [
-            {"filename": x["name"], "content_type": x["part"].get_content_type(), "size_bytes": len(_payload(x["part"])), "is_inline": x["inline"]}
+            {"filename": x["name"], "content_type": without_surrogates(x["part"].get_content_type()), "size_bytes": len(_payload(x["part"])), "is_inline": x["inline"]}
             for x in found if x["attached"]
         ]
         row["has_attachment"] = any(not a["is_inline"] for a in row["attachments"])
@@ -212,13 +261,12 @@ def parse_message(raw: bytes, internal: datetime | None, now: datetime) -> dict:
 def render_message(raw: bytes) -> dict:
     """A row of ``RENDERED``; a part's place in ``parts`` does not change."""
     found = leaves(message_from_bytes(raw))
-    text = bodies(found)
     parts = [
-        {"content_id": (str(x["part"]["content-id"]).strip().strip("<>") if x["part"].get("content-id") else None), "content_type": x["part"].get_content_type(),
+        {"content_id": (without_surrogates(str(x["part"]["content-id"])).strip().strip("<>") if x["part"].get("content-id") else None), "content_type": without_surrogates(x["part"].get_content_type()),
          "filename": x["name"], "payload": _payload(x["part"]), "is_inline": x["inline"]}
         for x in found if x["attached"]
     ]
-    return {"html_body": text.get("text/html"), "text_body": text.get("text/plain"), "parts": parts}
+    return {"html_body": first_shown(texts(found, "text/html")), "text_body": first_shown(texts(found, "text/plain")), "parts": parts}
 
 
 def safe_name(name: str) -> dict:
@@ -268,32 +316,79 @@ def decode_utf7(value: str) -> str:
         if not m[1]:
             return "&"
         raw = m[1].replace(",", "/")
-        return base64.b64decode(raw + "=" * (-len(raw) % 4)).decode("utf-16-be")
+        try:
+            return base64.b64decode(raw + "=" * (-len(raw) % 4)).decode("utf-16-be")
+        except ValueError:
+            return m[0]
 
     return re.sub(r"&([A-Za-z0-9+,]*)-", run, value)
 
 
-_LIST = re.compile(r'^\* (?:LIST|LSUB) \((?P<use>[^)]*)\) (?:"(?P<delimiter>(?:\\.|[^"\\])*)"|NIL) (?:"(?P<quoted>(?:\\.|[^"\\])*)"|(?P<plain>\S+))\s*$')
+_TOKEN = re.compile(r'\s*(?:(?P<open>\()|(?P<close>\))|"(?P<quoted>(?:\\.|[^"\\])*)"|\{(?P<size>[0-9]+)\+?\}\r?\n|(?P<atom>[^\s()"\[]+(?:\[[^\]]*\][^\s()]*)?))', re.S)
+
+
+def response(raw: str) -> list:
+    """A server's response as text, numbers and nested lists; a literal is the text of its length in
+    bytes after its line end, and ``NIL`` is null.  What is no token ends it."""
+    data = raw.encode("utf-8", "replace").decode("latin-1")  # a character for each byte
+    plain = lambda x: x.encode("latin-1").decode("utf-8", "replace")
+    stack: list[list] = [[]]
+    at = 0
+    while m := _TOKEN.match(data, at):
+        at = m.end()
+        if m["open"]:
+            stack.append([])
+        elif m["close"]:
+            if len(stack) == 1:
+                break
+            done = stack.pop()
+            stack[-1].append(done)
+        elif m["quoted"] is not None:
+            stack[-1].append(re.sub(r"\\(.)", r"\1", plain(m["quoted"])))
+        elif m["size"]:
+            stack[-1].append(plain(data[at : at + int(m["size"])]))
+            at += int(m["size"])
+        else:
+            stack[-1].append(None if m["atom"].upper() == "NIL" else plain(m["atom"]))
+    while len(stack) > 1:  # what a cut response left open
+        done = stack.pop()
+        stack[-1].append(done)
+    return stack[0]
 
 
 def folder_line(line: str) -> dict | None:
-    """A line that lists a folder; None for another."""
-    m = _LIST.match(line)
-    if not m:
+    """A response that lists a folder; None for another."""
+    found = response(line)
+    if len(found) < 5 or found[0] != "*" or str(found[1]).upper() not in ("LIST", "LSUB") or not isinstance(found[2], list) or not isinstance(found[4], str):
+        return None
+    use, delimiter, raw = found[2:5]
+    return {"raw_name": raw, "display_name": without_surrogates(decode_utf7(raw)), "delimiter": delimiter if isinstance(delimiter, str) else None, "special_use": sorted(filter(None, map(str, use)))}
+
+
+def internal_time(text: str | None) -> str | None:
+    """``INTERNALDATE`` in UTC text; null if it cannot be read."""
+    try:
+        return utc_text(parsedate_to_datetime(text.strip().replace("-", " ", 2))) if text else None
+    except (ValueError, TypeError, IndexError, OverflowError):
         return None
-    raw = re.sub(r"\\(.)", r"\1", m["quoted"]) if m["quoted"] is not None else m["plain"]
-    return {"raw_name": raw, "display_name": decode_utf7(raw), "delimiter": m["delimiter"], "special_use": sorted(m["use"].split())}
 
 
 def message_line(line: str, header: str = "") -> dict:
-    """What a line about a message says of it."""
-    first = lambda p, s=line: (m := re.search(p, s, re.I)) and m[1]
-    number = lambda p: (n := first(p)) and int(n)
-    at = first(r'INTERNALDATE "([^"]+)"')
-    flags = first(r"FLAGS \(([^)]*)\)")
-    when = at and utc_text(datetime.strptime(at.strip(), "%d-%b-%Y %H:%M:%S %z"))
-    mid = first(r"(?im)^message-id:\s*(\S+)", header)
-    return {"uid": number(r"\bUID (\d+)"), "size_bytes": number(r"RFC822\.SIZE (\d+)"), "modseq": number(r"MODSEQ \((\d+)\)"), "internal_date": when, "flags": (flags or "").split(), "message_id": mid}
+    """What a response about a message says of it; null for what it does not say."""
+    found = next((x for x in response(line) if isinstance(x, list)), [])
+    said = {k.upper(): v for k, v in zip(found[::2], found[1::2], strict=False) if isinstance(k, str)}
+
+    def number(name: str) -> int | None:
+        value = said.get(name)
+        value = value[0] if isinstance(value, list) and value else value
+        return int(value) if isinstance(value, str) and value.isdecimal() else None
+
+    mid = re.search(r"(?im)^message-id:\s*(\S+)", header)
+    flags = said.get("FLAGS")
+    return {
+        "uid": number("UID"), "size_bytes": number("RFC822.SIZE"), "modseq": number("MODSEQ"), "internal_date": internal_time(said.get("INTERNALDATE")),
+        "flags": [f for f in flags if isinstance(f, str)] if isinstance(flags, list) else [], "message_id": mid and mid[1],
+    }
 
 
 def _rows(function, kind: T.DataType):
@@ -314,6 +409,9 @@ utf7_decoded = _rows(decode_utf7, T.StringType())
 header_texts = _rows(header_text, T.StringType())
 FOLDER_LINE = T.StructType([T.StructField("raw_name", T.StringType()), T.StructField("display_name", T.StringType()), T.StructField("delimiter", T.StringType()), T.StructField("special_use", T.ArrayType(T.StringType()))])
 folder_lines = _rows(folder_line, FOLDER_LINE)
+MESSAGE_LINE = T.StructType([T.StructField("uid", T.LongType()), T.StructField("size_bytes", T.LongType()), T.StructField("modseq", T.LongType()), T.StructField("internal_date", T.StringType()), T.StructField("flags", T.ArrayType(T.StringType())), T.StructField("message_id", T.StringType())])
+message_lines = _rows(message_line, MESSAGE_LINE)
+decoded = _rows(lambda raw: decode_text(raw)[0], T.StringType())
 
 
 def parsed(content: Column, internal_date: Column, now: datetime) -> Column:
@@ -322,7 +420,7 @@ def parsed(content: Column, internal_date: Column, now: datetime) -> Column:
 
     @F.arrow_udf(PARSED)
     def run(raw: pa.Array, internal: pa.Array) -> pa.Array:
-        dates = [d and datetime.fromisoformat(d) for d in internal.to_pylist()]
+        dates = list(map(instant, internal.to_pylist()))
         rows = [None if r is None else parse_message(r, d, now) for r, d in zip(raw.to_pylist(), dates, strict=True)]
         return pa.array(rows, to_arrow_type(PARSED))
 

@@ -15,7 +15,7 @@ _LONE = re.compile("[\ud800-\udfff]")
 
 
 def normalise(text: str) -> str:
-    return _SPACE.sub(" ", unicodedata.normalize("NFKC", text).casefold()).strip()
+    return _SPACE.sub(" ", unicodedata.normalize("NFKC", without_surrogates(text)).casefold()).strip()
 
 
 def without_surrogates(text: str) -> str:

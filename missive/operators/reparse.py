@@ -13,11 +13,11 @@ from missive.functions.normalise import normalised
 from missive.sources.files import verified
 
 
-def reparse(targets: DataFrame, files: DataFrame, now: datetime) -> DataFrame:
+def reparse(targets: DataFrame, files: DataFrame, root: str, now: datetime) -> DataFrame:
     """``message_id``, the four contents and ``state`` (ok, parse, missing, mismatch, outside) of
-    stored messages.  Only rows that are ok have contents; headers are left as they are."""
+    stored messages, whose files are below ``root``.  Only rows that are ok have contents; headers are left as they are."""
     wanted = targets.select("relative_path", "file_hash").distinct()
-    found = verified(files, wanted)
+    found = verified(files, wanted, root)
     rows = targets.select("id", "relative_path", "file_hash", "internal_date").join(found, ["relative_path", "file_hash"])
     rows = rows.withColumn("m", parsed(F.col("content"), F.col("internal_date"), now))
     state = F.when((F.col("state") == "ok") & F.col("m.parse_error").isNotNull(), "parse").otherwise(F.col("state"))

@@ -9,6 +9,8 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
+from missive.functions.display import retry_delay
+
 
 class Channels:
     """``run(channel, work)`` stops the channel's earlier query by its job tag, and gives None
@@ -45,3 +47,24 @@ class Channels:
             before = self.latest.pop(channel, None)
         if before:
             self.spark.interruptTag(before)
+
+
+class Transient(Exception):
+    """A failure that may go away."""
+
+
+def with_retry(work: Callable[[], Any], retries: int = 3, base: float = 1.0, stopped: threading.Event | None = None) -> Any:
+    """``work()``, tried again after transient failures with waits that double; ``stopped`` ends a wait at once."""
+    if retries < 0 or base < 0:
+        raise ValueError("retries and base are not negative")
+    stopped = stopped or threading.Event()
+    for attempt in range(retries + 1):
+        if stopped.is_set():
+            raise InterruptedError("stopped")
+        try:
+            return work()
+        except Transient:
+            if attempt == retries:
+                raise
+        stopped.wait(retry_delay(base, attempt))
+    return None

@@ -1,7 +1,7 @@
 """Search, listing, threads, counts and details over the message model.
 
-Everything is a DataFrame expression: terms are ``contains`` on stored normalised columns, so
-they reach the Parquet reader; filters sit under the joins; a page is the top ``limit + 1``
+Everything is a DataFrame expression: terms are looked up in a trigram index or, without one, are
+``contains`` on stored normalised columns; filters sit under the joins; a page is the top ``limit + 1``
 rows by (sort key, id), kept in one ``TakeOrderedAndProject``.
 """
 
@@ -13,7 +13,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.plans.filters import MessageFilter, PageCursor, SearchPage, utc_text
+from missive.plans.filters import SORT_KEY, Condition, Page, read_cursor, wanted, write_cursor
 from missive.plans.query import SearchPlan, parse_query
 
 TEXT_COLUMNS = ("subject_norm", "sender_norm", "body_text", "attachment_names")
@@ -53,41 +53,35 @@ def matches(plan: SearchPlan, compat: bool = False) -> Column:
     return found
 
 
-def conditions(f: MessageFilter, compat: bool = False) -> Column:
-    """The filter as one condition.  Undated rows fail ``date_from`` and pass ``date_to``.
-
-    Days end with their last second; ``compat`` compares ``date_to`` as text with a fraction,
-    which leaves that second out."""
-    parts = [F.lit(True)]
-    for column, values in (("account_id", f.account_ids), ("folder_id", f.folder_ids), ("local_state", f.local_states), ("remote_state", f.remote_states)):
-        if values is not None:
-            parts.append(F.col(column).isin(list(values)) if values else F.lit(False))
-    if f.date_from:
-        parts.append(sort_key() >= utc_text(f.date_from))
-    if f.date_to:
-        last = f.date_to.isoformat().replace("+00:00", "Z") if compat else utc_text(f.date_to)
-        parts.append(sort_key() <= last)
-    if f.has_attachment is not None:
-        parts.append(F.col("has_attachment") == f.has_attachment)
-    if f.thread_key is not None:
-        parts.append(F.col("thread_key") == f.thread_key)
-    return reduce(and_, parts)
-
-
-def after(cursor: PageCursor) -> Column:
+def conditions(filters: tuple[Condition, ...]) -> Column:
+    """The filter as one condition.  Undated rows fail ``since`` and pass ``until``, whose days end with
+    their last second."""
+    return reduce(and_, (c.holds() for c in filters), F.lit(True))
+
+
+def keyed(messages: DataFrame) -> DataFrame:
+    """``messages`` with their sort key, which a stored table has, so that its reader is given conditions on it."""
+    return messages if SORT_KEY in messages.columns else messages.withColumn(SORT_KEY, sort_key())
+
+
+def after(cursor: str) -> Column:
     """Rows behind the cursor, in a form that the reader can be given."""
-    key = sort_key()
-    return (key < cursor.sort_key) | ((key == cursor.sort_key) & (F.col("id") < cursor.message_id))
+    key, message_id = read_cursor(cursor)
+    here = F.col(SORT_KEY)
+    return (here < key) | ((here == key) & (F.col("id") < message_id))
 
 
-def selected(
-    messages: DataFrame, contents: DataFrame | None, filters: MessageFilter, plan: SearchPlan | None = None, compat: bool = False
-) -> DataFrame:
-    """The messages that pass the filter and, with a plan, whose stored text matches it."""
-    rows = messages.where(conditions(filters, compat))
+def selected(v, filters: tuple[Condition, ...], plan: SearchPlan | None = None, compat: bool = False) -> DataFrame:
+    """The messages that pass the filter and, with a plan, whose stored text matches it, by the index if there is one."""
+    rows = keyed(v.messages).where(conditions(filters))
     if plan is None:
         return rows
-    ids = contents.where(matches(plan, compat)).select(F.col("message_id").alias("found_id"))
+    if v.index is not None:
+        from missive.operators.index import found
+
+        ids = found(v.index, plan, compat)
+    else:
+        ids = v.contents.where(matches(plan, compat)).select(F.col("message_id").alias("found_id"))
     return rows.join(ids, F.col("id") == F.col("found_id"), "left_semi")
 
 
@@ -104,47 +98,44 @@ def with_names(rows: DataFrame, folders: DataFrame, failures: DataFrame) -> Data
 
 def summaries(rows: DataFrame, columns: tuple[str, ...] = SUMMARY) -> DataFrame:
     shown = {"subject": F.coalesce("subject", F.lit("")), "sender": F.coalesce("sender", F.lit(""))}
-    return rows.select(*(shown.get(c, F.col(c)).alias(c) for c in columns), sort_key().alias("sort_key"))
+    return rows.select(*(shown.get(c, F.col(c)).alias(c) for c in columns), sort_key().alias(SORT_KEY))
 
 
-def page_rows(v, filters: MessageFilter, plan: SearchPlan | None = None, cursor: PageCursor | None = None, limit: int = PAGE, compat: bool = False) -> DataFrame:
+def page_rows(v, filters: tuple[Condition, ...], plan: SearchPlan | None = None, cursor: str | None = None, limit: int = PAGE, compat: bool = False) -> DataFrame:
     """One page as a DataFrame of at most ``limit`` rows.
 
     The top rows are taken before the joins where these cannot drop any; folders can only drop
     messages that have none, so the semi join with their ids goes below the limit."""
     if limit <= 0:
         raise ValueError("a page has at least one row")
-    rows = selected(v.messages, v.contents, filters, plan, compat)
+    rows = selected(v, filters, plan, compat)
     if cursor:
         rows = rows.where(after(cursor))
     known = v.folders.select(F.col("id").alias("known_id"))
     rows = rows.join(known, F.col("folder_id") == F.col("known_id"), "left_semi")
-    top = rows.orderBy(sort_key().desc(), F.col("id").desc()).limit(limit)
+    top = rows.orderBy(F.desc(SORT_KEY), F.desc("id")).limit(limit)
     return summaries(with_names(top, v.folders, v.failures))
 
 
-def search(v, query: str | None, filters: MessageFilter | None = None, cursor: PageCursor | None = None, limit: int = PAGE, mode: str = "and", on_plan=None) -> SearchPage:
+def search(v, query: str | None, filters: tuple[Condition, ...] | None = None, cursor: str | None = None, limit: int = PAGE, mode: str = "and", on_plan=None) -> Page:
     """A page of results, or of all messages without a query; ``on_plan`` sees the plan first."""
     plan = parse_query(query, mode) if query is not None else None
     if on_plan and plan:
         on_plan(plan)
-    got = page_rows(v, filters or MessageFilter(), plan, cursor, limit + 1).collect()
-    got.sort(key=lambda r: (r["sort_key"], r["id"]), reverse=True)
-    more, items = len(got) > limit, got[:limit]
-    last = PageCursor(items[-1]["sort_key"], items[-1]["id"]) if more else None
-    return SearchPage(items, last, not more, bool(plan and plan.has_slow_path))
+    rows = page_rows(v, wanted() if filters is None else filters, plan, cursor, limit + 1)
+    got = rows.orderBy(F.desc(SORT_KEY), F.desc("id")).collect()
+    last = write_cursor(got[limit - 1][SORT_KEY], got[limit - 1]["id"]) if len(got) > limit else None
+    return Page(got[:limit], last, bool(plan and plan.has_slow_path))
 
 
-def count(v, filters: MessageFilter | None = None, plan: SearchPlan | None = None) -> DataFrame:
+def count(v, filters: tuple[Condition, ...] | None = None, plan: SearchPlan | None = None) -> DataFrame:
     """The number of messages; folders are not looked at."""
-    return selected(v.messages, v.contents, filters or MessageFilter(), plan).agg(F.count("*").alias("n"))
+    return selected(v, wanted() if filters is None else filters, plan).agg(F.count("*").alias("n"))
 
 
-def thread(v, thread_key: str, filters: MessageFilter | None = None) -> DataFrame:
+def thread(v, thread_key: str, filters: tuple[Condition, ...] | None = None) -> DataFrame:
     """All messages of a thread that pass the filter."""
-    from dataclasses import replace
-
-    rows = selected(v.messages, None, replace(filters or MessageFilter(), thread_key=thread_key))
+    rows = selected(v, (wanted() if filters is None else filters) + (Condition("thread_key", "is", thread_key),))
     return summaries(with_names(rows, v.folders, v.failures))
 
 

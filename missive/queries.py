@@ -8,14 +8,15 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from missive import cases
 from missive.functions import display, html, mail
 from missive.functions.normalise import normalised
 from missive.operators import search as s
 from missive.operators import store, sync
-from missive.plans.filters import MessageFilter, PageCursor, day_bounds
+from missive.plans.filters import Condition, day_bounds, wanted, write_cursor
 from missive.plans.query import parse_query
 from missive.sources import files, log
-from missive.views import EPOCH, Views, sql, views
+from missive.views import EPOCH, Views, sql, stored, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +36,18 @@ def over_views(name: str, oracle: str | None = None):
     return add
 
 
+def over_store(name: str, oracle: str | None = None):
+    """Register a query that takes the stored message model with its index."""
+
+    def add(f: Callable[[Views], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(stored(spark, sf_dir))
+        if oracle:
+            SQL[name] = sql(oracle)
+        return f
+
+    return add
+
+
 def over_tables(name: str, oracle: str | None = None):
     """Register a query that takes a reader of tables."""
 
@@ -65,50 +78,50 @@ def _search(name: str, query: str, mode: str) -> None:
     less = "".join(f" AND NOT {HIT.format(t)}" for t in plan.exclude)
     oracle = f"SELECT m.id, m.account_id, {KEY} AS sort_key FROM messages m WHERE local_state = 'active' AND m.id IN (SELECT message_id FROM contents WHERE ({where}){less})"
 
-    @over_views(f"x_search_{name}", oracle)
+    @over_store(f"x_search_{name}", oracle)
     def run(v):
-        return s.selected(v.messages, v.contents, MessageFilter(), plan).select("id", "account_id", s.sort_key().alias("sort_key"))
+        return s.selected(v, wanted(), plan).select("id", "account_id", s.sort_key().alias("sort_key"))
 
 
 for _name, (_query, _mode) in SEARCHES.items():
     _search(_name, _query, _mode)
 
 
-@over_views("x4_exclusions_compat", f"SELECT id FROM messages WHERE local_state = 'active' AND id IN (SELECT message_id FROM contents WHERE ({HIT.format('the')} AND NOT {HIT.format('tion')}) OR {HIT.format('ing')})")
+@over_store("x4_exclusions_compat", f"SELECT id FROM messages WHERE local_state = 'active' AND id IN (SELECT message_id FROM contents WHERE ({HIT.format('the')} AND NOT {HIT.format('tion')}) OR {HIT.format('ing')})")
 def x4_exclusions_compat(v):
-    return s.selected(v.messages, v.contents, MessageFilter(), parse_query("the -tion -ing"), compat=True).select("id")
+    return s.selected(v, wanted(), parse_query("the -tion -ing"), compat=True).select("id")
 
 
-@over_views("a1_count_search", f"SELECT count(*) AS n FROM messages WHERE local_state = 'active' AND id IN (SELECT message_id FROM contents WHERE {HIT.format('the')})")
+@over_store("a1_count_search", f"SELECT count(*) AS n FROM messages WHERE local_state = 'active' AND id IN (SELECT message_id FROM contents WHERE {HIT.format('the')})")
 def a1_count_search(v):
     return s.count(v, plan=parse_query("the"))
 
 
-@over_views("a1_count_filter", "SELECT count(*) AS n FROM messages WHERE has_attachment AND remote_state IN ('present', 'moved')")
+@over_store("a1_count_filter", "SELECT count(*) AS n FROM messages WHERE has_attachment AND remote_state IN ('present', 'moved')")
 def a1_count_filter(v):
-    return s.count(v, MessageFilter(has_attachment=True, local_states=None, remote_states=("present", "moved")))
+    return s.count(v, wanted(attachment=True, local=None, remote=("present", "moved")))
 
 
 # Filters.
 
-FILTERS: dict[str, tuple[MessageFilter, str]] = {
-    "f1_accounts": (MessageFilter(account_ids=("account-a", "account-b")), "account_id IN ('account-a', 'account-b') AND local_state = 'active'"),
-    "f1_no_account": (MessageFilter(account_ids=()), "false"),
-    "f1_folders": (MessageFilter(folder_ids=(1, 2, 7)), "folder_id IN (1, 2, 7) AND local_state = 'active'"),
-    "f2_date_from": (MessageFilter(date_from=datetime(2026, 7, 1, 6, tzinfo=UTC)), f"{KEY} >= '2026-07-01T06:00:00Z' AND local_state = 'active'"),
-    "f3_date_to": (MessageFilter(date_to=day_bounds(None, "2026-07-01")[1]), f"{KEY} <= '2026-07-01T23:59:59Z' AND local_state = 'active'"),
-    "f4_attachment": (MessageFilter(has_attachment=False), "NOT has_attachment AND local_state = 'active'"),
-    "f5_trashed": (MessageFilter(local_states=("trashed",)), "local_state = 'trashed'"),
-    "f5_no_state": (MessageFilter(local_states=()), "false"),
-    "f6_remote": (MessageFilter(remote_states=("moved", "deleted")), "remote_state IN ('moved', 'deleted') AND local_state = 'active'"),
-    "f7_thread": (MessageFilter(thread_key="7"), "thread_key = '7' AND local_state = 'active'"),
+FILTERS: dict[str, tuple[tuple[Condition, ...], str]] = {
+    "f1_accounts": (wanted(accounts=("account-a", "account-b")), "account_id IN ('account-a', 'account-b') AND local_state = 'active'"),
+    "f1_no_account": (wanted(accounts=()), "false"),
+    "f1_folders": (wanted(folders=(1, 2, 7)), "folder_id IN (1, 2, 7) AND local_state = 'active'"),
+    "f2_date_from": (wanted(since=datetime(2026, 7, 1, 6, tzinfo=UTC)), f"{KEY} >= '2026-07-01T06:00:00Z' AND local_state = 'active'"),
+    "f3_date_to": (wanted(until=day_bounds(None, "2026-07-01")[1]), f"{KEY} <= '2026-07-01T23:59:59Z' AND local_state = 'active'"),
+    "f4_attachment": (wanted(attachment=False), "NOT has_attachment AND local_state = 'active'"),
+    "f5_trashed": (wanted(local=("trashed",)), "local_state = 'trashed'"),
+    "f5_no_state": (wanted(local=()), "false"),
+    "f6_remote": (wanted(remote=("moved", "deleted")), "remote_state IN ('moved', 'deleted') AND local_state = 'active'"),
+    "f7_thread": (wanted(thread="7"), "thread_key = '7' AND local_state = 'active'"),
 }
 
 
-def _filtered(name: str, f: MessageFilter, where: str) -> None:
+def _filtered(name: str, f: tuple[Condition, ...], where: str) -> None:
     @over_views(name, f"SELECT m.id, m.folder_id, {KEY} AS sort_key FROM messages m WHERE {where}")
     def run(v):
-        return s.selected(v.messages, None, f).select("id", "folder_id", s.sort_key().alias("sort_key"))
+        return s.selected(v, f).select("id", "folder_id", s.sort_key().alias("sort_key"))
 
 
 for _name, (_filter, _where) in FILTERS.items():
@@ -121,43 +134,43 @@ _SHOWN = f"""m.id, m.account_id, m.folder_id, f.display_name AS folder_name, coa
 _JOINS = """FROM messages m JOIN folders f ON f.id = m.folder_id LEFT JOIN folders g ON g.id = m.moved_to_folder_id
  LEFT JOIN failures x ON x.account_id = m.account_id AND x.folder_id = m.folder_id AND x.uidvalidity = m.uidvalidity AND x.uid = m.uid"""
 _ORDER = f"ORDER BY {KEY} DESC, m.id DESC"
-CURSOR = PageCursor("2026-07-01T05:00:00Z", 300)
+PLACE = ("2026-07-01T05:00:00Z", 300)
 
 
-@over_views("o2_first_page", f"SELECT {_SHOWN} {_JOINS} WHERE m.local_state = 'active' {_ORDER} LIMIT 200")
+@over_store("o2_first_page", f"SELECT {_SHOWN} {_JOINS} WHERE m.local_state = 'active' {_ORDER} LIMIT 200")
 def o2_first_page(v):
-    return s.page_rows(v, MessageFilter())
+    return s.page_rows(v, wanted())
 
 
-@over_views("o3_next_page", f"SELECT {_SHOWN} {_JOINS} WHERE m.local_state = 'active' AND ({KEY} < '{CURSOR.sort_key}' OR ({KEY} = '{CURSOR.sort_key}' AND m.id < {CURSOR.message_id})) {_ORDER} LIMIT 200")
+@over_store("o3_next_page", f"SELECT {_SHOWN} {_JOINS} WHERE m.local_state = 'active' AND ({KEY} < '{PLACE[0]}' OR ({KEY} = '{PLACE[0]}' AND m.id < {PLACE[1]})) {_ORDER} LIMIT 200")
 def o3_next_page(v):
-    return s.page_rows(v, MessageFilter(), cursor=CURSOR)
+    return s.page_rows(v, wanted(), cursor=write_cursor(*PLACE))
 
 
-@over_views("o3_search_page", f"SELECT {_SHOWN} {_JOINS} WHERE m.local_state = 'active' AND m.has_attachment AND m.account_id = 'account-a' AND m.id IN (SELECT message_id FROM contents WHERE {HIT.format('tion')}) {_ORDER} LIMIT 50")
+@over_store("o3_search_page", f"SELECT {_SHOWN} {_JOINS} WHERE m.local_state = 'active' AND m.has_attachment AND m.account_id = 'account-a' AND m.id IN (SELECT message_id FROM contents WHERE {HIT.format('tion')}) {_ORDER} LIMIT 50")
 def o3_search_page(v):
-    return s.page_rows(v, MessageFilter(account_ids=("account-a",), has_attachment=True), parse_query("tion"), limit=50)
+    return s.page_rows(v, wanted(accounts=("account-a",), attachment=True), parse_query("tion"), limit=50)
 
 
-@over_views("o8_deep_page", f"SELECT m.id, {KEY} AS sort_key FROM messages m WHERE local_state = 'active' {_ORDER} LIMIT 1 OFFSET 500")
+@over_store("o8_deep_page", f"SELECT m.id, {KEY} AS sort_key FROM messages m WHERE local_state = 'active' {_ORDER} LIMIT 1 OFFSET 500")
 def o8_deep_page(v):
-    rows = s.selected(v.messages, None, MessageFilter())
+    rows = s.selected(v, wanted())
     return rows.select("id", s.sort_key().alias("sort_key")).orderBy(F.desc("sort_key"), F.desc("id")).offset(500).limit(1)
 
 
-@over_views("o4_thread", f"SELECT {_SHOWN} {_JOINS} WHERE m.thread_key = '7' AND m.local_state = 'active'")
+@over_store("o4_thread", f"SELECT {_SHOWN} {_JOINS} WHERE m.thread_key = '7' AND m.local_state = 'active'")
 def o4_thread(v):
     return s.thread(v, "7")
 
 
-@over_views("s4_detail", f"SELECT {_SHOWN}, m.recipient, m.message_id, m.relative_path, m.file_hash {_JOINS} WHERE m.id = 21")
+@over_store("s4_detail", f"SELECT {_SHOWN}, m.recipient, m.message_id, m.relative_path, m.file_hash {_JOINS} WHERE m.id = 21")
 def s4_detail(v):
     return s.detail(v, 21)
 
 
 @over_views("k25_json_lines", "SELECT CAST(m.id AS VARCHAR) || chr(9) || coalesce(m.date_sent, m.internal_date, '') || chr(9) || coalesce(m.sender, '') AS line FROM messages m WHERE local_state = 'active'")
 def k25_json_lines(v):
-    rows = s.selected(v.messages, None, MessageFilter())
+    rows = s.selected(v, wanted())
     return rows.select(F.concat_ws("\t", F.col("id").cast("string"), s.sort_key(), F.coalesce("sender", F.lit(""))).alias("line"))
 
 
@@ -445,12 +458,12 @@ def u1_parsed(t):
     return t("conversations").select("conv_id", "turn", m.alias("m")).select("conv_id", "turn", "m.subject", "m.message_id", "m.thread_key", F.col("m.body_text").alias("body_text"), "m.parse_error")
 
 
-SQL["u1_parsed"] = "SELECT conv_id, turn, role AS subject, '<' || conv_id || '.' || turn || '@x>' AS message_id, '<' || conv_id || '.' || turn || '@x>' AS thread_key, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS body_text, CAST(NULL AS VARCHAR) AS parse_error FROM conversations"
+SQL["u1_parsed"] = "SELECT conv_id, turn, role AS subject, '<' || conv_id || '.' || turn || '@x>' AS message_id, '<' || conv_id || '.' || turn || '@x>' AS thread_key, CASE WHEN trim(text, chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN '' ELSE text END AS body_text, CAST(NULL AS VARCHAR) AS parse_error FROM conversations"
 
 
 @over_tables("n19_safe_names")
 def n19_safe_names(t):
-    name = F.concat(F.lit("../"), F.substring("text", 1, 30), F.lit("?.txt. "))
+    name = F.concat(F.lit("../"), F.col("text"), F.lit("?.txt. "))
     return t("documents").select("doc_id", mail.safe_names(name).alias("n")).select("doc_id", "n.name", F.array_join("n.warnings", ",").alias("warnings"))
 
 
@@ -488,9 +501,13 @@ def o_orders_page(t):
     return top.join(keys, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "o_totalprice")
 
 
+QUERIES |= cases.QUERIES
+SQL |= cases.SQL
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of search results with all its joins."""
-    return s.page_rows(views(spark, sf_dir), MessageFilter(), parse_query("tion"))
+    return s.page_rows(stored(spark, sf_dir), wanted(), parse_query("tion"))
 
 
 __all__ = ["EPOCH", "QUERIES", "SQL", "flagship"]

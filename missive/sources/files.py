@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from missive.functions.mail import message_line
+from missive.functions.mail import message_lines
+
+#: Messages that are fetched together.
+CHUNK = 500
 
 
 def read_messages(spark: SparkSession, root: str) -> DataFrame:
@@ -23,15 +23,24 @@ def read_headers(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size_bytes"), "modificationTime")
 
 
-def verified(files: DataFrame, wanted: DataFrame) -> DataFrame:
+def relative_to(path: Column, root: str) -> Column:
+    """A file's path below ``root``, whatever form of it the reader gives: schemes and doubled slashes aside."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:", ""), "/+", "/")
+    base = F.concat(F.regexp_replace(plain(F.lit(root)), "/$", ""), F.lit("/"))
+    return F.when(F.startswith(plain(path), base), F.substr(plain(path), F.length(base) + 1))
+
+
+def confined(relative_path: Column) -> Column:
+    """Whether a path stays below the root that it is joined to."""
+    return F.coalesce(~relative_path.rlike(r"(^[/\\]|^[A-Za-z]:|(^|[/\\])\.\.([/\\]|$)|^$|\x00)"), F.lit(False))
+
+
+def verified(files: DataFrame, wanted: DataFrame, root: str) -> DataFrame:
     """``wanted(relative_path, file_hash)`` with content and ``state``: ok, missing, mismatch, or outside
-    for a path that leaves the root."""
-    inside = ~F.col("relative_path").rlike(r"(^/|^[A-Za-z]:|(^|[/\\])\.\.([/\\]|$))")
-    named = files.select(F.col("path").alias("full"), "content")
-    key = F.element_at(F.split("full", "/"), -1)
-    rows = wanted.withColumn("name", F.element_at(F.split("relative_path", "/"), -1))
-    named = named.withColumn("file_name", key)
-    rows = rows.join(named, (F.col("name") == F.col("file_name")) & F.endswith("full", "relative_path"), "left")
+    for a path that leaves ``root``.  ``files`` are those below it."""
+    named = files.select(relative_to(F.col("path"), root).alias("below"), "content")
+    inside = confined(F.col("relative_path"))
+    rows = wanted.join(named, F.when(inside, F.regexp_replace("relative_path", "/+", "/")) == F.col("below"), "left")
     ok = F.sha2("content", 256) == F.lower("file_hash")
     state = F.when(~inside, "outside").when(F.col("content").isNull(), "missing").when(ok, "ok").otherwise("mismatch")
     return rows.select("relative_path", "file_hash", F.when(state == "ok", F.col("content")).alias("content"), state.alias("state"))
@@ -47,46 +56,38 @@ def stored_once(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.withColumn("deduplicated", again).drop("known", "first_seq")
 
 
-class _Chunk(InputPartition):
-    def __init__(self, folder: str, names: list[str]):
-        self.folder, self.names = folder, names
-
-
-class MailboxReader(DataSourceReader):
-    """Folders of ``<uid>.eml`` files below a shared path, in partitions of ``CHUNK`` messages,
-    newest first.  Options ``min_uid`` and ``max_uid`` bound the uids; ``headers`` leaves bodies out."""
+def mailbox(spark: SparkSession, root: str, low: int = 1, high: int | None = None, content: bool = True) -> DataFrame:
+    """``raw_name, uid, size_bytes`` of the files ``<folder>/<uid>.eml`` below ``root`` with uids from ``low`` to ``high``, and
+    their ``content`` if asked for.
 
-    CHUNK = 500
-
-    def __init__(self, options):
-        self.root = Path(options["path"])
-        self.low, self.high = int(options.get("min_uid", 1)), int(options.get("max_uid", 2**62))
-        self.headers = options.get("headers", "false").lower() == "true"
+    Spark lists the files; uids are columns of their paths, so a range opens no file outside it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").option("recursiveFileLookup", True).load(root)
+    parts = F.split("path", "/")
+    uid = F.try_to_number(F.regexp_extract(F.element_at(parts, -1), r"^(\d{1,18})\.eml$", 1), F.lit("9" * 18)).cast("long")
+    rows = files.withColumn("uid", uid).where(F.col("uid") >= low)
+    if high is not None:
+        rows = rows.where(F.col("uid") <= high)
+    folder = F.url_decode(F.replace(F.element_at(parts, -2), F.lit("+"), F.lit("%2B")))
+    return rows.select(folder.alias("raw_name"), "uid", F.col("length").alias("size_bytes"), *(["content"] if content else []))
 
-    def partitions(self):
-        out = []
-        for folder in sorted(p for p in self.root.iterdir() if p.is_dir()):
-            uids = sorted((int(p.stem) for p in folder.glob("*.eml") if p.stem.isdigit() and self.low <= int(p.stem) <= self.high), reverse=True)
-            out += [_Chunk(str(folder), list(map(str, uids[a : a + self.CHUNK]))) for a in range(0, len(uids), self.CHUNK)]
-        return out or [_Chunk(str(self.root), [])]
 
-    def read(self, partition):
-        for name in partition.names:
-            raw = (Path(partition.folder) / f"{name}.eml").read_bytes()
-            head = raw.split(b"\r\n\r\n", 1)[0] if b"\r\n\r\n" in raw else raw.split(b"\n\n", 1)[0]
-            mid = message_line("", head.decode("latin-1"))["message_id"]
-            yield (Path(partition.folder).name, int(name), mid, len(raw), head if self.headers else raw)
+def headers(messages: DataFrame) -> DataFrame:
+    """``raw_name, uid, size_bytes, message_id, head``: messages without their bodies."""
+    text = F.decode("content", "ISO-8859-1")
+    end = F.regexp_instr(text, F.lit(r"\r?\n\r?\n"))
+    head = F.when(end > 0, F.substr(text, F.lit(1), end - 1)).otherwise(text)
+    mid = F.regexp_extract(head, r"(?im)^message-id:\s*(\S+)", 1)
+    return messages.select("raw_name", "uid", "size_bytes", F.nullif(mid, F.lit("")).alias("message_id"), F.encode(head, "ISO-8859-1").alias("head"))
 
 
-class MailboxSource(DataSource):
-    """``spark.read.format("mailbox").load(root)``, after ``spark.dataSource.register(MailboxSource)``."""
+def in_chunks(uids: DataFrame, size: int = CHUNK) -> DataFrame:
+    """``raw_name, chunk, uids``: each folder's uids, newest first, in the groups in which they are fetched.
 
-    @classmethod
-    def name(cls):
-        return "mailbox"
+    Groups are ranges of uids that begin at multiples of ``size``, so no folder is sorted in one place."""
+    chunk = F.floor(F.col("uid") / size)
+    return uids.groupBy("raw_name", chunk.alias("chunk")).agg(F.sort_array(F.collect_list("uid"), asc=False).alias("uids"))
 
-    def schema(self):
-        return "raw_name string, uid bigint, message_id string, size_bytes bigint, content binary"
 
-    def reader(self, schema):
-        return MailboxReader(self.options)
+def listed(lines: DataFrame) -> DataFrame:
+    """``uid, size_bytes, modseq, internal_date, flags, message_id`` from ``lines(line)`` of a server's responses."""
+    return lines.select(message_lines("line").alias("m")).select("m.*").where("uid IS NOT NULL")

@@ -84,14 +84,24 @@ def bytes_cut(lines: DataFrame) -> DataFrame:
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """The last known state of each message, folded from its events in the order of time."""
+    """The last known state of each message, folded from its events in the order of the instants that their
+    timestamps name, of equal ones in the order of file and place where ``events`` has these."""
     key = ["account_id", "folder_id", "uidvalidity", "uid"]
     state = F.when(F.col("event") == "moved", "moved").when(F.col("event") == "delete_detected", "deleted")
     state = state.when(F.col("event") == "remote_state_unknown", "unknown").otherwise("present")
-    rows = events.withColumn("state", state)
+    order = F.struct(F.try_to_timestamp("timestamp"), *(F.col(c) for c in ("file", "place") if c in events.columns))
+    rows = events.withColumn("state", state).withColumn("order", order)
+    of = lambda event: F.when(F.col("event") == event, F.col("order"))
     return rows.groupBy(*key).agg(
-        F.max_by("state", "timestamp").alias("remote_state"),
-        F.max_by("relative_path", F.when(F.col("event") == "fetch", F.col("timestamp"))).alias("relative_path"),
-        F.max_by("moved_to_folder_id", F.when(F.col("event") == "moved", F.col("timestamp"))).alias("moved_to_folder_id"),
+        F.max_by("state", "order").alias("remote_state"),
+        F.max_by("relative_path", of("fetch")).alias("relative_path"),
+        F.max_by("moved_to_folder_id", of("moved")).alias("moved_to_folder_id"),
         F.count("*").alias("n_events"),
     )
+
+
+def repaired(lines: DataFrame) -> DataFrame:
+    """``file, place, value`` without the broken line at a file's end, which a crash leaves: what a repair
+    writes anew.  Lines in the middle stay, broken or not."""
+    cut = read_lines(lines).where("last AND NOT intact").select(F.col("file").alias("cut_file"), F.col("place").alias("cut_place"))
+    return lines.join(cut, (F.col("file") == F.col("cut_file")) & (F.col("place") == F.col("cut_place")), "left_anti")

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missive.functions.normalise import folded
+from missive.operators.index import Index, build
+from missive.operators.search import keyed
+from missive.scratch import scratch_path
 
 #: 2026-07-01T00:00:00Z.
 EPOCH = 1_782_864_000
@@ -24,6 +27,7 @@ class Views:
     messages: DataFrame
     contents: DataFrame
     failures: DataFrame
+    index: Index | None = None
 
 
 def stamp(seconds: Column) -> Column:
@@ -58,7 +62,7 @@ def views(spark: SparkSession, sf_dir: str) -> Views:
         F.when(doc % 3 != 0, stamp(F.lit(EPOCH) + doc * 3600)).alias("flags_seen_at"), (doc % 50).cast("string").alias("thread_key"),
         F.concat_ws("/", F.lit("eml"), account, F.concat(F.substring(hash_, 1, 32), F.lit(".eml"))).alias("relative_path"),
     )
-    contents = docs.where(doc % 17 != 0).select(
+    contents = docs.where("text IS NOT NULL").select(
         doc.alias("message_id"), folded(F.substring("text", 1, 60)).alias("subject_norm"), folded(F.concat("source", F.lit("@example.org"))).alias("sender_norm"),
         folded(F.col("text")).alias("body_text"), F.when(F.col("n_chars") > 2000, F.concat(F.lit("report-"), doc.cast("string"), F.lit(".xlsx"))).alias("attachment_names"),
     )
@@ -70,6 +74,25 @@ def views(spark: SparkSession, sf_dir: str) -> Views:
     return Views(accounts, folders, messages, contents, failures)
 
 
+_STORED: dict[tuple[str, str], Views] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Views:
+    """The model written once for a session, with its search index: contents are normalised when they are
+    stored, messages lie in the order of pages, and searches read these tables."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        v, path = views(spark, sf_dir), scratch_path(spark, "store")
+        order = [F.desc("sort_key"), F.desc("id")]
+        keyed(v.messages).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/messages")
+        for name in ("accounts", "folders", "failures"):
+            getattr(v, name).coalesce(1).write.parquet(f"{path}/{name}")
+        index = build(v.contents, f"{path}/index")
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        _STORED[key] = Views(read("accounts"), read("folders"), read("messages"), index.table("contents"), read("failures"), index)
+    return _STORED[key]
+
+
 def _fold(text: str) -> str:
     return rf"trim(regexp_replace(replace(lower({text}), 'ß', 'ss'), '\s+', ' ', 'g'))"
 
@@ -93,7 +116,7 @@ CTES = {
       CASE WHEN d.doc_id % 3 <> 0 THEN {_stamp(f"{EPOCH} + d.doc_id * 3600")} END AS flags_seen_at, CAST(d.doc_id % 50 AS VARCHAR) AS thread_key,
       'eml/' || {_ACCOUNT} || '/' || substr(sha256(text), 1, 32) || '.eml' AS relative_path
       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
-    "contents": f"SELECT doc_id AS message_id, {_fold('substr(text, 1, 60)')} AS subject_norm, {_fold('source')} || '@example.org' AS sender_norm, {_fold('text')} AS body_text, CASE WHEN n_chars > 2000 THEN 'report-' || doc_id || '.xlsx' END AS attachment_names FROM documents WHERE doc_id % 17 <> 0",
+    "contents": f"SELECT doc_id AS message_id, {_fold('substr(text, 1, 60)')} AS subject_norm, {_fold('source')} || '@example.org' AS sender_norm, {_fold('text')} AS body_text, CASE WHEN n_chars > 2000 THEN 'report-' || doc_id || '.xlsx' END AS attachment_names FROM documents WHERE text IS NOT NULL",
     "failures": f"SELECT {_ACCOUNT} AS account_id, {_FOLDER} AS folder_id, CAST(1 AS BIGINT) AS uidvalidity, d.doc_id AS uid, CASE l.doc_id % 3 WHEN 0 THEN 'transient' WHEN 1 THEN 'oversize' ELSE 'parse' END AS error_class, d.doc_id % 12 + 1 AS attempt_count, {_stamp(f'{EPOCH} + d.doc_id * 10')} AS first_failed_at FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 0",
 }
 

@@ -24,7 +24,7 @@ def test_reparse_renews_what_is_verified(spark, tmp_path):
     hashes = {r[0].rpartition("/")[2]: r[1] for r in files.select("path", F.sha2("content", 256)).collect()}
     rows = [(1, "a.eml", hashes["a.eml"].upper(), None), (2, "b.eml", hashes["b.eml"], None), (3, "c.eml", "0" * 64, None), (4, "d.eml", "0" * 64, None)]
     targets = spark.createDataFrame(rows, "id long, relative_path string, file_hash string, internal_date string")
-    got = reparse.reparse(targets, files, datetime(2026, 7, 31, tzinfo=UTC))
+    got = reparse.reparse(targets, files, str(tmp_path), datetime(2026, 7, 31, tzinfo=UTC))
     assert {r.message_id: r.state for r in got.collect()} == {1: "ok", 2: "parse", 3: "mismatch", 4: "missing"}
     assert tuple(reparse.counters(got).first()) == (4, 1, 3, 1, 1, 1)
     old = spark.createDataFrame([(1, "old", "", "old", None), (2, "kept", "", "kept", None)], "message_id long, subject_norm string, sender_norm string, body_text string, attachment_names string")

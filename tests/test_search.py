@@ -2,54 +2,65 @@
 
 from __future__ import annotations
 
+import random
+from dataclasses import replace
 from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from missive.functions.normalise import normalise, normalised, without_surrogates
+from missive.operators import index
 from missive.operators import search as s
-from missive.plans.filters import MessageFilter, PageCursor, day_bounds, utc_text
+from missive.plans.filters import Page, day_bounds, read_cursor, utc_text, wanted, write_cursor
 from missive.plans.query import QuerySyntaxError, parse_query
 from missive.views import Views
 
 
 def test_terms_are_split_normalised_and_routed():
-    assert parse_query("alpha　 beta   gamma").match_terms == ('"alpha"', '"beta"', '"gamma"')
-    plan = parse_query("ＴＥＳＴ　ＡＢ")
-    assert plan.match_terms == ('"test"',) and plan.like_terms == ("ab",) and plan.has_slow_path
-    assert parse_query('"hello world" "say ""hi"""').match_terms == ('"hello world"', '"say ""hi"""')
-    plan = parse_query('alpha -beta　-"gamma delta"', "or")
-    assert plan.exclude_match_terms == ('"beta"', '"gamma delta"') and plan.mode == "or" and not plan.has_slow_path
-    assert parse_query(r"\%").like_terms == (r"\\\%",)
+    plan = parse_query("Müller\u2003Rechnung\n2024")
+    assert plan.match_terms == ('"müller"', '"rechnung"', '"2024"') and not plan.has_slow_path
+    plan = parse_query("ｖ２ ＯＫ　STRASSE straße")
+    assert plan.match_terms == ('"strasse"', '"strasse"') and plan.like_terms == ("v2", "ok") and plan.has_slow_path
+    assert parse_query('"so long, and" "a ""b"" c"').match_terms == ('"so long, and"', '"a ""b"" c"')
+    plan = parse_query('ship -"sail boat" -tug -x y', "or")
+    assert plan.exclude_match_terms == ('"sail boat"', '"tug"') and plan.exclude_like_terms == ("x",) and plan.include == ("ship", "y") and plan.mode == "or"
+    assert parse_query("5% _a \\").like_terms == ("5\\%", "\\_a", "\\\\")
 
 
-@pytest.mark.parametrize("text", ["", "　", "-alpha", '""', '"unfinished', "-", 'alpha"beta', '"   "', "- a", 'a "b"c'])
+@pytest.mark.parametrize("text", [" \t\n", "-none -at -all", '"open phrase', 'glue"d"', '"shut"too', "one -", '""', 'x "\u3000"', '-"" y'])
 def test_broken_queries(text):
     with pytest.raises(QuerySyntaxError):
         parse_query(text)
+
+
+def test_modes_are_two():
     with pytest.raises(QuerySyntaxError):
-        parse_query("a", "xor")
+        parse_query("word", "near")
 
 
-def test_cursor_codec():
-    cursor = PageCursor("2026-07-31T12:00:00Z", 1)
-    assert PageCursor.from_string(cursor.to_string()) == cursor
-    for bad in ("x", "[]", "{}", '{"sort_key":1,"message_id":1}', '{"sort_key":"a","message_id":true}', '{"sort_key":"a","message_id":1,"x":2}'):
+def test_cursors():
+    for place in (("2025-12-24T18:00:00Z", 77), ("", 0), ("ö\"", -1)):
+        assert read_cursor(write_cursor(*place)) == place
+    for bad in ("", "null", "7", '{"sort_key":"k"}', '{"sort_key":"k","message_id":"7"}', '{"sort_key":null,"message_id":7}', '{"sort_key":"k","message_id":false}', '{"sort_key":"k","message_id":7,"page":2}', '{"sort_key":"k","message_id":7.0}'):
         with pytest.raises(ValueError):
-            PageCursor.from_string(bad)
+            read_cursor(bad)
 
 
-def test_day_bounds():
-    a, b = day_bounds("2026-07-30", "2026-07-31")
-    assert utc_text(a) == "2026-07-30T00:00:00Z" and utc_text(b) == "2026-07-31T23:59:59Z"
-    with pytest.raises(ValueError):
-        day_bounds("2026-08-01", "2026-07-31")
+def test_days_and_conditions():
+    first, last = day_bounds("2024-02-29", "2024-02-29")
+    assert (utc_text(first), utc_text(last)) == ("2024-02-29T00:00:00Z", "2024-02-29T23:59:59Z") and day_bounds(None, "") == (None, None)
+    for broken in (("2024-03-01", "2024-02-29"), ("2024-02-30", None), (None, "soon")):
+        with pytest.raises(ValueError):
+            day_bounds(*broken)
+    assert [c.column for c in wanted()] == ["local_state"] and wanted(local=None) == () and wanted(since=first)[-1].value == utc_text(first)
+    with pytest.raises(TypeError):
+        wanted(colour="red")
 
 
 def test_normaliser(spark):
-    assert normalise(" ＡＢＣ　１２３ ") == "abc 123" and normalise("a\t\nb") == "a b" and normalise("かな") != normalise("カナ")
-    assert without_surrogates("body\ud800 text") == "body? text"
+    assert normalise("\u3000Ｔｅｌ．\u2007０９ ") == "tel. 09" and normalise("x\v\r y") == "x y" and normalise("ひ") != normalise("ヒ")
+    assert without_surrogates("\udfffhalf \ud83d") == "?half ?" and normalise("A\ud83d") == "a?"
     rows = spark.createDataFrame([(" ＡＢＣ　ẞ ",), (None,)], "t string")
     assert [r[0] for r in rows.select(normalised("t")).collect()] == ["abc ss", None]
 
@@ -80,15 +91,15 @@ def model(spark, rows: list[dict], failures=()) -> Views:
     )
 
 
-def ids(page) -> list[int]:
+def ids(page: Page) -> list[int]:
     return [r.id for r in page.items]
 
 
 def test_terms_find_text_and_attachment_names(spark):
     v = model(spark, [{"text": "Invoice 2026"}, {"text": "two character marker", "names": "report.xlsx"}, {"text": "Unrelated"}, {}])
-    assert [ids(s.search(v, q)) for q in ("invoice", "tw", "xlsx")] == [[1], [2], [2]]
+    assert [ids(s.search(v, q)) for q in ("voic", '"o c"', '"r m"', "lsx")] == [[1], [2], [2], [2]]
     plans = []
-    assert s.search(v, "tw", on_plan=plans.append).has_slow_path and plans[0].like_terms == ("tw",)
+    assert s.search(v, "ma", on_plan=plans.append).slow and plans[0].like_terms == ("ma",)
     assert ids(s.search(v, None)) == [4, 3, 2, 1]  # without contents: listed, not found
 
 
@@ -96,35 +107,34 @@ def test_modes_and_exclusions(spark):
     v = model(spark, [{"text": "alpha beta"}, {"text": "alpha only"}, {"text": "beta only"}, {"text": "gamma"}])
     assert ids(s.search(v, "alpha beta")) == [1] and ids(s.search(v, "alpha beta", mode="or")) == [3, 2, 1]
     assert ids(s.search(v, "alpha -beta")) == [2] and ids(s.search(v, "alpha -beta -gamma")) == [2]
-    compat = s.selected(v.messages, v.contents, MessageFilter(), parse_query("alpha -beta -gamma"), compat=True)
+    compat = s.selected(v, wanted(), parse_query("alpha -beta -gamma"), compat=True)
     assert {r.id for r in compat.collect()} == {2, 4}
 
 
 def test_filters(spark):
     base = {"text": "needle"}
     v = model(spark, [base | {"has_attachment": True, "remote_state": "deleted"}, base | {"account_id": "b", "folder_id": 2}, base | {"local_state": "purged"}, base | {"local_state": "trashed"}])
-    only = MessageFilter(account_ids=("a",), folder_ids=(1,), has_attachment=True, remote_states=("deleted",), date_from=datetime(2026, 7, 1, tzinfo=UTC), date_to=datetime(2026, 8, 1, tzinfo=UTC))
+    only = wanted(accounts=("a",), folders=(1,), attachment=True, remote=("deleted",), since=datetime(2026, 7, 1, tzinfo=UTC), until=datetime(2026, 8, 1, tzinfo=UTC))
     assert ids(s.search(v, "needle", only)) == [1] and ids(s.search(v, "needle")) == [2, 1]
-    for none in ({"account_ids": ()}, {"folder_ids": ()}, {"local_states": ()}, {"remote_states": ()}):
-        assert ids(s.search(v, "needle", MessageFilter(**none))) == []
+    for none in ("accounts", "folders", "local", "remote"):
+        assert ids(s.search(v, "needle", wanted(**{none: ()}))) == []
 
 
 def test_undated_rows_and_the_last_second_of_a_day(spark):
     v = model(spark, [{"date_sent": None}, {"date_sent": "2026-07-30T23:59:59Z"}])
     last = day_bounds(None, "2026-07-30")[1]
-    assert ids(s.search(v, None, MessageFilter(date_to=last))) == [2, 1]
-    assert ids(s.search(v, None, MessageFilter(date_from=datetime(2026, 1, 1, tzinfo=UTC)))) == [2]
-    assert [r.id for r in v.messages.where(s.conditions(MessageFilter(date_to=last), compat=True)).collect()] == [1]
+    assert ids(s.search(v, None, wanted(until=last))) == [2, 1]
+    assert ids(s.search(v, None, wanted(since=datetime(2026, 1, 1, tzinfo=UTC)))) == [2]
 
 
 def test_pages_by_keyset(spark):
     v = model(spark, [{}, {}, {"date_sent": None, "internal_date": "2026-07-30T00:00:00Z"}, {"date_sent": None}])
     first = s.search(v, None, limit=2)
-    assert ids(first) == [2, 1] and first.next_cursor == PageCursor("2026-07-31T12:00:00Z", 1) and not first.exhausted
+    assert ids(first) == [2, 1] and read_cursor(first.next_cursor) == ("2026-07-31T12:00:00Z", 1) and not first.exhausted
     second = s.search(v, None, cursor=first.next_cursor, limit=2)
     assert ids(second) == [3, 4] and second.exhausted and second.next_cursor is None
     with pytest.raises(ValueError):
-        s.page_rows(v, MessageFilter(), limit=0)
+        s.page_rows(v, wanted(), limit=0)
 
 
 def test_joined_names_and_failures(spark):
@@ -148,9 +158,56 @@ def test_plans_push_filters_and_take_the_top_rows(spark, tmp_path):
     v.contents.write.parquet(f"{tmp_path}/c")
     v.messages, v.contents = spark.read.parquet(f"{tmp_path}/m"), spark.read.parquet(f"{tmp_path}/c")
     spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
-    rows = s.page_rows(v, MessageFilter(), parse_query("needle -x1"), PageCursor("2026-08-01T00:00:00Z", 3))
+    rows = s.page_rows(v, wanted(), parse_query("needle -x1"), write_cursor("2026-08-01T00:00:00Z", 3))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "local_state" in plan.split("PushedFilters", 1)[1]
     assert "StringContains(body_text,needle)" in plan and "Not(StringContains(body_text,x1))" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert rows.agg(F.count("*")).first()[0] == 5
+
+
+@pytest.fixture(scope="module")
+def indexed(spark, tmp_path_factory):
+    """Contents with and without the index: four columns, blanks, short texts and a null one."""
+    rng = random.Random(11)
+    words = ["an", "ant", "antler", "tlera", "red", "reddish", "ß", "x1", "日本語", "本語の", "5%", "a b", "zz"]
+    rows = [{"text": " ".join(rng.choice(words) for _ in range(rng.randint(0, 12))), "subject": rng.choice(words), "names": rng.choice([None, *words])} for _ in range(150)] + [{"text": ""}, {"text": "a"}, {"text": "rare antlers"}]
+    v = model(spark, rows)
+    path = str(tmp_path_factory.mktemp("index"))
+    return v, replace(v, index=index.build(v.contents, path))
+
+
+def test_the_index_finds_what_a_scan_finds(indexed):
+    plain, v = indexed
+    queries = ["ant", "antler", "red antler", "reddish", '"tler an"', "日本語", "日本語の", "an", "ß", "zz ant", "ant -red", "ant -reddish -x1", "antlers", "nothing", '"red red"', "ant -ß -日本語", '"r r"', '"ish 5%"']
+    for query in queries:
+        for mode in ("and", "or"):
+            plan = parse_query(query, mode)
+            want = sorted(r.id for r in s.selected(plain, wanted(), plan).select("id").collect())
+            assert sorted(r.id for r in s.selected(v, wanted(), plan).select("id").collect()) == want, (query, mode)
+    assert s.count(v, plan=parse_query("ant")).first().n == s.count(plain, plan=parse_query("ant")).first().n > 10
+    assert ids(s.search(v, "antlers")) == [153]
+
+
+def test_the_index_after_changes(indexed, spark, tmp_path):
+    _, v = indexed
+    changes = spark.createDataFrame([(1, "new subject", "", "wholly other words", None, False), (2, None, None, None, None, True), (900, "", "", "antlered", "names.txt", False)], "message_id long, subject_norm string, sender_norm string, body_text string, attachment_names string, removed boolean")
+    new = index.updated(v.index, changes, str(tmp_path))
+    now = new.table("contents").drop("block")
+    assert now.where("message_id IN (1, 2, 900)").count() == 2 and now.count() == 153
+    again = index.postings(now)
+    assert sorted(map(tuple, new.table("postings").collect())) == sorted(map(tuple, again.collect()))
+    assert sorted(map(tuple, new.table("counts").collect())) == sorted(map(tuple, again.groupBy("gram").count().collect()))
+    assert [r.found_id for r in index.found(new, parse_query("antlered")).collect()] == [900] and [r.found_id for r in index.found(new, parse_query("wholly")).collect()] == [1]
+
+
+def test_only_the_blocks_of_candidates_are_read(indexed, spark, tmp_path):
+    plain, _ = indexed
+    wide = plain.contents.withColumn("message_id", F.col("message_id") * 1000)
+    built = index.build(wide, str(tmp_path))
+    rows = index.found(built, parse_query("antlers"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "gram" in plan.split("PushedFilters", 1)[1]
+    assert [r.found_id for r in rows.collect()] == [153_000]
+    # Terms of three characters are answered without any text.
+    assert "body_text" not in index.found(built, parse_query("ant -red"))._jdf.queryExecution().executedPlan().toString()

@@ -109,6 +109,56 @@ def test_event_rules(spark):
     assert [r[0] for r in df.select(log.valid()).collect()] == [True, True, False, False, False, False, False]
 
 
+def test_replay_goes_by_instants_and_then_by_place(spark):
+    rows = [event(event="fetch", uid=1, timestamp="2026-01-01T00:00:00+09:00"), event(event="delete_detected", uid=1, timestamp="2025-12-31T20:00:00Z"),
+            event(event="moved", uid=2, timestamp="2026-01-01T00:00:00Z") | {"moved_to_folder_id": 4}, event(event="fetch", uid=2, timestamp="2026-01-01T09:00:00+09:00")]
+    frame = spark.createDataFrame([(r["account_id"], 1, 1, r["uid"], r["event"], r["timestamp"], None, r.get("moved_to_folder_id"), "f", i) for i, r in enumerate(rows)],
+                                  "account_id string, folder_id long, uidvalidity long, uid long, event string, timestamp string, relative_path string, moved_to_folder_id long, file string, place long")
+    assert {r.uid: (r.remote_state, r.moved_to_folder_id) for r in log.replay(frame).collect()} == {1: ("deleted", None), 2: ("present", 4)}
+
+
+def test_a_torn_tail_is_repaired(spark):
+    lines = spark.createDataFrame([("a", 1, "broken"), ("a", 2, "torn"), ("b", 1, "torn")], "file string, place long, value string")
+    assert {(r.file, r.place) for r in log.repaired(lines).collect()} == {("a", 1)}
+
+
+def test_folders_and_accounts_have_defaults(spark):
+    kind = "id long, account_id string, raw_name string, display_name string, uidvalidity long, is_sync_target boolean, initial_sync_completed boolean, last_synced_at string"
+    table = spark.createDataFrame([(7, "a", "Old", "Alt", 3, False, True, "t0")], kind)
+    rows = [("a", "Old", None, 4, None, 1), ("a", "New", "Neu", None, None, 1), ("b", "Old", None, 9, "t1", 1)]
+    got = store.upsert_folders(table, spark.createDataFrame(rows, "account_id string, raw_name string, display_name string, uidvalidity long, last_synced_at string, seq long"))
+    found = {(r.account_id, r.raw_name): tuple(r)[3:] for r in got.collect()}
+    assert found == {("a", "Old"): ("Alt", 4, False, True, "t0"), ("a", "New"): ("Neu", None, True, False, None), ("b", "Old"): (None, 9, True, False, "t1")}
+    assert sorted(r.id for r in got.collect()) == [7, 8, 9]
+    accounts = spark.createDataFrame([("a", 1, False)], "id string, port int, is_enabled boolean")
+    got = store.upsert_accounts(accounts, spark.createDataFrame([("a", 2, 1), ("b", None, 1)], "id string, port int, seq long"))
+    assert {tuple(r) for r in got.collect()} == {("a", 2, False), ("b", 993, True)}
+
+
+def test_states_can_be_cleared_and_missing_folders_are_errors(spark):
+    messages = spark.createDataFrame([(1, "moved", 4), (2, "moved", 4)], "id long, remote_state string, moved_to_folder_id long")
+    states = spark.createDataFrame([(1, "deleted", None)], "id long, remote_state string, moved_to_folder_id long")
+    assert {tuple(r) for r in store.set_remote_state(messages, states).collect()} == {(1, "deleted", None), (2, "moved", 4)}
+    folders = spark.createDataFrame([("a", "I", True), ("a", "J", True)], "account_id string, raw_name string, is_sync_target boolean")
+    assert {tuple(r) for r in store.set_sync_target(folders, "a", "I", False).collect()} == {("a", "I", False), ("a", "J", True)}
+    with pytest.raises(LookupError):
+        store.set_sync_target(folders, "b", "I", True)
+
+
+def test_contents_fall_back_to_headers(spark):
+    rows = [(1, None, "Ｓｕｂ", "SENDER", "Body\n\nText"), (2, "", "Sub", None, None)]
+    got = store.normalised_contents(spark.createDataFrame(rows, "message_id long, subject_norm string, subject string, sender string, body_text string"))
+    assert [tuple(r) for r in got.orderBy("message_id").collect()] == [(1, "sub", "sender", "body text", None), (2, "", None, None, None)]
+
+
+def test_times_are_made_canonical(spark):
+    rows = {"2024-02-29 01:02:03": "2024-02-29T01:02:03Z", "2024-02-29 01:02:03.9": "2024-02-29T01:02:03Z", "2024-02-29 01:02": "2024-02-29T01:02:00Z", "2024-02-29": "2024-02-29T00:00:00Z",
+            "2024-02-29 01:02:03+09:00": "2024-02-28T16:02:03Z", "2024-02-29 23:30:00 -01:00": "2024-03-01T00:30:00Z", "2024-02-29 01:02:03Z": "2024-02-29T01:02:03Z",
+            "2024-02-30 01:02:03": "2024-02-30 01:02:03", "2024-02-29T01:02:03.5+09:00": "2024-02-29T01:02:03.5+09:00", "soon": "soon", "": "", None: None}
+    got = spark.createDataFrame([(k,) for k in rows], "t string").select(store.canonical_time(F.col("t"))).collect()
+    assert [r[0] for r in got] == list(rows.values())
+
+
 @pytest.fixture
 def mailbox(tmp_path):
     for folder, uids in (("INBOX", (1, 2, 3)), ("Old", (7,))):
@@ -118,23 +168,36 @@ def mailbox(tmp_path):
     return tmp_path / "mail"
 
 
-def test_mailbox_source(spark, mailbox):
-    spark.dataSource.register(files.MailboxSource)
-    rows = spark.read.format("mailbox").option("min_uid", 2).load(str(mailbox)).collect()
-    assert {(r.raw_name, r.uid, r.message_id) for r in rows} == {("INBOX", 2, "<2@x>"), ("INBOX", 3, "<3@x>"), ("Old", 7, "<7@x>")}
-    head = spark.read.format("mailbox").options(headers="true", max_uid="1").load(str(mailbox)).first()
-    assert b"Body" not in head.content and head.size_bytes > len(head.content)
+def test_mailbox_ranges(spark, mailbox):
+    (mailbox / "INBOX" / "notes.eml").write_bytes(b"x")
+    rows = files.mailbox(spark, str(mailbox), low=2)
+    assert {(r.raw_name, r.uid, r.size_bytes == len(r.content)) for r in rows.collect()} == {("INBOX", 2, True), ("INBOX", 3, True), ("Old", 7, True)}
+    assert "content" not in files.mailbox(spark, str(mailbox), content=False).columns
+    head = files.headers(files.mailbox(spark, str(mailbox), high=1)).first()
+    assert b"Body" not in head.head and head.message_id == "<1@x>" and head.size_bytes > len(head.head)
+    chunks = files.in_chunks(spark.createDataFrame([("I", i) for i in range(1, 8)], "raw_name string, uid long"), 3)
+    assert {r.chunk: r.uids for r in chunks.collect()} == {0: [2, 1], 1: [5, 4, 3], 2: [7, 6]}
+    lines = spark.createDataFrame([("* 1 FETCH (UID 5 FLAGS (\\Seen))",), ("* OK",)], "line string")
+    assert [(r.uid, r.flags) for r in files.listed(lines).collect()] == [(5, ["\\Seen"])]
 
 
 def test_files_are_verified_and_stored_once(spark, mailbox):
     stored = files.read_messages(spark, str(mailbox))
     one = stored.where("path LIKE '%/INBOX/1.eml'").select(F.sha2("content", 256)).first()[0]
     wanted = spark.createDataFrame([("INBOX/1.eml", one.upper()), ("INBOX/2.eml", one), ("INBOX/9.eml", one), ("../INBOX/1.eml", one)], "relative_path string, file_hash string")
-    assert {r.relative_path: r.state for r in files.verified(stored, wanted).collect()} == {"INBOX/1.eml": "ok", "INBOX/2.eml": "mismatch", "INBOX/9.eml": "missing", "../INBOX/1.eml": "outside"}
+    assert {r.relative_path: r.state for r in files.verified(stored, wanted, str(mailbox)).collect()} == {"INBOX/1.eml": "ok", "INBOX/2.eml": "mismatch", "INBOX/9.eml": "missing", "../INBOX/1.eml": "outside"}
     incoming = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("a", "y", 3), ("b", "x", 4)], "account_id string, sha256 string, seq long")
     known = spark.createDataFrame([("a", "y")], "account_id string, file_hash string")
     assert {r.seq: r.deduplicated for r in files.stored_once(incoming, known).collect()} == {1: False, 2: True, 3: True, 4: False}
     assert files.read_headers(spark, str(mailbox)).count() == 4
+    # A path that ends like the one wanted is another file.
+    (mailbox / "b" / "INBOX").mkdir(parents=True)
+    (mailbox / "b" / "INBOX" / "1.eml").write_bytes(b"other")
+    again = files.verified(files.read_messages(spark, str(mailbox)), wanted.where("relative_path = 'INBOX/1.eml'"), f"file:{mailbox}/").collect()
+    assert [r.state for r in again] == ["ok"]
+    paths = ["a/b", "a/..b", "/a", "a/../b", "..", "C:x", "a\\..\\b", "", None]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select(files.confined(F.col("p"))).collect()
+    assert [r[0] for r in got] == [True, True] + [False] * 7
 
 
 def test_stream_takes_each_file_once(spark, mailbox, tmp_path):
