@@ -1,12 +1,13 @@
 """Exact duplicates by progressive refinement.
 
 1. Rows are grouped by the byte length of the normalised text; a length held once is done.
-2. Of the others, groups by length and the hash of the first bytes; a pair held once is done.
+2. Of the others, groups by length and the hash of the first characters; a pair held once is done.
 3. Only rows of surviving groups have their whole text hashed (SHA-256), and equal length and
    hash make a group of copies.
 
-Stages 1 and 2 move a length, a hash and a count for each row, summed before the shuffle; no
-text is shuffled in any stage.  Texts are equal when identical after lower-casing A-Z.
+Stages 1 and 2 move a length, a hash and a count for each row, summed before the shuffle.  The
+groups that survive them become a bitmap of fixed size that all executors get, so that the
+last pass knows which texts to hash; no text is shuffled for it.  Texts are equal when identical after lower-casing A-Z.
 
 Edge cases: null counts as empty, and empty texts are copies of each other; of copies the
 largest id stays; of rows that repeat id and text, the one with the largest tag (given to each
@@ -16,36 +17,52 @@ result; other columns are ignored here and kept by ``keep_one``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import ascii_lower, materialize
+from missive.llm.common import ascii_lower, bitmap, discard, join_groups, materialize, with_marks
 
-#: Bytes of a text that stage 2 hashes.
+#: Characters of a text that stage 2 hashes.
 PREFIX = 256
-#: Surviving groups up to this many (24 bytes each) are sent to all executors.
+#: Tables of up to this many rows (40 bytes each) are sent to all executors.
 SMALL = 200_000
 
 
-def _normal(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    text = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.select(*(extra or []), F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"))
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    head = F.substring(F.col("_text").cast("binary"), 1, PREFIX)
-    return rows.withColumn("_len", F.octet_length("_text")).withColumn("_head", F.xxhash64(head))
+def _digest() -> Column:
+    return F.sha2(ascii_lower(_text()).cast("binary"), 256)
+
+
+def _length() -> Column:
+    """The bytes of the normalised text: folding A-Z keeps their number."""
+    return F.octet_length(_text())
+
+
+def _head() -> Column:
+    """A hash of the first characters of the normalised text."""
+    return F.xxhash64(ascii_lower(F.substring(_text(), 1, PREFIX)))
 
 
 def surviving(docs: DataFrame) -> DataFrame:
     """``_len, _head`` of the groups that hold several rows after stages 1 and 2."""
-    rows = _keyed(_normal(docs)).select("_len", "_head")
-    lengths = materialize(rows.groupBy("_len").count().where("count > 1").select("_len"), "lengths")
-    if lengths.count() <= SMALL:
-        several = rows.join(F.broadcast(lengths), "_len", "left_semi").groupBy("_len", "_head").count()
-    else:  # summed before the shuffle here too, so that a length of many rows is not one task's
-        several = rows.groupBy("_len", "_head").count().join(lengths, "_len", "left_semi")
-    return several.where("count > 1").select("_len", "_head")
+    keys = docs.select(_length().alias("_len"), _head().alias("_head")).groupBy("_len", "_head").agg(F.count("*").alias("n"))
+    keys = materialize(keys, "keys")
+    lengths = keys.groupBy("_len").agg(F.sum("n").alias("rows")).where("rows > 1").select("_len")
+    return keys.where("n > 1").join(lengths, "_len", "left_semi").select("_len", "_head")
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The surviving groups as a bitmap."""
+    return bitmap(surviving(docs), F.struct("_len", "_head"), "survivors")
+
+
+def with_hit(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """``docs`` and ``_mx_hit``: whether the row's group may have survived.  A row beside a group that
+    did is hashed for nothing, and no row of one is missed."""
+    return with_marks(docs, words, F.struct(_length().alias("_len"), _head().alias("_head")), "_mx_hit")
 
 
 def exact_groups(docs: DataFrame, digest_all: bool = False) -> DataFrame:
@@ -53,26 +70,25 @@ def exact_groups(docs: DataFrame, digest_all: bool = False) -> DataFrame:
 
     ``digest`` is the text's SHA-256 for the rows that stage 3 read, and for all rows if
     ``digest_all``; grouping uses the former alone."""
-    keys = materialize(surviving(docs), "surviving").withColumn("_hit", F.lit(True))
-    if keys.count() <= SMALL:
-        keys = F.broadcast(keys)
-    rows = _keyed(_normal(docs)).join(keys, ["_len", "_head"], "left")
-    digest = F.sha2(F.col("_text").cast("binary"), 256)
-    full = F.when(F.col("_hit"), digest)
-    rows = rows.select(
-        "doc_id",
+    return _groups(docs, survivors(docs), digest_all)
+
+
+def _groups(docs: DataFrame, words: DataFrame, digest_all: bool = False) -> DataFrame:
+    rows = with_hit(docs.select("doc_id", "text"), words).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
         F.monotonically_increasing_id().alias("tag"),
-        F.coalesce(F.col("_hit"), F.lit(False)).alias("hit"),
-        (digest if digest_all else full).alias("digest"),
+        F.col("_mx_hit").alias("hit"),
+        (_digest() if digest_all else F.when(F.col("_mx_hit"), _digest())).alias("digest"),
     )
     rows = materialize(rows, "digests")
     group = rows.where("hit").groupBy("digest").agg(F.max(F.struct("doc_id", "tag")).alias("stays"), F.count("*").alias("n"))
-    several = rows.where("hit").join(group.where("n > 1"), "digest", "left")
+    group = materialize(group.where("n > 1").withColumn("group_size", F.col("n")), "groups")
+    several = join_groups(rows.where("hit"), group, "digest")
     alone = F.col("stays").isNull()
     several = several.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("stays.doc_id")).alias("keep_id"),
-        F.coalesce("n", F.lit(1)).alias("group_size"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
         (alone | (F.col("tag") == F.col("stays.tag"))).alias("kept"),
         "digest",
     )
@@ -83,18 +99,19 @@ def exact_groups(docs: DataFrame, digest_all: bool = False) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the copies that ``exact_groups`` drops, with its columns as they were."""
-    groups = materialize(exact_groups(docs), "groups")
+    """``docs`` without the copies that ``exact_groups`` drops, with its columns as they were.  Texts
+    of groups that did not survive are not hashed here either."""
+    words = survivors(docs)
+    groups = materialize(_groups(docs, words), "kept")
     columns = docs.columns
     dropped = groups.where("not kept").select(F.col("doc_id").alias("_mx_id"), F.col("digest").alias("_mx_digest")).distinct()
     kept = groups.where("kept and group_size > 1").select(F.col("doc_id").alias("_mx_id"), F.col("digest").alias("_mx_digest"))
     # A row that repeats id and text is dropped once and kept once.
     twice = materialize(dropped.join(kept, ["_mx_id", "_mx_digest"], "left_semi"), "twice")
     gone = materialize(dropped.join(twice, ["_mx_id", "_mx_digest"], "left_anti"), "gone")
-    text = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.withColumns({"_mx_id": F.col("doc_id").cast("long"), "_mx_digest": F.sha2(text.cast("binary"), 256)})
-    if gone.count() <= SMALL:
-        gone = F.broadcast(gone)
+    discard(groups)
+    gone, twice = (F.broadcast(x) if x.count() <= SMALL else x for x in (gone, twice))
+    rows = with_hit(docs, words).withColumns({"_mx_id": F.col("doc_id").cast("long"), "_mx_digest": F.when(F.col("_mx_hit"), _digest())})
     match = rows["_mx_id"].eqNullSafe(gone["_mx_id"]) & (rows["_mx_digest"] == gone["_mx_digest"])
     rows = rows.join(gone, match, "left_anti")
     if not twice.isEmpty():
