@@ -390,6 +390,12 @@ def _(t):
     return run.flag_paths(t(kind, *rows), window, AT)
 
 
+@case("k18_exported_messages", "file_name string, bytes int", ("Re_ a_b 1.eml", 3), ("message 2.eml", 0))
+def _(t):
+    rows = t("id long, subject string, content binary", (1, "x/Re: a?b", bytearray(b"abc")), (2, " ", bytearray(b"")))
+    return export.message_file(rows).select("file_name", F.length("content").alias("bytes"))
+
+
 @case("n1_normalised_forms", "i int, shown string", (0, "tel. 09"), (1, "strasse"), (2, "a b"))
 def _(t):
     return texts(t, "\u3000Ｔｅｌ．\u2007０９ ", "STRAẞE", " a\t\n b ").select("i", normalised("t").alias("shown"))

@@ -17,9 +17,9 @@ LINE = (
 )
 
 
-def json_lines(summaries: DataFrame) -> DataFrame:
+def json_lines(summaries: DataFrame, fields: tuple[str, ...] = LINE) -> DataFrame:
     """A JSON object for each summary, nulls written."""
-    return summaries.select(F.to_json(F.struct(*LINE), {"ignoreNullFields": "false"}).alias("line"))
+    return summaries.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("line"))
 
 
 def tab_lines(summaries: DataFrame) -> DataFrame:
@@ -27,6 +27,12 @@ def tab_lines(summaries: DataFrame) -> DataFrame:
     return summaries.select(F.concat_ws("\t", *shown).alias("line"))
 
 
+def message_file(messages: DataFrame) -> DataFrame:
+    """``file_name, content`` of stored messages as they are exported: by their subject, safe for any file system, and id."""
+    name = F.concat(F.coalesce(F.nullif(F.trim("subject"), F.lit("")), F.lit("message")), F.lit(" "), F.col("id").cast("string"), F.lit(".eml"))
+    return messages.select(safe_names(name)["name"].alias("file_name"), "content")
+
+
 def attachments(messages: DataFrame) -> DataFrame:
     """``id, part_index, file_name, content_type, is_executable, warnings, payload`` of
     ``messages(id, content)``; names are safe, and free within a message: a repeated one gets `` (n)``."""

@@ -21,10 +21,10 @@ PAGE = 200
 #: Folders and failures are dimensions; folders are sent to all executors up to this many.
 SMALL_FOLDERS = 100_000
 SUMMARY = (
-    "id", "account_id", "folder_id", "folder_name", "subject", "sender", "date_sent", "internal_date", "size_bytes", "has_attachment",
-    "imap_flags", "local_state", "remote_state", "moved_to_folder_id", "moved_to_folder_name", "thread_key", "failure_class", "uid",
+    "id", "account_id", "folder_id", "folder_raw_name", "folder_name", "subject", "sender", "date_sent", "internal_date", "size_bytes", "has_attachment",
+    "imap_flags", "flags_seen_at", "local_state", "remote_state", "moved_to_folder_id", "moved_to_folder_name", "thread_key", "failure_class", "uid",
 )
-DETAIL = (*SUMMARY, "recipient", "message_id", "relative_path", "file_hash")
+DETAIL = (*SUMMARY, "recipient", "cc", "message_id", "in_reply_to", "references_ids", "relative_path", "file_hash")
 
 
 def sort_key() -> Column:
@@ -88,7 +88,7 @@ def selected(v, filters: tuple[Condition, ...], plan: SearchPlan | None = None,
 def with_names(rows: DataFrame, folders: DataFrame, failures: DataFrame) -> DataFrame:
     """Folder names (messages without a folder go), names of folders moved to, and failures of
     the same account, folder, generation and uid."""
-    here = folders.select(F.col("id").alias("f_id"), F.col("display_name").alias("folder_name"))
+    here = folders.select(F.col("id").alias("f_id"), F.col("raw_name").alias("folder_raw_name"), F.col("display_name").alias("folder_name"))
     there = folders.select(F.col("id").alias("t_id"), F.col("display_name").alias("moved_to_folder_name"))
     bad = failures.select(*(F.col(c).alias(f"x_{c}") for c in ("account_id", "folder_id", "uidvalidity", "uid")), F.col("error_class").alias("failure_class"))
     same = reduce(and_, (F.col(c) == F.col(f"x_{c}") for c in ("account_id", "folder_id", "uidvalidity", "uid")))

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from missive import cases
 from missive.functions import display, html, mail
 from missive.functions.normalise import normalised
+from missive.operators import export, index, measure, store, sync
 from missive.operators import search as s
-from missive.operators import store, sync
 from missive.plans.filters import Condition, day_bounds, wanted, write_cursor
 from missive.plans.query import parse_query
+from missive.scratch import scratch_path
 from missive.sources import files, log
 from missive.views import EPOCH, Views, sql, stored, views
 
@@ -129,8 +130,8 @@ for _name, (_filter, _where) in FILTERS.items():
 
 # Pages, threads, details.
 
-_SHOWN = f"""m.id, m.account_id, m.folder_id, f.display_name AS folder_name, coalesce(m.subject, '') AS subject, coalesce(m.sender, '') AS sender, m.date_sent, m.internal_date,
- m.size_bytes, m.has_attachment, m.imap_flags, m.local_state, m.remote_state, m.moved_to_folder_id, g.display_name AS moved_to_folder_name, m.thread_key, x.error_class AS failure_class, m.uid, {KEY} AS sort_key"""
+_SHOWN = f"""m.id, m.account_id, m.folder_id, f.raw_name AS folder_raw_name, f.display_name AS folder_name, coalesce(m.subject, '') AS subject, coalesce(m.sender, '') AS sender, m.date_sent, m.internal_date,
+ m.size_bytes, m.has_attachment, m.imap_flags, m.flags_seen_at, m.local_state, m.remote_state, m.moved_to_folder_id, g.display_name AS moved_to_folder_name, m.thread_key, x.error_class AS failure_class, m.uid, {KEY} AS sort_key"""
 _JOINS = """FROM messages m JOIN folders f ON f.id = m.folder_id LEFT JOIN folders g ON g.id = m.moved_to_folder_id
  LEFT JOIN failures x ON x.account_id = m.account_id AND x.folder_id = m.folder_id AND x.uidvalidity = m.uidvalidity AND x.uid = m.uid"""
 _ORDER = f"ORDER BY {KEY} DESC, m.id DESC"
@@ -152,10 +153,12 @@ def o3_search_page(v):
     return s.page_rows(v, wanted(accounts=("account-a",), attachment=True), parse_query("tion"), limit=50)
 
 
-@over_store("o8_deep_page", f"SELECT m.id, {KEY} AS sort_key FROM messages m WHERE local_state = 'active' {_ORDER} LIMIT 1 OFFSET 500")
+@over_store("o8_deep_page", f"SELECT m.id, {KEY} AS sort_key FROM messages m WHERE local_state = 'active' {_ORDER} LIMIT 200 OFFSET greatest(0, least(10000, (SELECT count(*) FROM messages WHERE local_state = 'active') - 200))")
 def o8_deep_page(v):
+    """The page at offset 10,000, or the last one of fewer rows."""
     rows = s.selected(v, wanted())
-    return rows.select("id", s.sort_key().alias("sort_key")).orderBy(F.desc("sort_key"), F.desc("id")).offset(500).limit(1)
+    at = max(0, min(10_000, rows.count() - s.PAGE))
+    return rows.select("id", s.sort_key().alias("sort_key")).orderBy(F.desc("sort_key"), F.desc("id")).offset(at).limit(s.PAGE)
 
 
 @over_store("o4_thread", f"SELECT {_SHOWN} {_JOINS} WHERE m.thread_key = '7' AND m.local_state = 'active'")
@@ -163,15 +166,22 @@ def o4_thread(v):
     return s.thread(v, "7")
 
 
-@over_store("s4_detail", f"SELECT {_SHOWN}, m.recipient, m.message_id, m.relative_path, m.file_hash {_JOINS} WHERE m.id = 21")
+@over_store("s4_detail", f"SELECT {_SHOWN}, m.recipient, m.cc, m.message_id, m.in_reply_to, m.references_ids, m.relative_path, m.file_hash {_JOINS} WHERE m.id = 21")
 def s4_detail(v):
     return s.detail(v, 21)
 
 
-@over_views("k25_json_lines", "SELECT CAST(m.id AS VARCHAR) || chr(9) || coalesce(m.date_sent, m.internal_date, '') || chr(9) || coalesce(m.sender, '') AS line FROM messages m WHERE local_state = 'active'")
+_JSON = """'{"id":' || m.id || ',"account_id":"' || m.account_id || '","local_state":"' || m.local_state || '"}' """
+
+
+@over_views("k25_json_lines", f"SELECT {_JSON} AS line FROM messages m WHERE local_state = 'active'")
 def k25_json_lines(v):
-    rows = s.selected(v, wanted())
-    return rows.select(F.concat_ws("\t", F.col("id").cast("string"), s.sort_key(), F.coalesce("sender", F.lit(""))).alias("line"))
+    return export.json_lines(s.selected(v, wanted()), ("id", "account_id", "local_state"))
+
+
+@over_views("k25_tab_lines", f"SELECT m.id || chr(9) || {KEY} || chr(9) || coalesce(translate(m.sender, chr(9) || chr(13) || chr(10), '   '), '') || chr(9) || coalesce(translate(m.subject, chr(9) || chr(13) || chr(10), '   '), '') AS line FROM messages m JOIN folders f ON f.id = m.folder_id WHERE local_state = 'active'")
+def k25_tab_lines(v):
+    return export.tab_lines(s.summaries(s.with_names(s.selected(v, wanted()), v.folders, v.failures)))
 
 
 # Scans.
@@ -194,17 +204,17 @@ def s3_sync_targets(v):
 
 @over_views("s5_natural_key", "SELECT id, message_id FROM messages WHERE account_id = 'account-b' AND folder_id = 1 AND uidvalidity = 1 AND uid = 21")
 def s5_natural_key(v):
-    return v.messages.where("account_id = 'account-b' AND folder_id = 1 AND uidvalidity = 1 AND uid = 21").select("id", "message_id")
+    return store.by_key(v.messages, "account-b", 1, 1, 21).select("id", "message_id")
 
 
 @over_views("s6_local_uids", "SELECT uid FROM messages WHERE account_id = 'account-b' AND folder_id = 1 AND uidvalidity = 1 AND uid IS NOT NULL")
 def s6_local_uids(v):
-    return v.messages.where("account_id = 'account-b' AND folder_id = 1 AND uidvalidity = 1 AND uid IS NOT NULL").select("uid")
+    return store.known_uids(v.messages, "account-b", 1, 1)
 
 
 @over_views("s7_exists", "SELECT count(*) > 0 AS found FROM messages WHERE account_id = 'account-b' AND message_id = '<m21@example.org>'")
 def s7_exists(v):
-    return v.messages.where("account_id = 'account-b' AND message_id = '<m21@example.org>'").limit(1).agg((F.count("*") > 0).alias("found"))
+    return store.exists(v.messages, "account-b", "<m21@example.org>")
 
 
 @over_views("s8_first_stored", "SELECT account_id, file_hash, arg_min(relative_path, id) AS relative_path, min(id) AS id FROM messages WHERE relative_path IS NOT NULL GROUP BY ALL")
@@ -354,17 +364,23 @@ def k16_stored_once(v):
     return files.stored_once(incoming, v.messages.where("id % 10 = 0")).select("id", "deduplicated")
 
 
-@over_views("k14_event_lines", """SELECT id, '{"account_id":"' || account_id || '","event":"fetch","uid":' || coalesce(CAST(uid AS VARCHAR), 'null') || '}' AS event FROM messages""")
+# DuckDB has no CRC-32, so a checksum is compared as the answer to whether it is that of the text.
+@over_views("k14_event_lines", """SELECT id, '{"account_id":"' || account_id || '","event":"fetch","uid":' || coalesce(CAST(uid AS VARCHAR), 'null') || '}' AS event, true AS right FROM messages""")
 def k14_event_lines(v):
     line = log.line({"account_id": F.col("account_id"), "event": F.lit("fetch"), "uid": F.col("uid")})
-    return v.messages.select("id", F.substring_index(line, log.MARK, 1).alias("event"))
+    text, told = F.substring_index(line, log.MARK, 1), F.substring_index(line, log.MARK, -1)
+    return v.messages.select("id", text.alias("event"), (F.conv(told, 16, 10).cast("long") == F.crc32(text.cast("binary"))).alias("right"))
 
 
-@over_views("s14_log_round_trip", "SELECT id, account_id, 'fetch' AS event, uid FROM messages WHERE id % 9 <> 0")
+@over_views("s14_log_round_trip", "SELECT account_id, 'fetch' AS event, uid FROM messages")
 def s14_log_round_trip(v):
-    columns = {"account_id": F.col("account_id"), "event": F.lit("fetch"), "uid": F.col("uid"), "timestamp": F.lit(NOW)}
-    lines = v.messages.select(F.lit("a").alias("file"), F.col("id").alias("place"), F.when(F.col("id") % 9 == 0, F.lit("{}|CRC32:00000000")).otherwise(log.line(columns)).alias("value"))
-    return log.read_lines(lines).where("intact").select(F.col("place").alias("id"), "account_id", "event", "uid")
+    """Events written to the log's files and read back, with a torn line at the end of one more file."""
+    spark = v.messages.sparkSession
+    path = scratch_path(spark, "log")
+    log.write(v.messages.select("account_id", F.lit("fetch").alias("event"), "uid", F.lit(NOW).alias("timestamp")), path)
+    torn = spark.createDataFrame([('{"event":"fetch","uid":1}|CRC32:0000',)], "value string")
+    torn.coalesce(1).write.mode("append").text(f"{path}/account=torn/month=202601")
+    return log.read(spark, path).select("account_id", "event", "uid")
 
 
 @over_views("k15_valid_events", "SELECT id, id % 3 = 0 AND uid IS NOT NULL OR id % 3 = 2 AS ok FROM messages")
@@ -470,35 +486,72 @@ def n19_safe_names(t):
 # Aggregates and the tree.
 
 
-@over_views("j13_folder_tree", "SELECT a.id AS account_id, f.id AS folder_id, f.display_name, count(m.id) AS n FROM accounts a JOIN folders f ON f.account_id = a.id LEFT JOIN messages m ON m.folder_id = f.id GROUP BY ALL")
-def j13_folder_tree(v):
-    counts = v.messages.groupBy("folder_id").agg(F.count("*").alias("n"))
-    rows = v.accounts.select(F.col("id").alias("account_id")).join(v.folders.select(F.col("id").alias("folder_id"), "account_id", "display_name"), "account_id")
-    return rows.join(counts, "folder_id", "left").select("account_id", "folder_id", "display_name", F.coalesce("n", F.lit(0)).alias("n"))
+@over_views("j13_folder_counts", "SELECT a.id AS account_id, f.id AS folder_id, f.display_name, count(m.id) AS n FROM accounts a JOIN folders f ON f.account_id = a.id LEFT JOIN messages m ON m.folder_id = f.id GROUP BY ALL")
+def j13_folder_counts(v):
+    return measure.folder_counts(v.accounts, v.folders, v.messages)
+
+
+_TREE = """SELECT 'mail-accounts' AS key, CAST(NULL AS VARCHAR) AS parent, 'root' AS kind, 'Accounts' AS display_name, CAST(NULL AS VARCHAR) AS account_id, CAST(NULL AS BIGINT) AS folder_id
+UNION ALL SELECT 'all-accounts', 'mail-accounts', 'all_accounts', 'All accounts', NULL, NULL
+UNION ALL SELECT 'account:' || id, 'mail-accounts', 'account', id, id, NULL FROM accounts
+UNION ALL SELECT 'folder:' || f.id, 'account:' || f.account_id, 'folder', f.display_name, f.account_id, f.id FROM folders f JOIN accounts a ON a.id = f.account_id"""
+
+
+@over_views("u8_folder_tree", _TREE)
+def u8_folder_tree(v):
+    return measure.folder_tree(v.accounts, v.folders)
 
 
 @over_tables("a10_percentiles", "SELECT source, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95 FROM documents GROUP BY source")
 def a10_percentiles(t):
-    return t("documents").groupBy("source").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n_chars)").cast("long").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY n_chars)").cast("long").alias("p95"))
+    return measure.percentiles(t("documents"), "source", "n_chars")
 
 
-@over_tables("a11_payload_bytes", "SELECT sum(strlen(coalesce(text, '')))::BIGINT AS bytes, count(*) AS n FROM documents")
-def a11_payload_bytes(t):
-    return t("documents").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes"), F.count("*").alias("n"))
+@over_views("a11_payload_bytes", "SELECT sum(strlen(coalesce(subject_norm, '')) + strlen(coalesce(sender_norm, '')) + strlen(coalesce(body_text, '')) + strlen(coalesce(attachment_names, '')))::BIGINT AS bytes, count(*) AS n FROM contents")
+def a11_payload_bytes(v):
+    return measure.payload_bytes(v.contents)
 
 
 @over_tables("a12_extrapolation", "SELECT source, round(greatest(0, regr_slope(n_chars, doc_id) * 50000 + regr_intercept(n_chars, doc_id)), 2) AS at_50000 FROM documents GROUP BY source")
 def a12_extrapolation(t):
-    fit = F.regr_slope("n_chars", "doc_id") * 50_000 + F.regr_intercept("n_chars", "doc_id")
-    return t("documents").groupBy("source").agg(F.round(F.greatest(F.lit(0.0), fit), 2).alias("at_50000"))
+    return measure.extrapolated(t("documents"), "source", "doc_id", "n_chars", 50_000)
+
+
+# The search index itself: built anew, and after changes, as the messages that hold each piece.
+
+_PIECES = """pieces AS (SELECT DISTINCT message_id, substr(t, i, 3) AS gram FROM (SELECT message_id, t, unnest(range(1, length(t) - 1)) AS i FROM
+  (SELECT message_id, unnest([subject_norm, sender_norm, body_text, attachment_names]) AS t FROM now) WHERE length(t) >= 3))
+SELECT gram, count(*) AS messages, min(message_id) AS first_id, max(message_id) AS last_id FROM pieces GROUP BY gram"""
+
+
+def _of_index(built: index.Index) -> DataFrame:
+    return built.table("postings").groupBy("gram").agg(F.count("*").alias("messages"), F.min("message_id").alias("first_id"), F.max("message_id").alias("last_id"))
+
+
+@over_views("k24_index_build")
+def k24_index_build(v):
+    return _of_index(index.build(v.contents, scratch_path(v.contents.sparkSession, "index")))
+
+
+SQL["k24_index_build"] = sql("SELECT * FROM contents").replace("SELECT * FROM contents", ", now AS (SELECT * FROM contents), " + _PIECES)
+
+
+@over_store("k24_index_update")
+def k24_index_update(v):
+    """A tenth of the messages go, another has its subjects as bodies, and there are new ones."""
+    old, new = v.index.table("contents").drop("block"), F.col("message_id")
+    gone = old.where(new % 10 == 3).withColumn("removed", F.lit(True))
+    other = old.where(new % 10 == 4).withColumn("body_text", F.col("subject_norm")).withColumn("removed", F.lit(False))
+    fresh = old.where(new % 10 == 5).withColumns({"message_id": new + 1_000_000, "removed": F.lit(False)})
+    changes = gone.unionByName(other).unionByName(fresh)
+    return _of_index(index.updated(v.index, changes, scratch_path(old.sparkSession, "index")))
 
 
-@over_tables("o_orders_page", "SELECT o_orderkey, c.c_name, o_totalprice FROM orders JOIN customer c ON c.c_custkey = o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 200")
-def o_orders_page(t):
-    """The page idiom on large tables: the top rows before the join that cannot drop any."""
-    keys = t("customer").select("c_custkey", "c_name")
-    top = t("orders").join(keys.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(200)
-    return top.join(keys, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "o_totalprice")
+SQL["k24_index_update"] = sql("SELECT * FROM contents").replace(
+    "SELECT * FROM contents",
+    """, now AS (SELECT message_id, subject_norm, sender_norm, CASE WHEN message_id % 10 = 4 THEN subject_norm ELSE body_text END AS body_text, attachment_names FROM contents WHERE message_id % 10 <> 3
+  UNION ALL SELECT message_id + 1000000, subject_norm, sender_norm, body_text, attachment_names FROM contents WHERE message_id % 10 = 5), """ + _PIECES,
+)
 
 
 QUERIES |= cases.QUERIES

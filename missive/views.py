@@ -57,6 +57,8 @@ def views(spark: SparkSession, sf_dir: str) -> Views:
         state.alias("remote_state"), F.when(doc % 4 == 1, (folder_id + 1) % 20).alias("moved_to_folder_id"),
         F.when(F.col("toxic") == 1, "trashed").otherwise("active").alias("local_state"), hash_.alias("file_hash"),
         F.substring("text", 1, 60).alias("subject"), F.concat("source", F.lit("@example.org")).alias("sender"), F.concat("lang", F.lit("@example.org")).alias("recipient"),
+        F.when(doc % 2 == 0, F.concat("lang", F.lit("-cc@example.org"))).alias("cc"), F.when(doc % 5 == 1, F.concat(F.lit("<m"), (doc - 1).cast("string"), F.lit("@example.org>"))).alias("in_reply_to"),
+        F.when(doc % 5 == 1, F.concat(F.lit("<m0@example.org> <m"), (doc - 1).cast("string"), F.lit("@example.org>"))).alias("references_ids"),
         F.when(doc % 7 != 0, stamp(F.lit(EPOCH) + doc * 60)).alias("date_sent"), F.when(doc % 11 != 0, stamp(F.lit(EPOCH + 30) + doc * 60)).alias("internal_date"),
         F.col("n_chars").alias("size_bytes"), (F.col("n_chars") > 2000).alias("has_attachment"), flags.alias("imap_flags"),
         F.when(doc % 3 != 0, stamp(F.lit(EPOCH) + doc * 3600)).alias("flags_seen_at"), (doc % 50).cast("string").alias("thread_key"),
@@ -111,6 +113,8 @@ CTES = {
       CASE d.doc_id % 4 WHEN 0 THEN 'present' WHEN 1 THEN 'moved' WHEN 2 THEN 'deleted' ELSE 'unknown' END AS remote_state,
       CASE WHEN d.doc_id % 4 = 1 THEN ({_FOLDER} + 1) % 20 END AS moved_to_folder_id,
       CASE WHEN l.toxic = 1 THEN 'trashed' ELSE 'active' END AS local_state, sha256(text) AS file_hash, substr(text, 1, 60) AS subject, source || '@example.org' AS sender, lang || '@example.org' AS recipient,
+      CASE WHEN d.doc_id % 2 = 0 THEN lang || '-cc@example.org' END AS cc, CASE WHEN d.doc_id % 5 = 1 THEN '<m' || (d.doc_id - 1) || '@example.org>' END AS in_reply_to,
+      CASE WHEN d.doc_id % 5 = 1 THEN '<m0@example.org> <m' || (d.doc_id - 1) || '@example.org>' END AS references_ids,
       CASE WHEN d.doc_id % 7 <> 0 THEN {_stamp(f"{EPOCH} + d.doc_id * 60")} END AS date_sent, CASE WHEN d.doc_id % 11 <> 0 THEN {_stamp(f"{EPOCH} + 30 + d.doc_id * 60")} END AS internal_date,
       n_chars AS size_bytes, n_chars > 2000 AS has_attachment, CASE d.doc_id % 5 % 4 WHEN 0 THEN '' WHEN 1 THEN '\\Seen' WHEN 2 THEN '\\Flagged' ELSE '\\Seen \\Flagged' END AS imap_flags,
       CASE WHEN d.doc_id % 3 <> 0 THEN {_stamp(f"{EPOCH} + d.doc_id * 3600")} END AS flags_seen_at, CAST(d.doc_id % 50 AS VARCHAR) AS thread_key,

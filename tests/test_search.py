@@ -68,11 +68,12 @@ def test_normaliser(spark):
 MESSAGE = {
     "account_id": "a", "folder_id": 1, "message_id": None, "uid": None, "uidvalidity": 1, "remote_state": "present", "moved_to_folder_id": None, "local_state": "active",
     "subject": None, "sender": None, "recipient": None, "date_sent": "2026-07-31T12:00:00Z", "internal_date": None, "size_bytes": 1, "has_attachment": False,
-    "imap_flags": "", "thread_key": None, "relative_path": None, "file_hash": None,
+    "imap_flags": "", "thread_key": None, "relative_path": None, "file_hash": None, "flags_seen_at": None, "cc": "c@x", "in_reply_to": None, "references_ids": None,
 }
 MESSAGES = (
     "id long, account_id string, folder_id long, message_id string, uid long, uidvalidity long, remote_state string, moved_to_folder_id long, local_state string, subject string, sender string, "
-    "recipient string, date_sent string, internal_date string, size_bytes long, has_attachment boolean, imap_flags string, thread_key string, relative_path string, file_hash string"
+    "recipient string, date_sent string, internal_date string, size_bytes long, has_attachment boolean, imap_flags string, thread_key string, relative_path string, file_hash string, "
+    "flags_seen_at string, cc string, in_reply_to string, references_ids string"
 )
 
 
@@ -149,6 +150,7 @@ def test_counts_threads_and_details(spark):
     v = model(spark, [{"thread_key": "t", "text": "x1"}, {"thread_key": "t", "date_sent": None, "text": "x2"}, {"text": "y"}, {"thread_key": "t", "local_state": "trashed"}])
     assert s.count(v).first().n == 3 and s.count(v, plan=parse_query("x1")).first().n == 1
     assert {r.id for r in s.thread(v, "t").collect()} == {1, 2}
+    assert s.detail(v, 4).first().cc == "c@x" and s.detail(v, 4).first().folder_raw_name == "INBOX"
     assert s.detail(v, 4).first().local_state == "trashed" and s.detail(v, 9).first() is None
 
 
