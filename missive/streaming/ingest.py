@@ -1,8 +1,9 @@
 """Mail ingest as a stream of message files.
 
-New files arrive in micro-batches of a bounded number.  A batch writes contents once, then
-the event log, then message rows: each step is keyed by what it writes, so a batch that runs
-again after a crash adds nothing.
+The stream carries paths and sizes alone; new files arrive in micro-batches of at most ``BATCH``, which are cut into
+commits of at most ``COMMIT_BYTES``.  A commit writes the contents that the account does not have yet, then the
+event log, then message rows: each step overwrites what it wrote for the same epoch and commit, so one that
+runs again after a crash adds nothing.  Files over the size limit are never opened.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from missive.functions.display import attachment_names, message_path
 from missive.functions.mail import parsed
 from missive.functions.normalise import normalised
 from missive.sources import log
+from missive.sources.files import stored_once
 
+#: Messages in a batch, bytes of a commit, and the size from which only a message's place is kept.
+BATCH, COMMIT_BYTES, MOST_BYTES = 100, 50 << 20, 50 << 20
 FILES = "path string, modificationTime timestamp, length long, content binary"
-#: Messages in a batch, and the size from which only headers count.
-BATCH, MOST_BYTES = 100, 50 << 20
 
 
 def outcomes(files: DataFrame, account_id: str, now: datetime, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -29,7 +31,7 @@ def outcomes(files: DataFrame, account_id: str, now: datetime, most_bytes: int =
     A message with a defect keeps its headers and has no contents, as has an oversize one."""
     parts = F.split("path", "/")
     rows = files.select(
-        F.lit(account_id).alias("account_id"), F.element_at(parts, -2).alias("folder_raw_name"),
+        "path", F.lit(account_id).alias("account_id"), F.element_at(parts, -2).alias("folder_raw_name"),
         F.regexp_extract(F.element_at(parts, -1), r"^(\d+)\.eml$", 1).cast("long").alias("uid"), F.col("length").alias("size_bytes"),
         F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("internal_date"), (F.col("length") > most_bytes).alias("oversize"), "content",
         F.sha2("content", 256).alias("file_hash"),
@@ -38,7 +40,7 @@ def outcomes(files: DataFrame, account_id: str, now: datetime, most_bytes: int =
     outcome = F.when(F.col("oversize"), "oversize").when(F.col("m.parse_error").isNotNull(), "parse").otherwise("stored")
     good = outcome == "stored"
     return rows.select(
-        "account_id", "folder_raw_name", "uid", "size_bytes", "internal_date", "file_hash", "content", outcome.alias("outcome"),
+        "path", "account_id", "folder_raw_name", "uid", "size_bytes", "internal_date", "file_hash", "content", outcome.alias("outcome"),
         message_path(F.col("account_id"), F.col("internal_date"), F.col("file_hash")).alias("relative_path"),
         *(F.col(f"m.{c}").alias(c) for c in ("subject", "sender", "recipient", "date_sent", "message_id", "thread_key", "content_key", "has_attachment")),
         F.when(good, normalised(F.col("m.subject"))).alias("subject_norm"), F.when(good, normalised(F.col("m.sender"))).alias("sender_norm"),
@@ -46,30 +48,67 @@ def outcomes(files: DataFrame, account_id: str, now: datetime, most_bytes: int =
     )
 
 
-def write_batch(out: str, account_id: str, now: datetime) -> Callable[[DataFrame, int], None]:
-    def run(batch: DataFrame, epoch: int) -> None:
-        rows = outcomes(batch, account_id, now).persist()
-        stamp = now.strftime("%Y-%m-%dT%H:%M:%SZ")
-        # Each epoch overwrites its own folders, so running it again changes nothing.
-        rows.where("outcome <> 'oversize'").dropDuplicates(["file_hash"]).select("file_hash", "relative_path", "content").write.mode("overwrite").parquet(f"{out}/store/epoch={epoch}")
-        events = rows.select(
-            "account_id", F.when(F.col("outcome") == "oversize", "fetch_skipped").otherwise("fetch").alias("event"), "folder_raw_name", "uid",
-            F.when(F.col("outcome") != "oversize", F.col("file_hash")).alias("file_hash"), F.when(F.col("outcome") != "oversize", F.col("relative_path")).alias("relative_path"),
-            "size_bytes", F.when(F.col("outcome") == "oversize", "oversize").alias("reason"), F.lit(stamp).alias("timestamp"),
+def commits(sizes: list[tuple[str, int]], most: int = COMMIT_BYTES) -> list[list[str]]:
+    """Paths in the order given, cut before the one that would take a commit over ``most`` bytes."""
+    out, held = [], 0
+    for path, size in sizes:
+        if not out or held + size > most:
+            out.append([])
+            held = 0
+        out[-1].append(path)
+        held += size
+    return out
+
+
+def _kept(spark: SparkSession, out: str, epoch: int) -> DataFrame:
+    """``file_hash`` of the contents that earlier epochs stored."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/store")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], "account_id string, file_hash string, epoch int, part int")
+    rows = spark.read.option("basePath", f"{out}/store").parquet(f"{out}/store")
+    return rows.select("account_id", "file_hash", "epoch", "part").where(F.col("epoch") < epoch)
+
+
+def write_batch(out: str, account_id: str, now: datetime, most_bytes: int = MOST_BYTES, commit_bytes: int = COMMIT_BYTES) -> Callable[[DataFrame, int], None]:
+    stamp = now.strftime("%Y-%m-%dT%H:%M:%SZ")
+
+    def commit(files: DataFrame, known: DataFrame, epoch: int, part: int) -> None:
+        at = f"epoch={epoch}/part={part}"
+        hashed = files.select("path", "length", F.sha2("content", 256).alias("sha256"), "content", F.lit(account_id).alias("account_id"), F.col("path").alias("seq"))
+        whole = stored_once(hashed.where("content IS NOT NULL"), known)
+        rows = outcomes(files, account_id, now, most_bytes)
+        fresh = whole.where("NOT deduplicated").select("account_id", F.col("sha256").alias("file_hash"), "content")
+        fresh.write.mode("overwrite").parquet(f"{out}/store/{at}")
+        small = F.col("outcome") != "oversize"
+        again = whole.select(F.col("path").alias("again_path"), "deduplicated")
+        events = rows.join(again, F.col("path") == F.col("again_path"), "left").select(
+            "account_id", F.when(small, "fetch").otherwise("fetch_skipped").alias("event"), "folder_raw_name", "uid", F.when(small, F.col("file_hash")).alias("file_hash"),
+            F.when(small, F.col("relative_path")).alias("relative_path"), "size_bytes", F.when(~small, "oversize").alias("reason"), "deduplicated", F.lit(stamp).alias("timestamp"),
         )
         lines = events.select(log.line({c: F.col(c) for c in events.columns}).alias("value"))
-        lines.write.mode("overwrite").text(f"{out}/log/epoch={epoch}")
-        rows.drop("content").write.mode("overwrite").parquet(f"{out}/messages/epoch={epoch}")
-        rows.unpersist()
+        lines.write.mode("overwrite").text(f"{out}/log/{at}")
+        rows.drop("content", "path").write.mode("overwrite").parquet(f"{out}/messages/{at}")
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        listed = sorted((r["path"], r["length"], r["modificationTime"]) for r in batch.select("path", "length", "modificationTime").collect())  # at most BATCH
+        known = _kept(spark, out, epoch)
+        for part, paths in enumerate(commits([(p, n if n <= most_bytes else 0) for p, n, _ in listed], commit_bytes)):
+            mine = [x for x in listed if x[0] in set(paths)]
+            files = spark.createDataFrame([(p, t, n, None) for p, n, t in mine if n > most_bytes], FILES)
+            if small := [p for p, n, _ in mine if n <= most_bytes]:
+                files = files.unionByName(spark.read.format("binaryFile").load(small).select("path", "modificationTime", "length", "content"))
+            commit(files, known, epoch, part)
+            known = known.unionByName(spark.read.parquet(f"{out}/store/epoch={epoch}/part={part}").select("account_id", "file_hash", F.lit(epoch).alias("epoch"), F.lit(part).alias("part")))
 
     return run
 
 
-def ingest(spark: SparkSession, source: str, out: str, account_id: str, now: datetime, batch: int = BATCH):
+def ingest(spark: SparkSession, source: str, out: str, account_id: str, now: datetime, batch: int = BATCH, **limits: int):
     """Start a query that takes in all files below ``source`` that it has not seen."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.eml").option("recursiveFileLookup", True)
-    stream = files.option("maxFilesPerTrigger", batch).load(source)
-    write = stream.writeStream.foreachBatch(write_batch(out, account_id, now)).option("checkpointLocation", f"{out}/checkpoint")
+    stream = files.option("maxFilesPerTrigger", batch).load(source).select("path", "modificationTime", "length")
+    write = stream.writeStream.foreachBatch(write_batch(out, account_id, now, **limits)).option("checkpointLocation", f"{out}/checkpoint")
     return write.trigger(availableNow=True).start()
 
 
@@ -77,5 +116,5 @@ def messages(spark: SparkSession, out: str) -> DataFrame:
     """The stored messages: the latest row of each folder and uid."""
     rows = spark.read.option("basePath", f"{out}/messages").parquet(f"{out}/messages")
     rest = [c for c in rows.columns if c not in ("account_id", "folder_raw_name", "uid")]
-    best = rows.groupBy("account_id", "folder_raw_name", "uid").agg(F.max_by(F.struct(*rest), "epoch").alias("m"))
+    best = rows.groupBy("account_id", "folder_raw_name", "uid").agg(F.max_by(F.struct(*rest), F.struct("epoch", "part")).alias("m"))
     return best.select("account_id", "folder_raw_name", "uid", *(f"m.{c}" for c in rest))

@@ -215,6 +215,22 @@ def test_stream_takes_each_file_once(spark, mailbox, tmp_path):
     assert events.count() == 6 and events.where("event = 'fetch'").count() == 6
 
 
+def test_contents_are_stored_once_and_large_files_are_not_opened(spark, mailbox, tmp_path):
+    now, out = datetime(2026, 7, 31, tzinfo=UTC), str(tmp_path / "out")
+    same = (mailbox / "INBOX" / "1.eml").read_bytes()
+    (mailbox / "Old" / "1.eml").write_bytes(same)
+    (mailbox / "Old" / "9.eml").write_bytes(b"x" * 5000)
+    ingest.ingest(spark, str(mailbox), out, "a", now, batch=10, most_bytes=4000, commit_bytes=2 * len(same)).awaitTermination()
+    (mailbox / "Old" / "2.eml").write_bytes(same)
+    ingest.ingest(spark, str(mailbox), out, "a", now, batch=10, most_bytes=4000, commit_bytes=2 * len(same)).awaitTermination()
+    store_of = spark.read.option("basePath", f"{out}/store").parquet(f"{out}/store")
+    assert store_of.count() == store_of.select("file_hash").distinct().count() == 4 and store_of.select("epoch", "part").distinct().count() > 1
+    events = {r.folder_raw_name + str(r.uid): (r.event, r.deduplicated, r.file_hash is None) for r in log.read(spark, f"{out}/log").collect()}
+    assert events["Old1"] == events["Old2"] == ("fetch", True, False) and events["INBOX1"] == ("fetch", False, False) and events["Old9"] == ("fetch_skipped", None, True)
+    assert {r.uid: r.outcome for r in ingest.messages(spark, out).collect() if r.folder_raw_name == "Old"} == {1: "stored", 2: "stored", 7: "stored", 9: "oversize"}
+    assert ingest.commits([("a", 3), ("b", 3), ("c", 9), ("d", 1), ("e", 5)], 6) == [["a", "b"], ["c"], ["d", "e"]]
+
+
 def test_oversize_messages_have_no_contents(spark, mailbox):
     rows = ingest.outcomes(spark.read.format("binaryFile").load(f"{mailbox}/INBOX/*.eml"), "a", datetime(2026, 7, 31, tzinfo=UTC), most_bytes=10)
     assert {(r.outcome, r.body_text) for r in rows.collect()} == {("oversize", None)}
