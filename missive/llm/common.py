@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from missive import scratch
+from missive.scratch import shared_folder  # noqa: F401  for callers of this module
+
 #: ``A-Z`` and their lower-case forms; only these are folded, whatever the locale.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -19,26 +19,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where that is unset a session of this machine alone, as in tests, gets a folder of its own; on
-    a cluster it is an error, as executors would write to disks of their own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="missive-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 #: Folders made here that may still be read, by session.
 _MADE: dict[str, set[str]] = {}
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_folder(spark)}/missive/{uuid.uuid4().hex}/{tag}"
+    """A folder of its own that ``clean_scratch`` deletes."""
+    path = scratch.scratch_path(spark, tag)
     _MADE.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return path
 
