@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from missive.functions import display, html, mail
 from missive.functions.normalise import normalised
 from missive.operators import export, reparse, run, store, sync
+from missive.plans.filters import read_cursor, write_cursor
+from missive.plans.query import parse_query
 from missive.sources import files, log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,6 +221,46 @@ def _(t):
     return files.headers(rows).select("uid", "message_id", F.col("head").cast("string").alias("head"))
 
 
+# Queries, cursors and look-ups.
+
+
+@case("o9_cursors", "i int, cursor string, sort_key string, message_id long", (0, '{"sort_key":"2025-12-24T18:00:00Z","message_id":77}', "2025-12-24T18:00:00Z", 77), (1, '{"sort_key":"","message_id":0}', "", 0))
+def _(t):
+    places = (("2025-12-24T18:00:00Z", 77), ("", 0))
+    return t("i int, cursor string, sort_key string, message_id long", *((i, write_cursor(*p), *read_cursor(write_cursor(*p))) for i, p in enumerate(places)))
+
+
+PLANS = ('ship -"sail boat" -tug -x y', '5% _a \\ "say ""hi"""')
+
+
+@case("x10_escaped_terms", "i int, kind string, term string", (0, "match", '"ship"'), (0, "like", "y"), (0, "not match", '"sail boat"'), (0, "not match", '"tug"'), (0, "not like", "x"), (1, "match", '"say ""hi"""'), (1, "like", "5\\%"), (1, "like", "\\_a"), (1, "like", "\\\\"))
+def _(t):
+    rows = []
+    for i, plan in enumerate(map(parse_query, PLANS)):
+        for kind, terms in (("match", plan.match_terms), ("like", plan.like_terms), ("not match", plan.exclude_match_terms), ("not like", plan.exclude_like_terms)):
+            rows += [(i, kind, x) for x in terms]
+    return t("i int, kind string, term string", *rows)
+
+
+@case("x11_slow_paths", "query string, slow boolean", ("the tion", False), ("the on", True), ("the -on", True))
+def _(t):
+    return t("query string, slow boolean", *((q, parse_query(q).has_slow_path) for q in ("the tion", "the on", "the -on")))
+
+
+@case("f12_folder_ids", "i int, ids string", (0, None), (1, "1,2"), (2, "1"), (3, ""), (4, ""))
+def _(t):
+    folders = t("id long, account_id string, raw_name string", (1, "a", "INBOX"), (2, "b", "INBOX"), (3, "a", "Old"))
+    asked = ((None, None), (None, ("INBOX",)), (("a",), ("INBOX", "None")), (None, ("None",)), ((), ("INBOX",)))
+    found = [reparse.folder_ids(folders, *a) for a in asked]
+    return t("i int, ids string", *((i, None if x is None else ",".join(map(str, x))) for i, x in enumerate(found)))
+
+
+@case("n27_retry_delays", "attempt int, right boolean", (0, True), (1, True), (5, True))
+def _(t):
+    waits = {n: display.retry_delay(0.5, n) for n in (0, 1, 5)}
+    return t("attempt int, right boolean", *((n, 0.5 * 2**n <= w <= 0.55 * 2**n) for n, w in waits.items()))
+
+
 # Files and the log.
 
 
