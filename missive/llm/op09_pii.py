@@ -55,7 +55,7 @@ MORE = (
 )
 #: A value after the name of a secret and a sign, without the quotes around it.
 SECRET = r"(?i)(?<=(?:token|secret|password|passwd|apikey|api_key|api-key|api key|access key|access_key|private key)[\x20]{0,2}[=:][\x20]{0,2}['\"]?)[A-Za-z0-9+/=_.~-]{16,256}+"
-SECRET_HINT = r"(?i)(?:token|secret|password|passwd|key)[\x20]{0,2}[=:]"
+SECRET_HINT = r"[=:](?<=(?i:token|secret|password|passwd|key)[\x20]{0,2}[=:])"  # the sign first: few characters are one
 SPAN = "array<struct<start:int,end:int,s:string,left:string,right:string>>"
 #: Characters kept of what stands before and after a match, and items and characters that ``walk`` and ``redact`` take at a time.
 LEFT, RIGHT, BLOCK, SEGMENT = 32, 3, 256, 4096
