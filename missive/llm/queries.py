@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.llm import op01_simhash, op02_license, op03_tokens, op04_language, op05_exact, op06_packing, op07_sharding, op08_decontaminate, op09_pii
+from missive.llm import op01_simhash, op02_license, op03_tokens, op04_language, op05_exact, op06_packing, op07_sharding, op08_decontaminate, op09_pii, op11_token_counts, op12_whitening, op13_resampling
 from missive.llm import op10_warc as op10_warc_module
 from missive.llm.common import bounded_batches, table
 
@@ -58,6 +58,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "history_rank")
 
 
+def op11_token_counts_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op12_whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -69,6 +82,9 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "op11_token_counts": op11_token_counts_,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
-SQL: dict[str, str] = {"op2_license_scan": op02_license.sql(), "op5_exact_dedup": op05_exact.SQL, "op10_warc": op10_warc_module.SQL}
+SQL: dict[str, str] = {"op2_license_scan": op02_license.sql(), "op5_exact_dedup": op05_exact.SQL, "op10_warc": op10_warc_module.SQL, "op13_importance_resampling": op13_resampling.SQL}
