@@ -20,13 +20,29 @@ def size_text(n: Column) -> Column:
     return out
 
 
+def utc_seconds(seconds: Column) -> Column:
+    """Whole seconds since 1970 as ``YYYY-MM-DDTHH:MM:SSZ``, by integers alone, so whatever the session's time zone is."""
+    seconds = seconds.cast("long")
+    rest = F.pmod(seconds, F.lit(86_400)).cast("long")
+    two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor((seconds - rest) / 86_400).cast("int")).cast("string")
+    return F.concat(day, F.lit("T"), two(rest / 3600), F.lit(":"), two(rest % 3600 / 60), F.lit(":"), two(rest % 60), F.lit("Z"))
+
+
 def utc_text(at: Column) -> Column:
-    """A timestamp as whole seconds in UTC; the session's time zone is UTC."""
-    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """A timestamp as whole seconds in UTC."""
+    return utc_seconds(F.unix_seconds(at))
+
+
+def zoned(text: Column) -> Column:
+    """The instant of a text; one without a zone is UTC, whatever the session's is.  Null for what is no time."""
+    return F.try_to_timestamp(F.when(text.rlike(r"(?i)(z|[+-]\d\d:?\d\d)\s*$"), text).otherwise(F.concat(F.trim(text), F.when(F.length(F.trim(text)) <= 10, F.lit("T00:00:00Z")).otherwise(F.lit("Z")))))
 
 
 def local_text(utc: Column, zone: str) -> Column:
-    return F.date_format(F.from_utc_timestamp(F.to_timestamp(utc), zone), "yyyy-MM-dd HH:mm")
+    """A UTC text as minutes on the clocks of ``zone``."""
+    clock = utc_seconds(F.unix_seconds(F.from_utc_timestamp(zoned(utc), zone)))
+    return F.replace(F.substring(clock, 1, 16), F.lit("T"), F.lit(" "))
 
 
 def masked(text: Column) -> Column:
@@ -77,7 +93,7 @@ def attachment_names(attachments: Column) -> Column:
 
 def message_path(account: Column, internal_date: Column, sha256: Column) -> Column:
     """Where a message's file is: by account, month and content."""
-    month = F.coalesce(F.date_format(F.try_to_timestamp(internal_date), "yyyy/MM"), F.lit("unknown"))
+    month = F.coalesce(F.replace(F.substring(utc_text(zoned(internal_date)), 1, 7), F.lit("-"), F.lit("/")), F.lit("unknown"))
     return F.concat_ws("/", F.lit("eml"), account, month, F.concat(F.substring(sha256, 1, 32), F.lit(".eml")))
 
 

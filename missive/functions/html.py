@@ -16,10 +16,34 @@ from missive.functions.normalise import without_surrogates
 REMOVED = {"script", "iframe", "frame", "object", "embed", "form", "link", "base"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "frame"}
 POLICY = "default-src 'none'; img-src {images}; style-src 'unsafe-inline'; form-action 'none'; frame-src 'none'"
-_REMOTE_CSS = re.compile(r"url\(\s*['\"]?\s*https?:", re.I)
+_REMOTE_CSS = re.compile(r"url\(\s*['\"]?\s*https?://", re.I)
+_PLAIN = {ord("<"): "&lt;", ord(">"): "&gt;"}
 
 
-class _Text(HTMLParser):
+class _Reader(HTMLParser):
+    """Reads any page: a declaration that the parser does not know is a comment."""
+
+    def parse_marked_section(self, i, report=1):
+        return self._as_comment(i)
+
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            return self._as_comment(i)
+
+    def _as_comment(self, i):
+        end = self.rawdata.find(">", i)
+        if end < 0:
+            return -1
+        self.handle_comment(self.rawdata[i + 2 : end])
+        return end + 1
+
+    def unknown_decl(self, data):
+        self.handle_comment(data)
+
+
+class _Text(_Reader):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes: list[str] = []
@@ -63,7 +87,7 @@ def _unsafe(name: str, value: str | None) -> bool:
     return name in ("href", "src") and plain.startswith(("javascript:", "data:"))
 
 
-class _Safe(HTMLParser):
+class _Safe(_Reader):
     """Writes what is let through into the head or the body."""
 
     def __init__(self):
@@ -105,7 +129,9 @@ class _Safe(HTMLParser):
             self.write(f"</{tag}>")
 
     def handle_data(self, data):
-        self.write(data)
+        """Text is data, never a tag: what was left unfinished stays so in a reader of the result too.  A style's
+        text has no entities, so what could end it goes."""
+        self.write(data.replace("<", "") if self.cdata_elem == "style" else data.translate(_PLAIN))
 
     def handle_entityref(self, name):
         self.write(f"&{name};")
@@ -124,7 +150,7 @@ def sanitise_html(html: str, remote_images: bool = False) -> str:
     return f"<html><head>{meta}{''.join(reader.head)}</head><body>{''.join(reader.body)}</body></html>"
 
 
-class _Images(HTMLParser):
+class _Images(_Reader):
     def __init__(self):
         super().__init__()
         self.found = self.style = False
@@ -133,7 +159,8 @@ class _Images(HTMLParser):
         self.style = tag == "style"
         for k, v in attrs:
             v = v or ""
-            self.found |= tag == "img" and k == "src" and v.strip().lower().startswith(("http:", "https:"))
+            plain = "".join(c for c in v if c > " ").lower()
+            self.found |= tag == "img" and k == "src" and plain.startswith(("http://", "https://"))
             self.found |= k == "style" and bool(_REMOTE_CSS.search(v))
 
     def handle_endtag(self, tag):

@@ -33,9 +33,11 @@ from missive.plans.filters import utc_text
 
 #: Names that senders use for character sets, and the order of guesses.
 LABELS = {
-    "x-sjis": "cp932", "shift_jis": "cp932", "shift-jis": "cp932", "sjis": "cp932", "windows-31j": "cp932", "ms932": "cp932",
-    "iso-2022-jp-ms": "iso2022_jp_ext", "cp50220": "iso2022_jp_ext", "x-euc-jp": "euc_jp",
+    "x-sjis": "cp932", "xsjis": "cp932", "shift_jis": "cp932", "shift-jis": "cp932", "sjis": "cp932",
+    "iso-2022-jp-ms": "iso2022_jp_ext", "iso_2022_jp_ms": "iso2022_jp_ext", "iso2022jpms": "iso2022_jp_ext",
 }
+#: Names that are taken beyond those.
+LABELS |= {"windows-31j": "cp932", "ms932": "cp932", "cp50220": "iso2022_jp_ext", "x-euc-jp": "euc_jp"}
 GUESSES = ("iso-2022-jp", "iso2022_jp_ext", "cp932", "euc_jp", "utf-8")
 LENIENT = "iso2022_jp_ext"
 #: Share of replaced characters up to which a lenient reading stands.
@@ -49,7 +51,7 @@ ATTACHMENT = T.StructType([T.StructField("filename", T.StringType()), T.StructFi
 _TEXTS = ("subject", "sender", "recipient", "cc", "date_sent", "message_id", "in_reply_to", "references_ids", "thread_key", "content_key", "body_text")
 PARSED = T.StructType([*(T.StructField(c, T.StringType()) for c in _TEXTS), T.StructField("attachments", T.ArrayType(ATTACHMENT)), T.StructField("has_attachment", T.BooleanType()), T.StructField("parse_error", T.StringType())])
 PART = T.StructType([T.StructField("content_id", T.StringType()), T.StructField("content_type", T.StringType()), T.StructField("filename", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("is_inline", T.BooleanType())])
-RENDERED = T.StructType([T.StructField("html_body", T.StringType()), T.StructField("text_body", T.StringType()), T.StructField("parts", T.ArrayType(PART))])
+RENDERED = T.StructType([T.StructField("html_body", T.StringType()), T.StructField("text_body", T.StringType()), T.StructField("parts", T.ArrayType(PART)), T.StructField("error", T.StringType())])
 SAFE_NAME = T.StructType([T.StructField("name", T.StringType()), T.StructField("warnings", T.ArrayType(T.StringType())), T.StructField("is_executable", T.BooleanType())])
 
 
@@ -259,14 +261,22 @@ def parse_message(raw: bytes, internal: datetime | None, now: datetime) -> dict:
 
 
 def render_message(raw: bytes) -> dict:
-    """A row of ``RENDERED``; a part's place in ``parts`` does not change."""
+    """A row of ``RENDERED``; a part's place in ``parts`` does not change.  A message that is nested too deeply
+    or broken otherwise has no bodies and no parts, and its error's name."""
+    try:
+        return _rendered(raw)
+    except Exception as e:
+        return {"html_body": None, "text_body": None, "parts": [], "error": type(e).__name__}
+
+
+def _rendered(raw: bytes) -> dict:
     found = leaves(message_from_bytes(raw))
     parts = [
         {"content_id": (without_surrogates(str(x["part"]["content-id"])).strip().strip("<>") if x["part"].get("content-id") else None), "content_type": without_surrogates(x["part"].get_content_type()),
          "filename": x["name"], "payload": _payload(x["part"]), "is_inline": x["inline"]}
         for x in found if x["attached"]
     ]
-    return {"html_body": first_shown(texts(found, "text/html")), "text_body": first_shown(texts(found, "text/plain")), "parts": parts}
+    return {"html_body": first_shown(texts(found, "text/html")), "text_body": first_shown(texts(found, "text/plain")), "parts": parts, "error": None}
 
 
 def safe_name(name: str) -> dict:
@@ -346,8 +356,9 @@ def response(raw: str) -> list:
         elif m["quoted"] is not None:
             stack[-1].append(re.sub(r"\\(.)", r"\1", plain(m["quoted"])))
         elif m["size"]:
-            stack[-1].append(plain(data[at : at + int(m["size"])]))
-            at += int(m["size"])
+            size = int(m["size"]) if len(m["size"]) <= 18 else len(data)  # a literal has at most what is left
+            stack[-1].append(plain(data[at : at + size]))
+            at += size
         else:
             stack[-1].append(None if m["atom"].upper() == "NIL" else plain(m["atom"]))
     while len(stack) > 1:  # what a cut response left open
@@ -381,7 +392,10 @@ def message_line(line: str, header: str = "") -> dict:
     def number(name: str) -> int | None:
         value = said.get(name)
         value = value[0] if isinstance(value, list) and value else value
-        return int(value) if isinstance(value, str) and value.isdecimal() else None
+        if not isinstance(value, str) or not re.fullmatch(r"0*[0-9]{1,19}", value):
+            return None
+        n = int(value.lstrip("0") or "0")
+        return n if n < 1 << 63 else None
 
     mid = re.search(r"(?im)^message-id:\s*(\S+)", header)
     flags = said.get("FLAGS")

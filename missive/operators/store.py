@@ -13,6 +13,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from missive.functions.display import utc_text
+
 FAILURE_KEY = ("account_id", "folder_id", "uidvalidity", "uid")
 #: A failed message is tried this often.
 ATTEMPTS = 10
@@ -201,5 +203,5 @@ def canonical_time(text: Column) -> Column:
     form = r"^\s*(\d{4}-\d\d-\d\d)(?: (\d\d:\d\d)(:\d\d)?(?:\.\d+)?)?\s*(Z|[+-]\d\d:\d\d)?\s*$"
     part = lambda i, none: F.coalesce(F.nullif(F.regexp_extract(text, form, i), F.lit("")), F.lit(none))
     at = F.concat(part(1, "?"), F.lit("T"), part(2, "00:00"), part(3, ":00"), part(4, "Z"))
-    new = F.date_format(F.try_to_timestamp(at), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    new = utc_text(F.try_to_timestamp(at))
     return F.when(F.instr(text, "T") == 0, F.coalesce(new, text)).otherwise(text)

@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from missive.functions.display import zoned
+
 PLACE = ("account_id", "folder_id", "uidvalidity", "uid")
 FLAG_TTL_S, FLAG_WINDOW_DAYS = 3600, 30
 MAX_MODSEQ = 2**63 - 1
@@ -61,7 +63,7 @@ def _own(key: list[str]) -> Column:
 
 def expired(seen_at: Column, now: str) -> Column:
     """Whether flags were seen longer ago than the limit; unreadable times are."""
-    seconds = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.try_to_timestamp(seen_at))
+    seconds = F.unix_seconds(zoned(F.lit(now))) - F.unix_seconds(zoned(seen_at))
     return F.coalesce(seconds >= FLAG_TTL_S, F.lit(True))
 
 

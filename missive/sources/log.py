@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from missive.functions.display import utc_text, zoned
+
 #: The events, and what two of them need.
 EVENTS = ("fetch", "fetch_skipped", "moved", "delete_detected", "remote_state_unknown", "parse_failed")
 NEEDED = ("account_id", "folder_id", "folder_raw_name", "uid", "uidvalidity", "source_item_key")
@@ -42,7 +44,7 @@ def valid() -> Column:
 def write(events: DataFrame, path: str) -> None:
     """Append ``events`` (any of ``FIELDS``) to the files of their accounts and months."""
     columns = {c: F.col(c) for c in events.columns if c in FIELDS}
-    month = F.date_format(F.to_timestamp("timestamp"), "yyyyMM")
+    month = F.replace(F.substring(utc_text(zoned(F.col("timestamp"))), 1, 7), F.lit("-"), F.lit(""))
     rows = events.select(line(columns).alias("value"), F.col("account_id").alias("account"), month.alias("month"))
     rows.write.mode("append").partitionBy("account", "month").text(path)
 

@@ -14,7 +14,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.functions.display import attachment_names, message_path
+from missive.functions.display import attachment_names, message_path, utc_text
 from missive.functions.mail import parsed
 from missive.functions.normalise import normalised
 from missive.sources import log
@@ -33,7 +33,7 @@ def outcomes(files: DataFrame, account_id: str, now: datetime, most_bytes: int =
     rows = files.select(
         "path", F.lit(account_id).alias("account_id"), F.element_at(parts, -2).alias("folder_raw_name"),
         F.regexp_extract(F.element_at(parts, -1), r"^(\d+)\.eml$", 1).cast("long").alias("uid"), F.col("length").alias("size_bytes"),
-        F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("internal_date"), (F.col("length") > most_bytes).alias("oversize"), "content",
+        utc_text(F.col("modificationTime")).alias("internal_date"), (F.col("length") > most_bytes).alias("oversize"), "content",
         F.sha2("content", 256).alias("file_hash"),
     )
     rows = rows.withColumn("m", parsed(F.when(~F.col("oversize"), F.col("content")), F.col("internal_date"), now))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from missive.functions.display import utc_seconds
 from missive.functions.normalise import folded
 from missive.operators.index import Index, build
 from missive.operators.search import keyed
@@ -30,10 +31,6 @@ class Views:
     index: Index | None = None
 
 
-def stamp(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-
-
 def views(spark: SparkSession, sf_dir: str) -> Views:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -59,9 +56,9 @@ def views(spark: SparkSession, sf_dir: str) -> Views:
         F.substring("text", 1, 60).alias("subject"), F.concat("source", F.lit("@example.org")).alias("sender"), F.concat("lang", F.lit("@example.org")).alias("recipient"),
         F.when(doc % 2 == 0, F.concat("lang", F.lit("-cc@example.org"))).alias("cc"), F.when(doc % 5 == 1, F.concat(F.lit("<m"), (doc - 1).cast("string"), F.lit("@example.org>"))).alias("in_reply_to"),
         F.when(doc % 5 == 1, F.concat(F.lit("<m0@example.org> <m"), (doc - 1).cast("string"), F.lit("@example.org>"))).alias("references_ids"),
-        F.when(doc % 7 != 0, stamp(F.lit(EPOCH) + doc * 60)).alias("date_sent"), F.when(doc % 11 != 0, stamp(F.lit(EPOCH + 30) + doc * 60)).alias("internal_date"),
+        F.when(doc % 7 != 0, utc_seconds(F.lit(EPOCH) + doc * 60)).alias("date_sent"), F.when(doc % 11 != 0, utc_seconds(F.lit(EPOCH + 30) + doc * 60)).alias("internal_date"),
         F.col("n_chars").alias("size_bytes"), (F.col("n_chars") > 2000).alias("has_attachment"), flags.alias("imap_flags"),
-        F.when(doc % 3 != 0, stamp(F.lit(EPOCH) + doc * 3600)).alias("flags_seen_at"), (doc % 50).cast("string").alias("thread_key"),
+        F.when(doc % 3 != 0, utc_seconds(F.lit(EPOCH) + doc * 3600)).alias("flags_seen_at"), (doc % 50).cast("string").alias("thread_key"),
         F.concat_ws("/", F.lit("eml"), account, F.concat(F.substring(hash_, 1, 32), F.lit(".eml"))).alias("relative_path"),
     )
     contents = docs.where("text IS NOT NULL").select(
@@ -71,7 +68,7 @@ def views(spark: SparkSession, sf_dir: str) -> Views:
     kind = F.element_at(F.array(*map(F.lit, ("transient", "oversize", "parse"))), (F.col("label_id") % 3 + 1).cast("int"))
     failures = rows.where(F.col("quality") == 0).select(
         account.alias("account_id"), folder_id.alias("folder_id"), F.lit(1).cast("long").alias("uidvalidity"), doc.alias("uid"), kind.alias("error_class"),
-        (doc % 12 + 1).alias("attempt_count"), stamp(F.lit(EPOCH) + doc * 10).alias("first_failed_at"),
+        (doc % 12 + 1).alias("attempt_count"), utc_seconds(F.lit(EPOCH) + doc * 10).alias("first_failed_at"),
     )
     return Views(accounts, folders, messages, contents, failures)
 
@@ -100,7 +97,7 @@ def _fold(text: str) -> str:
 
 
 def _stamp(seconds: str) -> str:
-    return f"strftime(make_timestamp(({seconds}) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
+    return f"strftime(make_timeutc_seconds(({seconds}) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
 
 
 _FOLDER = r"CAST(regexp_extract(source, '(\d+)$', 1) AS BIGINT)"

@@ -196,3 +196,56 @@ def test_shown_values(spark):
     assert get(display.seconds_left(F.lit(50.0), F.lit(100.0), F.lit(10.0))) == 10 and get(display.seconds_left(F.lit(0.0), F.lit(100.0), F.lit(10.0))) is None
     assert get(display.trigrams(F.lit("abcab"))) == ["abc", "bca", "cab"] and get(display.trigrams(F.lit("ab"))) == []
     assert 2.0 <= display.retry_delay(0.5, 2) <= 2.2
+
+
+UNFINISHED = (
+    "<img src=x onerror=alert(1)//", "a<!-- <img src=x onerror=alert(1)", "<![foo[bar]]>x", "<![CDATA[<b onclick=x>]]>y", "<!foo <img src=x onerror=1", "<?p <img src=x onerror=1>", "</p <img src=x onerror=1>",
+    "<style><img src=x onerror=1>", "<svg><style><img src=x onerror=1></style>", "<textarea><img src=x onerror=1>", "<title><img src=x onerror=1>", "<xmp><img src=x onerror=1></xmp>", "<a\x00b onx=1>", "<" * 500, "&#x;&#99999999999;&bogus", "<!DOCTYPE [<!ENTITY x '<img onerror=1>'>]>",
+)
+
+
+@pytest.mark.parametrize("page", UNFINISHED)
+def test_unfinished_pages_raise_nothing_and_pass_no_handler(page):
+    """What the safe form holds of tags is read again, here with a plain reader, and has no handler."""
+    from html.parser import HTMLParser
+
+    from missive.functions import html
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            assert not any(k.startswith("on") for k, _ in attrs), (tag, attrs)
+
+    safe = html.sanitise_html(page)
+    for end in ("", ">", '">', "-->"):
+        reader = Reader()
+        reader.feed(safe + end)
+        reader.close()
+    body = safe.partition("<body>")[2].removesuffix("</body></html>")
+    assert body.count("<") == body.count(">") or "style" in body or "&gt;" in body
+    assert isinstance(html.html_to_text(page), str) and html.has_remote_image(page) in (True, False)
+
+
+def test_images_from_elsewhere_however_they_are_written():
+    from missive.functions.html import has_remote_image
+
+    assert has_remote_image("<img src='ht\ntp:\t//a/b'>") and has_remote_image("<p style='x:url(\"HTTPS://a\")'>")
+    assert not has_remote_image("<p style='x:url(http:a)'>") and not has_remote_image("<img src='cid:http://a'>")
+
+
+def test_no_response_and_no_message_raises(spark):
+    from missive.functions import mail
+
+    lines = ["* 1 FETCH (UID 99999999999999999999)", f"* 1 FETCH (UID {'9' * 5000})", "* 1 FETCH (X {" + "9" * 5000 + "}\r\nabc UID 5)", "* 1 FETCH (UID 9223372036854775807)", "* 1 FETCH (UID 9223372036854775808)", "(" * 3000, "* LIST (" + "(" * 3000]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    got = {r["i"]: r["m"]["uid"] for r in rows.select("i", mail.message_lines("line").alias("m"), mail.folder_lines("line")).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: 2**63 - 1, 4: None, 5: None, 6: None}
+    deep = b"".join(b"Content-Type: multipart/mixed; boundary=b%d\r\n\r\n--b%d\r\n" % (i, i) for i in range(2000)) + b"x"
+    rows = spark.createDataFrame([(bytearray(deep),), (bytearray(b"Subject: s\r\n\r\ntext"),)], "raw binary")
+    got = [r["r"] for r in rows.select(mail.rendered("raw").alias("r")).collect()]
+    assert sorted((r["text_body"] or "", r["parts"]) for r in got) == [("", []), ("text", [])]
+
+
+def test_labels_that_senders_use():
+    from missive.functions.mail import charset_label
+
+    assert {charset_label(x) for x in ("xsjis", " X-SJIS", "sjis")} == {"cp932"} and {charset_label(x) for x in ("iso_2022_jp_ms", "iso2022jpms")} == {"iso2022_jp_ext"}
