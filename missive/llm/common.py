@@ -79,6 +79,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str = "n", h
     return many.unionByName(few)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores as keep it apart from the columns of ``df``, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Bits of a bitmap, and of the place in a word.
 MAP_BITS, WORD_BITS = 26, 6
 
@@ -94,11 +105,12 @@ def bitmap(keys: DataFrame, key: Column, tag: str) -> DataFrame:
 def with_marks(rows: DataFrame, words: DataFrame, key: Column, name: str) -> DataFrame:
     """``rows`` and the boolean ``name``: false where the key is not in the set that ``bitmap`` took; true
     where it is, and for a share of the others that grows with the set."""
-    w = words.select(F.col("word").alias("_mx_word"), F.col("bits").alias("_mx_bits"))
-    rows = rows.withColumn("_mx_at", F.pmod(F.xxhash64(key), F.lit(1 << MAP_BITS)))
-    rows = rows.join(F.broadcast(w), F.shiftright("_mx_at", WORD_BITS) == F.col("_mx_word"), "left")
-    on = F.getbit("_mx_bits", F.pmod("_mx_at", F.lit(1 << WORD_BITS)).cast("int")) == 1
-    return rows.withColumn(name, F.coalesce(on, F.lit(False))).drop("_mx_at", "_mx_word", "_mx_bits")
+    word, bits, at = free_names(rows, "_mx_word", "_mx_bits", "_mx_at")
+    w = words.select(F.col("word").alias(word), F.col("bits").alias(bits))
+    rows = rows.withColumn(at, F.pmod(F.xxhash64(key), F.lit(1 << MAP_BITS)))
+    rows = rows.join(F.broadcast(w), F.shiftright(at, WORD_BITS) == F.col(word), "left")
+    on = F.getbit(bits, F.pmod(at, F.lit(1 << WORD_BITS)).cast("int")) == 1
+    return rows.withColumn(name, F.coalesce(on, F.lit(False))).drop(at, word, bits)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

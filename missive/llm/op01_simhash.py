@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import discard, join_groups, materialize, slices
+from missive.llm.common import discard, free_names, join_groups, materialize, slices
 
 SEED = 42
 #: Bits in the low place of each two-bit segment.
@@ -145,13 +145,16 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     def star(e: DataFrame, tag: str) -> DataFrame:
-        least = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
-        joined = e.join(least, F.col("u") == F.col("k"))
+        # A component becomes a star: its root then has as many rows as the component has nodes.
+        least = materialize(e.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"), F.count("*").alias("n")), "least")
+        joined = join_groups(e, least, "u")
         if tag == "large":
             out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
-            out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        return materialize(out.where(F.col("u") != F.col("v")).distinct(), tag)
+            out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        out = materialize(out.where(F.col("u") != F.col("v")).distinct(), tag)
+        discard(least)
+        return out
 
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct()
     now = materialize(now, "edges")
@@ -197,12 +200,13 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, compared: int = 5) -> Dat
     from missive.llm.op01_shingles import near_copies
 
     columns = docs.columns
+    (gone_id,) = free_names(docs, "_mx_id")
     found = near_copies(docs, similarity, compared)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_mx_id")).distinct()
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
     gone = materialize(gone, "near_copies")
     if gone.count() <= SMALL:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_mx_id"), "left_anti").select(*(f"`{c}`" for c in columns))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(gone_id), "left_anti").select(*(f"`{c}`" for c in columns))
 
 
 def hex_of(fp: Column) -> Column:

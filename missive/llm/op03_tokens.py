@@ -73,8 +73,8 @@ def write_tokens(
 ) -> None:
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tie = F.xxhash64("text")
-    rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    order = ["doc_id", F.xxhash64("text"), "tag"]  # the tag parts rows that repeat id and text
+    rows = rows.withColumn("tag", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("tag")
     sizes = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows}
     encode(rows, vocabulary, end_id, folder).write.options(**WRITE, **{k: str(v) for k, v in sizes.items()}).parquet(path)
 

@@ -4,8 +4,8 @@ The network reads a window of bytes forwards and backwards, labels every positio
 distribution over languages, and a document's probabilities are the mean over all positions
 of all its windows, which cover its whole text.  It is trained in numpy by backpropagation
 through time, on windows of a bounded sample: about ``docs_per_lang`` labelled documents of
-each language, ``windows`` windows of ``span`` bytes each, and of the ``languages`` languages with the most
-documents.  Everything else reads all rows.
+each language, fewer if that makes over ``most`` in all, with ``windows`` windows of ``span`` bytes each.  Everything
+else reads all rows.
 
 Documents whose ``crc32(doc_id as text) mod 5`` is 0 are held out of training.  Prediction uses
 the text alone.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import bounded_batches
+from missive.llm.common import SMALL_GROUPS, bounded_batches, free_names, materialize
 
 HIDDEN = 8
 #: Bytes of a window in prediction, and windows that run side by side.
@@ -198,14 +198,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, docs_per_lang: int, windows: int, span: int, languages: int) -> list[tuple[bytes, str]]:
-    """Windows of about ``docs_per_lang`` training documents of each language, chosen by hash."""
+def sample(docs: DataFrame, docs_per_lang: int, windows: int, span: int, most: int) -> list[tuple[bytes, str]]:
+    """Windows of about ``docs_per_lang`` training documents of each language, and of about ``most`` in all, chosen by a
+    hash of id and place in the table, so that rows that repeat an id are chosen one by one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    share = most.select("lang", (F.least(F.lit(1.0), F.lit(float(docs_per_lang)) / F.col("count")) * (1 << 30)).cast("long").alias("share"))
-    rows = rows.join(F.broadcast(share), "lang")  # as many rows as languages
-    mix = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    counts = materialize(rows.groupBy("lang").count(), "languages")
+    known = counts.count()
+    each = min(float(docs_per_lang), most / max(1, known))
+    share = counts.select("lang", (F.least(F.lit(1.0), F.lit(each) / F.col("count")) * (1 << 30)).cast("long").alias("share"))
+    rows = rows.withColumn("tag", F.monotonically_increasing_id()).join(F.broadcast(share) if known <= SMALL_GROUPS else share, "lang")
+    mix = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(1 << 30))
     raw = F.col("text").cast("binary")
     size = F.octet_length("text")
     cut = [F.substr(raw, 1 + F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(size - span, F.lit(1))).cast("int"), F.lit(span)) for i in range(windows)]
@@ -214,8 +217,8 @@ def sample(docs: DataFrame, docs_per_lang: int, windows: int, span: int, languag
     return [(bytes(w), r["lang"]) for r in found for w in r["cut"] if w]
 
 
-def fit(docs: DataFrame, docs_per_lang: int = 150, windows: int = 4, span: int = 128, languages: int = 200) -> Network | None:
-    return train(sample(docs, docs_per_lang, windows, span, languages))
+def fit(docs: DataFrame, docs_per_lang: int = 150, windows: int = 4, span: int = 128, most: int = 30_000) -> Network | None:
+    return train(sample(docs, docs_per_lang, windows, span, most))
 
 
 def predictor(net: Network | None):
@@ -250,6 +253,7 @@ def keep_known(docs: DataFrame, net: Network | None, least: float = 0.5) -> Data
     """The rows of ``docs`` that have a language with at least the score ``least``."""
     bounded_batches(docs.sparkSession)
     columns = docs.columns
-    rows = docs.withColumn("_mx_guess", predictor(net)(F.col("text").cast("string")))
-    known = (F.col("_mx_guess.lang") != UNKNOWN) & (F.col("_mx_guess.score") >= least)
+    (guess,) = free_names(docs, "_mx_guess")
+    rows = docs.withColumn(guess, predictor(net)(F.col("text").cast("string")))
+    known = (F.col(guess)["lang"] != UNKNOWN) & (F.col(guess)["score"] >= least)
     return rows.where(known).select(*(f"`{c}`" for c in columns))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import ascii_lower, bitmap, discard, join_groups, materialize, with_marks
+from missive.llm.common import ascii_lower, bitmap, discard, free_names, join_groups, materialize, with_marks
 
 #: Characters of a text that stage 2 hashes.
 PREFIX = 256
@@ -59,10 +59,10 @@ def survivors(docs: DataFrame) -> DataFrame:
     return bitmap(surviving(docs), F.struct("_len", "_head"), "survivors")
 
 
-def with_hit(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """``docs`` and ``_mx_hit``: whether the row's group may have survived.  A row beside a group that
+def with_hit(docs: DataFrame, words: DataFrame, name: str = "_mx_hit") -> DataFrame:
+    """``docs`` and the boolean ``name``: whether the row's group may have survived.  A row beside a group that
     did is hashed for nothing, and no row of one is missed."""
-    return with_marks(docs, words, F.struct(_length().alias("_len"), _head().alias("_head")), "_mx_hit")
+    return with_marks(docs, words, F.struct(_length().alias("_len"), _head().alias("_head")), name)
 
 
 def exact_groups(docs: DataFrame, digest_all: bool = False) -> DataFrame:
@@ -104,19 +104,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     words = survivors(docs)
     groups = materialize(_groups(docs, words), "kept")
     columns = docs.columns
-    dropped = groups.where("not kept").select(F.col("doc_id").alias("_mx_id"), F.col("digest").alias("_mx_digest")).distinct()
-    kept = groups.where("kept and group_size > 1").select(F.col("doc_id").alias("_mx_id"), F.col("digest").alias("_mx_digest"))
+    doc, digest, hit = free_names(docs, "_mx_id", "_mx_digest", "_mx_hit")
+    dropped = groups.where("not kept").select(F.col("doc_id").alias(doc), F.col("digest").alias(digest)).distinct()
+    kept = groups.where("kept and group_size > 1").select(F.col("doc_id").alias(doc), F.col("digest").alias(digest))
     # A row that repeats id and text is dropped once and kept once.
-    twice = materialize(dropped.join(kept, ["_mx_id", "_mx_digest"], "left_semi"), "twice")
-    gone = materialize(dropped.join(twice, ["_mx_id", "_mx_digest"], "left_anti"), "gone")
+    twice = materialize(dropped.join(kept, [doc, digest], "left_semi"), "twice")
+    gone = materialize(dropped.join(twice, [doc, digest], "left_anti"), "gone")
     discard(groups)
     gone, twice = (F.broadcast(x) if x.count() <= SMALL else x for x in (gone, twice))
-    rows = with_hit(docs, words).withColumns({"_mx_id": F.col("doc_id").cast("long"), "_mx_digest": F.when(F.col("_mx_hit"), _digest())})
-    match = rows["_mx_id"].eqNullSafe(gone["_mx_id"]) & (rows["_mx_digest"] == gone["_mx_digest"])
+    rows = with_hit(docs, words, hit).withColumns({doc: F.col("doc_id").cast("long"), digest: F.when(F.col(hit), _digest())})
+    match = rows[doc].eqNullSafe(gone[doc]) & (rows[digest] == gone[digest])
     rows = rows.join(gone, match, "left_anti")
     if not twice.isEmpty():
-        here = rows["_mx_id"].eqNullSafe(twice["_mx_id"]) & (rows["_mx_digest"] == twice["_mx_digest"])
-        again = rows.join(twice, here, "left_semi").dropDuplicates(["_mx_id", "_mx_digest"])
+        here = rows[doc].eqNullSafe(twice[doc]) & (rows[digest] == twice[digest])
+        again = rows.join(twice, here, "left_semi").dropDuplicates([doc, digest])
         rows = rows.join(twice, here, "left_anti").unionByName(again)
     return rows.select(*(f"`{c}`" for c in columns))
 

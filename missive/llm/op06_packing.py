@@ -2,8 +2,8 @@
 
 A document's ids with the end id are one piece, or, if longer than a sequence, full pieces
 after a first one that may be shorter.  Pieces are dealt at random into tasks of a set size;
-a task takes them as they come, with a lookahead of ``window`` pieces of which the longest goes
-first (1: strictly online), and puts a piece into the open bin with the least room that holds it.  Open bins are kept in a bitset over free room (a bit is on
+a task takes them as they come (with a ``window`` over 1, the longest of so many first, which is
+no longer online), and puts a piece into the open bin with the least room that holds it.  Open bins are kept in a bitset over free room (a bit is on
 if some bin has exactly that room), so the best fit is the lowest bit at or above the length.
 When the set number of bins is open and another is needed, the fullest closes.
 
@@ -99,7 +99,7 @@ class OpenBins:
 
 
 def pack(
-    found: DataFrame, capacity: int = CAPACITY, open_bins: int = 4096, window: int = 4096, task_pieces: int = 250_000
+    found: DataFrame, capacity: int = CAPACITY, open_bins: int = 4096, window: int = 1, task_pieces: int = 250_000
 ) -> DataFrame:
     """``found`` (with ``doc_id, piece, length``) and each piece's ``sequence_id`` and ``offset``.
 
@@ -118,15 +118,15 @@ def pack(
 
         def flush():
             rows = pa.Table.from_batches(held).combine_chunks()
-            lengths = rows.column("length").to_numpy()
-            order = np.argsort(-lengths, kind="stable")
-            got = [bins.place(int(n)) for n in lengths[order]]
-            rows = rows.take(pa.array(order))
+            if window > 1:
+                rows = rows.take(pa.array(np.argsort(-rows.column("length").to_numpy(), kind="stable")))
+            got = [bins.place(n) for n in rows.column("length").to_pylist()]
             rows = rows.append_column("sequence_id", pa.array([base + b for b, _ in got], pa.int64()))
             return rows.append_column("offset", pa.array([o for _, o in got], pa.int64())).to_batches()
 
-        for batch in slices(batches, window):
-            if held and sum(b.num_rows for b in held) + batch.num_rows > window:
+        at_once = window if window > 1 else 10_000
+        for batch in slices(batches, at_once):
+            if held and sum(b.num_rows for b in held) + batch.num_rows > at_once:
                 yield from flush()
                 held = []
             held.append(batch)

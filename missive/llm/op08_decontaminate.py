@@ -31,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import bounded_batches, materialize, slices
+from missive.llm.common import bounded_batches, free_names, materialize, slices
 
-#: Widths of q-grams, and the length from which an item is searched by them.
-WIDE, NARROW, SHORT = 8, 4, 8
+#: Widths of q-grams.  Shorter items have none and no budget: they are looked for as they are.
+WIDE, NARROW = 8, 4
+#: Postings that are expanded at once, and characters of a text whose bands are counted together when it has more.
+STEP, PIECE = 1 << 20, 1 << 16
 _OTHER = re.compile(r"[\W_]+")
 _BASE = 0x9E3779B97F4A7C15
 #: Bits of the hash that index the first filter.
@@ -117,8 +119,8 @@ class Index:
         self.codes = list(map(codes_of, self.texts))
         self.k = np.array([int(self.rate * len(t)) for t in self.texts], dtype=np.int64)
         self.need = np.array([len(t) - self.q + 1 for t in self.texts], dtype=np.int64) - self.k * self.q
-        self.short = [i for i, t in enumerate(self.texts) if 0 < len(t) < SHORT]
-        each = [grams(t, self.q) if len(t) >= SHORT else grams("", self.q) for t in self.texts]
+        self.short = [i for i, t in enumerate(self.texts) if 0 < len(t) < self.q]
+        each = [grams(t, self.q) for t in self.texts]
         hashes = np.concatenate(each) if each else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(each)), [len(e) for e in each])
         place = np.concatenate([np.arange(len(e)) for e in each]) if each else item
@@ -154,21 +156,41 @@ class Index:
         at, key = self.hits(text)
         if len(at) < self.least:
             return
+        if int(self.count[key].sum()) <= STEP:
+            yield from self.bands(at, key, len(text))
+            return
+        # All hits of a band lie within an item's length and its two budgets, so pieces that overlap by that
+        # hold every band whole; a band that two of them hold is given twice.
+        size, more = max(1024, min(PIECE, STEP // len(self.texts))), self.longest + 2 * (int(self.k.max()) + 1)
+        for start in range(-self.longest, len(text), size):
+            low, high = np.searchsorted(at, [start, start + size + more])
+            if high - low >= self.least:
+                yield from self.bands(at[low:high], key[low:high], len(text))
+
+    def bands(self, at: np.ndarray, key: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
+        """``candidates`` by the hits at some places of a text of that length."""
         n = self.count[key]
-        posting = np.repeat(self.first[key] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        item, place = self.item[posting], self.place[posting]
-        band = (np.repeat(at, n) - place) // (self.k[item] + 1)
-        shift, span = self.longest + 2, len(text) + 2 * self.longest + 4
-        code = item * span + band + shift
-        code, place = np.concatenate([code, code - 1]), np.concatenate([place, place])
-        # Most bands have few hits: those in a bucket with too few for their item go first.
-        size = max(1024, 1 << (4 * len(code)).bit_length())
-        bucket = code & (size - 1)
-        code, place = (x[np.bincount(bucket, minlength=size)[bucket] >= self.need[code // span]] for x in (code, place))
-        # What counts is how many of the item's q-grams are there, however often each is.
-        wide = self.longest + 1
-        each = np.unique(code * wide + place) // wide
-        codes, counts = np.unique(each, return_counts=True)
+        shift, span, wide = self.longest + 2, length + 2 * self.longest + 4, self.longest + 1
+        ends = np.cumsum(n)
+        total, each = int(ends[-1]), np.empty(0, np.int64)
+        first = 0
+        while first < len(at):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + STEP, side="right")))
+            m, a, k = n[first:last], at[first:last], key[first:last]
+            posting = np.repeat(self.first[k] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+            item, place = self.item[posting], self.place[posting]
+            code = item * span + (np.repeat(a, m) - place) // (self.k[item] + 1) + shift
+            code, place = np.concatenate([code, code - 1]), np.concatenate([place, place])
+            if total <= STEP:
+                # Most bands have few hits: those in a bucket with too few for their item go first.
+                size = max(1024, 1 << (4 * len(code)).bit_length())
+                bucket = code & (size - 1)
+                code, place = (x[np.bincount(bucket, minlength=size)[bucket] >= self.need[code // span]] for x in (code, place))
+            # What counts is how many of the item's q-grams are there, however often each is.
+            new = np.unique(code * wide + place)
+            each = np.union1d(each, new) if len(each) else new
+            first = last
+        codes, counts = np.unique(each // wide, return_counts=True)
         enough = counts >= self.need[codes // span]
         for c in codes[enough]:
             i, b = int(c // span), int(c % span) - shift
@@ -194,9 +216,8 @@ class Index:
                 end = found[1]
                 back = align(self.codes[i][::-1], codes[:end][::-1], -k, k, k)
                 best[i] = (found[0], end - back[1] if back else max(0, end - m), end)
-        padded = f" {text} "
         for i in self.short:
-            at = padded.find(f" {self.texts[i]} ")
+            at = text.find(self.texts[i])
             if at >= 0:
                 best[i] = (0, at, at + len(self.texts[i]))
         for i, (edits, start, end) in sorted(best.items()):
@@ -273,14 +294,15 @@ def _searcher(name, sent):
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` without those in which an item occurs.  A row goes if its id and a hash of its text match."""
     columns = docs.columns
+    doc, row = free_names(docs, "_mx_doc", "_mx_row")
     found, sent = _found(docs, benchmark, rate, block_bytes)
-    hits = materialize(found.select(F.col("doc_id").alias("_mx_id"), F.col("row").alias("_mx_hit")).distinct(), "contaminated")
+    hits = materialize(found.select(F.col("doc_id").alias("hit_id"), F.col("row").alias("hit_row")).distinct(), "contaminated")
     for x in sent:
         x.destroy()
     if hits.count() <= 500_000:  # 16 bytes each
         hits = F.broadcast(hits)
-    rows = docs.withColumns({"_mx_doc": F.col("doc_id").cast("long"), "_mx_row": F.xxhash64("text")})
-    same = rows["_mx_doc"].eqNullSafe(hits["_mx_id"]) & (rows["_mx_row"] == hits["_mx_hit"])
+    rows = docs.withColumns({doc: F.col("doc_id").cast("long"), row: F.xxhash64("text")})
+    same = rows[doc].eqNullSafe(hits["hit_id"]) & (rows[row] == hits["hit_row"])
     return rows.join(hits, same, "left_anti").select(*(f"`{c}`" for c in columns))
 
 
@@ -290,8 +312,6 @@ def brute(text: str | None, item: str | None, rate: float = 0.1) -> int | None:
     t, p = normalise(text), normalise(item)
     if not t or not p:
         return None
-    if len(p) < SHORT:
-        return 0 if f" {p} " in f" {t} " else None
     row = [0] * (len(t) + 1)
     for j, letter in enumerate(p):
         new = [j + 1]

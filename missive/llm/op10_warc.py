@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from missive.functions.display import utc_seconds
 from missive.llm.common import bounded_batches, join_groups, materialize, scratch_path
 
 LEAST = 1000
@@ -94,7 +95,7 @@ def _id(page: Column) -> Column:
 
 
 def _stamp(page: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(F.coalesce(page, F.lit(0)) + EPOCH), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return utc_seconds(F.coalesce(page, F.lit(0)) + EPOCH)
 
 
 def records(rows: DataFrame) -> DataFrame:
@@ -268,7 +269,7 @@ def merged(captures: DataFrame, task_rows: int = 100_000) -> DataFrame:
     key, time and page, from 0."""
     order = ["url_key", "stamp", "page_id"]
     tasks = max(1, -(-captures.count() // task_rows))
-    dealt = captures.repartitionByRange(tasks, *order).sortWithinPartitions("archive", *order, "place")
+    dealt = captures.repartitionByRange(tasks, *order, "archive", "place").sortWithinPartitions("archive", *order, "place")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in captures.schema) + ", part int, at long"
     names = captures.columns
     keys = [names.index(c) for c in ("url_key", "stamp", "page_id", "archive", "place")]

@@ -665,3 +665,79 @@ def test_loser_tree_merges_any_number_of_runs():
         runs = [sorted(rng.randrange(50) for _ in range(rng.randrange(7))) for _ in range(k)]
         merged = [x for x, _ in op10_warc.LoserTree([iter([(x, i) for x in r]) for i, r in enumerate(runs)])]
         assert merged == sorted(x for r in runs for x in r)
+
+
+# Mends: bounded samples, bounded memory, names that clash, zones.
+
+
+def test_language_sample_is_bounded_whatever_the_ids(spark):
+    same = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, "de").otherwise("en").alias("lang"), F.lit("some text").alias("text"))
+    found = op04_language.sample(same, docs_per_lang=150, windows=1, span=64, most=30_000)
+    assert 150 < len(found) < 500 and {x for _, x in found} == {"de", "en"}
+    many = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("lang"), F.lit("some text").alias("text"))
+    assert 500 < len(op04_language.sample(many, docs_per_lang=150, windows=1, span=64, most=1000)) < 1500
+
+
+def test_decontamination_of_a_very_long_repeated_text_takes_bounded_memory():
+    import tracemalloc
+
+    items = [f"{prose(20)} of the {prose(20)} of the of the" for _ in range(300)]
+    (index,) = op08_decontaminate.indexes(list(range(300)), [op08_decontaminate.normalise(x) for x in items], 0.1)
+    text = op08_decontaminate.normalise("of the " * 200_000 + items[7] + " of the" * 1000)
+    tracemalloc.start()
+    found = list(index.matches(text))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f[0] for f in found] == [7] and found[0][3] == 0 and most < 400e6
+
+
+def test_decontamination_in_pieces_finds_what_the_whole_finds(monkeypatch):
+    base = [prose(RNG.randint(5, 40)) for _ in range(12)] + ["abcd", "abc", "the of the of the of the of"]
+    texts = []
+    for _ in range(12):
+        words = prose(300).split(" ")
+        for item in RNG.sample(base, 3):
+            broken = list(item)
+            for _ in range(RNG.randint(0, max(0, len(item) // 14))):
+                broken[RNG.randrange(len(broken))] = RNG.choice("abx ")
+            words.insert(RNG.randrange(len(words)), "".join(broken))
+        texts.append(op08_decontaminate.normalise(" ".join(words) + " the of" * 60))
+    plain = [op08_decontaminate.normalise(x) for x in base]
+    whole = [sorted((i, e) for index in op08_decontaminate.indexes(list(range(len(plain))), plain, 0.1) for i, _, _, e in ((index.ids[i], a, b, e) for i, a, b, e in index.matches(t))) for t in texts]
+    monkeypatch.setattr(op08_decontaminate, "STEP", 40)
+    monkeypatch.setattr(op08_decontaminate, "PIECE", 64)
+    cut = [sorted((i, e) for index in op08_decontaminate.indexes(list(range(len(plain))), plain, 0.1) for i, _, _, e in ((index.ids[i], a, b, e) for i, a, b, e in index.matches(t))) for t in texts]
+    assert cut == whole
+    for t, found in zip(texts, whole, strict=True):
+        assert found == [(i, e) for i, p in enumerate(plain) if (e := op08_decontaminate.brute(t, p)) is not None]
+
+
+def test_stages_keep_columns_whatever_they_are_called(spark):
+    names = ["_mx_id", "_mx_digest", "_mx_hit", "_mx_doc", "_mx_row", "_mx_guess", "_MX_WORD", "_mx_bits", "_mx_at"]
+    rows = [(1, BASE), (2, BASE), (3, "other words of another text"), (4, LONG)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in names})
+    items = spark.createDataFrame([(9, "other words of another text")], "item_id long, text string")
+    net = op04_language.train([(x.encode()[:60], lang) for _, x, lang in ROWS if x and lang], steps=2)
+    for kept in (op05_exact.keep_one(docs), op01_simhash.keep_one(docs), op08_decontaminate.clean(docs, items), op04_language.keep_known(docs, net, 0.0)):
+        assert kept.columns == docs.columns and kept.count() >= 3
+        assert all(r[c] == f"{c} {r['doc_id']}" for r in kept.collect() for c in names)
+
+
+def test_archives_in_another_zone(spark):
+    pages = spark.createDataFrame([(i, "http://a.org/x", "x") for i in (0, 26_682_598, 26_682_600)], "page_id long, url string, html string")
+    plain = [tuple(r) for r in op10_warc.archive(spark, pages).select("page_id", "stamp", "history_rank").orderBy("page_id").collect()]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        other = [tuple(r) for r in op10_warc.archive(spark, pages).select("page_id", "stamp", "history_rank").orderBy("page_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert other == plain and plain[0][1] == "2024-01-01T00:00:00Z" and [r[2] for r in plain] == [0, 1, 2]
+
+
+def test_packing_is_online_and_close_to_full():
+    rng = random.Random(5)
+    lengths = [min(2048, int(rng.paretovariate(1.1) * 60)) for _ in range(20_000)]
+    bins = op06_packing.OpenBins(2048, 4096)
+    for n in lengths:
+        bins.place(n)
+    assert bins.made <= 1.02 * sum(lengths) / 2048 + 1
