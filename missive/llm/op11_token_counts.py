@@ -6,8 +6,7 @@
 3. A second pass gives the frequencies of pre-tokens in each document.  They are joined to the piece
    counts, and a document's tokens are the sum of frequency times pieces.  No ids are made.
 
-Up to ``SMALL_GROUPS`` pre-tokens are sent to all executors; of more, those are that stand in more
-than one of 200,000 rows.  Frequencies of these are summed to a row a document before anything is
+The commonest pre-tokens, ``SMALL_GROUPS`` at most, are sent to all executors.  Frequencies of these are summed to a row a document before anything is
 shuffled, and only those of rare pre-tokens are shuffled by pre-token, so no key of the join is hot.
 
 A pre-token is what the library's normaliser and pre-tokeniser make of a text cut at blanks and
@@ -22,7 +21,7 @@ are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import public_tokenizers
 import pyarrow as pa
@@ -31,29 +30,50 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from missive.llm.common import SMALL_GROUPS, bounded_batches, materialize, slices
+from missive.llm.tokens import byte_letters
 
 LIMIT = 2048
 #: Distinct pre-tokens, and their characters, that a task holds before it hands them on.
-HELD, HELD_CHARS = 200_000, 32 << 20
+HELD, HELD_CHARS = 500_000, 32 << 20
 #: Units between blanks that a worker remembers, and the longest one.
 UNITS, LONGEST = 300_000, 64
 #: Frequencies in an Arrow batch.
 ROWS = 50_000
+#: Numbers of documents up to which pre-tokens are told apart when the commonest are chosen.
+APART = 1_000_000
+#: What marks a special string: no pre-token holds a blank.
+SPECIAL = " "
+#: The pre-tokens of a vocabulary of this kind for texts in Latin-1; control characters that Python's split takes for blanks.
+LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+ODD = re.compile("[\x1c-\x1f]")
+
+
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
 
 
 class PreTokens:
-    """A text's pre-tokens and their pieces, by the library's own normaliser, pre-tokeniser and model."""
+    """A text's pre-tokens and their pieces, by the library's own normaliser, pre-tokeniser and model.
+
+    Texts in Latin-1, which have one normal form, are parted by the vocabulary's pattern as it reads for such."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.letters = byte_letters()
+        self.bytes = {c: b for b, c in self.letters.items()}
         self.known: dict[str, tuple[str, ...]] = {}
 
-    def of_unit(self, unit: str) -> tuple[str, ...]:
+    def of_unit(self, unit: str, latin: bool) -> tuple[str, ...]:
         found = self.known.get(unit)
         if found is None:
-            found = tuple(self._split(unit))
+            found = tuple(LATIN.findall(unit.lower())) if latin else tuple(self._split(unit))
             if len(unit) <= LONGEST:
                 if len(self.known) >= UNITS:
                     self.known.clear()
@@ -63,21 +83,26 @@ class PreTokens:
     def _split(self, unit: str):
         for part in self.cut.split(unit) if self.cut else [unit]:
             if part in self.special:
-                yield part
+                yield SPECIAL + part
             elif part:
                 plain = self.tokenizer.normalizer.normalize_str(part)
-                yield from (p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain))
+                for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain):
+                    yield bytes(map(self.bytes.__getitem__, piece)).decode()
 
     def frequencies(self, text: str | None) -> dict[str, int]:
-        out: dict[str, int] = defaultdict(int)
-        for unit, n in Counter((text or "").replace("\n", " ").split(" ")).items():
-            for p in self.of_unit(unit):
-                out[p] += n
+        text = text or ""
+        latin = "<|" not in text and not ODD.search(text) and is_latin(text)
+        out = Counter(text.lower().split() if latin else text.replace("\n", " ").split(" "))
+        for unit in [u for u in out if not u.isalpha()] if latin else list(out):
+            n = out.pop(unit)
+            for p in self.of_unit(unit, latin):
+                out[p] = out.get(p, 0) + n
         return out
 
     def pieces(self, pretoken: str) -> int:
-        """A special string is never a pre-token of the texts around it: those hold letters alone or none."""
-        return 1 if pretoken in self.special else len(self.tokenizer.model.tokenize(pretoken))
+        if pretoken.startswith(SPECIAL):
+            return 1
+        return len(self.tokenizer.model.tokenize("".join(map(self.letters.__getitem__, pretoken.encode()))))
 
 
 _LOADED: dict[str, PreTokens] = {}
@@ -125,38 +150,46 @@ def distinct_pretokens(docs: DataFrame, vocabulary: str, folder: str | None = No
 
 
 def frequencies(docs: DataFrame, vocabulary: str, folder: str | None = None) -> DataFrame:
-    """``tag, doc_id, n_bytes, pretoken, freq``: a row for each document and pre-token; ``doc_id`` and ``n_bytes``
-    stand in a document's first row.  One without pre-tokens has a row of the empty one."""
+    """``tag, doc_id, n_bytes, pretoken, freq``: a row for each document and pre-token; one without pre-tokens
+    has a row of the empty one."""
 
     def run(batches):
         reader = pretokens(vocabulary, folder)
         for batch in slices(batches):
-            columns: list[list] = [[], [], [], [], []]
-            for tag, doc, size, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+            start, ends, names, counts = 0, [0], [], []
+            for at, text in enumerate(batch.column(3)):
                 found = reader.frequencies(text.as_py()) or {"": 0}
-                more = len(found) - 1
-                for into, values in zip(columns, ([tag] * (more + 1), [doc] + [None] * more, [size] + [None] * more, found.keys(), found.values()), strict=True):
-                    into.extend(values)
-                if len(columns[0]) > ROWS:
-                    yield rows_of(columns)
-                    columns = [[], [], [], [], []]
-            yield rows_of(columns)
-
-    def rows_of(columns):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["tag", "doc_id", "n_bytes", "pretoken", "freq"])
+                names.extend(found.keys())
+                counts.extend(found.values())
+                ends.append(len(names))
+                if len(names) > ROWS or at + 1 == batch.num_rows:
+                    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, k)) for x, k in ((names, pa.string()), (counts, pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*(c.slice(start, len(ends) - 1) for c in batch.columns[:3]), *lists], names=["tag", "doc_id", "n_bytes", "pretokens", "freqs"])
+                    start, ends, names, counts = at + 1, [0], [], []
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("tag"), F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return rows.mapInArrow(run, "tag long, doc_id long, n_bytes long, pretoken string, freq long")
+    rows = rows.mapInArrow(run, "tag long, doc_id long, n_bytes long, pretokens array<string>, freqs array<long>")
+    return rows.select("tag", "doc_id", "n_bytes", F.inline(F.arrays_zip(F.col("pretokens").alias("pretoken"), F.col("freqs").alias("freq")))).toDF("tag", "doc_id", "n_bytes", "pretoken", "freq")
+
+
+def least_common(known: DataFrame, most: int) -> int:
+    """The number of documents that at most ``most`` pre-tokens exceed; 0 if there are no more than that."""
+    sizes = known.groupBy(F.least("n", F.lit(APART)).alias("n")).agg(F.count("*").alias("k"), F.sum("n").alias("rows")).collect()
+    held = 0
+    for r in sorted(sizes, key=lambda r: -r["n"]):
+        held += r["k"]
+        if held > most:
+            # Of those that are not told apart, fewer than ``most`` stand in more than one row in so many.
+            return r["n"] if r["n"] < APART else max(APART, sum(x["rows"] for x in sizes) // most)
+    return 0
 
 
 def token_counts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit: int = LIMIT, folder: str | None = None) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit``: a row for each row of ``docs``."""
     bounded_batches(docs.sparkSession)
     known = materialize(distinct_pretokens(docs, vocabulary, folder), "pretokens")
-    total = known.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    least = 0 if total["k"] <= SMALL_GROUPS else total["n"] // SMALL_GROUPS
+    least = least_common(known, SMALL_GROUPS)
     common, rare = known.where(F.col("n") > least), known.where(F.col("n") <= least)
     rows = frequencies(docs, vocabulary, folder)
     rows = rows.join(F.broadcast(common.select("pretoken", "pieces")), "pretoken", "left")

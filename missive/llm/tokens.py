@@ -31,7 +31,7 @@ _SPACE = re.compile(r" (?=\S)")
 _LOADED: dict[tuple[str, str], Encoder] = {}
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letter that a byte-level vocabulary writes for each byte: visible Latin-1 characters
     stand for themselves, the others are numbered from 256."""
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -39,7 +39,7 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_LETTERS = _byte_letters()
+_LETTERS = byte_letters()
 _MARKS = ".,;:!?|"
 
 
