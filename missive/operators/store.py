@@ -91,14 +91,17 @@ def upsert_messages(table: DataFrame, changes: DataFrame) -> DataFrame:
     return numbered(live.unionByName(kept), ("account_id", "folder_id", "uidvalidity", "uid", "source_item_key"))
 
 
-def numbered(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Ids for the rows without one, from the largest on.  Rows are numbered within 64 hash
+def numbered(rows: DataFrame, order: tuple[str, ...], last: int | None = None) -> DataFrame:
+    """Ids for the rows without one, on from ``last``, or from the largest in ``rows``.  Rows are numbered within 64 hash
     buckets, each shifted by the new rows of those before."""
     new = rows.where("id IS NULL").withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(64)))
     sizes = new.groupBy("_b").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    sizes = sizes.select("_b", before.alias("_before")).join(F.broadcast(last))  # 64 rows and 1
+    sizes = sizes.select("_b", before.alias("_before"))
+    if last is None:
+        sizes = sizes.join(F.broadcast(rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))))  # 64 rows and 1
+    else:
+        sizes = sizes.withColumn("_last", F.lit(last))
     at = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
     new = new.withColumn("_at", at).join(F.broadcast(sizes), "_b").withColumn("id", F.col("_last") + F.col("_before") + F.col("_at"))
     return rows.where("id IS NOT NULL").unionByName(new.select(*rows.columns))
@@ -106,7 +109,8 @@ def numbered(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
 
 def set_columns(table: DataFrame, changes: DataFrame, keys: tuple[str, ...], nulls: tuple[str, ...] = ()) -> DataFrame:
     """``table`` with the values of ``changes`` for the rows that it names: those that are not null, and of the
-    columns ``nulls`` all."""
+    columns ``nulls`` all.  Of changes that repeat a key the one with the largest ``seq`` counts, or any without ``seq``."""
+    changes = latest(changes if "seq" in changes.columns else changes.withColumn("seq", F.lit(0)), keys).drop("seq")
     new = changes.withColumn("_changed", F.lit(True)).alias("n")
     both = table.alias("t").join(new, reduce(and_, (F.col(f"t.{k}") == F.col(f"n.{k}") for k in keys)), "left")
     own = [c for c in changes.columns if c not in keys]

@@ -54,14 +54,22 @@ def read_lines(lines: DataFrame) -> DataFrame:
     text = F.regexp_extract("value", r"^(.*)\|CRC32:([0-9a-f]{8})$", 1)
     told = F.regexp_extract("value", r"^(.*)\|CRC32:([0-9a-f]{8})$", 2)
     event = F.from_json(text, SCHEMA)
-    ends = lines.groupBy("file").agg(F.max("place").alias("end"))
-    rows = lines.join(ends, "file")
     intact = F.coalesce((checksum(text) == told) & event.isNotNull() & event["event"].isNotNull(), F.lit(False))
+    ends = lines.groupBy("file").agg(F.max("place").alias("end")).withColumnRenamed("file", "end_file")
+    rows = lines.withColumn("intact", intact)
+    # A row a file; each is one month of an account, so one file may hold many of the rows and is no key to shuffle them by.
+    ends = F.broadcast(ends) if few(ends) else ends
+    rows = rows.join(ends, F.col("file") == F.col("end_file"), "left")
     last = F.col("place") == F.col("end")
-    rows = rows.select("file", "place", F.octet_length("value").alias("bytes"), intact.alias("intact"), last.alias("last"), event.alias("e"))
+    rows = rows.select("file", "place", F.octet_length("value").alias("bytes"), "intact", last.alias("last"), event.alias("e"))
     return rows.select("file", "place", "bytes", "intact", "last", "e.*")
 
 
+def few(rows: DataFrame, most: int = 200_000) -> bool:
+    """Whether there are so few rows that they can be sent to all executors."""
+    return rows.limit(most + 1).count() <= most
+
+
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
     """The lines of all files; ``place`` orders a file's: where its split starts, then the row."""
     rows = spark.read.text(path, recursiveFileLookup=True)
@@ -80,6 +88,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("intact").drop("bytes", "intact", "last")
 
 
+def read_committed(lines: DataFrame) -> DataFrame:
+    """The events of ``lines(value)`` that a commit made visible, where no line is torn: a broken one is an error."""
+    rows = read_lines(lines.select(F.lit("").alias("file"), F.lit(0).alias("place"), "value"))
+    if not rows.where("NOT intact").isEmpty():
+        raise ValueError("a broken event within a commit")
+    return rows.drop("file", "place", "bytes", "intact", "last")
+
+
 def bytes_cut(lines: DataFrame) -> DataFrame:
     """``file, bytes``: what a repair of the ends removes."""
     return read_lines(lines).where("last AND NOT intact").select("file", "bytes")
