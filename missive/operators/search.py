@@ -13,6 +13,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from missive.operators.pages import states_of
 from missive.plans.filters import SORT_KEY, Condition, Page, read_cursor, wanted, write_cursor
 from missive.plans.query import SearchPlan, parse_query
 
@@ -105,18 +106,37 @@ def page_rows(v, filters: tuple[Condition, ...], plan: SearchPlan | None = None,
     """One page as a DataFrame of at most ``limit`` rows.
 
     The top rows are taken before the joins where these cannot drop any; folders can only drop
-    messages that have none, so the semi join with their ids goes below the limit."""
+    messages that have none, so the semi join with their ids goes below the limit.  Where messages are stored with a
+    directory of their files, a page without terms opens only those that it needs."""
     if limit <= 0:
         raise ValueError("a page has at least one row")
-    rows = selected(v, filters, plan, compat)
-    if cursor:
-        rows = rows.where(after(cursor))
     known = v.folders.select(F.col("id").alias("known_id"))
-    rows = rows.join(known, F.col("folder_id") == F.col("known_id"), "left_semi")
-    top = rows.orderBy(F.desc(SORT_KEY), F.desc("id")).limit(limit)
+
+    def shown(rows: DataFrame) -> DataFrame:
+        rows = rows.where(after(cursor)) if cursor else rows
+        return rows.join(known, F.col("folder_id") == F.col("known_id"), "left_semi")
+
+    if plan is None and v.directory is not None:
+        top = v.directory.top(lambda rows: shown(rows.where(conditions(filters))), cursor, limit)
+    else:
+        top = shown(selected(v, filters, plan, compat)).orderBy(F.desc(SORT_KEY), F.desc("id")).limit(limit)
     return summaries(with_names(top, v.folders, v.failures))
 
 
+def deep_page(v, filters: tuple[Condition, ...], offset: int, limit: int = PAGE) -> DataFrame:
+    """``id`` and sort key of the page at an offset, or the last full one of fewer rows."""
+    states = states_of(filters) if v.directory is not None else None
+    if states is None:
+        rows = selected(v, filters)
+        skip = max(0, min(offset, rows.count() - limit))
+    else:
+        total = sum(r["states"].get(x, 0) for r in v.directory.files for x in states)
+        offset = max(0, min(offset, total - limit))
+        rows, before = v.directory.at(states, offset, limit)
+        rows, skip = rows.where(conditions(filters)), offset - before
+    return rows.select("id", sort_key().alias(SORT_KEY)).orderBy(F.desc(SORT_KEY), F.desc("id")).offset(skip).limit(limit)
+
+
 def search(v, query: str | None, filters: tuple[Condition, ...] | None = None, cursor: str | None = None, limit: int = PAGE, mode: str = "and", on_plan=None) -> Page:
     """A page of results, or of all messages without a query; ``on_plan`` sees the plan first."""
     plan = parse_query(query, mode) if query is not None else None

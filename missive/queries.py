@@ -156,9 +156,7 @@ def o3_search_page(v):
 @over_store("o8_deep_page", f"SELECT m.id, {KEY} AS sort_key FROM messages m WHERE local_state = 'active' {_ORDER} LIMIT 200 OFFSET greatest(0, least(10000, (SELECT count(*) FROM messages WHERE local_state = 'active') - 200))")
 def o8_deep_page(v):
     """The page at offset 10,000, or the last one of fewer rows."""
-    rows = s.selected(v, wanted())
-    at = max(0, min(10_000, rows.count() - s.PAGE))
-    return rows.select("id", s.sort_key().alias("sort_key")).orderBy(F.desc("sort_key"), F.desc("id")).offset(at).limit(s.PAGE)
+    return s.deep_page(v, wanted(), 10_000)
 
 
 @over_store("o4_thread", f"SELECT {_SHOWN} {_JOINS} WHERE m.thread_key = '7' AND m.local_state = 'active'")
@@ -525,7 +523,7 @@ SELECT gram, count(*) AS messages, min(message_id) AS first_id, max(message_id)
 
 
 def _of_index(built: index.Index) -> DataFrame:
-    return built.table("postings").groupBy("gram").agg(F.count("*").alias("messages"), F.min("message_id").alias("first_id"), F.max("message_id").alias("last_id"))
+    return built.pieces().where(F.length("gram") == 3).groupBy("gram").agg(F.count("*").alias("messages"), F.min("message_id").alias("first_id"), F.max("message_id").alias("last_id"))
 
 
 @over_views("k24_index_build")
@@ -539,12 +537,14 @@ SQL["k24_index_build"] = sql("SELECT * FROM contents").replace("SELECT * FROM co
 @over_store("k24_index_update")
 def k24_index_update(v):
     """A tenth of the messages go, another has its subjects as bodies, and there are new ones."""
-    old, new = v.index.table("contents").drop("block"), F.col("message_id")
+    spark = v.contents.sparkSession
+    built = index.build(v.contents, scratch_path(spark, "index"))
+    old, new = v.contents, F.col("message_id")
     gone = old.where(new % 10 == 3).withColumn("removed", F.lit(True))
     other = old.where(new % 10 == 4).withColumn("body_text", F.col("subject_norm")).withColumn("removed", F.lit(False))
     fresh = old.where(new % 10 == 5).withColumns({"message_id": new + 1_000_000, "removed": F.lit(False)})
     changes = gone.unionByName(other).unionByName(fresh)
-    return _of_index(index.updated(v.index, changes, scratch_path(old.sparkSession, "index")))
+    return _of_index(index.updated(built, changes))
 
 
 SQL["k24_index_update"] = sql("SELECT * FROM contents").replace(

@@ -290,6 +290,14 @@ def vacuum(store: Snapshots, keep: int = 10) -> int:
             for part in store._names(f"{table}/{folder}"):
                 if part.startswith(f"{BUCKET}=") and v <= versions[-1] and (v, int(part.partition("=")[2])) not in live:
                     gone += store.fs.delete(store.place(f"{store.path}/{table}/{folder}/{part}"), True)
+    parts = [("runs", "runs", lambda t: [t]), ("segments", "segments", lambda t: ["contents", "postings", "gone"])]
+    for kind, field, folders in parts:
+        for table in {t for m in kept for t, e in m["tables"].items() if e["kind"] == kind}:
+            held = {r[0] if kind == "runs" else r["v"] for m in kept for r in m["tables"].get(table, {field: []})[field]}
+            for folder in folders(table):
+                for name in store._names(folder):
+                    if (v := int(name.partition("=")[2])) <= versions[-1] and v not in held:
+                        gone += store.fs.delete(store.place(f"{store.path}/{folder}/{name}"), True)
     for v in versions[:-keep]:
         store.fs.delete(store.place(f"{store.path}/_commits/{v:020d}.json"), False)
     return gone

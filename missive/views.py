@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missive.functions.display import utc_seconds
-from missive.functions.normalise import folded
+from missive.functions.normalise import stored_form
 from missive.operators.index import Index, build
+from missive.operators.pages import Directory, directory
 from missive.operators.search import keyed
 from missive.scratch import scratch_path
 
@@ -29,6 +30,7 @@ class Views:
     contents: DataFrame
     failures: DataFrame
     index: Index | None = None
+    directory: Directory | None = None
 
 
 def views(spark: SparkSession, sf_dir: str) -> Views:
@@ -62,8 +64,8 @@ def views(spark: SparkSession, sf_dir: str) -> Views:
         F.concat_ws("/", F.lit("eml"), account, F.concat(F.substring(hash_, 1, 32), F.lit(".eml"))).alias("relative_path"),
     )
     contents = docs.where("text IS NOT NULL").select(
-        doc.alias("message_id"), folded(F.substring("text", 1, 60)).alias("subject_norm"), folded(F.concat("source", F.lit("@example.org"))).alias("sender_norm"),
-        folded(F.col("text")).alias("body_text"), F.when(F.col("n_chars") > 2000, F.concat(F.lit("report-"), doc.cast("string"), F.lit(".xlsx"))).alias("attachment_names"),
+        doc.alias("message_id"), stored_form(F.substring("text", 1, 60)).alias("subject_norm"), stored_form(F.concat("source", F.lit("@example.org"))).alias("sender_norm"),
+        stored_form(F.col("text")).alias("body_text"), F.when(F.col("n_chars") > 2000, F.concat(F.lit("report-"), doc.cast("string"), F.lit(".xlsx"))).alias("attachment_names"),
     )
     kind = F.element_at(F.array(*map(F.lit, ("transient", "oversize", "parse"))), (F.col("label_id") % 3 + 1).cast("int"))
     failures = rows.where(F.col("quality") == 0).select(
@@ -73,31 +75,43 @@ def views(spark: SparkSession, sf_dir: str) -> Views:
     return Views(accounts, folders, messages, contents, failures)
 
 
-_STORED: dict[tuple[str, str], Views] = {}
+_STORED: dict[tuple, Views] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str) -> Views:
     """The model written once for a session, with its search index: contents are normalised when they are
     stored, messages lie in the order of pages, and searches read these tables."""
-    key = spark.sparkContext.applicationId, sf_dir
+    key = spark.sparkContext.applicationId, sf_dir, _age(spark, sf_dir)
     if key not in _STORED:
         v, path = views(spark, sf_dir), scratch_path(spark, "store")
         order = [F.desc("sort_key"), F.desc("id")]
         keyed(v.messages).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/messages")
-        for name in ("accounts", "folders", "failures"):
+        for name in ("accounts", "folders"):  # a row a source
             getattr(v, name).coalesce(1).write.parquet(f"{path}/{name}")
-        index = build(v.contents, f"{path}/index")
+        v.failures.write.parquet(f"{path}/failures")
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        _STORED[key] = Views(read("accounts"), read("folders"), read("messages"), index.table("contents"), read("failures"), index)
+        directory(read("messages")).write.parquet(f"{path}/directory")
+        index = build(v.contents, f"{path}/index")
+        _STORED[key] = Views(read("accounts"), read("folders"), read("messages"), index.contents(), read("failures"), index, Directory(read("messages"), read("directory")))
     return _STORED[key]
 
 
+def _age(spark: SparkSession, sf_dir: str) -> tuple:
+    """Times and lengths of the two tables' files, so that a changed table is stored anew."""
+    out = []
+    for table in ("documents", "labels"):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        out += sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(at))
+    return tuple(out)
+
+
 def _fold(text: str) -> str:
     return rf"trim(regexp_replace(replace(lower({text}), 'ß', 'ss'), '\s+', ' ', 'g'))"
 
 
 def _stamp(seconds: str) -> str:
-    return f"strftime(make_timeutc_seconds(({seconds}) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
+    return f"strftime(make_timestamp(({seconds}) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
 
 
 _FOLDER = r"CAST(regexp_extract(source, '(\d+)$', 1) AS BIGINT)"

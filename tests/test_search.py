@@ -6,11 +6,12 @@ import random
 from dataclasses import replace
 from datetime import UTC, datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from missive.functions.normalise import normalise, normalised, without_surrogates
-from missive.operators import index
+from missive.functions.normalise import normalise, normalised, stored_form, without_surrogates
+from missive.operators import index, pages
 from missive.operators import search as s
 from missive.plans.filters import Page, day_bounds, read_cursor, utc_text, wanted, write_cursor
 from missive.plans.query import QuerySyntaxError, parse_query
@@ -191,16 +192,81 @@ def test_the_index_finds_what_a_scan_finds(indexed):
     assert ids(s.search(v, "antlers")) == [153]
 
 
+CHANGE = "message_id long, subject_norm string, sender_norm string, body_text string, attachment_names string, removed boolean"
+
+
+def trigrams_and_shorter(rows) -> set:
+    return {(t[i : i + k], r["message_id"]) for r in rows for t in (r[c] for c in s.TEXT_COLUMNS) if t for k in (1, 2, 3) for i in range(len(t) - k + 1)}
+
+
 def test_the_index_after_changes(indexed, spark, tmp_path):
-    _, v = indexed
-    changes = spark.createDataFrame([(1, "new subject", "", "wholly other words", None, False), (2, None, None, None, None, True), (900, "", "", "antlered", "names.txt", False)], "message_id long, subject_norm string, sender_norm string, body_text string, attachment_names string, removed boolean")
-    new = index.updated(v.index, changes, str(tmp_path))
-    now = new.table("contents").drop("block")
-    assert now.where("message_id IN (1, 2, 900)").count() == 2 and now.count() == 153
-    again = index.postings(now)
-    assert sorted(map(tuple, new.table("postings").collect())) == sorted(map(tuple, again.collect()))
-    assert sorted(map(tuple, new.table("counts").collect())) == sorted(map(tuple, again.groupBy("gram").count().collect()))
+    plain, _ = indexed
+    old = index.build(plain.contents, str(tmp_path / "index"))
+    changes = spark.createDataFrame([(1, "new subject", "", "wholly other words", None, False), (2, None, None, None, None, True), (900, "", "", "antlered", "names.txt", False)], CHANGE)
+    new = index.updated(old, changes)
+    now = new.contents()
+    assert now.where("message_id IN (1, 2, 900)").count() == 2 and now.count() == 153 and len(new.segments) == 2
+    assert {tuple(r) for r in new.pieces().collect()} == trigrams_and_shorter(now.collect())
     assert [r.found_id for r in index.found(new, parse_query("antlered")).collect()] == [900] and [r.found_id for r in index.found(new, parse_query("wholly")).collect()] == [1]
+    # What is open stays as it was, and an update writes in proportion to the change.
+    assert old.contents().count() == 153 and index.found(old, parse_query("antlered")).isEmpty()
+    fresh = trigrams_and_shorter(changes.where("NOT removed").collect())
+    assert {tuple(r) for r in index.spread(new.postings_of(new.segments[1])).select("gram", "message_id").collect()} == fresh
+    assert new.contents_of(new.segments[1]).count() == 2 and new.segments[0] == old.segments[0]
+
+
+def test_many_changes_leave_few_segments_and_the_same_results(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "SMALL", 3)
+    rng = random.Random(3)
+    words = ["ant", "antler", "red", "reddish", "x1", "zz"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(4))
+    now = {i: text() for i in range(40)}
+    kind = CHANGE.removesuffix(", removed boolean")
+    frame = lambda rows: spark.createDataFrame([(i, "", None, t, None) for i, t in rows.items()], kind)
+    built = index.build(frame(now), str(tmp_path / "i"))
+    for _ in range(7):
+        new, gone = {rng.randrange(50): text() for _ in range(4)}, {rng.randrange(50) for _ in range(2)}
+        gone -= new.keys()
+        now = {i: t for i, t in (now | new).items() if i not in gone}
+        changes = frame(new).withColumn("removed", F.lit(False)).unionByName(spark.createDataFrame([(i, None, None, None, None, True) for i in gone], CHANGE))
+        built = index.updated(built, changes)
+    assert len(built.segments) <= 4 and {r.message_id: r.body_text for r in built.contents().collect()} == now
+    for query in ("antler", "ant -red", "zz", "x1 red", "an", "reddish -zz", "nothing"):
+        words_of = parse_query(query)
+        want = sorted(i for i, t in now.items() if all(x in t for x in words_of.include) and not any(x in t for x in words_of.exclude))
+        assert sorted(r.found_id for r in index.found(built, words_of).collect()) == want, query
+
+
+def test_ranges_in_which_a_piece_is_missing_are_skipped(spark, tmp_path, monkeypatch):
+    rows = [(i, "", None, "abcdef" if i == 77 else "abc" if i < 100 else "def", None) for i in range(200)]
+    monkeypatch.setattr(index, "PAIRS", 60)
+    codes = spark.createDataFrame([(0, *r) for r in rows], index.CONTENT.replace(", block int", "").replace("message_id long", "block int, message_id long")).coalesce(1)
+    got = codes.mapInArrow(index._pack, index.POSTING).collect()  # tasks here have the module's own bound
+    assert {r.gram for r in got} >= {"a", "ab", "abc", "cde"} and all(r.n == len(r.ids) and r.low == r.base + r.ids[0] and r.high == r.base + r.ids[-1] for r in got)
+    assert index.texts_of(np.concatenate(index.codes_of("a\0é日🙂"))) == ["a", "\0", "é", "日", "🙂", "a\0", "\0é", "é日", "日🙂", "a\0é", "\0é日", "é日🙂"]
+
+
+def test_pages_open_only_the_files_that_they_need(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [{"date_sent": f"2026-07-{rng.randint(1, 28):02d}T00:00:00Z" if i % 9 else None, "local_state": "trashed" if i % 4 == 0 else "active", "uid": i, "has_attachment": i == 200} for i in range(240)]
+    plain = model(spark, rows)
+    order = [F.desc("sort_key"), F.desc("id")]
+    s.keyed(plain.messages).repartitionByRange(6, *order).sortWithinPartitions(*order).write.parquet(f"{tmp_path}/m")
+    stored = spark.read.parquet(f"{tmp_path}/m")
+    v = replace(plain, messages=stored, directory=pages.Directory(stored, pages.directory(stored)))
+    read = []
+    monkey = v.directory.open
+    v.directory.open = lambda files: read.append(len(files)) or monkey(files)
+    cursor = None
+    for _ in range(5):
+        want, got = s.search(plain, None, cursor=cursor, limit=20), s.search(v, None, cursor=cursor, limit=20)
+        assert ids(got) == ids(want) and got.next_cursor == want.next_cursor
+        cursor = want.next_cursor
+    assert max(read) <= 2 and len(v.directory.files) == 6
+    for filters in (wanted(attachment=True, local=None), wanted(local=("trashed", "active")), wanted(local=())):
+        assert ids(s.search(v, None, filters, limit=7)) == ids(s.search(plain, None, filters, limit=7))
+        for offset in (0, 33, 150, 5000):
+            assert [r.id for r in s.deep_page(v, filters, offset, 10).collect()] == [r.id for r in s.deep_page(plain, filters, offset, 10).collect()]
 
 
 def test_only_the_blocks_of_candidates_are_read(indexed, spark, tmp_path):
@@ -213,3 +279,9 @@ def test_only_the_blocks_of_candidates_are_read(indexed, spark, tmp_path):
     assert [r.found_id for r in rows.collect()] == [153_000]
     # Terms of three characters are answered without any text.
     assert "body_text" not in index.found(built, parse_query("ant -red"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_forms_of_any_text(spark):
+    texts = ["Straße ÀÉ", "ＴＥＬ． ０９", "é ﬁ ² ª x", "a\x1cb\x85c\n\t d ", "日本 ｶﾞ", "", None, "¨ ¯´µ¸ ¼", "\x00", "ÿ ½"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", stored_form(F.col("t")).alias("got")).collect()
+    assert all(r.got == (None if r.t is None else normalise(r.t)) for r in rows), rows
