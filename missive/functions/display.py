@@ -108,6 +108,11 @@ def seconds_left(done: Column, total: Column, elapsed: Column) -> Column:
     return (total - done) / F.nullif(rate, F.lit(0.0))
 
 
+def retry_wait(base: float, attempt: Column, draw: Column) -> Column:
+    """``retry_delay`` of a table's rows; ``draw`` is from 0 to 1."""
+    return base * F.pow(F.lit(2.0), attempt) * (1 + draw / 10)
+
+
 def retry_delay(base: float, attempt: int, rng: random.Random | None = None) -> float:
     """Seconds before try ``attempt`` (from 0): doubling, with up to a tenth more."""
     wait = base * 2**attempt

@@ -54,8 +54,17 @@ def folder_ids(folders: DataFrame, account_ids: tuple[str, ...] | None, raw_name
     return tuple(sorted(r[0] for r in rows.select("id").collect()))
 
 
+def folders_named(folders: DataFrame, raw_names: DataFrame, account_ids: DataFrame | None = None) -> DataFrame:
+    """``id`` of the folders whose name ``raw_names(raw_name)`` has, of the accounts ``account_ids(account_id)`` or of all."""
+    rows = folders.join(raw_names.select("raw_name"), "raw_name", "left_semi")
+    if account_ids is not None:
+        rows = rows.join(account_ids.select("account_id"), "account_id", "left_semi")
+    return rows.select("id")
+
+
 def enabled_accounts(accounts: DataFrame) -> DataFrame:
-    return accounts.where(F.coalesce(F.col("is_enabled"), F.lit(True)))
+    """All but those that are off, as a boolean, a number or a text; one that says nothing is on."""
+    return accounts.where(~F.coalesce(F.lower(F.col("is_enabled").cast("string")).isin("0", "false"), F.lit(False)))
 
 
 def total_results(results: DataFrame) -> DataFrame:

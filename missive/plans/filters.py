@@ -60,6 +60,17 @@ def read_cursor(text: str) -> tuple[str, int]:
     return tuple(found[k] for k in CURSOR)
 
 
+def cursor_text(key: Column, message_id: Column) -> Column:
+    """The cursor after each row, as ``write_cursor`` writes it."""
+    return F.to_json(F.struct(key.cast("string").alias("sort_key"), message_id.cast("long").alias("message_id")))
+
+
+def cursor_place(text: Column) -> Column:
+    """``struct<sort_key, message_id>`` of a cursor; null for what is none."""
+    found = F.from_json(text, "sort_key string, message_id bigint", {"mode": "PERMISSIVE"})
+    return F.when(found["sort_key"].isNotNull() & found["message_id"].isNotNull(), found)
+
+
 class Page(NamedTuple):
     """Rows, the cursor of the next page (null after the last), and whether a term was not indexed."""
 

@@ -11,6 +11,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from missive.functions.normalise import normalise
 
 _TERM = re.compile(r'(?P<minus>-?)(?:"(?P<phrase>(?:[^"]|"")*)"|(?P<word>[^\s"]+))(?=\s|$)')
@@ -83,3 +88,26 @@ def parse_query(text: str, mode: str = "and") -> SearchPlan:
     if not terms[False]:
         raise QuerySyntaxError("a query needs a term that is not excluded")
     return SearchPlan(tuple(terms[False]), tuple(terms[True]), mode)
+
+
+_LISTS = ("match", "like", "not_match", "not_like")
+#: What ``planned`` says of a query.
+PLAN = T.StructType([*(T.StructField(c, T.ArrayType(T.StringType())) for c in _LISTS), T.StructField("slow", T.BooleanType()), T.StructField("error", T.BooleanType())])
+
+
+def planned(query: Column) -> Column:
+    """``PLAN`` of each query, as a table of saved searches has them; one that breaks the syntax has no terms."""
+    kind = pa.struct([*((c, pa.list_(pa.string())) for c in _LISTS), ("slow", pa.bool_()), ("error", pa.bool_())])
+
+    @F.arrow_udf(PLAN)
+    def run(texts: pa.Array) -> pa.Array:
+        rows = []
+        for text in texts.to_pylist():
+            try:
+                p = parse_query(text or "")
+                rows.append(dict(zip(_LISTS, (p.match_terms, p.like_terms, p.exclude_match_terms, p.exclude_like_terms), strict=True)) | {"slow": p.has_slow_path, "error": False})
+            except QuerySyntaxError:
+                rows.append(dict.fromkeys(_LISTS, []) | {"slow": False, "error": True})
+        return pa.array(rows, kind)
+
+    return run(query)

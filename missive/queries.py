@@ -2,65 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive import cases
+from missive import cases  # noqa: F401  registers its queries
 from missive.functions import display, html, mail
 from missive.functions.normalise import normalised
-from missive.operators import export, index, measure, store, sync
+from missive.operators import export, index, intervals, measure, store, sync
 from missive.operators import search as s
 from missive.plans.filters import Condition, day_bounds, wanted, write_cursor
 from missive.plans.query import parse_query
 from missive.scratch import scratch_path
 from missive.sources import files, log
-from missive.views import EPOCH, Views, sql, stored, views
+from missive.sources.snapshots import Snapshots
+from missive.registry import QUERIES, SQL, over_store, over_tables, over_views
+from missive.views import EPOCH, sql, stored
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 COLUMNS = "id, account_id, folder_id, subject, sort_key"
 
 
-def over_views(name: str, oracle: str | None = None):
-    """Register a query that takes the message model."""
-
-    def add(f: Callable[[Views], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(views(spark, sf_dir))
-        if oracle:
-            SQL[name] = sql(oracle)
-        return f
-
-    return add
-
-
-def over_store(name: str, oracle: str | None = None):
-    """Register a query that takes the stored message model with its index."""
-
-    def add(f: Callable[[Views], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(stored(spark, sf_dir))
-        if oracle:
-            SQL[name] = sql(oracle)
-        return f
-
-    return add
-
-
-def over_tables(name: str, oracle: str | None = None):
-    """Register a query that takes a reader of tables."""
-
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-        if oracle:
-            SQL[name] = oracle
-        return f
-
-    return add
-
-
 # Search: term kinds, modes and exclusions.
 
 KEY = "coalesce(m.date_sent, m.internal_date, '')"
@@ -554,8 +516,112 @@ SQL["k24_index_update"] = sql("SELECT * FROM contents").replace(
 )
 
 
-QUERIES |= cases.QUERIES
-SQL |= cases.SQL
+# The commit log: batches that are seen whole or not at all, buckets that are rewritten, look-ups by hash.
+
+
+def _log_of(v) -> Snapshots:
+    spark = v.messages.sparkSession
+    return Snapshots(spark, scratch_path(spark, "commits"))
+
+
+@over_views("k13_committed_batches", "SELECT id, file_hash, id % 3 AS batch FROM messages WHERE id % 3 <> 2")
+def k13_committed_batches(v):
+    """Messages in three batches, of which the last has been written but not published."""
+    store_ = _log_of(v)
+    for batch in range(3):
+        commit = store_.begin()
+        commit.append("messages", v.messages.where(F.col("id") % 3 == batch).select("id", "file_hash", F.lit(batch).cast("long").alias("batch")))
+        if batch < 2:
+            commit.publish()
+    return store_.read("messages").select("id", "file_hash", "batch")
+
+
+_NATURAL = (*sync.PLACE, "source_item_key")
+_NEAR = ("account_id", "folder_id", "uidvalidity", "uid div 1000")
+
+
+def _keyed(v) -> Snapshots:
+    """The message table in buckets, in which neighbouring uids of a folder lie together."""
+    store_ = _log_of(v)
+    commit = store_.begin()
+    commit.create("messages", v.messages.select("id", *sync.PLACE, F.col("message_id").alias("source_item_key"), "remote_state", "imap_flags", "size_bytes"), _NEAR, 32)
+    commit.publish()
+    return store_
+
+
+@over_views("k3_merged_messages", """SELECT account_id, folder_id, uidvalidity, uid, message_id AS source_item_key, CASE WHEN folder_id = 1 AND uid % 2 = 0 THEN 'present' ELSE remote_state END AS remote_state, imap_flags, size_bytes, id AS known_id FROM messages
+ UNION ALL SELECT account_id, folder_id, uidvalidity + 10, uid, message_id, 'present', NULL, size_bytes, NULL FROM messages WHERE folder_id = 2 AND uid % 2 = 1""")
+def k3_merged_messages(v):
+    """Changes of one folder and a new generation of another: only their buckets are rewritten, and new rows get the next ids."""
+    store_ = _keyed(v)
+    rows = v.messages.select(*sync.PLACE, F.col("message_id").alias("source_item_key"), F.lit("present").alias("remote_state"), "size_bytes", F.lit(1).alias("seq"))
+    known = rows.where("folder_id = 1 AND uid % 2 = 0")
+    fresh = rows.where("folder_id = 2 AND uid % 2 = 1").withColumn("uidvalidity", F.col("uidvalidity") + 10)
+    commit = store_.begin()
+    commit.merge("messages", known.unionByName(fresh), _NATURAL, supplied=("remote_state",), ids=("id", _NATURAL))
+    commit.publish()
+    out = store_.read("messages")
+    return out.select(*_NATURAL, "remote_state", "imap_flags", "size_bytes", F.when(F.col("uidvalidity") < 10, F.col("id")).alias("known_id"))
+
+
+@over_views("k9_merged_flags", "SELECT id, CASE WHEN folder_id = 3 AND uid % 3 = 0 THEN '\\Seen' ELSE imap_flags END AS imap_flags, remote_state FROM messages WHERE NOT (folder_id = 4 AND uid % 2 = 0 AND uid IS NOT NULL)")
+def k9_merged_flags(v):
+    """Flags of one folder are set, and messages of another removed, in one commit each."""
+    store_ = _keyed(v)
+    commit = store_.begin()
+    changes = v.messages.where("folder_id = 3 AND uid % 3 = 0").select(*_NATURAL[:4], F.col("message_id").alias("source_item_key"), F.lit("\\Seen").alias("imap_flags"), F.lit(None).cast("string").alias("remote_state"), F.lit(1).alias("seq"))
+    commit.merge("messages", changes, _NATURAL, insert=False, nulls=())
+    commit.publish()
+    commit = store_.begin()
+    commit.remove("messages", v.messages.where("folder_id = 4 AND uid % 2 = 0").select(*sync.PLACE), sync.PLACE)
+    commit.publish()
+    return store_.read("messages").select("id", "imap_flags", "remote_state")
+
+
+@over_views("j11_known_contents", "SELECT id, EXISTS (SELECT 1 FROM messages o WHERE o.account_id = m.account_id AND o.file_hash = m.file_hash AND o.id % 2 = 0) AS known FROM messages m WHERE id % 2 = 1")
+def j11_known_contents(v):
+    """Contents that earlier commits stored, looked up in the runs of their hashes."""
+    store_ = _log_of(v)
+    for part in range(3):
+        commit = store_.begin()
+        commit.add_run("hashes", v.messages.where((F.col("id") % 2 == 0) & (F.col("id") % 3 == part)).select("account_id", "file_hash"), "file_hash")
+        commit.publish()
+    known = store_.read("hashes").distinct().withColumn("_known", F.lit(True))
+    rows = v.messages.where("id % 2 = 1").join(known, ["account_id", "file_hash"], "left")
+    return rows.select("id", F.coalesce("_known", F.lit(False)).alias("known"))
+
+
+@over_tables("i22_incremental_replay", "SELECT user_id AS uid, count(*) AS n_events, arg_max(CASE event_type WHEN 'click' THEN 'moved' WHEN 'purchase' THEN 'deleted' ELSE 'present' END, event_id) AS remote_state, max(event_id) FILTER (event_type = 'click') AS moved_to_folder_id FROM events GROUP BY 1")
+def i22_incremental_replay(t):
+    """The log in a few commits, each of which is folded into the state without reading those before."""
+    kind = F.when(F.col("event_type") == "click", "moved").when(F.col("event_type") == "purchase", "delete_detected").otherwise("fetch")
+    rows = t("events").select(
+        "event_id", F.lit("a").alias("account_id"), F.lit(1).cast("long").alias("folder_id"), F.lit(1).cast("long").alias("uidvalidity"), F.col("user_id").alias("uid"), kind.alias("event"),
+        display.utc_seconds(F.lit(EPOCH) + F.col("event_id")).alias("timestamp"), F.lit("p").alias("relative_path"), F.col("event_id").alias("moved_to_folder_id"),
+    )
+    spark = rows.sparkSession
+    store_ = Snapshots(spark, scratch_path(spark, "replay"))
+    last = rows.agg(F.max("event_id")).first()[0] or 0
+    for low, high in ((0, last * 9 // 10), (last * 9 // 10 + 1, last)):
+        commit = store_.begin()
+        commit.append("events", rows.where(F.col("event_id").between(low, high)).drop("event_id"))
+        commit.publish()
+        log.fold_new(store_, "events", "state")
+    return store_.read("state").select("uid", "n_events", "remote_state", "moved_to_folder_id")
+
+
+@over_views("j6_missing_intervals", "SELECT account_id, folder_id, uidvalidity, uid FROM messages WHERE uid IS NOT NULL AND uid % 5 = 0")
+def j6_missing_intervals(v):
+    """The uids that are stored and no longer listed, as a difference of intervals."""
+    of = lambda rows: intervals.intervals(rows, sync.PLACE[:3], "uid")
+    return intervals.spread(intervals.difference(of(v.messages), of(_remote(v)), sync.PLACE[:3]), "uid")
+
+
+@over_views("s6_uid_intervals", """SELECT account_id, folder_id, uidvalidity, min(uid) AS low, max(uid) AS high FROM (
+ SELECT account_id, folder_id, uidvalidity, uid, uid - row_number() OVER (PARTITION BY account_id, folder_id, uidvalidity ORDER BY uid) AS run FROM (SELECT DISTINCT account_id, folder_id, uidvalidity, uid // 3 AS uid FROM messages WHERE uid IS NOT NULL)) GROUP BY account_id, folder_id, uidvalidity, run""")
+def s6_uid_intervals(v):
+    rows = v.messages.withColumn("uid", F.floor(F.col("uid") / 3))
+    return intervals.intervals(rows, sync.PLACE[:3], "uid")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

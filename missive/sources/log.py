@@ -118,6 +118,43 @@ def replay(events: DataFrame) -> DataFrame:
     )
 
 
+STATE_KEY = ("account_id", "folder_id", "uidvalidity", "uid")
+
+
+def fold_new(store, events: str, state: str, buckets: int = 64) -> int:
+    """Fold the events that commits added since the last fold into the table ``state``, in a commit of its own that also says
+    up to which commit that was.  Only new events are read, and only the buckets of the messages that they name.
+
+    Of two events of a message the one with the later instant counts, whichever was folded first; of equal instants the one of
+    the later commit.  The state's rows are those of ``replay``; the number of the folded commit is returned."""
+    commit = store.begin()
+    done, newest = commit.notes.get(f"folded {events}", -1), commit.version - 1
+    new = store.read(events).where(F.col("v") > done)  # a partition column: other commits' files are not opened
+    instant = F.unix_micros(F.coalesce(zoned(F.col("timestamp")), F.to_timestamp(F.lit("1970-01-01T00:00:00Z"))))
+    rank = F.struct(instant.alias("at"), F.col("v").alias("v"))
+    kind = F.when(F.col("event") == "moved", "moved").when(F.col("event") == "delete_detected", "deleted").when(F.col("event") == "remote_state_unknown", "unknown").otherwise("present")
+    of = lambda event: F.when(F.col("event") == event, rank)
+    rows = new.groupBy(*STATE_KEY).agg(
+        F.max_by(kind, rank).alias("remote_state"), F.max(rank).alias("state_at"), F.max_by("relative_path", of("fetch")).alias("relative_path"), F.max(of("fetch")).alias("path_at"),
+        F.max_by("moved_to_folder_id", of("moved")).alias("moved_to_folder_id"), F.max(of("moved")).alias("moved_at"), F.count("*").alias("n_events"),
+    )
+    if state not in commit.tables:
+        commit.create(state, rows, ("account_id", "folder_id", "uidvalidity", "uid div 1000"), buckets)
+    else:
+        rows = commit.staged("folded", rows)
+        touched = [r[0] for r in rows.select(commit.bucket_of(state)).distinct().collect()]  # a row a bucket at most
+        old = commit.current(state, touched)
+        parts = old.unionByName(rows)
+        whole = parts.groupBy(*STATE_KEY).agg(
+            *(x for value, at in (("remote_state", "state_at"), ("relative_path", "path_at"), ("moved_to_folder_id", "moved_at")) for x in (F.max_by(value, at).alias(value), F.max(at).alias(at))),
+            F.sum("n_events").alias("n_events"),
+        )
+        commit.merge(state, whole.select(*old.columns).join(rows.select(*STATE_KEY), list(STATE_KEY), "left_semi").withColumn("seq", F.lit(0)), STATE_KEY)
+    commit.note(f"folded {events}", newest)
+    commit.publish()
+    return newest
+
+
 def repaired(lines: DataFrame) -> DataFrame:
     """``file, place, value`` without the broken line at a file's end, which a crash leaves: what a repair
     writes anew.  Lines in the middle stay, broken or not."""
