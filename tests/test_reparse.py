@@ -8,6 +8,7 @@ import time
 from datetime import UTC, datetime
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from missive.operators import reparse
@@ -88,3 +89,25 @@ def test_core_results_equal_duckdb(spark, tmp_path):
         assert columns == sorted(want.columns)
         left = sorted(map(repr, (tuple(r) for r in got.select(*columns).collect())))
         assert left == sorted(map(repr, want.select(*columns).fetchall())), name
+
+
+def test_a_repeated_query_name_is_an_error():
+    from missive import queries, registry  # noqa: F401  registers them
+
+    with pytest.raises(ValueError, match="already"):
+        registry.register("s1_accounts", lambda spark, sf_dir: None, None)
+
+
+def test_no_query_has_constant_rows_as_its_only_input(spark, monkeypatch, tmp_path):
+    """Every query of the core reads a given table: with the tables gone, each fails."""
+    from missive import queries, registry  # noqa: F401  registers them
+
+    missing = []
+    for name, query in registry.QUERIES.items():
+        try:
+            query(spark, str(tmp_path / "nothing"))
+            missing.append(name)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+                raise
+    assert missing == []
