@@ -20,12 +20,18 @@ from missive.views import EPOCH, _fold, _stamp
 
 AT = "2026-08-01T00:00:00Z"
 NOW = datetime(2026, 8, 1, tzinfo=UTC)
-DOC = F.col("doc_id")
-ID = F.col("id")
 BREAK = "\r\n"
 KEY = "coalesce(date_sent, internal_date, '')"
 
 
+def doc() -> Column:
+    return F.col("doc_id")
+
+
+def ident() -> Column:
+    return F.col("id")
+
+
 def text(*parts) -> Column:
     """Columns, names of such being ``Column`` already, and literal texts joined."""
     return F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
@@ -68,16 +74,16 @@ _SENT = "make_timestamp(2026, 7, 1 + doc_id % 28, doc_id % 24, doc_id % 60, 0.0)
 @over_tables("n4_date_headers", f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN strftime({_SENT}, '%Y-%m-%dT%H:%M:%SZ') ELSE '2026-07-30T00:00:00Z' END AS date_sent FROM documents")
 def n4_date_headers(t):
     """Dates with a zone, ones that cannot be read and absent ones, which are the mailbox's."""
-    date = text("Date: ", DOC % 28 + 1, " Jul 2026 ", two(DOC % 24), ":", two(DOC % 60), ":00 -0130")
-    raw = text(pick(DOC, date, F.lit("Date: soon"), F.lit("X: 1")), BREAK * 2)
+    date = text("Date: ", doc() % 28 + 1, " Jul 2026 ", two(doc() % 24), ":", two(doc() % 60), ":00 -0130")
+    raw = text(pick(doc(), date, F.lit("Date: soon"), F.lit("X: 1")), BREAK * 2)
     return t("documents").select("doc_id", message(raw, "2026-07-30T00:00:00Z")["date_sent"].alias("date_sent"))
 
 
 @over_tables("n5_internal_dates", f"SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN strftime({_SENT}, '%Y-%m-%dT%H:%M:%SZ') END AS at FROM documents")
 def n5_internal_dates(t):
-    day = F.lpad((DOC % 28 + 1).cast("string"), 2, " ")
-    line = text("* 1 FETCH (UID 1 INTERNALDATE \"", day, "-Jul-2026 ", two(DOC % 24), ":", two(DOC % 60), ":00 -0130\")")
-    line = F.when(DOC % 4 == 3, '* 2 FETCH (UID 2 INTERNALDATE "soon")').otherwise(line)
+    day = F.lpad((doc() % 28 + 1).cast("string"), 2, " ")
+    line = text("* 1 FETCH (UID 1 INTERNALDATE \"", day, "-Jul-2026 ", two(doc() % 24), ":", two(doc() % 60), ":00 -0130\")")
+    line = F.when(doc() % 4 == 3, '* 2 FETCH (UID 2 INTERNALDATE "soon")').otherwise(line)
     return t("documents").select("doc_id", mail.message_lines(line)["internal_date"].alias("at"))
 
 
@@ -99,9 +105,9 @@ def n10_checksums(t):
 @over_tables("n12_header_texts", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Größe ' || doc_id WHEN 1 THEN 'Größe ' || doc_id || ' ' || source WHEN 2 THEN source || ' ' || doc_id ELSE lang || ' ' || source END AS shown FROM documents")
 def n12_header_texts(t):
     """Base 64, quoted, folded and plain."""
-    coded = text("=?utf-8?b?", F.base64(F.concat(F.lit("Größe "), DOC.cast("string")).cast("binary")), "?=")
-    quoted = text("=?iso-8859-1?q?Gr=F6=DFe_", DOC, "?= ", F.col("source"))
-    head = pick(DOC, coded, quoted, text(F.col("source"), BREAK, " ", DOC), text(F.col("lang"), " ", F.col("source")))
+    coded = text("=?utf-8?b?", F.base64(F.concat(F.lit("Größe "), doc().cast("string")).cast("binary")), "?=")
+    quoted = text("=?iso-8859-1?q?Gr=F6=DFe_", doc(), "?= ", F.col("source"))
+    head = pick(doc(), coded, quoted, text(F.col("source"), BREAK, " ", doc()), text(F.col("lang"), " ", F.col("source")))
     return t("documents").select("doc_id", mail.header_texts(head).alias("shown"))
 
 
@@ -110,8 +116,8 @@ def n13_part_names(t):
     """A type's name, a disposition's before it, a coded one, one in pieces, and pieces that lack the first."""
     place = f"{BREAK}Content-Disposition: attachment"
     head = pick(
-        DOC, text("; name=", F.col("source"), ".png"), text("; name=t.png", place, "; filename=d", DOC, ".png"), text(place, "; filename*=iso-8859-1''%E9", DOC, ".png"),
-        text(place, "; filename*0=a; filename*1=", DOC, ".png"), text(place, "; filename*1=b"),
+        doc(), text("; name=", F.col("source"), ".png"), text("; name=t.png", place, "; filename=d", doc(), ".png"), text(place, "; filename*=iso-8859-1''%E9", doc(), ".png"),
+        text(place, "; filename*0=a; filename*1=", doc(), ".png"), text(place, "; filename*1=b"),
     )
     raw = text("Content-Type: image/png", head, BREAK * 2, "x")
     return t("documents").select("doc_id", F.get(message(raw)["attachments"], 0)["filename"].alias("filename"))
@@ -120,8 +126,8 @@ def n13_part_names(t):
 @over_tables("n14_decoded", "SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN source ELSE '日本' END || doc_id AS shown FROM documents")
 def n14_decoded(t):
     """Three character sets of Japanese without a label, and plain letters."""
-    head = pick(DOC, *(F.unhex(F.lit("日本".encode(c).hex())) for c in ("iso-2022-jp", "cp932", "euc_jp")), F.col("source").cast("binary"))
-    return t("documents").select("doc_id", mail.decoded(F.concat(head, DOC.cast("string").cast("binary"))).alias("shown"))
+    head = pick(doc(), *(F.unhex(F.lit("日本".encode(c).hex())) for c in ("iso-2022-jp", "cp932", "euc_jp")), F.col("source").cast("binary"))
+    return t("documents").select("doc_id", mail.decoded(F.concat(head, doc().cast("string").cast("binary"))).alias("shown"))
 
 
 @over_tables("n18_remote_images", "SELECT page_id, page_id % 4 <> 1 AND regexp_matches(url, '(?i)^https?://') AS remote FROM pages")
@@ -134,7 +140,7 @@ def n18_remote_images(t):
 @over_views("n20_confined_paths", "SELECT id, id % 5 IN (0, 4) AS inside FROM messages")
 def n20_confined_paths(v):
     path = F.col("relative_path")
-    shown = pick(ID, path, text("/", path), text(path, "/../../../x"), text("C:\\", path), text("..", path))
+    shown = pick(ident(), path, text("/", path), text(path, "/../../../x"), text("C:\\", path), text("..", path))
     return v.messages.select("id", files.confined(shown).alias("inside"))
 
 
@@ -152,13 +158,13 @@ def n24_local_times(v):
 
 @over_tables("n28_seconds_left", "SELECT doc_id, (n_chars::DOUBLE - doc_id % 5) / nullif((doc_id % 5)::DOUBLE / nullif((doc_id % 7)::DOUBLE, 0), 0) AS s FROM documents")
 def n28_seconds_left(t):
-    return t("documents").select("doc_id", display.seconds_left((DOC % 5).cast("double"), F.col("n_chars").cast("double"), (DOC % 7).cast("double")).alias("s"))
+    return t("documents").select("doc_id", display.seconds_left((doc() % 5).cast("double"), F.col("n_chars").cast("double"), (doc() % 7).cast("double")).alias("s"))
 
 
 @over_tables("n29_attachment_names", "SELECT doc_id, concat_ws(chr(10), source || '.txt', CASE WHEN doc_id % 2 = 1 THEN lang || '.txt' END) AS names FROM documents")
 def n29_attachment_names(t):
     part = lambda name, inline: F.struct(name.alias("filename"), inline.alias("is_inline"))
-    parts = F.array(part(text(F.col("source"), ".txt"), F.lit(False)), part(F.lit(None).cast("string"), F.lit(False)), part(F.lit("logo.png"), F.lit(True)), part(text(F.col("lang"), ".txt"), DOC % 2 == 0))
+    parts = F.array(part(text(F.col("source"), ".txt"), F.lit(False)), part(F.lit(None).cast("string"), F.lit(False)), part(F.lit("logo.png"), F.lit(True)), part(text(F.col("lang"), ".txt"), doc() % 2 == 0))
     return t("documents").select("doc_id", display.attachment_names(parts).alias("names"))
 
 
@@ -174,13 +180,13 @@ def n32_free_names(t):
     source = F.col("source")
     of = lambda *name: text("Content-Type: application/x", BREAK, "Content-Disposition: attachment", *name, BREAK * 2, "x")
     raw = multipart(of("; filename=", source, ".txt"), of("; filename=b/", source, ".txt"), of("; filename=", F.upper("source"), ".TXT"), of())
-    rows = t("documents").select(DOC.alias("id"), raw.cast("binary").alias("content"))
+    rows = t("documents").select(doc().alias("id"), raw.cast("binary").alias("content"))
     return export.attachments(rows).select("id", F.col("part_index").alias("part"), "file_name")
 
 
 @over_tables("f14_valid_modseq", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN nullif(doc_id, 0) WHEN 3 THEN 9223372036854775807 - doc_id END AS n FROM documents")
 def f14_valid_modseq(t):
-    said = pick(DOC, DOC.cast("string"), text("x", DOC), text("9223372036854775808"), (F.lit(9223372036854775807) - DOC).cast("string"))
+    said = pick(doc(), doc().cast("string"), text("x", doc()), text("9223372036854775808"), (F.lit(9223372036854775807) - doc()).cast("string"))
     return t("documents").select("doc_id", sync.valid_modseq(said).alias("n"))
 
 
@@ -194,7 +200,7 @@ def f16_enabled_accounts(v):
 @over_tables("f22_valid_accounts", "SELECT doc_id, doc_id % 5 IN (0, 4) AS valid FROM documents")
 def f22_valid_accounts(t):
     source = F.col("source")
-    name = pick(DOC, text(source, "@example.org"), text(source, "/a"), text("com", DOC % 9 + 1), text(source, "."), F.repeat(F.lit("é"), 120))
+    name = pick(doc(), text(source, "@example.org"), text(source, "/a"), text("com", doc() % 9 + 1), text(source, "."), F.repeat(F.lit("é"), 120))
     return t("documents").select("doc_id", display.valid_account(name).alias("valid"))
 
 
@@ -206,7 +212,7 @@ def a9_bodies(t):
     """The first plain part that is not blank, else the first page with text; named parts are none."""
     plain, page = f"Content-Type: text/plain{BREAK * 2}", f"Content-Type: text/html{BREAK * 2}"
     raw = pick(
-        DOC, multipart(page + "<p>page</p>", plain + " ", text(plain, " plain ", DOC, " ")), multipart(page + "<br>", text(page, "<b>real ", DOC, "</b>")),
+        doc(), multipart(page + "<p>page</p>", plain + " ", text(plain, " plain ", doc(), " ")), multipart(page + "<br>", text(page, "<b>real ", doc(), "</b>")),
         multipart(text("Content-Type: text/plain; name=", F.col("source"), BREAK * 2, "named")),
     )
     return t("documents").select("doc_id", message(raw, "not a date")["body_text"].alias("body_text"))
@@ -224,9 +230,9 @@ def u2_parts(t):
 
 @over_tables("u4_rendered", "SELECT doc_id, '<b>' || source || '</b>' AS html_body, CAST(NULL AS VARCHAR) AS text_body, 'sun' || doc_id || '@sky' AS content_id, length(doc_id::VARCHAR)::INT + 3 AS size FROM documents")
 def u4_rendered(t):
-    raw = multipart(text(f"Content-Type: text/html{BREAK * 2}<b>", F.col("source"), "</b>"), text("Content-Type: image/gif", BREAK, "Content-ID: <sun", DOC, "@sky>", BREAK * 2, "GIF", DOC))
+    raw = multipart(text(f"Content-Type: text/html{BREAK * 2}<b>", F.col("source"), "</b>"), text("Content-Type: image/gif", BREAK, "Content-ID: <sun", doc(), "@sky>", BREAK * 2, "GIF", doc()))
     rows = t("documents").select("doc_id", mail.rendered(raw.cast("binary")).alias("r"))
-    part = export.inline_part(F.col("r.parts"), text("sun", DOC, "@sky"))
+    part = export.inline_part(F.col("r.parts"), text("sun", doc(), "@sky"))
     return rows.select("doc_id", "r.html_body", "r.text_body", part["content_id"].alias("content_id"), F.length(part["payload"]).alias("size"))
 
 
@@ -234,16 +240,16 @@ def u4_rendered(t):
 def u5_broken_base64(t):
     """Whole texts in base 64, which come back as they were, and bodies that are none."""
     head = f"Content-Type: text/plain; charset=utf-8{BREAK}Content-Transfer-Encoding: base64{BREAK * 2}"
-    body = F.when(DOC % 2 == 1, F.base64(text(F.col("text"), ".").cast("binary"))).otherwise(text("%%%%"))
+    body = F.when(doc() % 2 == 1, F.base64(text(F.col("text"), ".").cast("binary"))).otherwise(text("%%%%"))
     rows = t("documents").select("doc_id", message(text(head, body)).alias("m"))
-    return rows.select("doc_id", "m.parse_error", F.when(DOC % 2 == 1, F.col("m.body_text")).alias("body"))
+    return rows.select("doc_id", "m.parse_error", F.when(doc() % 2 == 1, F.col("m.body_text")).alias("body"))
 
 
 @over_views("s16_folder_lines", "SELECT raw_name, raw_name AS display_name, CASE id % 3 WHEN 0 THEN '/' WHEN 1 THEN '.' END AS delimiter, CASE id % 3 WHEN 0 THEN '\\Sent' WHEN 1 THEN '\\A,\\B' ELSE '' END AS use FROM folders")
 def s16_folder_lines(v):
     """Quoted names, literals and plain ones; lines about something else go."""
     name = F.col("raw_name")
-    line = pick(ID, text('* LIST (\\Sent) "/" "', name, '"'), text("* LIST (\\B \\A) . {", F.length("raw_name"), "}", BREAK, name), text("* LSUB () NIL ", name))
+    line = pick(ident(), text('* LIST (\\Sent) "/" "', name, '"'), text("* LIST (\\B \\A) . {", F.length("raw_name"), "}", BREAK, name), text("* LSUB () NIL ", name))
     rows = v.folders.select(F.explode(F.array(line, F.lit("* OK done"))).alias("line")).select(mail.folder_lines("line").alias("f")).where("f IS NOT NULL")
     return rows.select("f.raw_name", "f.display_name", "f.delimiter", F.array_join("f.special_use", ",").alias("use"))
 
@@ -253,17 +259,17 @@ def s18_message_lines(v):
     """Responses with fields in any order, and lines that say nothing of a message."""
     flags, uid, size = text("FLAGS (", F.col("imap_flags"), ")"), text("UID ", F.coalesce("uid", F.lit(0))), text("RFC822.SIZE ", F.col("size_bytes"))
     envelope = f'ENVELOPE ("d" ((NIL "l" {{3}}{BREAK})"( "h")))'
-    line = text("* ", ID, " FETCH (", pick(ID, text(flags, " ", uid), text(flags, f" {envelope} ", uid, " MODSEQ (", ID * 1_000_003, ") ", size), text(size, " ", uid, " ", flags)), ")")
-    line = F.when(F.col("uid").isNull(), text("* ", ID, " EXPUNGE")).otherwise(line)
+    line = text("* ", ident(), " FETCH (", pick(ident(), text(flags, " ", uid), text(flags, f" {envelope} ", uid, " MODSEQ (", ident() * 1_000_003, ") ", size), text(size, " ", uid, " ", flags)), ")")
+    line = F.when(F.col("uid").isNull(), text("* ", ident(), " EXPUNGE")).otherwise(line)
     return files.listed(v.messages.select(line.alias("line"))).select("uid", "size_bytes", "modseq", run.flag_text(F.col("flags")).alias("flags"))
 
 
 @over_tables("s20_headers", "SELECT source AS raw_name, doc_id AS uid, n_chars AS size_bytes, CASE WHEN doc_id % 2 = 0 THEN '<' || doc_id || '@x>' END AS message_id, CASE WHEN doc_id % 2 = 0 THEN 'Message-ID: <' || doc_id || '@x>' || chr(13) || chr(10) ELSE '' END || 'Subject: ' || source AS head FROM documents")
 def s20_headers(t):
     """The heads of whole messages; what a body says of ids is no header."""
-    head = F.when(DOC % 2 == 0, text("Message-ID: <", DOC, "@x>", BREAK)).otherwise(text(""))
-    raw = text(head, "Subject: ", F.col("source"), pick(DOC, BREAK * 2, "\n\n"), "message-id: no", "\n", F.coalesce("text", F.lit("")))
-    rows = t("documents").select(F.col("source").alias("raw_name"), DOC.alias("uid"), F.col("n_chars").alias("size_bytes"), raw.cast("binary").alias("content"))
+    head = F.when(doc() % 2 == 0, text("Message-ID: <", doc(), "@x>", BREAK)).otherwise(text(""))
+    raw = text(head, "Subject: ", F.col("source"), pick(doc(), BREAK * 2, "\n\n"), "message-id: no", "\n", F.coalesce("text", F.lit("")))
+    rows = t("documents").select(F.col("source").alias("raw_name"), doc().alias("uid"), F.col("n_chars").alias("size_bytes"), raw.cast("binary").alias("content"))
     return files.headers(rows).select("raw_name", "uid", "size_bytes", "message_id", F.col("head").cast("string").alias("head"))
 
 
@@ -273,7 +279,7 @@ def s20_headers(t):
 @over_views("o9_cursors", f"""SELECT id, '{{"sort_key":"' || {KEY} || '","message_id":' || id || '}}' AS cursor, {KEY} AS sort_key, id AS message_id, true AS refused FROM messages""")
 def o9_cursors(v):
     """The cursor after each message, and its place read from it again; what is no cursor has none."""
-    rows = s.keyed(v.messages).select("id", cursor_text(F.col("sort_key"), ID).alias("cursor"))
+    rows = s.keyed(v.messages).select("id", cursor_text(F.col("sort_key"), ident()).alias("cursor"))
     place = cursor_place(F.col("cursor"))
     return rows.select("id", "cursor", place["sort_key"].alias("sort_key"), place["message_id"].alias("message_id"), cursor_place(F.concat(F.lit("x"), "cursor")).isNull().alias("refused"))
 
@@ -311,7 +317,7 @@ def x11_slow_paths(t):
     """Whether a saved search has a term that is too short for the index; unfinished and purely negative ones are errors."""
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z]+)"), F.lit(1))
     word = lambda i: F.coalesce(F.get(words, i), F.lit("none"))
-    query = pick(DOC, text(word(0), " -", word(1)), text("-", word(0)), text('"', word(0)))
+    query = pick(doc(), text(word(0), " -", word(1)), text("-", word(0)), text('"', word(0)))
     rows = t("documents").select("doc_id", planned(query).alias("p"))
     return rows.select("doc_id", "p.slow", "p.error")
 
@@ -337,8 +343,8 @@ def n27_retry_delays(v):
 def s13_verified(t):
     """Whole texts as files: some of other content, some absent, some paths that leave the root."""
     content = F.coalesce("text", F.lit("")).cast("binary")
-    found = t("documents").where("doc_id % 5 <> 0").select(text("file:/r/eml/a/", DOC, ".eml").alias("path"), F.when(DOC % 7 == 0, F.concat(content, F.lit(b"x"))).otherwise(content).alias("content"))
-    path = F.when(DOC % 11 == 0, text("../a/", DOC, ".eml")).otherwise(text("a//", DOC, ".eml"))
+    found = t("documents").where("doc_id % 5 <> 0").select(text("file:/r/eml/a/", doc(), ".eml").alias("path"), F.when(doc() % 7 == 0, F.concat(content, F.lit(b"x"))).otherwise(content).alias("content"))
+    path = F.when(doc() % 11 == 0, text("../a/", doc(), ".eml")).otherwise(text("a//", doc(), ".eml"))
     wanted = t("documents").select("doc_id", path.alias("relative_path"), F.upper(F.sha2(content, 256)).alias("file_hash"))
     rows = files.verified(found, wanted.select("relative_path", "file_hash"), "/r//eml/")
     return rows.select(F.regexp_extract("relative_path", r"(\d+)\.eml$", 1).cast("long").alias("doc_id"), "state", F.length("content").cast("long").alias("bytes"))
@@ -388,7 +394,7 @@ def k2_folders(v):
     fresh = v.folders.select("account_id", text(F.col("raw_name"), "/sub").alias("raw_name"), "display_name", "uidvalidity", F.lit(None).cast("boolean").alias("is_sync_target"))
     out = store.upsert_folders(v.folders, known.unionByName(silent).unionByName(fresh).withColumn("seq", F.lit(1)))
     last = v.folders.agg(F.max("id").alias("last"))
-    return out.join(F.broadcast(last)).select("raw_name", "display_name", "uidvalidity", "is_sync_target", F.when(ID <= F.col("last"), ID).alias("known_id"))
+    return out.join(F.broadcast(last)).select("raw_name", "display_name", "uidvalidity", "is_sync_target", F.when(ident() <= F.col("last"), ident()).alias("known_id"))
 
 
 @over_views("k4_replaced_contents", "SELECT message_id, CASE WHEN message_id % 3 = 0 THEN 'new' ELSE subject_norm END AS subject_norm, CASE WHEN message_id % 3 = 0 THEN 'text ' || message_id ELSE body_text END AS body_text FROM contents")
@@ -401,7 +407,7 @@ def k4_replaced_contents(v):
 @over_tables("k5_normalised_contents", f"SELECT doc_id AS message_id, CASE WHEN doc_id % 2 = 0 THEN 'given' ELSE {_fold('source')} || ' tel' END AS subject_norm, {_fold('lang')} AS sender_norm, {_fold('text')} AS body_text FROM documents")
 def k5_normalised_contents(t):
     rows = t("documents").select(
-        DOC.alias("message_id"), F.when(DOC % 2 == 0, " GIVEN").alias("subject_norm"), text(F.upper("source"), "　ＴＥＬ").alias("subject"), F.upper("lang").alias("sender"),
+        doc().alias("message_id"), F.when(doc() % 2 == 0, " GIVEN").alias("subject_norm"), text(F.upper("source"), "　ＴＥＬ").alias("subject"), F.upper("lang").alias("sender"),
         F.col("text").alias("body_text"),
     )
     return store.normalised_contents(rows).select("message_id", "subject_norm", "sender_norm", "body_text")
@@ -429,7 +435,7 @@ def k8_cursor_update(v):
 @over_views("k10_remote_states", "SELECT id, CASE id % 3 WHEN 0 THEN 'deleted' WHEN 1 THEN 'moved' ELSE remote_state END AS remote_state, CASE id % 3 WHEN 1 THEN 4 WHEN 2 THEN moved_to_folder_id END AS moved_to_folder_id FROM messages")
 def k10_remote_states(v):
     """A later state of the same message counts; one without a folder clears it."""
-    late = v.messages.where("id % 3 <> 2").select("id", F.when(ID % 3 == 0, "deleted").otherwise("moved").alias("remote_state"), F.when(ID % 3 == 1, 4).cast("long").alias("moved_to_folder_id"), F.lit(2).alias("seq"))
+    late = v.messages.where("id % 3 <> 2").select("id", F.when(ident() % 3 == 0, "deleted").otherwise("moved").alias("remote_state"), F.when(ident() % 3 == 1, 4).cast("long").alias("moved_to_folder_id"), F.lit(2).alias("seq"))
     early = late.withColumns({"remote_state": F.lit("unknown"), "moved_to_folder_id": F.lit(1).cast("long"), "seq": F.lit(1)})
     return store.set_remote_state(v.messages, early.unionByName(late)).select("id", "remote_state", "moved_to_folder_id")
 
@@ -454,7 +460,7 @@ def k21_migrated(v):
     """Tables of the first version, with its times, as those of the newest."""
     old = lambda c: F.replace(F.replace(c, F.lit("T"), F.lit(" ")), F.lit("Z"), F.lit(""))
     tables = {
-        "folders": v.folders.select("id", old(display.utc_seconds(F.lit(EPOCH) + ID)).alias("last_synced_at")),
+        "folders": v.folders.select("id", old(display.utc_seconds(F.lit(EPOCH) + ident())).alias("last_synced_at")),
         "sync_failures": v.failures.select(F.col("uid").alias("id"), old(F.col("first_failed_at")).alias("first_failed_at")),
         "messages": v.messages.select("id", old(F.col("date_sent")).alias("date_sent")),
     }
@@ -467,12 +473,12 @@ def k21_migrated(v):
 
 @over_tables("a3_totals", "SELECT sum(n_chars)::BIGINT AS fetched, sum(doc_id)::BIGINT AS transferred_bytes, sum(doc_id % 3)::BIGINT AS skipped, sum(doc_id % 2)::BIGINT AS failed, bool_or(doc_id = 5) AS cancelled FROM documents")
 def a3_totals(t):
-    return reparse.total_results(t("documents").select(F.col("n_chars").alias("fetched"), DOC.alias("transferred_bytes"), (DOC % 3).alias("skipped"), (DOC % 2).alias("failed"), (DOC == 5).alias("cancelled")))
+    return reparse.total_results(t("documents").select(F.col("n_chars").alias("fetched"), doc().alias("transferred_bytes"), (doc() % 3).alias("skipped"), (doc() % 2).alias("failed"), (doc() == 5).alias("cancelled")))
 
 
 @over_tables("a5_reparse_counters", "SELECT count(*) AS processed, count(*) FILTER (doc_id % 7 < 3) AS updated, count(*) FILTER (doc_id % 7 >= 3) AS skipped, count(*) FILTER (doc_id % 7 = 3) AS missing, count(*) FILTER (doc_id % 7 = 4) AS mismatched, count(*) FILTER (doc_id % 7 = 5) AS parse_failed FROM documents")
 def a5_reparse_counters(t):
-    return reparse.counters(t("documents").select(pick(DOC, "ok", "ok", "ok", "missing", "mismatch", "parse", "outside").alias("state")))
+    return reparse.counters(t("documents").select(pick(doc(), "ok", "ok", "ok", "missing", "mismatch", "parse", "outside").alias("state")))
 
 
 # Synchronisation runs.
@@ -492,7 +498,7 @@ _SETTLED = f"""SELECT *, CASE WHEN outcome IN ('ok', 'parse') THEN EXISTS (SELEC
 
 def _cursors(v) -> DataFrame:
     return v.folders.select(
-        ID.alias("folder_id"), "uidvalidity", F.lit(600).cast("long").alias("last_seen_uid"), F.lit(300).cast("long").alias("backfill_next_uid"), F.lit(False).alias("initial_sync_completed"),
+        ident().alias("folder_id"), "uidvalidity", F.lit(600).cast("long").alias("last_seen_uid"), F.lit(300).cast("long").alias("backfill_next_uid"), F.lit(False).alias("initial_sync_completed"),
         F.lit(None).cast("long").alias("highest_modseq"),
     )
 
@@ -504,7 +510,7 @@ def _work(v) -> DataFrame:
 
 
 def _settled(v) -> run.Settled:
-    stops = v.folders.where("id % 2 = 0").select(ID.alias("folder_id"), "uidvalidity", F.lit(150).cast("long").alias("stop_uid"))
+    stops = v.folders.where("id % 2 = 0").select(ident().alias("folder_id"), "uidvalidity", F.lit(150).cast("long").alias("stop_uid"))
     done = run.reached(_work(v), stops)
     outcome = pick(F.col("uid"), "ok", "ok", "ok", "parse", "transient")
     outcomes = v.messages.where("uid IS NOT NULL").select(*sync.PLACE, outcome.alias("outcome"), "message_id", "content_key", "file_hash", "relative_path")
@@ -533,8 +539,8 @@ def i2_i3_i8_work(v):
 @over_views("i19_broken_folders", f"SELECT account_id, folder_id, uid FROM ({_WORK}) WHERE account_id <> 'account-c' AND folder_id % 5 <> 0")
 def i19_broken_folders(v):
     """Every fifth folder could not be read, and one account could not be signed in to."""
-    broken = v.folders.where("id % 5 = 0").select("account_id", ID.alias("folder_id"), F.lit("fetch").alias("kind"))
-    broken = broken.unionByName(v.accounts.where("id = 'account-c'").select(ID.alias("account_id"), F.lit(None).cast("long").alias("folder_id"), F.lit("auth").alias("kind")))
+    broken = v.folders.where("id % 5 = 0").select("account_id", ident().alias("folder_id"), F.lit("fetch").alias("kind"))
+    broken = broken.unionByName(v.accounts.where("id = 'account-c'").select(ident().alias("account_id"), F.lit(None).cast("long").alias("folder_id"), F.lit("auth").alias("kind")))
     remote = v.messages.where("uid IS NOT NULL").select("account_id", "folder_id", "uidvalidity", "uid", "size_bytes")
     return run.work(remote, _cursors(v), v.failures, broken, LARGE).select("account_id", "folder_id", "uid")
 
@@ -580,8 +586,8 @@ _OLD = "EXISTS (SELECT 1 FROM messages m WHERE m.folder_id = f.id AND m.uidvalid
  FROM (SELECT *, id % 3 <> 0 AS stores FROM folders) f)""")
 def i10_i14_flag_paths(v):
     folders = v.folders.select(
-        ID.alias("folder_id"), "uidvalidity", (ID % 7 != 0).alias("initial_sync_completed"), pick(ID, F.lit(None).cast("string"), F.lit("5"), F.lit("50"), F.lit("x")).alias("highest_modseq"),
-        F.lit(9).alias("server_modseq"), (ID % 3 != 0).alias("condstore"),
+        ident().alias("folder_id"), "uidvalidity", (ident() % 7 != 0).alias("initial_sync_completed"), pick(ident(), F.lit(None).cast("string"), F.lit("5"), F.lit("50"), F.lit("x")).alias("highest_modseq"),
+        F.lit(9).alias("server_modseq"), (ident() % 3 != 0).alias("condstore"),
     )
     window = sync.flag_window(v.messages, "2026-07-01T00:00:00Z").where("id % 20 < 15")
     return run.flag_paths(folders, window, "2026-07-02T00:00:00Z")
@@ -589,12 +595,12 @@ def i10_i14_flag_paths(v):
 
 @over_tables("k18_exported_messages", "SELECT CASE WHEN doc_id % 5 = 0 THEN 'message ' ELSE 'Re_ ' || lang || '_' || source || ' ' END || doc_id || '.eml' AS file_name, strlen(text) AS bytes FROM documents")
 def k18_exported_messages(t):
-    subject = F.when(DOC % 5 != 0, text("x/Re: ", F.col("lang"), "?", F.col("source"))).otherwise(" ")
-    rows = t("documents").select(DOC.alias("id"), subject.alias("subject"), F.col("text").cast("binary").alias("content"))
+    subject = F.when(doc() % 5 != 0, text("x/Re: ", F.col("lang"), "?", F.col("source"))).otherwise(" ")
+    rows = t("documents").select(doc().alias("id"), subject.alias("subject"), F.col("text").cast("binary").alias("content"))
     return export.message_file(rows).select("file_name", F.length("content").cast("long").alias("bytes"))
 
 
 @over_tables("n1_normalised_forms", "SELECT doc_id, 'tel. 0' || doc_id || ' strasse ' || lower(source) AS shown FROM documents")
 def n1_normalised_forms(t):
     """Full-width forms, other blanks and a capital sharp s."""
-    return t("documents").select("doc_id", normalised(text("　Ｔｅｌ．\u2007０", DOC, " \t\n STRAẞE ", F.col("source"))).alias("shown"))
+    return t("documents").select("doc_id", normalised(text("　Ｔｅｌ．\u2007０", doc(), " \t\n STRAẞE ", F.col("source"))).alias("shown"))
