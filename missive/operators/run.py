@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from missive.operators.groups import join_groups, written
 from missive.operators.store import ATTEMPTS, FAILURE_KEY, cursors
 from missive.operators.sync import PLACE, expired, valid_modseq
 
@@ -102,8 +103,9 @@ def settle(done: DataFrame, outcomes: DataFrame, now: DataFrame, listing: DataFr
     whole = F.col("outcome").isin("ok", "parse")
     kept = lambda c: F.when(whole, F.col(c)).alias(c)
     known = stored.where("file_hash IS NOT NULL").select("account_id", "file_hash").distinct().withColumn("_known", F.lit(True))
-    first = rows.where(whole).groupBy("account_id", "file_hash").agg(F.min(F.struct("folder_id", "uidvalidity", "uid")).alias("_first"))
-    rows = rows.join(known, ["account_id", "file_hash"], "left").join(first, ["account_id", "file_hash"], "left")
+    first = F.min(F.when(whole, F.struct("folder_id", "uidvalidity", "uid"))).alias("_first")
+    groups = rows.groupBy("account_id", "file_hash").agg(first, F.count("*").alias("n")).join(known, ["account_id", "file_hash"], "left")
+    rows = join_groups(rows, written(groups, "contents"), ["account_id", "file_hash"])
     again = F.coalesce("_known", F.lit(False)) | (F.struct("folder_id", "uidvalidity", "uid") > F.col("_first"))
     messages = rows.where(F.col("outcome").isin("ok", "parse", "oversize")).select(
         *keys, "source_item_key", F.lit("present").alias("remote_state"), F.lit("active").alias("local_state"), "size_bytes",

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from missive.functions.display import zoned
+from missive.operators.groups import join_groups, written
 
 PLACE = ("account_id", "folder_id", "uidvalidity", "uid")
 FLAG_TTL_S, FLAG_WINDOW_DAYS = 3600, 30
@@ -47,20 +45,18 @@ def moves(gone: DataFrame, messages: DataFrame) -> DataFrame:
     held = here.groupBy(*key).agg(
         F.sum("n").alias("n"), F.min("folder_id").alias("low"), F.max("folder_id").alias("high"), F.count("*").alias("folders")
     )
-    own = here.select(*key, F.col("folder_id").alias("own_folder"), F.col("n").alias("own_n"))
+    own = here.select(*key, "folder_id", F.col("n").alias("own_n"))
     g = gone.select("id", *key, "folder_id")
-    rows = g.join(held, key, "left").join(own.withColumnsRenamed({k: f"o_{k}" for k in key}), _own(key), "left")
+    # What many messages share is many rows of ``gone`` too: groups are joined with groups, then looked up.
+    sizes = g.groupBy(*key, "folder_id").agg(F.count("*").alias("rows"))
+    groups = sizes.join(held, key, "left").join(own, [*key, "folder_id"], "left")
+    rows = join_groups(g, written(groups, "contents"), [*key, "folder_id"], "rows")
     others = F.coalesce("n", F.lit(0)) - F.coalesce("own_n", F.lit(0))
     other = F.when(F.col("low") == F.col("folder_id"), F.col("high")).otherwise(F.col("low"))
     state = F.when(others == 1, "moved").when((others == 0) & F.col("file_hash").isNotNull(), "deleted").otherwise("unknown")
     return rows.select("id", others.alias("candidates"), state.alias("remote_state"), F.when(others == 1, other).alias("moved_to_folder_id"))
 
 
-def _own(key: list[str]) -> Column:
-    parts = [F.col(k) == F.col(f"o_{k}") for k in key]
-    return reduce(and_, [*parts, F.col("folder_id") == F.col("own_folder")])
-
-
 def expired(seen_at: Column, now: str) -> Column:
     """Whether flags were seen longer ago than the limit; unreadable times are."""
     seconds = F.unix_seconds(zoned(F.lit(now))) - F.unix_seconds(zoned(seen_at))
