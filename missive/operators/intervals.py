@@ -49,6 +49,11 @@ def _schema(rows: DataFrame, keys: tuple[str, ...]) -> str:
 
 def intervals(rows: DataFrame, keys: tuple[str, ...], column: str) -> DataFrame:
     """``keys, low, high``: the numbers in ``column`` of each key as intervals; nulls are none."""
+    return joined(folded(rows, keys, column), keys)
+
+
+def folded(rows: DataFrame, keys: tuple[str, ...], column: str) -> DataFrame:
+    """Intervals as far as each task sees them, without a shuffle; those of different tasks may meet or overlap."""
     schema, names = _schema(rows, keys), [*keys, "low", "high"]
     found = rows.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("long").alias("low"))
 
@@ -81,7 +86,7 @@ def intervals(rows: DataFrame, keys: tuple[str, ...], column: str) -> DataFrame:
         if held:
             yield flush()
 
-    return joined(found.mapInArrow(fold, schema), keys)
+    return found.mapInArrow(fold, schema)
 
 
 def _cut(rows: DataFrame) -> DataFrame:

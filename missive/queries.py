@@ -17,6 +17,7 @@ from missive.plans.query import parse_query
 from missive.scratch import scratch_path
 from missive.sources import files, log
 from missive.sources.snapshots import Snapshots
+from missive.streaming import cursors
 from missive.registry import QUERIES, SQL, over_store, over_tables, over_views
 from missive.views import EPOCH, sql, stored
 
@@ -624,6 +625,38 @@ def s6_uid_intervals(v):
     return intervals.intervals(rows, sync.PLACE[:3], "uid")
 
 
+_LISTED = "CASE WHEN lo <= last // 2 THEN last // 2 WHEN lo <= last * 3 // 4 THEN last * 3 // 4 ELSE last END"
+
+
+@over_views("i3_streamed_work", f"""SELECT account_id, folder_id, uidvalidity, uid, CASE WHEN uid > top THEN 'forward' ELSE 'backfill' END AS part FROM (
+ SELECT *, row_number() OVER (PARTITION BY account_id, folder_id, uidvalidity, uid > top ORDER BY uid DESC) AS n FROM (
+  SELECT *, CASE WHEN lo <= last // 2 THEN 3 WHEN lo <= last * 3 // 4 THEN 2 ELSE 1 END AS listings, max(uid) FILTER (uid <= {_LISTED}) OVER (PARTITION BY account_id, folder_id, uidvalidity) AS top FROM (
+   SELECT account_id, folder_id, uidvalidity, uid, min(uid) OVER (PARTITION BY account_id, folder_id, uidvalidity) AS lo, max(id) OVER () AS last FROM messages QUALIFY uid IS NOT NULL)))
+WHERE uid > top OR n <= 10 * listings""")
+def i3_streamed_work(v):
+    """Three listings of a growing mailbox as a stream with cursors as its state, of which the last comes after a stop:
+    new uids and, ten in each listing, the old ones, newest first."""
+    spark = v.messages.sparkSession
+    path = scratch_path(spark, "listings")
+    rows = v.messages.select(*sync.PLACE, "id")
+    last = rows.agg(F.max("id")).first()[0] or 0
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, cursors.PROVIDER)
+    try:
+        for i, limit in enumerate((last // 2, last * 3 // 4, last)):
+            rows.where((F.col("uid") <= limit) & F.col("uid").isNotNull()).drop("id").coalesce(1).write.mode("append").parquet(f"{path}/in")
+            if i == 0:
+                continue
+            listings = spark.readStream.schema(rows.drop("id").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+            query = cursors.fetched(listings, most=10).writeStream.format("parquet").option("checkpointLocation", f"{path}/at").trigger(availableNow=True)
+            query.start(f"{path}/out").awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    found = spark.read.schema(cursors.WORK).parquet(f"{path}/out").where("part IS NOT NULL")
+    return intervals.spread(found.select(*cursors.KEYS, "part", "low", "high"), "uid")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of search results with all its joins."""
     return s.page_rows(stored(spark, sf_dir), wanted(), parse_query("tion"))
