@@ -39,4 +39,4 @@ def stored_form(text: Column) -> Column:
     """``normalise`` of any text: in the JVM where it is Latin-1 without the characters that have other forms there, and
     in Python for the others."""
     plain = text.rlike(r"^[\x00-\x1b\x20-\x9f\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\xff]*$")
-    return F.when(plain, folded(text)).otherwise(normalised(F.when(~plain, text)))
+    return F.coalesce(normalised(F.when(~plain, text)), folded(text))

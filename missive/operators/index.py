@@ -141,8 +141,9 @@ def add_segment(commit: Commit, contents: DataFrame, gone: DataFrame | None = No
     spark = commit.store.spark
     entry = commit.tables.get(TABLE) or {"kind": TABLE, "schema": "", "segments": []}
     rows = contents.select(F.col("message_id").cast("long").alias("message_id"), *(F.col(c).cast("string").alias(c) for c in TEXT_COLUMNS))
-    # A task's range of ids is a block; adaptive execution says how many there are, by size.
-    rows = rows.repartitionByRange("message_id").sortWithinPartitions("message_id").withColumn("block", F.spark_partition_id())
+    # A task's range of ids is a block; adaptive execution says how many there are, by size.  Ranges are sampled, so
+    # contents that are computed are written first.
+    rows = commit.staged("index-contents", rows).repartitionByRange("message_id").sortWithinPartitions("message_id").withColumn("block", F.spark_partition_id())
     path = commit.folder("contents")
     rows.write.mode("overwrite").option("parquet.block.size", 4 << 20).partitionBy("block").parquet(path)
     filled = [n for n in commit.store._names(f"contents/v={commit.version}") if n.startswith("block=")]
