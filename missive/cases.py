@@ -600,6 +600,30 @@ def k18_exported_messages(t):
     return export.message_file(rows).select("file_name", F.length("content").cast("long").alias("bytes"))
 
 
+def _stored_files(t) -> DataFrame:
+    """Whole texts as files, some of other content and some absent."""
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    return t("documents").where("doc_id % 5 <> 0").select(text("file:/r/eml/", doc(), ".eml").alias("path"), F.when(doc() % 7 == 0, F.concat(content, F.lit(b"x"))).otherwise(content).alias("content"))
+
+
+@over_tables("k17_reused_files", "SELECT doc_id, sha256(coalesce(text, '')) AS file_hash, strlen(coalesce(text, '')) AS size_bytes FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0")
+def k17_reused_files(t):
+    """Files that are there with the hash that is asked for; hashes that are none and paths outside reuse nothing."""
+    digest = F.upper(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    path = F.when(doc() % 11 == 0, text("../eml/", doc(), ".eml")).otherwise(text(doc(), ".eml"))
+    wanted = t("documents").select(path.alias("relative_path"), F.when(doc() % 13 == 0, F.substring(digest, 1, 63)).otherwise(digest).alias("file_hash"))
+    rows = files.reusable(_stored_files(t), wanted, "/r/eml")
+    return rows.select(F.regexp_extract("relative_path", r"(\d+)\.eml$", 1).cast("long").alias("doc_id"), "file_hash", "size_bytes")
+
+
+@over_tables("k18_verified_exports", "SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'mismatch' ELSE 'ok' END AS state, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN source || ' ' || doc_id || '.eml' END AS file_name, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN sha256(coalesce(text, '')) END AS digest FROM documents")
+def k18_verified_exports(t):
+    """Only what still has its hash is exported."""
+    rows = t("documents").select(doc().alias("id"), F.col("source").alias("subject"), text(doc(), ".eml").alias("relative_path"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("file_hash"))
+    found = export.verified_files(rows, _stored_files(t), "/r/eml")
+    return found.select("id", "state", "file_name", F.sha2("content", 256).alias("digest"))
+
+
 @over_tables("n1_normalised_forms", "SELECT doc_id, 'tel. 0' || doc_id || ' strasse ' || lower(source) AS shown FROM documents")
 def n1_normalised_forms(t):
     """Full-width forms, other blanks and a capital sharp s."""

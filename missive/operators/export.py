@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from missive.functions.mail import rendered, safe_names
 from missive.operators.store import canonical_time
+from missive.sources.files import verified
 
 #: Fields of a row as JSON.
 LINE = (
@@ -30,7 +31,17 @@ def tab_lines(summaries: DataFrame) -> DataFrame:
 def message_file(messages: DataFrame) -> DataFrame:
     """``file_name, content`` of stored messages as they are exported: by their subject, safe for any file system, and id."""
     name = F.concat(F.coalesce(F.nullif(F.trim("subject"), F.lit("")), F.lit("message")), F.lit(" "), F.col("id").cast("string"), F.lit(".eml"))
-    return messages.select(safe_names(name)["name"].alias("file_name"), "content")
+    return messages.select("id", safe_names(name)["name"].alias("file_name"), "content")
+
+
+def verified_files(messages: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """``id, file_name, content, state`` of ``messages(id, subject, relative_path, file_hash)``: only a message whose file below ``root``
+    still has its hash has a name and content to export; the others say why not (missing, mismatch, outside)."""
+    found = verified(files, messages.select("relative_path", "file_hash").distinct(), root)
+    rows = messages.select("id", "subject", "relative_path", "file_hash").join(found, ["relative_path", "file_hash"])
+    named = message_file(rows.where("state = 'ok'").select("id", "subject", "content"))
+    bad = rows.where("state <> 'ok'").select("id", F.lit(None).cast("string").alias("file_name"), F.lit(None).cast("binary").alias("content"), "state")
+    return named.select("id", "file_name", "content", F.lit("ok").alias("state")).unionByName(bad)
 
 
 def attachments(messages: DataFrame) -> DataFrame:

@@ -47,6 +47,14 @@ def verified(files: DataFrame, wanted: DataFrame, root: str) -> DataFrame:
     return rows.select("relative_path", "file_hash", F.when(state == "ok", F.col("content")).alias("content"), state.alias("state"))
 
 
+def reusable(files: DataFrame, wanted: DataFrame, root: str) -> DataFrame:
+    """``relative_path, file_hash, size_bytes`` of those of ``wanted(relative_path, file_hash)`` whose file is there already and has
+    that content, so that it need not be fetched; a hash that is none, or a path that leaves ``root``, reuses nothing."""
+    asked = wanted.where(F.col("file_hash").rlike("^[0-9a-fA-F]{64}$"))
+    rows = verified(files, asked, root).where("state = 'ok'")
+    return rows.select("relative_path", F.lower("file_hash").alias("file_hash"), F.length("content").cast("long").alias("size_bytes"))
+
+
 def stored_once(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """``incoming(account_id, sha256, …)`` with ``deduplicated``: whether the account has that content
     already, in the store or earlier (by ``seq``) in the batch."""
