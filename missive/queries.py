@@ -17,9 +17,9 @@ from missive.plans.query import parse_query
 from missive.scratch import scratch_path
 from missive.sources import files, log
 from missive.sources.snapshots import Snapshots
-from missive.streaming import cursors
+from missive.streaming import cursors, flags
 from missive.registry import QUERIES, SQL, over_store, over_tables, over_views
-from missive.views import EPOCH, sql, stored
+from missive.views import EPOCH, _stamp, sql, stored
 
 COLUMNS = "id, account_id, folder_id, subject, sort_key"
 
@@ -628,35 +628,65 @@ def s6_uid_intervals(v):
 _LISTED = "CASE WHEN lo <= last // 2 THEN last // 2 WHEN lo <= last * 3 // 4 THEN last * 3 // 4 ELSE last END"
 
 
+def _streamed(spark: SparkSession, path: str, rounds, write) -> None:
+    """A stream with state that takes each of ``rounds`` when it has been written below ``path``, and stops after it."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, cursors.PROVIDER)
+    try:
+        for rows in rounds:
+            rows.write.mode("append").parquet(f"{path}/in")
+            source = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+            query = write(source).writeStream.format("parquet").option("checkpointLocation", f"{path}/at").trigger(availableNow=True)
+            query.start(f"{path}/out").awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+
+
 @over_views("i3_streamed_work", f"""SELECT account_id, folder_id, uidvalidity, uid, CASE WHEN uid > top THEN 'forward' ELSE 'backfill' END AS part FROM (
  SELECT *, row_number() OVER (PARTITION BY account_id, folder_id, uidvalidity, uid > top ORDER BY uid DESC) AS n FROM (
   SELECT *, CASE WHEN lo <= last // 2 THEN 3 WHEN lo <= last * 3 // 4 THEN 2 ELSE 1 END AS listings, max(uid) FILTER (uid <= {_LISTED}) OVER (PARTITION BY account_id, folder_id, uidvalidity) AS top FROM (
    SELECT account_id, folder_id, uidvalidity, uid, min(uid) OVER (PARTITION BY account_id, folder_id, uidvalidity) AS lo, max(id) OVER () AS last FROM messages QUALIFY uid IS NOT NULL)))
 WHERE uid > top OR n <= 10 * listings""")
 def i3_streamed_work(v):
-    """Three listings of a growing mailbox as a stream with cursors as its state, of which the last comes after a stop:
-    new uids and, ten in each listing, the old ones, newest first."""
+    """Three listings of a growing mailbox as a stream with cursors as its state, which stops after each: new uids and,
+    ten in each listing, the old ones, newest first."""
     spark = v.messages.sparkSession
     path = scratch_path(spark, "listings")
     rows = v.messages.select(*sync.PLACE, "id")
     last = rows.agg(F.max("id")).first()[0] or 0
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, cursors.PROVIDER)
-    try:
-        for i, limit in enumerate((last // 2, last * 3 // 4, last)):
-            rows.where((F.col("uid") <= limit) & F.col("uid").isNotNull()).drop("id").coalesce(1).write.mode("append").parquet(f"{path}/in")
-            if i == 0:
-                continue
-            listings = spark.readStream.schema(rows.drop("id").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-            query = cursors.fetched(listings, most=10).writeStream.format("parquet").option("checkpointLocation", f"{path}/at").trigger(availableNow=True)
-            query.start(f"{path}/out").awaitTermination()
-    finally:
-        spark.conf.set(key, before)
+    listings = [rows.where((F.col("uid") <= limit) & F.col("uid").isNotNull()).drop("id") for limit in (last // 2, last * 3 // 4, last)]
+    _streamed(spark, path, listings, lambda source: cursors.fetched(source, most=10))
     found = spark.read.schema(cursors.WORK).parquet(f"{path}/out").where("part IS NOT NULL")
     return intervals.spread(found.select(*cursors.KEYS, "part", "low", "high"), "uid")
 
 
+_ROUND = EPOCH + flags.FLAG_WINDOW_DAYS * 86_400 + 18_000
+_SEEN = f"{_ROUND} + r * 1800"
+
+
+@over_views("i10_i15_streamed_flags", f"""SELECT * FROM (WITH seen AS (
+ SELECT account_id, folder_id, uidvalidity, uid, r, {EPOCH} + 30 + id * 60 AS sent, CASE WHEN r > 2 AND uid % 4 = 0 THEN '\\Seen' ELSE imap_flags END AS imap_flags
+ FROM messages, range(5) t(r) WHERE uid IS NOT NULL AND internal_date IS NOT NULL AND (uid + r) % 3 <> 0 AND {EPOCH} + 30 + id * 60 >= {_SEEN} - 2592000),
+steps AS (SELECT *, lag(imap_flags) OVER w AS old, lead(r) OVER w AS next FROM seen WINDOW w AS (PARTITION BY account_id, folder_id, uidvalidity, uid ORDER BY r))
+SELECT account_id, folder_id, uidvalidity, uid, 'update' AS kind, imap_flags, {_stamp(_SEEN)} AS flags_seen_at FROM steps WHERE old IS DISTINCT FROM imap_flags
+UNION ALL SELECT account_id, folder_id, uidvalidity, uid, 'due', imap_flags, {_stamp(_SEEN)} FROM steps
+WHERE r + 2 < 5 AND coalesce(next > r + 2, true) AND sent + 2592000 >= {_SEEN} + 3600)""")
+def i10_i15_streamed_flags(v):
+    """Five rounds of observed flags as a stream with timers, half an hour apart: flags that changed, and those that grew
+    an hour old.  What was seen unchanged waits in the state to be written together."""
+    spark = v.messages.sparkSession
+    path = scratch_path(spark, "flags")
+
+    def seen(r: int) -> DataFrame:
+        new = F.when((F.lit(r) > 2) & (F.col("uid") % 4 == 0), "\\Seen").otherwise(F.col("imap_flags"))
+        rows = v.messages.where((F.col("uid") + r) % 3 != 0)
+        return rows.select(*sync.PLACE, new.alias("flags"), "internal_date", F.timestamp_seconds(F.lit(_ROUND + r * 1800)).alias("at"))
+
+    _streamed(spark, path, map(seen, range(5)), lambda source: flags.refreshed(source, late="0 seconds"))
+    return spark.read.schema(flags.OUT).parquet(f"{path}/out").where("kind <> 'touch'")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of search results with all its joins."""
     return s.page_rows(stored(spark, sf_dir), wanted(), parse_query("tion"))
