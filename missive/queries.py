@@ -15,7 +15,7 @@ from missive.operators import search as s
 from missive.plans.filters import Condition, day_bounds, wanted, write_cursor
 from missive.plans.query import parse_query
 from missive.scratch import scratch_path
-from missive.sources import files, log
+from missive.sources import files, log, mailbox
 from missive.sources.snapshots import Snapshots
 from missive.streaming import cursors, flags
 from missive.registry import QUERIES, SQL, over_store, over_tables, over_views
@@ -687,6 +687,48 @@ def i10_i15_streamed_flags(v):
     return spark.read.schema(flags.OUT).parquet(f"{path}/out").where("kind <> 'touch'")
 
 
+def _filed(t) -> DataFrame:
+    """Documents as messages of a mailbox."""
+    return t("documents").selectExpr("source AS raw_name", "doc_id AS uid", "text AS content").where("raw_name IS NOT NULL AND uid > 0")
+
+
+_MAIL = "source AS raw_name, doc_id AS uid, octet_length(encode(coalesce(text, ''))) AS size_bytes, sha256(coalesce(text, '')) AS file_hash"
+
+
+@over_tables("s17_mailbox_ranges", f"""SELECT {_MAIL}, CASE WHEN doc_id > top // 2 THEN 'new' WHEN source = first THEN 'old, first folder' ELSE 'old' END AS part
+FROM documents, (SELECT max(doc_id) AS top, min(source) AS first FROM documents) WHERE source IS NOT NULL AND doc_id > 0""")
+def s17_mailbox_ranges(t):
+    """All messages of a mailbox by scans of ranges of uids and of folders, which list and open only their blocks' files."""
+    rows = _filed(t)
+    spark = rows.sparkSession
+    path = scratch_path(spark, "mailbox")
+    mailbox.write(rows, path)
+    top, first = rows.agg(F.max("uid"), F.min("raw_name")).first()
+    half = (top or 0) // 2
+    others = [r[0] for r in rows.where(F.col("raw_name") > first).select("raw_name").distinct().collect()]  # a name a folder
+    parts = {
+        "new": mailbox.read(spark, path, low=half + 1), "old, first folder": mailbox.read(spark, path, high=half, names=[first]),
+        "old": mailbox.read(spark, path, high=half, names=others),
+    }
+    found = [rows.select("raw_name", "uid", "size_bytes", F.sha2("content", 256).alias("file_hash"), F.lit(name).alias("part")) for name, rows in parts.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@over_tables("s17_mailbox_stream", f"SELECT {_MAIL} FROM documents WHERE source IS NOT NULL AND doc_id > 0")
+def s17_mailbox_stream(t):
+    """A mailbox that grows between two runs of a stream, each of which reads what is new."""
+    rows = _filed(t)
+    spark = rows.sparkSession
+    path, out = scratch_path(spark, "mailbox"), scratch_path(spark, "followed")
+    half = (rows.agg(F.max("uid")).first()[0] or 0) // 2
+    for part in (rows.where(F.col("uid") <= half), rows.where(F.col("uid") > half)):
+        mailbox.write(part, path)
+        news = mailbox.follow(spark, path).select("raw_name", "uid", "size_bytes", F.sha2("content", 256).alias("file_hash"))
+        query = news.writeStream.format("parquet").option("checkpointLocation", f"{out}/at").trigger(availableNow=True)
+        query.start(f"{out}/rows").awaitTermination()
+    return spark.read.schema("raw_name string, uid long, size_bytes long, file_hash string").parquet(f"{out}/rows")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of search results with all its joins."""
     return s.page_rows(stored(spark, sf_dir), wanted(), parse_query("tion"))
