@@ -629,18 +629,26 @@ _LISTED = "CASE WHEN lo <= last // 2 THEN last // 2 WHEN lo <= last * 3 // 4 THE
 
 
 def _streamed(spark: SparkSession, path: str, rounds, write) -> None:
-    """A stream with state that takes each of ``rounds`` when it has been written below ``path``, and stops after it."""
+    """A stream with state that takes each of ``rounds`` whole: one is written aside and then renamed into the stream's folder."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at(f"{path}/in"))
     spark.conf.set(key, cursors.PROVIDER)
+    query = None
     try:
-        for rows in rounds:
-            rows.write.mode("append").parquet(f"{path}/in")
-            source = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
-            query = write(source).writeStream.format("parquet").option("checkpointLocation", f"{path}/at").trigger(availableNow=True)
-            query.start(f"{path}/out").awaitTermination()
+        for i, rows in enumerate(rounds):
+            rows.write.parquet(f"{path}/aside/{i}")
+            fs.rename(at(f"{path}/aside/{i}"), at(f"{path}/in/{i}"))
+            if query is None:  # one query for all rounds: each that starts makes state stores anew
+                source = spark.readStream.schema(rows.schema).parquet(f"{path}/in/*")
+                query = write(source).writeStream.format("parquet").option("checkpointLocation", f"{path}/at").start(f"{path}/out")
+            query.processAllAvailable()
     finally:
         spark.conf.set(key, before)
+        if query is not None:
+            query.stop()
 
 
 @over_views("i3_streamed_work", f"""SELECT account_id, folder_id, uidvalidity, uid, CASE WHEN uid > top THEN 'forward' ELSE 'backfill' END AS part FROM (
@@ -649,8 +657,8 @@ def _streamed(spark: SparkSession, path: str, rounds, write) -> None:
    SELECT account_id, folder_id, uidvalidity, uid, min(uid) OVER (PARTITION BY account_id, folder_id, uidvalidity) AS lo, max(id) OVER () AS last FROM messages QUALIFY uid IS NOT NULL)))
 WHERE uid > top OR n <= 10 * listings""")
 def i3_streamed_work(v):
-    """Three listings of a growing mailbox as a stream with cursors as its state, which stops after each: new uids and,
-    ten in each listing, the old ones, newest first."""
+    """Three listings of a growing mailbox as a stream with cursors as its state: new uids and, ten in each listing,
+    the old ones, newest first."""
     spark = v.messages.sparkSession
     path = scratch_path(spark, "listings")
     rows = v.messages.select(*sync.PLACE, "id")
