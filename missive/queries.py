@@ -359,7 +359,7 @@ def i22_replay(t):
     kind = F.when(F.col("event_type") == "click", "moved").when(F.col("event_type") == "purchase", "delete_detected").otherwise("fetch")
     rows = t("events").select(
         F.lit("a").alias("account_id"), F.lit(1).alias("folder_id"), F.lit(1).alias("uidvalidity"), F.col("user_id").alias("uid"), kind.alias("event"),
-        F.lpad(F.col("event_id").cast("string"), 20, "0").alias("timestamp"), F.lit("p").alias("relative_path"), F.lit(None).cast("long").alias("moved_to_folder_id"),
+        display.utc_seconds(F.col("event_id")).alias("timestamp"), F.col("event_id").alias("place"), F.lit("p").alias("relative_path"), F.lit(None).cast("long").alias("moved_to_folder_id"),
     )
     return log.replay(rows).select("uid", "n_events", "remote_state")
 
