@@ -21,12 +21,13 @@ def size_text(n: Column) -> Column:
 
 
 def utc_seconds(seconds: Column) -> Column:
-    """Whole seconds since 1970 as ``YYYY-MM-DDTHH:MM:SSZ``, by integers alone, so whatever the session's time zone is."""
+    """Whole seconds since 1970 as ``YYYY-MM-DDTHH:MM:SSZ``, by integers alone, so whatever the session's time zone is.
+    Years from 10,000 on have no sign either."""
     seconds = seconds.cast("long")
     rest = F.pmod(seconds, F.lit(86_400)).cast("long")
     two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor((seconds - rest) / 86_400).cast("int")).cast("string")
-    return F.concat(day, F.lit("T"), two(rest / 3600), F.lit(":"), two(rest % 3600 / 60), F.lit(":"), two(rest % 60), F.lit("Z"))
+    return F.concat(F.ltrim(day, F.lit("+")), F.lit("T"), two(rest / 3600), F.lit(":"), two(rest % 3600 / 60), F.lit(":"), two(rest % 60), F.lit("Z"))
 
 
 def utc_text(at: Column) -> Column:
