@@ -144,11 +144,15 @@ def n20_confined_paths(v):
     return v.messages.select("id", files.confined(shown).alias("inside"))
 
 
-@over_tables("n21_mailbox_names", "SELECT doc_id, text AS back, true AS plain FROM documents")
+_UNIT = r"""CASE WHEN unicode(c) < 65536 THEN printf('%04x', unicode(c)) ELSE printf('%04x%04x', 55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)) END"""
+_RUN = rf"""CASE WHEN regexp_matches(r, '^[\x20-\x7e]') THEN r ELSE '&' || replace(rtrim(base64(unhex(array_to_string(list_transform(regexp_extract_all(r, '(?s).'), lambda c: {_UNIT}), ''))), '='), '/', ',') || '-' END"""
+
+
+@over_tables("n21_mailbox_names", rf"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(replace(text, '&', '&-'), '[^\x20-\x7e]+|[\x20-\x7e]+'), lambda r: {_RUN}), '') AS coded, text AS back, true AS plain FROM documents""")
 def n21_mailbox_names(t):
-    """Whole texts as names of folders: seven-bit letters alone, and the same when read back."""
+    """Whole texts as names of folders: as they are written, in seven-bit letters alone, and the same when read back."""
     rows = t("documents").select("doc_id", mail.utf7_encoded(F.col("text")).alias("coded"))
-    return rows.select("doc_id", mail.utf7_decoded(F.col("coded")).alias("back"), F.col("coded").rlike(r"^[\x20-\x7e]*$").alias("plain"))
+    return rows.select("doc_id", "coded", mail.utf7_decoded(F.col("coded")).alias("back"), F.coalesce(F.col("coded").rlike(r"^[\x20-\x7e]*$"), F.lit(True)).alias("plain"))
 
 
 @over_views("n24_local_times", "SELECT id, strftime(strptime(date_sent, '%Y-%m-%dT%H:%M:%SZ') + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS at FROM messages")
