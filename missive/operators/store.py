@@ -13,7 +13,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from missive.functions.display import utc_text
+from missive.functions.display import utc_seconds
 
 FAILURE_KEY = ("account_id", "folder_id", "uidvalidity", "uid")
 #: A failed message is tried this often.
@@ -205,7 +205,13 @@ def canonical_time(text: Column) -> Column:
     """A date with or without a time, a fraction and a zone (UTC without one), parted by a blank, as
     ``YYYY-MM-DDTHH:MM:SSZ``, the fraction cut off; values with a ``T`` and those that are no time stay."""
     form = r"^\s*(\d{4}-\d\d-\d\d)(?: (\d\d:\d\d)(:\d\d)?(?:\.\d+)?)?\s*(Z|[+-]\d\d:\d\d)?\s*$"
-    part = lambda i, none: F.coalesce(F.nullif(F.regexp_extract(text, form, i), F.lit("")), F.lit(none))
-    at = F.concat(part(1, "?"), F.lit("T"), part(2, "00:00"), part(3, ":00"), part(4, "Z"))
-    new = utc_text(F.try_to_timestamp(at))
+    # One pass of the pattern puts a bar before the zone, which no text of the form has.
+    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)
+
+    def whole(x: Column) -> Column:
+        clock, zone = F.substring_index(x, "|", 1), F.substring_index(x, "|", -1)
+        return F.concat(clock, F.substr(F.lit("0000-00-00T00:00:00"), F.length(clock) + 1), F.when(zone == "", "Z").otherwise(zone))
+
+    parted = once(F.regexp_replace(text, form, "$1T$2$3|$4"), lambda x: F.when(x != text, whole(x)))
+    new = once(F.unix_seconds(F.try_to_timestamp(parted)), utc_seconds)
     return F.when(F.instr(text, "T") == 0, F.coalesce(new, text)).otherwise(text)

@@ -311,9 +311,28 @@ def k9_set_flags(v):
     return store.set_columns(v.messages, changes, sync.PLACE).select("id", "imap_flags")
 
 
-@over_tables("k23_canonical_times", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS t FROM orders")
+_CLOCK = "o_orderdate + to_seconds(o_orderkey % 86400)"
+_DAY, _TIME = f"strftime({_CLOCK}, '%Y-%m-%d')", f"strftime({_CLOCK}, '%H:%M:%S')"
+
+
+@over_tables("k23_canonical_times", f"""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS t, CASE o_orderkey % 7
+  WHEN 0 THEN {_DAY} || 'T' || {_TIME} || 'Z' WHEN 1 THEN strftime({_CLOCK} - INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN {_DAY} || 'T00:00:00Z'
+  WHEN 3 THEN strftime({_CLOCK}, '%Y') || '-02-30 ' || {_TIME} WHEN 4 THEN {_DAY} || 'T' || {_TIME} || '+09:00' WHEN 5 THEN {_DAY} || strftime({_CLOCK}, 'T%H:%M:00Z')
+  ELSE {_DAY} || 'T' || {_TIME} || 'Z' END AS other FROM orders""")
 def k23_canonical_times(t):
-    return t("orders").select("o_orderkey", store.canonical_time(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("t"))
+    """Each order's time as it is, and in other forms: a fraction, a zone, a day alone, no day of any month, one that is written so
+    already, minutes, and UTC."""
+    k = F.col("o_orderkey")
+    seconds = F.pmod(k, F.lit(86_400)).cast("long")
+    clock = F.substring(display.utc_seconds(seconds), 12, 8)
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    forms = (
+        F.concat(day, F.lit(" "), clock, F.lit(".5")), F.concat(day, F.lit(" "), clock, F.lit("+09:00")), day, F.concat(F.substring(day, 1, 4), F.lit("-02-30 "), clock),
+        F.concat(day, F.lit("T"), clock, F.lit("+09:00")), F.concat(day, F.lit(" "), F.substring(clock, 1, 5)), F.concat(day, F.lit(" "), clock, F.lit("Z")),
+    )
+    other = F.element_at(F.array(*forms), (F.pmod(k, F.lit(7)) + 1).cast("int"))
+    plain = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    return t("orders").select("o_orderkey", store.canonical_time(plain).alias("t"), store.canonical_time(other).alias("other"))
 
 
 # Files and log.
