@@ -2,8 +2,8 @@
 
 A segment has the normalised contents of some messages, in blocks of neighbouring ids, and a posting table: for each
 piece of one to three characters and each range of ids that a task packed, one row with the ids that hold it, as
-differences from the range's first in a delta-coded Parquet list, and their number, smallest and largest.  Rows are sorted by
-piece, so a reader opens only the row groups of the pieces that a term has.
+differences from the range's first in a delta-coded Parquet list, and their number, smallest and largest.  Each file's rows are
+sorted by piece, so a reader opens only the row groups of the pieces that a term has.
 
 A term of up to three characters is a piece, so postings alone decide it.  A longer one has all its three-character pieces in
 a message that holds it: lists are intersected range by range, only where all of the pieces occur, and the term is
@@ -29,8 +29,8 @@ from missive.plans.query import INDEXED, SearchPlan
 from missive.sources.snapshots import Commit, Snapshots
 
 #: Pieces that a long term is looked up by, pairs of piece and message that a task packs at once, and removed
-#: ids that are sent to all executors.
-PIECES, PAIRS, SMALL = 6, 2_000_000, 200_000
+#: ids (of 8 bytes) that are sent to all executors.
+PIECES, PAIRS, SMALL = 6, 2_000_000, 2_000_000
 CONTENT = "message_id long, " + ", ".join(f"{c} string" for c in TEXT_COLUMNS) + ", block int"
 POSTING = "gram string, block int, base long, n int, low long, high long, ids array<int>"
 WRITE = {
@@ -151,8 +151,9 @@ def add_segment(commit: Commit, contents: DataFrame, gone: DataFrame | None = No
         rows.withColumn("block", F.lit(0)).write.mode("overwrite").parquet(path)
     written = spark.read.schema(CONTENT).parquet(path)
     found = written.select("block", "message_id", *TEXT_COLUMNS).mapInArrow(_pack, POSTING)
-    order = ["gram", "block", "base"]
-    found.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").options(**WRITE).parquet(commit.folder("postings"))
+    # Each task sorts what it packed: a look-up opens a stretch of each file, and nothing is packed twice or shuffled, as
+    # ranges of all postings would ask for, which are larger than the text.
+    found.sortWithinPartitions("gram", "block", "base").write.mode("overwrite").options(**WRITE).parquet(commit.folder("postings"))
     removed = 0
     if gone is not None:
         gone.select(F.col("gone_id").cast("long").alias("gone_id")).write.mode("overwrite").parquet(commit.folder("gone"))

@@ -285,3 +285,39 @@ def test_stored_forms_of_any_text(spark):
     texts = ["Straße ÀÉ", "ＴＥＬ． ０９", "é ﬁ ² ª x", "a\x1cb\x85c\n\t d ", "日本 ｶﾞ", "", None, "¨ ¯´µ¸ ¼", "\x00", "ÿ ½"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", stored_form(F.col("t")).alias("got")).collect()
     assert all(r.got == (None if r.t is None else normalise(r.t)) for r in rows), rows
+
+
+def test_postings_are_packed_once_and_not_shuffled(spark, tmp_path, monkeypatch):
+    from missive.operators import index
+
+    packed = spark.sparkContext.accumulator(0)
+    inner = index._pack
+
+    def counted(batches):
+        def seen():
+            for batch in batches:
+                packed.add(batch.num_rows)
+                yield batch
+
+        yield from inner(seen())
+
+    monkeypatch.setattr(index, "_pack", counted)
+    rows = spark.range(300).select(F.col("id").alias("message_id"), F.concat(F.lit("abc "), "id").alias("body_text"), *(F.lit(None).cast("string").alias(c) for c in ("subject_norm", "sender_norm", "attachment_names")))
+    built = index.build(rows, f"{tmp_path}/index")
+    assert packed.value == 300
+    places = built._table("postings", built.segments[0]).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "gram").collect()
+    for file in {r.file for r in places}:
+        grams = [r.gram for r in sorted(places, key=lambda r: r.at) if r.file == file]
+        assert grams == sorted(grams)
+
+
+def test_queries_hold_few_rows_in_python(spark):
+    from missive.queries import QUERIES
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        QUERIES["n17_sanitised"](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 1000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
