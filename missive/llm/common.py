@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missive import scratch
-from missive.scratch import shared_folder  # noqa: F401  for callers of this module
+from missive.scratch import bounded_batches, shared_folder  # noqa: F401  for callers of this module
 
 #: ``A-Z`` and their lower-case forms; only these are folded, whatever the locale.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -122,11 +122,3 @@ def slices(batches: Iterator, rows: int = 256) -> Iterator:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-
-
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small where the session still has Spark's default of 10,000 rows:
-    texts can be long, and a batch is held whole by a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) == 10_000:
-        spark.conf.set(key, str(rows))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from missive.scratch import bounded_batches
 from missive.views import Views, sql, stored, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +17,12 @@ SQL: dict[str, str] = {}
 def register(name: str, query: Query, oracle: str | None) -> None:
     if name in QUERIES:
         raise ValueError(f"there is a query {name} already")
-    QUERIES[name] = query
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    QUERIES[name] = run
     if oracle:
         SQL[name] = oracle
 

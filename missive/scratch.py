@@ -1,4 +1,4 @@
-"""Where tables that a session makes for itself are written."""
+"""Where tables that a session makes for itself are written, and how many rows its Python workers hold."""
 
 from __future__ import annotations
 
@@ -25,3 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/missive/{uuid.uuid4().hex}/{tag}"
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keep Arrow batches small where the session still has Spark's default of 10,000 rows:
+    texts can be long, and a batch is held whole by a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, str(rows))
