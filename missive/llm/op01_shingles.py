@@ -15,7 +15,8 @@ Sets are not stored: they are hashed from the text in each of two passes, and ag
 texts of pairs that are compared, so ``docs`` should be a written table.
 
 Only components are needed, so a group of near copies does not make all of its pairs: first
-every node is compared with one node of each prefix shingle that it has, that with the most shared ones, then,
+nodes whose SimHash fingerprints differ in at most two bits are compared, found by ``op01_simhash.links``, and
+every node with one node of each prefix shingle that it has, that with the most shared ones; then, as fingerprints and leaders miss some,
 of shingles whose nodes are in more than one component so far, the nodes of different components.
 A shingle of more than ``cell_rows`` of these is dealt into slices.
 
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from missive.llm.common import bitmap, bounded_batches, discard, join_groups, materialize, slices, with_marks
-from missive.llm.op01_simhash import SMALL, components
+from missive.llm.op01_simhash import SMALL, components, fingerprints, links
 
 #: Longs of a parity signature.
 LANES = 8
@@ -222,6 +223,18 @@ def cross_pairs(points: DataFrame, similarity: float, cell_rows: int) -> DataFra
     return a.join(b, where & may_link("l_", "r_", similarity)).select(F.col("l_node").alias("a"), F.col("r_node").alias("b")).distinct()
 
 
+def close_prints(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``a, b``: nodes whose fingerprints differ in at most two bits, one node standing for each fingerprint, and the others of
+    equal ones with it.  Candidates only: a node has the fingerprint of its smallest id."""
+    prints = fingerprints(docs, 3).select(F.col("doc_id").alias("rep"), "fp")
+    of_reps = materialize(nodes.select("node", "rep").join(prints, "rep").select("node", "fp").distinct(), "prints")
+    lead = materialize(of_reps.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("n")), "leads")
+    same = join_groups(of_reps, lead, "fp").where(F.col("node") != F.col("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    close = materialize(links(lead.select("fp")).select("a", "b"), "close_prints")
+    of = lambda k: lead.select(F.col("fp").alias(k), F.col("lead").alias(k + "_lead"))
+    return close.join(of("a"), "a").join(of("b"), "b").select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b")).union(same)
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, cell_rows: int = 4096) -> DataFrame:
     """``doc_id, component_id``: a row for each row of ``docs``; the smallest id of its group."""
     lanes = [f"s{i}" for i in range(LANES)]
@@ -249,20 +262,21 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, cell
     # A source has more shingles in common with others than its edited copies, so it leads.
     shares = points.groupBy("node").agg(F.count("*").alias("m"))
     least = points.join(shares, "node").groupBy("tok").agg(F.max(F.struct("m", "node")).alias("a")).select("tok", "a.node")
-    pairs = points.join(least.withColumnRenamed("node", "a"), "tok").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
+    pairs = points.join(least.withColumnRenamed("node", "a"), "tok").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b"))
+    pairs = pairs.union(close_prints(docs, nodes)).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(side["l"], F.col("a") == F.col("l_node")).join(side["r"], F.col("b") == F.col("r_node")).where(may_link("l_", "r_", similarity))
-    links = similar(docs, nodes, materialize(pairs.select("a", "b"), "first_pairs"), similarity, shingle, salt, "first")
+    near = similar(docs, nodes, materialize(pairs.select("a", "b"), "first_pairs"), similarity, shingle, salt, "first")
 
-    roots = materialize(components(links), "first_roots")
+    roots = materialize(components(near), "first_roots")
     placed = points.join(roots, "node", "left").select("tok", "node", F.coalesce("root", "node").alias("comp"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("tok")
     rest = placed.join(mixed, "tok", "left_semi").join(nodes.select("node", "n", *lanes), "node")
     more = materialize(cross_pairs(materialize(rest, "mixed"), similarity, cell_rows), "more_pairs")
-    links = links.union(similar(docs, nodes, more, similarity, shingle, salt, "more"))
+    near = near.union(similar(docs, nodes, more, similarity, shingle, salt, "more"))
     discard(points, placed)
 
-    named = nodes.select("node", "rep", "docs").join(components(links), "node", "left").select("node", "rep", "docs", F.coalesce("root", "node").alias("root"))
+    named = nodes.select("node", "rep", "docs").join(components(near), "node", "left").select("node", "rep", "docs", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "named")
     whole = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialize(named.join(whole, "root").select("node", "component_id", "docs"), "components")

@@ -74,3 +74,23 @@ def test_order_and_repeats_count(spark):
     got = {r.doc_id: r.component_id for r in op01_shingles.near_copies(frame, cell_rows=2).collect()}
     assert got == want
     assert {r.doc_id for r in op01_simhash.keep_one(frame.where("doc_id < 7")).collect()} == set(range(1, 7))
+
+
+def test_fingerprints_find_candidates_first(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"z{i}" for i in range(300))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = []
+    inner = op01_shingles.close_prints
+
+    def seen(docs, nodes):
+        out = inner(docs, nodes)
+        reps = {r.node: r.rep for r in nodes.collect()}
+        asked.extend(sorted((reps[r.a], reps[r.b])) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(op01_shingles, "close_prints", seen)
+    got = {r.doc_id: r.component_id for r in op01_shingles.near_copies(frame).collect()}
+    bits = [op01_simhash.majority(op01_simhash.shingle_hashes(t.encode(), 3)) for t in texts]
+    assert (bits[0] ^ bits[1]).bit_count() <= 2
+    assert asked == [[0, 1]] and got == {0: 0, 1: 0, 2: 2}
