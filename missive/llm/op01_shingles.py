@@ -5,13 +5,17 @@ link when the Jaccard similarity of their sets is at least ``similarity``.
 
 The join is complete.  With all shingles in one order, two sets that are similar enough share
 one of the first ``n - ceil(similarity * n) + 1`` shingles of each (prefix bound).  The order is
-rare first: counts of shingles that are frequent in some run of texts come before the hash; it
-decides on cost only, any order is exact.  Two more bounds lose nothing: the sizes' ratio,
+rare first, then by the hash; it decides on cost only, any order is exact.  Frequent are shingles
+that are so in some run of texts, and, as a passage that many texts quote is spread over the runs, those that
+more than ``FEW`` texts have of the texts that meet in so large a group of a prefix shingle: all shingles of such texts are
+counted and the prefixes are taken again.  A shingle that is not frequent then has at most ``2 * FEW`` nodes, however
+large the table is; a frequent one is in a prefix only where a text has too few others.  Two more bounds lose nothing: the sizes' ratio,
 and the distance of two parity signatures (every shingle flips one of 512 bits), which is at
-most the size of the sets' symmetric difference.  Pairs that pass are held against signatures
+most the size of the sets' symmetric difference.  In the exact join a third one is added: of two sets the first shingle in common
+cannot stand so late in either that too few follow it.  Pairs that pass are held against signatures
 with about a bit for each shingle, and what is left is decided on the whole sets.
 
-Sets are not stored: they are hashed from the text in each of two passes, and again for the
+Sets are not stored: they are hashed from the text in each of two or three passes, and again for the
 texts of pairs that are compared, so ``docs`` should be a written table.
 
 Only components are needed, so a group of near copies does not make all of its pairs: first
@@ -42,6 +46,8 @@ from missive.llm.op01_simhash import SMALL, components, fingerprints, links
 LANES = 8
 #: Shingles that are counted together, the count from which one is told, and how many are kept.
 COUNTED, OFTEN, HOT = 1 << 20, 4, 50_000
+#: Nodes that may have a prefix shingle in common before it is frequent, and the bits of the map of frequent ones.
+FEW, TOLD_BITS = 16, 25
 #: An odd number that spreads bits.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: What rounding may take from a bound.
@@ -117,29 +123,74 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - SLACK) + 1
 
 
-def prefixes(docs: DataFrame, shingle: int, salt: int, similarity: float, hot: list[tuple[int, int]]) -> DataFrame:
-    """``tok, node``: the first shingles of each set, the rare ones before ``hot(tok, times)``."""
-    known = np.array(sorted(hot), dtype=np.int64).reshape(-1, 2)
-    tokens, times = known[:, 0].copy(), known[:, 1].copy()
+def told(often: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``prefixes`` knows of frequent shingles: one bit for each place that one of ``often(tok, times)`` falls on, and the
+    ``HOT`` most frequent with their counts.  However many there are, its size is bounded."""
+    at = often.select(F.shiftrightunsigned("tok", 64 - TOLD_BITS).alias("at"))
+    bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    places = np.zeros(1 << TOLD_BITS - 6, dtype=np.int64)
+    places[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    hot = often.orderBy(F.desc("times"), "tok").limit(HOT).select("tok", "times").toArrow().sort_by("tok")
+    return places.view(np.uint64), hot.column("tok").to_numpy(), hot.column("times").to_numpy()
+
+
+def prefixes(docs: DataFrame, shingle: int, salt: int, similarity: float, often: DataFrame) -> DataFrame:
+    """``tok, node, place``: the first shingles of each set, the rare ones before those of ``often(tok, times)``, numbered from 0."""
+    places, tokens, times = told(often)
 
     def run(batches):
         for batch in slices(batches):
-            found, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            found, owners, at_place = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for text in batch.column(1):
                 x, raw = set_of(text.as_py(), shingle)
-                x = np.sort(x.view(np.int64))
+                at = x >> np.uint64(64 - TOLD_BITS)
+                known = places[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
+                x = x.view(np.int64)
                 if not len(x):
                     continue
                 many = np.zeros(len(x), dtype=np.int64)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
                     many = np.where(tokens[at] == x, times[at], 0)
-                first = x[np.lexsort((x, many))[: prefix_size(len(x), similarity)]]
+                first = x[np.lexsort((x, many, known))[: prefix_size(len(x), similarity)]]
                 found.append(first)
                 owners.append(np.full(len(first), name_of(raw, salt)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(owners))], names=["tok", "node"])
+                at_place.append(np.arange(len(first)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, owners, at_place)], names=["tok", "node", "place"])
+
+    return _texts(docs).mapInArrow(run, "tok long, node long, place long")
+
+
+def shared_prefixes(docs: DataFrame, shingle: int, salt: int, similarity: float, often: DataFrame) -> DataFrame:
+    """``tok, node, place``: the shingles of ``prefixes`` that more than one text has there."""
+    # Most shingles have one text: only those with more are kept, of the others most by a bitmap.
+    first = materialize(prefixes(docs, shingle, salt, similarity, often), "firsts")
+    shared = materialize(first.groupBy("tok").count().where("count > 1").select("tok"), "shared")
+    points = with_marks(first, bitmap(shared, F.col("tok"), "shared_map"), F.col("tok"), "seen").where("seen").drop("seen")
+    if shared.count() <= SMALL:
+        shared = F.broadcast(shared)
+    points = materialize(points.join(shared, "tok", "left_semi").distinct(), "prefixes")
+    discard(first)
+    return points
 
-    return _texts(docs).mapInArrow(run, "tok long, node long")
+
+def crowded_shingles(docs: DataFrame, nodes: DataFrame, points: DataFrame, shingle: int) -> DataFrame | None:
+    """``tok, times``: the shingles, in prefixes or not, that more than ``FEW`` texts have of those that share one of ``points(tok, node)``
+    with as many; None if there are none."""
+    crowds = materialize(points.groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") > FEW), "crowds")
+    if crowds.isEmpty():
+        return None
+    within = join_groups(points, crowds, "tok", how="inner").select("node").distinct()
+    marks = bitmap(within.join(nodes.select("node", "rep"), "node"), F.col("rep"), "crowd_map")
+
+    def run(batches):
+        for batch in slices(batches, 64):
+            sets = [set_of(x.as_py(), shingle)[0] for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["tok"])
+
+    texts = with_marks(_texts(docs), marks, F.col("doc_id"), "_on").where("_on").select("doc_id", "text")
+    return materialize(texts.mapInArrow(run, "tok long").groupBy("tok").agg(F.count("*").alias("times")).where(F.col("times") > FEW), "crowded")
 
 
 def may_link(a: str, b: str, similarity: float) -> Column:
@@ -210,17 +261,23 @@ def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: flo
 
 
 def cross_pairs(points: DataFrame, similarity: float, cell_rows: int) -> DataFrame:
-    """``a, b``: nodes of ``points(tok, node, comp, n, s0...)`` with a shingle in common, not in one
-    component, within the bounds."""
+    """``a, b``: nodes of ``points(tok, node, place, comp, n, s0...)`` with a shingle in common, not in one
+    component, within the bounds.  What stands before the first shingle in common is in one set only, so in the smaller
+    set it is among the first ``n * (1 - similarity) / (1 + similarity)``."""
     hot = materialize(points.groupBy("tok").count().where(F.col("count") > cell_rows), "hot_shingles")
     left, right = points.withColumn("part", F.lit(0)), points.withColumn("part", F.lit(0))
     if not hot.isEmpty():
         dealt = points.join(hot, "tok", "left").withColumn("parts", F.coalesce(F.ceil(F.col("count") / cell_rows).cast("int"), F.lit(1))).drop("count")
         left = dealt.withColumn("part", F.pmod(F.hash("node"), F.col("parts"))).drop("parts")
         right = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    left = left.where(F.col("place") <= F.col("n") * F.lit((1 - similarity) / (1 + similarity)) + SLACK)
     a, b = (x.select(*(F.col(c).alias(k + c) for c in x.columns)) for k, x in (("l_", left), ("r_", right)))
-    where = (F.col("l_tok") == F.col("r_tok")) & (F.col("l_part") == F.col("r_part")) & (F.col("l_node") < F.col("r_node")) & (F.col("l_comp") != F.col("r_comp"))
-    return a.join(b, where & may_link("l_", "r_", similarity)).select(F.col("l_node").alias("a"), F.col("r_node").alias("b")).distinct()
+    where = (F.col("l_tok") == F.col("r_tok")) & (F.col("l_part") == F.col("r_part")) & (F.col("l_comp") != F.col("r_comp"))
+    smaller = (F.col("l_n") < F.col("r_n")) | ((F.col("l_n") == F.col("r_n")) & (F.col("l_node") < F.col("r_node")))
+    needed = (F.col("l_n") + F.col("r_n")) * F.lit(similarity / (1 + similarity)) - SLACK
+    left_over = F.least(F.col("l_n") - F.col("l_place"), F.col("r_n") - F.col("r_place"))
+    pairs = a.join(b, where & smaller & (left_over >= needed) & may_link("l_", "r_", similarity))
+    return pairs.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
 
 
 def close_prints(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -247,16 +304,13 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, cell
         ends = F.min("whole").alias("low"), F.max("whole").alias("high")
         nodes = materialize(sets.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"), *ends, *(F.first(c).alias(c) for c in ("n", *lanes))), "nodes")
         clash = not nodes.where("low < high").isEmpty()
-    often = rows.where("node IS NULL").groupBy("tok").agg(F.sum("times").alias("times"))
-    hot = [tuple(r) for r in often.orderBy(F.desc("times"), "tok").limit(HOT).collect()]
-    # Most shingles have one text: only those with more are kept, of the others most by a bitmap.
-    first = materialize(prefixes(docs, shingle, salt, similarity, hot), "firsts")
-    shared = materialize(first.groupBy("tok").count().where("count > 1").select("tok"), "shared")
-    points = with_marks(first, bitmap(shared, F.col("tok"), "shared_map"), F.col("tok"), "seen").where("seen").drop("seen")
-    if shared.count() <= SMALL:
-        shared = F.broadcast(shared)
-    points = materialize(points.join(shared, "tok", "left_semi").distinct(), "prefixes")
-    discard(first)
+    often = materialize(rows.where("node IS NULL").groupBy("tok").agg(F.sum("times").alias("times")), "often")
+    points = shared_prefixes(docs, shingle, salt, similarity, often)
+    crowded = crowded_shingles(docs, nodes, points, shingle)
+    if crowded is not None:
+        discard(points)
+        often = materialize(often.union(crowded).groupBy("tok").agg(F.sum("times").alias("times")), "often")
+        points = shared_prefixes(docs, shingle, salt, similarity, often)
 
     side = {k: nodes.select(*(F.col(c).alias(f"{k}_{c}") for c in ("node", "n", *lanes))) for k in "lr"}
     # A source has more shingles in common with others than its edited copies, so it leads.
@@ -268,7 +322,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, cell
     near = similar(docs, nodes, materialize(pairs.select("a", "b"), "first_pairs"), similarity, shingle, salt, "first")
 
     roots = materialize(components(near), "first_roots")
-    placed = points.join(roots, "node", "left").select("tok", "node", F.coalesce("root", "node").alias("comp"))
+    placed = points.join(roots, "node", "left").select("tok", "node", "place", F.coalesce("root", "node").alias("comp"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("tok")
     rest = placed.join(mixed, "tok", "left_semi").join(nodes.select("node", "n", *lanes), "node")

@@ -94,3 +94,35 @@ def test_fingerprints_find_candidates_first(spark, monkeypatch):
     bits = [op01_simhash.majority(op01_simhash.shingle_hashes(t.encode(), 3)) for t in texts]
     assert (bits[0] ^ bits[1]).bit_count() <= 2
     assert asked == [[0, 1]] and got == {0: 0, 1: 0, 2: 2}
+
+
+def test_a_quoted_passage_makes_no_candidates(spark, monkeypatch):
+    # Long texts, for which 512 bits tell nothing apart, one in each partition, so that no run of texts shows what is frequent.
+    passage = [f"p{i}" for i in range(260)]
+    texts = [" ".join([*(f"a{d}x{i}" for i in range(520)), *passage, *(f"b{d}x{i}" for i in range(520))]) for d in range(40)]
+    texts.append(texts[0].replace("a0x100 ", "other "))
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), len(texts)), "doc_id long, text string")
+    asked = []
+    inner = op01_shingles.cross_pairs
+
+    def seen(*args):
+        out = inner(*args)
+        asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(op01_shingles, "cross_pairs", seen)
+    got = {r.doc_id: r.component_id for r in op01_shingles.near_copies(frame).collect()}
+    assert got == groups(list(enumerate(texts))) and got[40] == 0 and len(set(got.values())) == 40
+    assert asked == [0]
+
+
+def test_places_of_first_shingles_at_the_threshold(spark):
+    # Sets that are as unlike as may be: all that differs stands first, in either or in the larger one only.
+    rows, rng = [], random.Random(4)
+    for i in range(60):
+        shared = [f"c{i % 6}x{j}" for j in range(84)]
+        most = rng.choice([5, 10, 20])  # 80 shingles in common, 20 others in both together
+        rows.append((i, " ".join([*(f"e{i}x{j}" for j in range(most)), *shared])))
+    got = {r.doc_id: r.component_id for r in op01_shingles.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), cell_rows=4).collect()}
+    want = groups(rows)
+    assert got == want and 6 < len(set(want.values())) < 60
